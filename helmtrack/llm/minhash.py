@@ -147,7 +147,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
     shared = spread.groupBy("bucket").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("bucket")
     members = scratch.keep(spread.join(shared, "bucket", "left_semi").distinct(), "members")
     wanted = members.select("doc").distinct()
-    sets = scratch.keep(source.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(_sets(size), f"doc_id {kind}, set binary").dropDuplicates(["doc_id"]), "sets")
+    sets = scratch.keep(source.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), f"doc_id {kind}, set binary"), "sets")
 
     labels, before = None, members
     while True:

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, substring
+from . import bpe, decontaminate, minhash, pii, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": substring.substring,
+        "op3_pii": pii.pii,
         "op4_near_dedup": minhash.near_dedup,
         "op9_decontaminate": decontaminate.contamination,
         "op10_bpe": bpe.bpe,
