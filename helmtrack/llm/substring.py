@@ -6,20 +6,21 @@ positions i and j there is then an offset k < p with both i + k and j + k in D
 (modulo p), so that the anchors of ``window - p + 1`` words there are equal.
 Only anchors at cover positions, 5 of 21, are hashed and shuffled:
 
-1. count every anchor key (partial sums before the shuffle) and keep repeated
+1. exact copies are found by digest; a copied text of at least a window's
+   words goes as a whole, and only its first copy takes part in what follows;
+2. count every anchor key (partial sums before the shuffle) and keep repeated
    keys; a semi-join, whose large partitions Spark can split, marks anchors;
-2. a marked anchor extends to the windows that hold it; only these are hashed
+3. a marked anchor extends to the windows that hold it; only these are hashed
    in full (128 bits) and counted in the same way;
-3. words under a window that occurs again are removed.
+4. words under a window that occurs again are removed.
 
 No step emits pairs, and no step needs all rows of a key in one task.
 
 Defined cases: a null or empty text has no words, and keeps none; a text with
 fewer words than the window is kept whole; kept words are joined by one space.
-``doc_id`` should be unique: rows of one doc_id are judged each on its own
-text, but pool the positions found for that id; exactly repeated rows count as
-copies of each other.  Rows with a null doc_id come back unchanged.  Other
-columns are ignored.
+``doc_id`` should be unique: exactly repeated rows count as copies of each
+other, different texts of one doc_id pool their repeated windows.  A row with
+a null doc_id is kept whole and matches nothing.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .packed import packed_documents, unpacked
 
 WINDOW = 35
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -51,72 +54,99 @@ def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
 
 
-def _anchors(window: int, period: int, cover: tuple[int, ...]):
-    length = window - period + 1
-    chosen = np.isin(np.arange(period), cover)
+def _is_first(batch: pa.RecordBatch) -> np.ndarray:
+    return pc.fill_null(pc.equal(batch.column(0), batch.column(2)), False).to_numpy(zero_copy_only=False)
 
+
+def _copies(batch: pa.RecordBatch) -> np.ndarray:
+    return pc.fill_null(batch.column(3), 1).to_numpy(zero_copy_only=False)
+
+
+def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of number lists; null reads as empty."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def marked(keys: np.ndarray, doc: np.ndarray, marks: np.ndarray, moff: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Which of the keys, by row, are among the marks of their row."""
+    use = np.isin(keys, marks[moff[i] : moff[j]])
+    at = np.flatnonzero(use)
+    for r in np.unique(doc[at]):
+        mine = at[np.searchsorted(doc[at], r) : np.searchsorted(doc[at], r, side="right")]
+        use[mine] = np.isin(keys[mine], marks[moff[i + r] : moff[i + r + 1]])
+    return use
+
+
+class _Anchors:
+    """Anchor positions and keys of a chunk; keys have 48 bits, since they only choose candidates."""
+
+    def __init__(self, window: int, period: int, cover: tuple[int, ...]):
+        self.window, self.length = window, window - period + 1
+        self.chosen = np.isin(np.arange(period), cover)
+
+    def __call__(self, w: tx.Words, h: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = tx.windows(w, self.length)
+        at = at[self.chosen[(at - w.first[w.doc[at]]) % len(self.chosen)] & ((w.count >= self.window) & use)[w.doc[at]]]
+        return at, (window_hashes(h, at, self.length) >> np.uint64(16)).astype(np.int64)
+
+
+def _anchor_rows(anchors: _Anchors):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = tx.buffers(batch.column(1))
-            for i, j in tx.chunks(off):
-                w = tx.words(raw[off[i] : off[j]], off[i : j + 1] - off[i], tx.SPACE)
-                at = tx.windows(w, length)
-                pos = at - w.first[w.doc[at]] if len(at) else at
-                use = chosen[pos % period] & (w.count[w.doc[at]] >= window) if len(at) else np.zeros(0, bool)
-                at, pos = at[use], pos[use]
-                key = window_hashes(tx.word_hashes(w), at, length)
-                ids = batch.column(0).slice(i, j - i).take(pa.array(w.doc[at]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pos.astype(np.int32)), pa.array(tx.signed(key))], names=["doc_id", "pos", "key"])
+            first = _is_first(batch)
+            for i, j, data, off in unpacked(batch):
+                w = tx.words(data, off, tx.SPACE)
+                at, key = anchors(w, tx.word_hashes(w), first[i:j])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(w.doc[at])), pa.array(key)], names=["doc_id", "key"])
 
     return run
 
 
-def _candidates(window: int, period: int):
+def _window_rows(anchors: _Anchors):
+    window, period = anchors.window, len(anchors.chosen)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = tx.buffers(batch.column(1))
-            marks, moff = _lists(batch.column(2))
-            for i, j in tx.chunks(off):
-                w = tx.words(raw[off[i] : off[j]], off[i : j + 1] - off[i], tx.SPACE)
-                at = marks[moff[i] : moff[j]]
-                doc = np.repeat(np.arange(j - i), np.diff(moff[i : j + 1]))
-                at = at + w.first[doc]
-                low = np.maximum(at - (period - 1), w.first[doc])
+            first = _is_first(batch)
+            marks, moff = lists(batch.column(4))
+            for i, j, data, off in unpacked(batch):
+                w = tx.words(data, off, tx.SPACE)
+                h = tx.word_hashes(w)
+                at, key = anchors(w, h, first[i:j] & (np.diff(moff[i : j + 1]) > 0))
+                at = at[marked(key, w.doc[at], marks, moff, i, j)]
                 near = np.zeros(len(w.start) + 1, np.int64)
-                np.add.at(near, low, 1)
+                np.add.at(near, np.maximum(at - (period - 1), w.first[w.doc[at]]), 1)
                 np.add.at(near, at + 1, -1)
-                start = np.flatnonzero(np.cumsum(near)[: len(w.start)] > 0)
+                start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
                 start = start[start + window <= w.first[w.doc[start] + 1]]
-                hashes = [window_hashes(tx.word_hashes(w, lane), start, window, lane) for lane in (0, 1)]
-                ids = batch.column(0).slice(i, j - i).take(pa.array(w.doc[start]))
-                pos = (start - w.first[w.doc[start]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pos), *(pa.array(tx.signed(h)) for h in hashes)], names=["doc_id", "pos", "h1", "h2"])
+                h1, h2 = window_hashes(h, start, window), window_hashes(tx.word_hashes(w, 1), start, window, 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(w.doc[start])), pa.array(tx.signed(h1)), pa.array(tx.signed(h2))], names=["doc_id", "h1", "h2"])
 
     return run
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a column of int lists; null reads as empty."""
-    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
-
-
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = tx.buffers(batch.column(1))
-            marks, moff = _lists(batch.column(2))
-            for i, j in tx.chunks(off):
-                w = tx.words(raw[off[i] : off[j]], off[i : j + 1] - off[i], tx.SPACE)
-                doc = np.repeat(np.arange(j - i), np.diff(moff[i : j + 1]))
-                gone = tx.covered(len(w.start), marks[moff[i] : moff[j]] + w.first[doc], window)
+            copied = _copies(batch) > 1
+            marks, moff = lists(batch.column(4))
+            for i, j, data, off in unpacked(batch):
+                w = tx.words(data, off, tx.SPACE)
+                gone = copied[i:j][w.doc] & (w.count >= window)[w.doc]
+                some = (np.diff(moff[i : j + 1]) > 0) & ~copied[i:j]
+                at = tx.windows(w, window)
+                at = at[some[w.doc[at]]]
+                if len(at):
+                    key = tx.signed(window_hashes(tx.word_hashes(w), at, window))
+                    at = at[marked(key, w.doc[at], marks, moff, i, j)]
+                    gone |= tx.covered(len(w.start), at, window)
                 removed = np.bincount(w.doc, gone, minlength=j - i).astype(np.int64)
                 joined, ends = _join(w, ~gone)
                 view = memoryview(joined)
-                texts = [view[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                kept = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(joined)]).cast(pa.binary()).cast(pa.string())
-                sha = [hashlib.sha256(t).hexdigest() for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(w.count), pa.array(removed), kept, pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+                kept = [bytes(view[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                sha = [hashlib.sha256(t).hexdigest() for t in kept]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(w.count), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
     return run
 
@@ -144,15 +174,14 @@ def drop_repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     """doc_id, n_words, n_removed, kept_text, kept_sha256: one row per document."""
     if not is_cover(cover, period) or window < period:
         raise ValueError("cover must hold every difference modulo period, and period be at most the window")
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    anchors = source.mapInArrow(_anchors(window, period, cover), f"doc_id {kind}, pos int, key bigint")
-    marked = anchors.join(repeated(anchors.select("key"), "key"), "key", "left_semi")
-    marks = marked.groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
-    found = source.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(_candidates(window, period), f"doc_id {kind}, pos int, h1 bigint, h2 bigint")
-    again = found.join(repeated(found.select("h1", "h2"), "h1", "h2"), ["h1", "h2"], "left_semi")
-    spans = again.groupBy("doc_id").agg(F.collect_list("pos").alias("spans"))
-    return source.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_kept(window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    base = packed_documents(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    anchors = _Anchors(window, period, cover)
+    rows = base.mapInArrow(_anchor_rows(anchors), f"doc_id {kind}, key bigint")
+    marks = rows.join(repeated(rows.select("key"), "key"), "key", "left_semi").groupBy("doc_id").agg(F.collect_list("key").alias("marks"))
+    found = base.join(marks, "doc_id", "left").mapInArrow(_window_rows(anchors), f"doc_id {kind}, h1 bigint, h2 bigint")
+    again = found.join(repeated(found.select("h1", "h2"), "h1", "h2"), ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_list("h1").alias("marks"))
+    return base.join(again, "doc_id", "left").mapInArrow(_kept(window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string")
 
 
 def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
