@@ -8,12 +8,13 @@ share a bucket.
 
 Documents of equal shingle sets are one class and are represented by their
 smallest id, so copies cost one row each and no pairs.  Within a bucket the
-candidate edges are a star: the member of smallest id is compared with the
-others, which bounds pairs by bucket rows.  Edges are confirmed on the full
-sets.  A member that fails against the centre may still belong to another
-member, so buckets that hold members of more than one component go on with
-their next member as centre, until each bucket is one component or all of its
-pairs between components were compared.  At a similarity of 0.8 the default
+candidate edges are a star: the member of smallest id is the centre and is
+compared with the others, which bounds pairs by bucket rows.  Edges are
+confirmed on the full sets.  A star alone would lose a link between members of
+which one is not linked to the centre.  So members that are not in their
+centre's component are compared, in blocks, with the whole family of the
+centre (all that were in a bucket with it); every pair that shares a bucket and
+is not yet in one component is among these.  At a similarity of 0.8 the default
 bands miss a pair with a probability below 1e-8.
 
 Defined cases: a null text, or one without words, has an empty set and is
@@ -36,6 +37,8 @@ from .graph import components
 from .shared import Scratch
 
 BANDS, ROWS = 64, 6
+#: Bytes of shingle sets in a block of queries, and in a block of the family they are compared with.
+QUERY_BLOCK, FAMILY_BLOCK = 128 << 10, 256 << 10
 
 
 class Signer:
@@ -134,6 +137,58 @@ def _confirm(percent: int):
     return run
 
 
+def _family_links(percent: int):
+    """Links of a block of queries (side true) with a block of their family, on full sets."""
+
+    def run(block: pa.Table) -> pa.Table:
+        side = block["side"].to_numpy()
+        doc, label = block["doc"].to_numpy(), block["label"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["set"]]
+        size = np.array([len(x) for x in sets])
+        query, other = np.flatnonzero(side), np.flatnonzero(~side)
+        a, b = [], []
+        if len(query) and len(other):
+            flat, code = np.unique(np.concatenate([sets[i] for i in other]), return_inverse=True)
+            begin = np.concatenate([[0], np.cumsum(size[other])])[:-1]
+            for q in query:
+                has = np.isin(flat, sets[q], assume_unique=True)
+                both = np.add.reduceat(has[code], begin, dtype=np.int64)
+                ok = (100 * both >= percent * (size[other] + size[q] - both)) & (label[other] != label[q])
+                a.append(np.full(ok.sum(), doc[q]))
+                b.append(doc[other[ok]])
+        none = doc[:0]
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return run
+
+
+def _unlinked_against_families(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links across components within the family of each centre.
+
+    A pair that shares a bucket is in the family of that bucket's centre.  If
+    its members are in different components, one of them is not in the
+    centre's: it is a query of this family.  Queries and family are dealt in
+    blocks of bounded size, each pair of blocks being one group.
+    """
+    known = labels.select(F.col("node").alias("doc"), F.col("root"))
+    family = stars.union(stars.select("centre", F.col("centre").alias("doc")).distinct())
+    family = family.join(known, "doc", "left").select("centre", "doc", F.coalesce("root", "doc").alias("label"))
+    own = known.select(F.col("doc").alias("centre"), F.col("root").alias("own"))
+    family = family.join(own, "centre", "left").withColumn("side", F.col("label") != F.coalesce("own", "centre")).drop("own")
+    sized = family.join(sets.select(F.col("doc_id").alias("doc"), F.length("set").alias("size")), "doc")
+    blocks = sized.groupBy("centre").agg(
+        F.ceil(F.sum(F.when(F.col("side"), F.col("size")).otherwise(0)) / QUERY_BLOCK).cast("int").alias("queries"),
+        F.ceil(F.sum("size") / FAMILY_BLOCK).cast("int").alias("others"),
+    )
+    dealt = family.join(blocks.where("queries > 0"), "centre")
+    spot = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = dealt.where("side").select("centre", "doc", "label", "side", spot("queries").alias("qb"), every("others").alias("fb"))
+    all_ = dealt.select("centre", "doc", "label", F.lit(False).alias("side"), spot("others").alias("fb"), every("queries").alias("qb"))
+    rows = asked.unionByName(all_).join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("centre", "qb", "fb", "doc", "label", "side", "set")
+    return rows.groupBy("centre", "qb", "fb").applyInArrow(_family_links(percent), f"a {kind}, b {kind}")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     scratch = Scratch(spark, "minhash")
@@ -149,28 +204,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
     wanted = members.select("doc").distinct()
     sets = scratch.keep(source.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), f"doc_id {kind}, set binary"), "sets")
 
-    labels, before = None, members
-    while True:
-        now = members.withColumn("label", F.col("doc")) if labels is None else members.join(labels, F.col("doc") == F.col("node"), "left").select("doc", "n", "bucket", F.coalesce("root", "doc").alias("label"))
-        centre = now.groupBy("bucket").agg(F.min(F.struct("doc", "n", "label")).alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket", F.col("c.doc").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.label").alias("centre_label"))
-        rest = scratch.keep(now.join(centre, "bucket").where("doc <> centre"), "rest")
-        size_ok = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
-        pairs = scratch.keep(rest.where((F.col("label") != F.col("centre_label")) & size_ok).select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-        scratch.drop(before)
-        if rest.isEmpty():
-            break
-        if not pairs.isEmpty():
-            left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-            full = left.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
-            edges = full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}")
-            if labels is not None:
-                edges = edges.union(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            stars = components(scratch, edges)
-            old, labels = labels, scratch.keep(stars, "labels")
-            scratch.drop(old)
-        scratch.drop(pairs)
-        before, members = rest, rest.select("doc", "n", "bucket")
-    scratch.drop(sets, pairs, rest)
+    centres = members.groupBy("bucket").agg(F.min("doc").alias("centre"))
+    stars = scratch.keep(members.join(centres, "bucket").where("doc <> centre").select("centre", "doc").distinct(), "stars")
+    labels = None
+    if not stars.isEmpty():
+        left = stars.join(sets.select(F.col("doc_id").alias("doc"), F.col("set").alias("set_b")), "doc")
+        full = left.join(sets.select(F.col("doc_id").alias("centre"), F.col("set").alias("set_a")), "centre")
+        size_ok = F.least(F.length("set_a"), F.length("set_b")) * 100 >= F.greatest(F.length("set_a"), F.length("set_b")) * percent
+        links = full.where(size_ok).select("centre", "doc", "set_a", "set_b").mapInArrow(_confirm(percent), f"a {kind}, b {kind}")
+        first = scratch.keep(components(scratch, links), "first")
+        more = _unlinked_against_families(stars, first, sets, percent, kind)
+        labels = scratch.keep(components(scratch, more.union(first.select(F.col("node").alias("a"), F.col("root").alias("b")))), "labels")
+    scratch.drop(sets, stars, members)
 
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, keys, "left")
     if labels is not None:
