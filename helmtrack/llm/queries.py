@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, pii, substring
+from . import bpe, decontaminate, minhash, pii, quality, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring": substring.substring,
         "op3_pii": pii.pii,
         "op4_near_dedup": minhash.near_dedup,
+        "op7_quality": quality.quality,
         "op9_decontaminate": decontaminate.contamination,
         "op10_bpe": bpe.bpe,
     }
