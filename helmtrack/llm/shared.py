@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,15 @@ class Scratch:
         self.made.append((kept, at))
         return kept
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files behind tables that are already written.
+
+        They go when the driver's garbage collector has found their plans gone;
+        waiting for a chance collection would keep them on disk meanwhile.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *kept: DataFrame | None) -> None:
         """Deletes kept tables that nothing reads any more."""
         for df, at in self.made:

@@ -6,12 +6,13 @@ positions i and j there is then an offset k < p with both i + k and j + k in D
 (modulo p), so that the anchors of ``window - p + 1`` words there are equal.
 Only anchors at cover positions, 5 of 21, are hashed and shuffled:
 
-1. exact copies are found by digest; a copied text of at least a window's
-   words goes as a whole, and only its first copy takes part in what follows;
-2. count every anchor key (partial sums before the shuffle) and keep repeated
+1. count every anchor key (partial sums before the shuffle) and keep repeated
    keys; a semi-join, whose large partitions Spark can split, marks anchors;
+   the marks are written, and the shuffles behind them are dropped;
+2. exact copies are found by digest; a copied text of at least a window's
+   words goes as a whole, and only its first copy takes part in what follows;
 3. a marked anchor extends to the windows that hold it; only these are hashed
-   in full (128 bits) and counted in the same way;
+   in full (96 bits) and counted in the same way;
 4. words under a window that occurs again are removed.
 
 No step emits pairs, and no step needs all rows of a key in one task.
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .packed import packed_documents, unpacked
+from .shared import Scratch
 
 WINDOW = 35
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -49,12 +51,20 @@ def window_hashes(h: np.ndarray, at: np.ndarray, length: int, lane: int = 0) ->
     return tx.ranges(h, at, at + length, lane)
 
 
-def repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """Keys that more than one row has."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+def with_repeated(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of which another row has the same keys.
+
+    The counts are partial sums.  The join is on another value than the
+    counts' grouping, so that both of its sides are exchanges of their own and
+    Spark can split the rows of a hot key.
+    """
+    other = lambda k: F.bitwise_not(F.col(k)).alias(f"not_{k}")
+    again = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*map(other, keys))
+    return rows.select("*", *map(other, keys)).join(again, [f"not_{k}" for k in keys], "left_semi").select(*rows.columns)
 
 
 def _is_first(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows that are the first of their copies."""
     return pc.fill_null(pc.equal(batch.column(0), batch.column(2)), False).to_numpy(zero_copy_only=False)
 
 
@@ -94,10 +104,10 @@ class _Anchors:
 def _anchor_rows(anchors: _Anchors):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = _is_first(batch)
-            for i, j, data, off in unpacked(batch):
-                w = tx.words(data, off, tx.SPACE)
-                at, key = anchors(w, tx.word_hashes(w), first[i:j])
+            raw, off = tx.buffers(batch.column(1))
+            for i, j in tx.chunks(off):
+                w = tx.words(raw[off[i] : off[j]], off[i : j + 1] - off[i], tx.SPACE)
+                at, key = anchors(w, tx.word_hashes(w), np.ones(j - i, bool))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(w.doc[at])), pa.array(key)], names=["doc_id", "key"])
 
     return run
@@ -121,7 +131,7 @@ def _window_rows(anchors: _Anchors):
                 start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
                 start = start[start + window <= w.first[w.doc[start] + 1]]
                 h1, h2 = window_hashes(h, start, window), window_hashes(tx.word_hashes(w, 1), start, window, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(w.doc[start])), pa.array(tx.signed(h1)), pa.array(tx.signed(h2))], names=["doc_id", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(w.doc[start])), pa.array(tx.signed(h1)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["doc_id", "h1", "h2"])
 
     return run
 
@@ -174,13 +184,17 @@ def drop_repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     """doc_id, n_words, n_removed, kept_text, kept_sha256: one row per document."""
     if not is_cover(cover, period) or window < period:
         raise ValueError("cover must hold every difference modulo period, and period be at most the window")
-    kind = docs.schema[doc_id].dataType.simpleString()
-    base = packed_documents(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "substring")
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
     anchors = _Anchors(window, period, cover)
-    rows = base.mapInArrow(_anchor_rows(anchors), f"doc_id {kind}, key bigint")
-    marks = rows.join(repeated(rows.select("key"), "key"), "key", "left_semi").groupBy("doc_id").agg(F.collect_list("key").alias("marks"))
-    found = base.join(marks, "doc_id", "left").mapInArrow(_window_rows(anchors), f"doc_id {kind}, h1 bigint, h2 bigint")
-    again = found.join(repeated(found.select("h1", "h2"), "h1", "h2"), ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_list("h1").alias("marks"))
+    rows = source.mapInArrow(_anchor_rows(anchors), f"doc_id {kind}, key bigint")
+    marks = scratch.keep(with_repeated(rows, "key").groupBy("doc_id").agg(F.collect_list("key").alias("marks")), "marks")
+    scratch.release()
+    base = packed_documents(source)
+    found = base.join(marks, "doc_id", "left").mapInArrow(_window_rows(anchors), f"doc_id {kind}, h1 bigint, h2 int")
+    again = with_repeated(found, "h1", "h2").groupBy("doc_id").agg(F.collect_list("h1").alias("marks"))
     return base.join(again, "doc_id", "left").mapInArrow(_kept(window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string")
 
 
