@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, pii, quality, substring
+from . import bpe, decontaminate, minhash, pii, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": pii.pii,
         "op4_near_dedup": minhash.near_dedup,
         "op7_quality": quality.quality,
+        "op8_toxicity": toxicity.toxicity,
         "op9_decontaminate": decontaminate.contamination,
         "op10_bpe": bpe.bpe,
     }
