@@ -63,7 +63,7 @@ def with_repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select("*", *map(other, keys)).join(again, [f"not_{k}" for k in keys], "left_semi").select(*rows.columns)
 
 
-def _is_first(batch: pa.RecordBatch) -> np.ndarray:
+def first_copies(batch: pa.RecordBatch) -> np.ndarray:
     """Rows that are the first of their copies."""
     return pc.fill_null(pc.equal(batch.column(0), batch.column(2)), False).to_numpy(zero_copy_only=False)
 
@@ -118,7 +118,7 @@ def _window_rows(anchors: _Anchors):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = _is_first(batch)
+            first = first_copies(batch)
             marks, moff = lists(batch.column(4))
             for i, j, data, off in unpacked(batch):
                 w = tx.words(data, off, tx.SPACE)
