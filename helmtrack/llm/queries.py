@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, pii, quality, substring, suffix, toxicity
+from . import bpe, decontaminate, minhash, pii, quality, substring, suffix, suffix_tree_lm, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring": substring.substring,
         "op3_pii": pii.pii,
         "op4_near_dedup": minhash.near_dedup,
+        "op5_lm": suffix_tree_lm.lm,
         "op6_suffix": suffix.suffix,
         "op7_quality": quality.quality,
         "op8_toxicity": toxicity.toxicity,
