@@ -29,6 +29,7 @@ one doc_id share the sums of their rare words.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .shared import Scratch
 
-DEPTH, P_MIN, GAIN, FREQUENT = 6, 1e-5, 12.0, 1e-6
+DEPTH, P_MIN, GAIN, FREQUENT = 6, 2e-6, 12.0, 1e-6
 END, SPACE = 0x0A, 0x20
 PIECE = 256
 FOLDS, HELD = 7, 2
@@ -279,16 +280,21 @@ def learn(scratch: Scratch, train: DataFrame, *, depth: int = DEPTH, p_min: floa
     return Tree(depth, a[0], a[1].astype(np.uint64), a[2], a[3])
 
 
+#: The automaton of the last tree that this worker scored with.
+_made: dict[str, Automaton] = {}
+
+
 def _scores(tree, keys, counts):
-    made: list[Automaton] = []
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(tree.value.automaton())
+        if name not in _made:
+            _made.clear()
+            _made[name] = tree.value.automaton()
         known, logs = keys.value, np.log10(counts.value + 1.0)
         for batch in batches:
             for i, j, w in _chunks(batch):
-                score = made[0].texts(w)
+                score = _made[name].texts(w)
                 at = _find(known, tx.signed(tx.word_hashes(w)))
                 hit = at >= 0
                 base = np.bincount(w.doc[hit], logs[at[hit]], minlength=j - i)
