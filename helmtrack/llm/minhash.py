@@ -11,10 +11,11 @@ smallest id, so copies cost one row each and no pairs.  Within a bucket the
 candidate edges are a star: the member of smallest id is the centre and is
 compared with the others, which bounds pairs by bucket rows.  Edges are
 confirmed on the full sets.  A star alone would lose a link between members of
-which one is not linked to the centre.  So members that are not in their
-centre's component are compared, in blocks, with the whole family of the
-centre (all that were in a bucket with it); every pair that shares a bucket and
-is not yet in one component is among these.  At a similarity of 0.8 the default
+which one is not linked to the centre.  So members that are not
+linked to their centre are compared, in blocks, with the whole family of the
+centre (all that were in a bucket with it): of two members that share a bucket,
+either both are linked to its centre, or one is compared with the other.  At a
+similarity of 0.8 the default
 bands miss a pair with a probability below 1e-8.
 
 Defined cases: a null text, or one without words, has an empty set and is
@@ -138,43 +139,53 @@ def _confirm(percent: int):
 
 
 def _family_links(percent: int):
-    """Links of a block of queries (side true) with a block of their family, on full sets."""
+    """Links of a block of queries (side true) with a block of their family, on full sets.
+
+    Of the links within a block, those that join two of its parts are returned.
+    """
 
     def run(block: pa.Table) -> pa.Table:
-        side = block["side"].to_numpy()
-        doc, label = block["doc"].to_numpy(), block["label"].to_numpy()
+        side, doc = block["side"].to_numpy(), block["doc"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["set"]]
         size = np.array([len(x) for x in sets])
         query, other = np.flatnonzero(side), np.flatnonzero(~side)
         a, b = [], []
+        root = {d: d for d in doc.tolist()}
+
+        def find(d: int) -> int:
+            while root[d] != d:
+                root[d] = d = root[root[d]]
+            return d
+
         if len(query) and len(other):
             flat, code = np.unique(np.concatenate([sets[i] for i in other]), return_inverse=True)
             begin = np.concatenate([[0], np.cumsum(size[other])])[:-1]
             for q in query:
                 has = np.isin(flat, sets[q], assume_unique=True)
                 both = np.add.reduceat(has[code], begin, dtype=np.int64)
-                ok = (100 * both >= percent * (size[other] + size[q] - both)) & (label[other] != label[q])
-                a.append(np.full(ok.sum(), doc[q]))
-                b.append(doc[other[ok]])
-        none = doc[:0]
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+                ok = 100 * both >= percent * (size[other] + size[q] - both)
+                for d in doc[other[ok]].tolist():
+                    x, y = find(int(doc[q])), find(d)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        a.append(int(doc[q]))
+                        b.append(d)
+        return pa.table({"a": pa.array(a, block.schema.field("doc").type), "b": pa.array(b, block.schema.field("doc").type)})
 
     return run
 
 
-def _unlinked_against_families(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Links across components within the family of each centre.
+def _unlinked_against_families(stars: DataFrame, tested: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links of the members that are not linked to a centre with all of its family.
 
     A pair that shares a bucket is in the family of that bucket's centre.  If
-    its members are in different components, one of them is not in the
-    centre's: it is a query of this family.  Queries and family are dealt in
-    blocks of bounded size, each pair of blocks being one group.
+    both are linked to the centre, they are in one component; else one of them
+    is a query of this family.  Queries and family are dealt in blocks of
+    bounded size, each pair of blocks being one group.
     """
-    known = labels.select(F.col("node").alias("doc"), F.col("root"))
-    family = stars.union(stars.select("centre", F.col("centre").alias("doc")).distinct())
-    family = family.join(known, "doc", "left").select("centre", "doc", F.coalesce("root", "doc").alias("label"))
-    own = known.select(F.col("doc").alias("centre"), F.col("root").alias("own"))
-    family = family.join(own, "centre", "left").withColumn("side", F.col("label") != F.coalesce("own", "centre")).drop("own")
+    linked = tested.select(F.col("a").alias("centre"), F.col("b").alias("doc"), F.lit(False).alias("side"))
+    members = stars.join(linked, ["centre", "doc"], "left").select("centre", "doc", F.coalesce("side", F.lit(True)).alias("side"))
+    family = members.union(stars.select("centre", F.col("centre").alias("doc"), F.lit(False)).distinct())
     sized = family.join(sets.select(F.col("doc_id").alias("doc"), F.length("set").alias("size")), "doc")
     blocks = sized.groupBy("centre").agg(
         F.ceil(F.sum(F.when(F.col("side"), F.col("size")).otherwise(0)) / QUERY_BLOCK).cast("int").alias("queries"),
@@ -183,9 +194,9 @@ def _unlinked_against_families(stars: DataFrame, labels: DataFrame, sets: DataFr
     dealt = family.join(blocks.where("queries > 0"), "centre")
     spot = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = dealt.where("side").select("centre", "doc", "label", "side", spot("queries").alias("qb"), every("others").alias("fb"))
-    all_ = dealt.select("centre", "doc", "label", F.lit(False).alias("side"), spot("others").alias("fb"), every("queries").alias("qb"))
-    rows = asked.unionByName(all_).join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("centre", "qb", "fb", "doc", "label", "side", "set")
+    asked = dealt.where("side").select("centre", "doc", "side", spot("queries").alias("qb"), every("others").alias("fb"))
+    all_ = dealt.select("centre", "doc", F.lit(False).alias("side"), spot("others").alias("fb"), every("queries").alias("qb"))
+    rows = asked.unionByName(all_).join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("centre", "qb", "fb", "doc", "side", "set")
     return rows.groupBy("centre", "qb", "fb").applyInArrow(_family_links(percent), f"a {kind}, b {kind}")
 
 
@@ -211,10 +222,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
         left = stars.join(sets.select(F.col("doc_id").alias("doc"), F.col("set").alias("set_b")), "doc")
         full = left.join(sets.select(F.col("doc_id").alias("centre"), F.col("set").alias("set_a")), "centre")
         size_ok = F.least(F.length("set_a"), F.length("set_b")) * 100 >= F.greatest(F.length("set_a"), F.length("set_b")) * percent
-        links = full.where(size_ok).select("centre", "doc", "set_a", "set_b").mapInArrow(_confirm(percent), f"a {kind}, b {kind}")
-        first = scratch.keep(components(scratch, links), "first")
-        more = _unlinked_against_families(stars, first, sets, percent, kind)
-        labels = scratch.keep(components(scratch, more.union(first.select(F.col("node").alias("a"), F.col("root").alias("b")))), "labels")
+        tested = scratch.keep(full.where(size_ok).select("centre", "doc", "set_a", "set_b").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links")
+        more = _unlinked_against_families(stars, tested, sets, percent, kind)
+        labels = scratch.keep(components(scratch, tested.union(more)), "labels")
+        scratch.drop(tested)
     scratch.drop(sets, stars, members)
 
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, keys, "left")
