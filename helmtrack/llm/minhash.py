@@ -238,3 +238,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4."""
     return near_duplicates(spark, tx.table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near copies the document of smallest id stays.
+
+    Shingles have five words here; the similarity is that of the query.  Rows
+    of a null id, and rows that repeat a kept id, stay.
+    """
+    found = near_duplicates(spark, docs, size=5)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, minhash, pii, quality, substring, suffix, suffix_tree_lm, toxicity
+from . import bpe, decontaminate, minhash, pii, quality, substring, suffix, suffix_tree_lm, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": substring.substring,
+        "op2_warc": warc.warc,
         "op3_pii": pii.pii,
         "op4_near_dedup": minhash.near_dedup,
         "op5_lm": suffix_tree_lm.lm,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": warc.WARC_SQL}
