@@ -38,7 +38,7 @@ def subtitle_clock(sec: Column) -> Column:
 
 def coordinates(x: Column) -> Column:
     """struct(lat, lon) of two numbers parted by comma, semicolon, slash or blanks; null otherwise."""
-    comma = F.filter(F.transform(F.split(F.trim(x), "[,;/]"), F.trim), lambda p: p != "")
+    comma = F.filter(F.transform(F.split(F.trim(x), "[,;/]"), lambda p: F.trim(p)), lambda p: p != "")
     blank = F.filter(F.split(F.trim(F.regexp_replace(x, "[,;/]", " ")), r"\s+"), lambda p: p != "")
     part = F.when(F.size(comma) >= 2, comma).otherwise(blank)
     lat, lon = (number(F.get(part, F.lit(i))) for i in (0, 1))
@@ -69,7 +69,7 @@ def checkpoint(line: Column) -> Column:
     none = F.lit(None).cast("double")
     point = lambda lat, lon, t, e: F.struct(lat.alias("lat"), lon.alias("lon"), t.alias("time"), e.alias("ele"))
     url = point(F.coalesce(pin(1), view(1)), F.when(pin(1).isNotNull(), pin(2)).otherwise(view(2)), when, view(3))
-    part = F.filter(F.transform(F.split(s, ","), F.trim), lambda p: p != "")
+    part = F.filter(F.transform(F.split(s, ","), lambda p: F.trim(p)), lambda p: p != "")
     at = lambda i: F.get(part, F.lit(i))
     timed = F.filter(part, lambda p: p.contains(":"))
     plain = F.filter(F.transform(part, lambda p, i: F.when((p.contains(":")) & (i == F.array_position(part, F.get(timed, F.lit(0))) - 1), F.lit(None)).otherwise(p)), lambda p: p.isNotNull())
@@ -155,7 +155,7 @@ def natural_key(x: Column, width: int = 20) -> Column:
 
 def listed(x: Column) -> Column:
     """A JSON list of texts, or texts parted by commas."""
-    parts = F.filter(F.transform(F.split(x, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.coalesce(F.from_json(x, "array<string>"), parts)
 
 
