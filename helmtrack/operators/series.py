@@ -64,8 +64,8 @@ def plain_rate(x: Column, fps: float) -> Column:
 
 def integral(rate: Column, t: Column, least: float = 1e-4) -> Column:
     """Running sum of rate times elapsed time, each step of at least ``least`` seconds; the first row is 0."""
-    dt = F.greatest(difference(t), F.lit(least))
-    return F.sum(F.coalesce(rate * dt, F.lit(0.0))).over(so_far())
+    step = difference(t)
+    return F.sum(F.when(step.isNull(), 0.0).otherwise(rate * F.greatest(step, F.lit(least)))).over(so_far())
 
 
 def running_sum(x: Column) -> Column:

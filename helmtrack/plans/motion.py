@@ -51,7 +51,7 @@ def unwrapped_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("gyro_integral", f"""
-WITH {SERIES}, d AS (SELECT series_id, frame, roll * 1e-4 * greatest(sec - lag(sec) OVER w, 1e-4) AS step FROM s {W})
+WITH {SERIES}, d AS (SELECT series_id, frame, CASE WHEN lag(sec) OVER w IS NULL THEN 0 ELSE roll * 1e-4 * greatest(sec - lag(sec) OVER w, 1e-4) END AS step FROM s {W})
 SELECT series_id, frame, {r6_sql('sum(coalesce(step, 0)) OVER (PARTITION BY series_id ORDER BY frame)', 'angle')} FROM d""")
 def gyro_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).select("series_id", "frame", r6(op.integral(F.col("roll") * 1e-4, F.col("sec")), "angle"))

@@ -29,9 +29,10 @@ def imu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).select("series_id", "frame", *rates, ax.alias("ax"), ay.alias("ay"), az.alias("az"))
 
 
-@query("despike_sandwich", _walk("n.roll AS v", "CASE WHEN n.nx IS NOT NULL AND abs(n.roll - p.v) > 2.5::DOUBLE AND abs(n.roll - n.nx) > 2.5::DOUBLE THEN (p.v + n.nx) / 2 ELSE n.roll END", f"SELECT series_id, frame, {r6_sql('v', 'roll')} FROM walk", "d", f"{SERIES}, d AS (SELECT series_id, frame, roll, lead(roll) OVER (PARTITION BY series_id ORDER BY frame) AS nx FROM s)"))
+@query("despike_sandwich", _walk("n.roll AS v", "CASE WHEN n.nx IS NOT NULL AND abs(n.roll - p.v) > 2.5::DOUBLE AND abs(n.roll - n.nx) > 2.5::DOUBLE THEN (p.v + n.nx) / 2 ELSE n.roll END", f"SELECT series_id, frame, {r6_sql('v', 'roll')} FROM walk", "d", f"{SERIES}, d0 AS (SELECT series_id, frame, roll + sin(value) AS roll FROM s), d AS (SELECT series_id, frame, roll, lead(roll) OVER (PARTITION BY series_id ORDER BY frame) AS nx FROM d0)"))
 def despike_sandwich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rec.scan(series(spark, sf_dir), ("roll",), ("roll",), lambda x: (rec.despiked(x),))
+    rows = series(spark, sf_dir).withColumn("roll", F.col("roll") + F.sin("value"))
+    out = rec.scan(rows, ("roll",), ("roll",), lambda x: (rec.despiked(x),))
     return out.select("series_id", "frame", r6(F.col("roll"), "roll"))
 
 

@@ -122,10 +122,12 @@ def kabsch_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("f", *[r6(F.col(c.replace("h", "r")), c.replace("h", "r")) for c in robust.CELLS])
 
 
-@query("kabsch_ransac", f"SELECT DISTINCT vec_id // 40 AS f, {_TURN[0]:.17g}::DOUBLE AS c, {_TURN[1]:.17g}::DOUBLE AS s FROM embeddings".replace(f"{_TURN[0]:.17g}::DOUBLE AS c, {_TURN[1]:.17g}::DOUBLE AS s", f"round({_TURN[0]:.17g}::DOUBLE, 6) AS c, round({_TURN[1]:.17g}::DOUBLE, 6) AS s"))
+@query("kabsch_ransac", f"SELECT vec_id // 40 AS f, round({_TURN[0]:.17g}::DOUBLE, 6) AS c, round({_TURN[1]:.17g}::DOUBLE, 6) AS s FROM embeddings GROUP BY 1 HAVING count(*) >= 20")
 def kabsch_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The planted rotation in spite of wrong pairs."""
-    out = robust.frame_rotations(_turned(spark, sf_dir), "f", ("ax", "ay", "az"), ("x", "y", "z"), "vec_id")
+    """The planted rotation in spite of wrong pairs, for frames with enough of them."""
+    rows = _turned(spark, sf_dir)
+    enough = rows.groupBy("f").count().where("count >= 20").select("f")
+    out = robust.frame_rotations(rows.join(enough, "f", "left_semi"), "f", ("ax", "ay", "az"), ("x", "y", "z"), "vec_id", degrees=0.01)
     return out.select("f", F.round("r00", 6).alias("c"), F.round("r10", 6).alias("s"))
 
 

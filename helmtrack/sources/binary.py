@@ -103,7 +103,7 @@ def _decoded(found: DataFrame, decode: Callable[[bytes], np.ndarray], names: tup
         for batch in batches:
             for series_id, content in zip(batch[ID], batch["content"], strict=True):
                 rows = decode(bytes(content))
-                yield pd.DataFrame({ID: [series_id] * len(rows), FRAME: np.arange(len(rows)), **{c: rows[:, i] for i, c in enumerate(names)}})
+                yield pd.DataFrame({ID: pd.Series([series_id] * len(rows), dtype=object), FRAME: np.arange(len(rows)), **{c: rows[:, i] for i, c in enumerate(names)}})
 
     return found.mapInPandas(run, f"{ID} string, {FRAME} bigint, " + ", ".join(f"{c} double" for c in names))
 

@@ -15,7 +15,7 @@ from ..operators.series import FRAME, ID
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """series_id (the file's path), n (line from 0), line."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias(ID), F.split("value", r"\r?\n").alias("all"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias(ID), F.split("value", r"\r?\n").alias("all"))
     return files.select(ID, F.posexplode("all").alias("n", "line")).where(F.trim("line") != "")
 
 

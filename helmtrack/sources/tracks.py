@@ -33,7 +33,7 @@ def levelling(spark: SparkSession, path: str, fps: float = 29.97) -> DataFrame:
     A checkpoint without a frame has one by its time; one with neither is skipped.
     """
     point = "array<struct<frame:double,time:double,pitch:double,roll:double,yaw:double>>"
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias(ID), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias(ID), "value")
     doc = text.withColumns({"a": F.from_json("value", f"struct<fps:double,ignoreYaw:boolean,checkpoints:{point}>"), "b": F.from_json("value", point)})
     rows = doc.select(ID, F.coalesce("a.fps", F.lit(fps)).alias("fps"), F.coalesce("a.ignoreYaw", F.lit(True)).alias("still"), F.inline(F.coalesce("a.checkpoints", "b")))
     frame = F.rint(F.coalesce("frame", F.col("time") * F.col("fps"))).cast("bigint")
@@ -43,7 +43,7 @@ def levelling(spark: SparkSession, path: str, fps: float = 29.97) -> DataFrame:
 
 def presets(spark: SparkSession, path: str) -> DataFrame:
     """name, kind, saved_at, body of preset documents; the kind is sniffed where it isn't stated."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     name = F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1)
     body = F.col("value")
     kind = F.coalesce(F.get_json_object(body, "$.type"), F.when(F.get_json_object(body, "$.checkpoints").isNotNull(), "horizon").otherwise("pipeline"))
