@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +38,14 @@ class Scratch:
         """Lets Spark delete the shuffle files behind tables that are already written.
 
         They go when the driver's garbage collector has found their plans gone;
-        waiting for a chance collection would keep them on disk meanwhile.
+        waiting for a chance collection would keep them on disk meanwhile.  What
+        Python lets go of reaches the JVM a moment later, so that a single
+        collection finds nothing.
         """
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(3):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, *kept: DataFrame | None) -> None:
         """Deletes kept tables that nothing reads any more."""

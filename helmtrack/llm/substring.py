@@ -56,11 +56,14 @@ def with_repeated(rows: DataFrame, *keys: str) -> DataFrame:
 
     The counts are partial sums.  The join is on another value than the
     counts' grouping, so that both of its sides are exchanges of their own and
-    Spark can split the rows of a hot key.
+    Spark can split the rows of a hot key.  That value is all that is shuffled;
+    the keys are made from it again.
     """
-    other = lambda k: F.bitwise_not(F.col(k)).alias(f"not_{k}")
-    again = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*map(other, keys))
-    return rows.select("*", *map(other, keys)).join(again, [f"not_{k}" for k in keys], "left_semi").select(*rows.columns)
+    other = [F.bitwise_not(F.col(k)).alias(f"not_{k}") for k in keys]
+    again = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*other)
+    rest = [c for c in rows.columns if c not in keys]
+    found = rows.select(*rest, *other).join(again, [f"not_{k}" for k in keys], "left_semi")
+    return found.select(*[F.bitwise_not(F.col(f"not_{c}")).alias(c) if c in keys else F.col(c) for c in rows.columns])
 
 
 def first_copies(batch: pa.RecordBatch) -> np.ndarray:
