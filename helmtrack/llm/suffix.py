@@ -59,37 +59,51 @@ class Segments:
     text: np.ndarray | None
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes from every place, made of its eight-byte words."""
+    n = len(data) - 7
+    words = np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        words[k::8] = np.frombuffer(data, "<u8", (n - k + 7) // 8, k)
+    out = words[: len(data) - gram + 1] * np.uint64(0x9E3779B97F4A7C15)
+    for k in (*range(8, gram - 8, 8), gram - 8):
+        out ^= out >> np.uint64(32)
+        out += words[k : k + len(out)]
+        out *= np.uint64(0xC2B2AE3D27D4EB4F)
+    out ^= out >> np.uint64(29)
+    return out
+
+
 def segments(data: np.ndarray, off: np.ndarray, length: int, gram: int, use: np.ndarray | None = None) -> Segments:
     n, rows = len(data), np.diff(off)
     none = np.zeros(0, np.int64)
-    if n < length:
+    ok = rows >= length if use is None else (rows >= length) & use
+    if n < length or not ok.any():
         return Segments(none, none, none, none, none)
-    at = np.arange(n - gram + 1)
-    low = tx.ranges(tx.byte_values(data), at, at + gram)
+    low = gram_hashes(np.ascontiguousarray(data), gram)
     width, size = length - gram + 1, 1
     while size * 2 <= width:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if size < width:
         low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
-    ok = rows >= length if use is None else (rows >= length) & use
-    valid = np.zeros(n + 1, np.int64)
-    np.add.at(valid, off[:-1][ok], 1)
-    np.add.at(valid, off[1:][ok] - length + 1, -1)
-    starts = np.flatnonzero(np.cumsum(valid[: n - length + 1]) > 0)
-    if not len(starts):
-        return Segments(none, none, none, none, none)
-    value = low[starts]
-    new = np.ones(len(starts), bool)
-    new[1:] = (value[1:] != value[:-1]) | (starts[1:] != starts[:-1] + 1)
-    begin = np.zeros(n + 1, bool)
-    begin[off] = True
-    new |= begin[starts]
-    head = np.flatnonzero(new)
-    place = np.arange(len(starts)) - np.repeat(head, np.diff(np.append(head, len(starts))))
-    head = np.flatnonzero(place % MOST == 0)
-    first = starts[head]
-    return Segments(first, np.diff(np.append(head, len(starts))), np.searchsorted(off, first, side="right") - 1, (value[head] >> np.uint64(16)).astype(np.int64), None)
+    m = len(low)  # a string starts at each place, but for the last ones of a row
+    new = np.ones(m, bool)
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    step = np.zeros(m + 1, np.int8)
+    new[off[:-1][ok]] = True
+    step[off[:-1][ok]] = 1
+    step[off[1:][ok] - length + 1] = -1
+    new &= np.cumsum(step[:m], dtype=np.int8).view(bool)
+    first = np.flatnonzero(new)
+    doc = np.searchsorted(off, first, side="right") - 1
+    count = np.minimum(np.append(first[1:], m), off[doc + 1] - length + 1) - first
+    if count.max() > MOST:
+        parts = -(-count // MOST)
+        place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, doc, count = np.repeat(first, parts) + MOST * place, np.repeat(doc, parts), np.repeat(count, parts) - MOST * place
+        count = np.minimum(count, MOST)
+    return Segments(first, count, doc, (low[first] >> np.uint64(16)).astype(np.int64), None)
 
 
 def _hashed(s: Segments, data: np.ndarray, length: int, pick: np.ndarray) -> Segments:
