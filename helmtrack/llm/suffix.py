@@ -249,6 +249,7 @@ def equal_strings(texts: list[bytes], length: int, shallow: int = SHALLOW) -> tu
     Returns the text and the start of each suffix, and the groups of suffixes
     that agree to ``length`` bytes.
     """
+    shallow = min(shallow, length // 8)
     count = np.array([len(t) - length + 1 for t in texts])
     of = np.repeat(np.arange(len(texts)), count)
     inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
@@ -257,7 +258,7 @@ def equal_strings(texts: list[bytes], length: int, shallow: int = SHALLOW) -> tu
     data = np.frombuffer(raw + b"\0" * 8, np.uint8)
     place = base[of] + inside
     eights = np.lib.stride_tricks.sliding_window_view(data, 8)
-    words = np.stack([np.ascontiguousarray(eights[place + 8 * k]).view(">u8").ravel().astype(np.uint64) for k in range(shallow)], axis=1)
+    words = np.stack([np.ascontiguousarray(eights[place + 8 * k]).view(">u8").ravel().astype(np.uint64) for k in range(shallow)], axis=1) if shallow else np.empty((len(place), 0), np.uint64)
     order, cuts = multikey(words, shallow)
     groups: list[list[int]] = []
     size = np.diff(cuts)
