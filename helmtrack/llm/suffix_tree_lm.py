@@ -297,7 +297,7 @@ def _scores(tree, keys, counts):
                 score = _made[name].texts(w)
                 at = _find(known, tx.signed(tx.word_hashes(w)))
                 hit = at >= 0
-                base = np.bincount(w.doc[hit], logs[at[hit]], minlength=j - i)
+                base = np.bincount(w.doc[hit], logs[at[hit]], minlength=j - i).astype(np.float64)  # without words it counts in integers
                 seen = np.bincount(w.doc[hit], minlength=j - i).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(w.count + 1), pa.array(seen), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "seen", "base", "score"])
 
