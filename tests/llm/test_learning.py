@@ -126,7 +126,7 @@ def test_base_scores(docs, odd):
 
 
 def test_model_beats_the_base_and_sums_to_one(docs, spark):
-    prose = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prose = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = suffix_tree_lm.lm_scores(prose).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
     train = docs.select("doc_id", "text")
