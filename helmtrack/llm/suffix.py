@@ -45,7 +45,8 @@ from .substring import first_copies, lists, with_repeated
 LENGTH, GRAM = 50, 16
 #: A run of strings with one minimizer is cut after so many, as in long runs of one character.
 MOST = 64
-SHALLOW = 3
+#: Words of eight bytes that are sorted on before the tries.
+SHALLOW = 6
 
 
 @dataclass
@@ -243,11 +244,13 @@ def multikey(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def equal_strings(texts: list[bytes], length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+def equal_strings(texts: list[bytes], length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Suffix-sorts the strings of ``length`` bytes at all starts of the texts.
 
-    Returns the text and the start of each suffix, and the groups of suffixes
-    that agree to ``length`` bytes.
+    Returns the text and the start of each suffix, the suffixes that agree to
+    ``length`` bytes group after group, and where each group begins.  A group
+    whose strings are all equal to its end is a trie of one leaf and is not
+    built.
     """
     shallow = min(shallow, length // 8)
     count = np.array([len(t) - length + 1 for t in texts])
@@ -258,39 +261,45 @@ def equal_strings(texts: list[bytes], length: int, shallow: int = SHALLOW) -> tu
     data = np.frombuffer(raw + b"\0" * 8, np.uint8)
     place = base[of] + inside
     eights = np.lib.stride_tricks.sliding_window_view(data, 8)
-    words = np.stack([np.ascontiguousarray(eights[place + 8 * k]).view(">u8").ravel().astype(np.uint64) for k in range(shallow)], axis=1) if shallow else np.empty((len(place), 0), np.uint64)
+    word = lambda at: np.ascontiguousarray(eights[at]).view(">u8").ravel().astype(np.uint64)
+    words = np.stack([word(place + 8 * k) for k in range(shallow)], axis=1) if shallow else np.empty((len(place), 0), np.uint64)
     order, cuts = multikey(words, shallow)
-    groups: list[list[int]] = []
     size = np.diff(cuts)
-    for a, n in zip(cuts[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
+    order, size = order[np.repeat(size > 1, size)], size[size > 1]
+    begin = np.cumsum(size) - size
+    same = np.ones(len(order), bool)
+    for k in (*range(8 * shallow, length - 7, 8), *([length - 8] if length >= 8 else range(length))):
+        deep = word(place[order] + k) if length >= 8 else data[place[order] + k]
+        same[1:] &= deep[1:] == deep[:-1]
+    same[begin] = True
+    whole = np.logical_and.reduceat(same, begin) if len(begin) else np.zeros(0, bool)
+    members, sizes = [order[np.repeat(whole, size)]], [size[whole]]
+    for i, n in zip(begin[~whole].tolist(), size[~whole].tolist(), strict=True):
         trie = BlindTrie(8 * shallow)
-        for s in order[a : a + n].tolist():
-            p = place[s]
-            trie.insert(raw[p : p + length], s)
-        groups.extend(leaf for leaf in trie.leaves() if len(leaf) > 1)
-    return of, inside, groups
+        for s in order[i : i + n].tolist():
+            trie.insert(raw[place[s] : place[s] + length], s)
+        found = [leaf for leaf in trie.leaves() if len(leaf) > 1]
+        members.extend(np.array(leaf) for leaf in found)
+        sizes.append(np.array(list(map(len, found)), np.int64))
+    every = np.concatenate(sizes)
+    return of, inside, np.concatenate(members), np.cumsum(every) - every
 
 
-def _sorted_rows(length: int, most_bytes: int = 8 << 20):
+def _sorted_rows(length: int, most_bytes: int = 1 << 20):
     """Strings of a segment's document that also start in a smaller document, as ranges of starts."""
 
     def settle(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        out: list[list[int]] = [[], [], [], []]
-        of, inside, groups = equal_strings([r[3] for r in rows], length)
-        doc = np.array([r[0] for r in rows])
-        hit: dict[int, list[int]] = {}
-        for g in groups:
-            docs = doc[of[g]]
-            least = docs.min()
-            for s, d in zip(g, docs.tolist(), strict=True):
-                if d > least:
-                    hit.setdefault(int(of[s]), []).append(int(inside[s]))
-        for r, starts in hit.items():
-            starts = np.unique(starts)
-            cut = np.flatnonzero(np.diff(starts) > 1) + 1
-            for run in np.split(starts, cut):
-                for x, v in zip(out, (rows[r][0], rows[r][2], int(run[0]), int(run[-1]) + 1), strict=True):
-                    x.append(v)
+        of, inside, members, heads = equal_strings([r[3] for r in rows], length)
+        doc, segment = (np.array([r[i] for r in rows], np.int64) for i in (0, 2))
+        docs = doc[of[members]]
+        least = np.repeat(np.minimum.reduceat(docs, heads), np.diff(np.append(heads, len(docs)))) if len(heads) else docs
+        hit = np.unique(members[docs > least])  # suffixes are numbered by text and start
+        row, start = of[hit], inside[hit]
+        new = np.ones(len(hit), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(hit)) - 1 if len(head) else head
+        out = (doc[row[head]], segment[row[head]], start[head], start[last] + 1)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "segment", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +307,7 @@ def _sorted_rows(length: int, most_bytes: int = 8 << 20):
         size, last = 0, None
         for batch in batches:  # sorted by minimizer: a block ends where the minimizer changes
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > most_bytes // 8 and row[1] != last:
+                if size > most_bytes and row[1] != last:
                     yield settle(held)
                     held, size = [], 0
                 held.append(row)

@@ -71,8 +71,8 @@ def test_suffix_sort_groups_equal_strings():
     rng = np.random.default_rng(4)
     texts = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(30, 90, 40)]
     texts += [b"a" * 100, texts[0] + texts[1]]
-    of, inside, groups = suffix.equal_strings(texts, 30)
-    found = {tuple(sorted(g)) for g in groups}
+    of, inside, members, heads = suffix.equal_strings(texts, 30)
+    found = {tuple(sorted(g.tolist())) for g in np.split(members, heads[1:])}
     by = defaultdict(list)
     for k, (t, i) in enumerate(zip(of, inside, strict=True)):
         by[texts[t][i : i + 30]].append(k)
