@@ -195,45 +195,58 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int)
 
 
 
+class Scanner:
+    """Applies all blocks of items to batches of texts; a worker keeps the matchers of a few blocks."""
+
+    def __init__(self, spark: SparkSession, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
+        self.window = window
+        self.blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item_id, item_text, block_bytes)]
+        self.cache: dict[int, Matcher] = {}
+
+    def matcher(self, k: int) -> Matcher:
+        if k not in self.cache:
+            if len(self.cache) > 3:
+                self.cache.clear()
+            self.cache[k] = Matcher(self.blocks[k].value, self.window)
+        return self.cache[k]
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        """Row range, and clean text, n_words, n_hit and items of its rows."""
+        raw, off = tx.buffers(texts)
+        for i, j in tx.chunks(off):
+            local = off[i : j + 1] - off[i]
+            data = raw[off[i] : off[j]]
+            w = tx.words(data, local, tx.NOT_ALNUM, lower=True)
+            hit = np.zeros(len(w.start), bool)
+            items: list[set[str]] = [set() for _ in range(j - i)]
+            for k in range(len(self.blocks)):
+                h, names = self.matcher(k).chunk(w)
+                hit |= h
+                for r, found in enumerate(names):
+                    items[r] |= found
+            n_hit = np.bincount(w.doc, hit, minlength=j - i).astype(np.int64)
+            clean = texts.slice(i, j - i)
+            if hit.any():
+                kept = clean.to_pylist()
+                for r in np.flatnonzero(n_hit):
+                    kept[r] = _without(data[local[r] : local[r + 1]], w, int(r), hit, int(local[r]))
+                clean = pa.array(kept, clean.type)
+            yield i, j, [clean, pa.array(w.count), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, text, n_words, n_hit, clean_text, items.
+    """One row per document: doc_id, clean_text, n_words, n_hit, items.
 
     ``clean_text`` is the text without its hit words (from the first byte of a
     hit run to the last; nothing else changes).  All blocks are applied within
     one pass over the documents.
     """
-    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item_id, item_text, block_bytes)]
-    cache: dict[int, Matcher] = {}
+    scan = Scanner(spark, benchmark, item_id, item_text, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = tx.buffers(batch.column(1))
-            for i, j in tx.chunks(off):
-                local = off[i : j + 1] - off[i]
-                data = raw[off[i] : off[j]]
-                w = tx.words(data, local, tx.NOT_ALNUM, lower=True)
-                hit = np.zeros(len(w.start), bool)
-                items: list[set[str]] = [set() for _ in range(j - i)]
-                for k, b in enumerate(blocks):
-                    if k not in cache:
-                        if len(cache) > 3:
-                            cache.clear()
-                        cache[k] = Matcher(b.value, window)
-                    h, names = cache[k].chunk(w)
-                    hit |= h
-                    for r, found in enumerate(names):
-                        items[r] |= found
-                n_hit = np.bincount(w.doc, hit, minlength=j - i).astype(np.int64)
-                clean = batch.column(1).slice(i, j - i)
-                if hit.any():
-                    kept = clean.to_pylist()
-                    for r in np.flatnonzero(n_hit):
-                        kept[r] = _without(data[local[r] : local[r + 1]], w, int(r), hit, int(local[r]))
-                    clean = pa.array(kept, clean.type)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), clean, pa.array(w.count), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=["doc_id", "clean_text", "n_words", "n_hit", "items"],
-                )
+            for i, j, found in scan(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *found], names=["doc_id", "clean_text", "n_words", "n_hit", "items"])
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -263,14 +276,22 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, max_hit: int = 30, max_share: float = 0.5) -> DataFrame:
-    """Pipeline stage: hit spans leave the text; documents over either limit of hit words leave the corpus.
+    """Pipeline stage: hit spans leave the text; documents over the limits of hit words leave the corpus.
 
     ``max_hit`` words alone never reject a document of which less than
     ``max_share`` is hit: a long document only loses its spans.
     """
-    found = decontaminate(spark, docs.select(F.struct(*docs.columns).alias("row"), "text"), tx.table(spark, sf_dir, "benchmark"), doc_id="row")
-    gone = (F.col("n_hit") >= max_hit) & (F.col("n_hit") > max_share * F.col("n_words")) | (F.col("n_hit") > 0) & (F.col("n_hit") == F.col("n_words"))
-    out = found.where(~gone).select("doc_id.*", "clean_text")
-    return out.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
-
+    scan = Scanner(spark, tx.table(spark, sf_dir, "benchmark"))
+    schema, (words, hits) = tx.with_columns(docs, n_words="bigint", n_hit="bigint")
+    place = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, (clean, n_words, n_hit, _) in scan(batch.column(place)):
+                columns = batch.slice(i, j - i).columns
+                columns[place] = clean
+                yield pa.RecordBatch.from_arrays([*columns, n_words, n_hit], names=schema.names)
+
+    n, all_ = F.col(hits), F.col(words)
+    gone = (n >= max_hit) & (n > max_share * all_) | (n > 0) & (n == all_)
+    return docs.mapInArrow(run, schema).where(~gone).select(*docs.columns)

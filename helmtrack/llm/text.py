@@ -19,8 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
 
@@ -35,6 +36,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def with_columns(docs: DataFrame, **kinds: str) -> tuple[StructType, list[str]]:
+    """The schema of ``docs`` with more columns, and names for these that clash with none."""
+    names = []
+    fields = list(docs.schema.fields)
+    for name, kind in kinds.items():
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+        fields.append(StructField(name, DataType.fromDDL(kind)))
+    return StructType(fields), names
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -253,16 +253,21 @@ def fit_rows(rows: pd.DataFrame) -> Model:
     return _calibrate(model, [t for t, b in zip(tokens, back, strict=True) if b], y[back], [x for x, b in zip(rows["lang"], back, strict=True) if b])
 
 
+def _scores_of(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, pa.Array]]:
+    raw, off = tx.buffers(texts)
+    for i, j in tx.chunks(off):
+        t, first = word_buckets(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+        yield i, j, pa.array(model.score(t, first).astype(np.float64))
+
+
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = tx.buffers(batch.column(1))
-            for i, j in tx.chunks(off):
-                t, first = word_buckets(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(shared.value.score(t, first).astype(np.float64))], names=["doc_id", "score"])
+            for i, j, found in _scores_of(batch.column(1), shared.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), found], names=["doc_id", "score"])
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -285,7 +290,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents over their language's threshold leave."""
     labels = tx.table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
     model = fit(spark, docs, labels)
+    shared = spark.sparkContext.broadcast(model)
+    schema, (name,) = tx.with_columns(docs, score="double")
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, found in _scores_of(batch.column(place), shared.value):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, found], names=schema.names)
+
     levels = F.create_map(*[x for k, v in model.thresholds.items() for x in (F.lit(k), F.lit(v))]) if model.thresholds else None
-    level = F.coalesce(F.try_element_at(levels, F.coalesce("row.lang", F.lit(""))), F.lit(0.5)) if levels is not None and "lang" in docs.columns else F.lit(0.5)
-    out = score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, doc_id="row")
-    return out.withColumnRenamed("doc_id", "row").where(F.col("score") < level).select("row.*")
+    level = F.coalesce(F.try_element_at(levels, F.coalesce("lang", F.lit(""))), F.lit(0.5)) if levels is not None and "lang" in docs.columns else F.lit(0.5)
+    return docs.mapInArrow(run, schema).where(F.col(name) < level).select(*docs.columns)
