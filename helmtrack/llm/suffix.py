@@ -367,6 +367,7 @@ def drop_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     base = packed_documents(source).join(marks, "doc_id", "left")
     found = base.mapInArrow(_segment_rows(length, gram), "doc_id bigint, key bigint, segment bigint")
     classes = scratch.keep(found.groupBy("key", "segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "classes")
+    scratch.release()
     names = {k: F.bitwise_not(F.col(k)).alias(f"not_{k}") for k in ("key", "segment")}
     earlier = classes.where("least < most").select("least", *names.values())
     whole = found.select("doc_id", "segment", *names.values()).join(earlier, ["not_key", "not_segment"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("segment").alias("whole"))
