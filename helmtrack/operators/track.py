@@ -56,8 +56,8 @@ def route(points: DataFrame, lengths: DataFrame, *, key: str = ID) -> DataFrame:
     return out.select(key, "sec", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.round("ele", 3).alias("ele"))
 
 
-def times_by_distance(length: Column) -> Column:
-    """Times by the share of the way over the ground."""
+def times_by_distance(length: Column) -> tuple[Column, Column]:
+    """The way over the ground from the row before, to be kept as ``step``, and times by the share of all steps."""
     w = ordered()
     step = F.coalesce(haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")), F.lit(0.0))
     way, total = F.sum("step").over(so_far()), F.sum("step").over(whole())

@@ -64,7 +64,7 @@ def track_sync_untimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.synchronised(fixes, windows)
 
 
-_ROUTE = f"""c AS (SELECT series_id, frame, lat, lon, CASE WHEN frame % 3 = 0 THEN ele END AS ele FROM s WHERE frame < 12),
+_ROUTE = f"""c AS (SELECT series_id, frame, lat, lon, CASE WHEN frame % 3 = 0 THEN ele END AS ele FROM s),
 d AS (SELECT *, coalesce(sqrt(pow(lat - lag(lat) OVER w, 2) + pow(lon - lag(lon) OVER w, 2)), 0) AS step, coalesce(last_value(ele IGNORE NULLS) OVER w, 315) AS e FROM c {W}),
 t AS (SELECT series_id, frame, lat, lon, e AS ele, sum(step) OVER (PARTITION BY series_id ORDER BY frame) / sum(step) OVER (PARTITION BY series_id) * 90 AS t FROM d),
 g AS (SELECT series_id, n::INT AS sec, n::DOUBLE AS t FROM (SELECT DISTINCT series_id FROM t), (SELECT unnest(range(91)) AS n)),
@@ -75,7 +75,7 @@ h AS (SELECT *, CASE WHEN t1 - t0 > 0 THEN (t - t0) / (t1 - t0) ELSE 0 END AS q
 
 @query("route_interp_by_distance", f"WITH {SERIES}, {_ROUTE} SELECT series_id, sec, {', '.join(f'round(CASE WHEN t0 IS NULL THEN {c}1 WHEN t1 IS NULL THEN {c}0 ELSE {c}0 + q * ({c}1 - {c}0) END, 8) AS {c}' for c in ('lat', 'lon'))}, round(CASE WHEN t0 IS NULL THEN ele1 WHEN t1 IS NULL THEN ele0 ELSE ele0 + q * (ele1 - ele0) END, 3) AS ele FROM h")
 def route_interp_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = series(spark, sf_dir).where("frame < 12").select("series_id", "frame", "lat", "lon", F.when(F.col("frame") % 3 == 0, F.col("ele")).alias("ele"), F.lit(None).cast("double").alias("time"))
+    points = series(spark, sf_dir).select("series_id", "frame", "lat", "lon", F.when(F.col("frame") % 3 == 0, F.col("ele")).alias("ele"), F.lit(None).cast("double").alias("time"))
     lengths = points.select("series_id").distinct().withColumn("length", F.lit(90.0))
     return track.route(points, lengths)
 
@@ -128,15 +128,18 @@ def resample_fixed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("checkpoint_cosine_ease", f"""
-WITH {SERIES}, c AS (SELECT series_id, frame::DOUBLE AS t, pitch, roll FROM s WHERE frame % 7 = 3 AND frame < 40),
-g AS (SELECT series_id, n AS frame, n::DOUBLE AS t FROM (SELECT DISTINCT series_id FROM c), (SELECT unnest(range(45)) AS n)),
+WITH {SERIES}, c AS (SELECT series_id, frame * 3e0 + 4 AS t, pitch, roll FROM s),
+g AS (SELECT series_id, n AS frame, n::DOUBLE AS t FROM (SELECT series_id, unnest(range(3 * max(frame) + 10)) AS n FROM s GROUP BY series_id)),
 b AS (SELECT g.*, c.t AS t0, c.pitch AS p0, c.roll AS q0 FROM g ASOF LEFT JOIN c ON g.series_id = c.series_id AND g.t >= c.t),
 f AS (SELECT b.*, c.t AS t1, c.pitch AS p1, c.roll AS q1 FROM b ASOF LEFT JOIN c ON b.series_id = c.series_id AND b.t <= c.t),
 h AS (SELECT *, 0.5e0 * (1 - cos(CASE WHEN t1 - t0 > 0 THEN (t - t0) / (t1 - t0) ELSE 0 END * pi())) AS e FROM f)
 SELECT series_id, frame, {r6_sql('CASE WHEN t0 IS NULL THEN p1 WHEN t1 IS NULL THEN p0 ELSE p0 + e * (p1 - p0) END', 'pitch')}, {r6_sql('CASE WHEN t0 IS NULL THEN q1 WHEN t1 IS NULL THEN q0 ELSE q0 + e * (q1 - q0) END', 'roll')} FROM h""")
 def checkpoint_cosine_ease(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = series(spark, sf_dir).where("frame % 7 = 3 and frame < 40").select("series_id", F.col("frame").cast("double").alias("t"), "pitch", "roll")
-    grid = points.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(44).cast("bigint"))).alias("frame")).withColumn("t", F.col("frame").cast("double"))
+    """Checkpoints three frames apart, from the fourth frame on."""
+    rows = series(spark, sf_dir)
+    points = rows.select("series_id", (F.col("frame") * 3.0 + 4.0).alias("t"), "pitch", "roll")
+    last = rows.groupBy("series_id").agg((3 * F.max("frame") + 9).alias("last"))
+    grid = last.select("series_id", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("frame")).withColumn("t", F.col("frame").cast("double"))
     return joins.eased(points, grid, "series_id", "t", ("pitch", "roll")).select("series_id", "frame", r6(F.col("pitch"), "pitch"), r6(F.col("roll"), "roll"))
 
 
@@ -171,10 +174,10 @@ def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("track_spans_keyframes", f"""
-WITH {SERIES}, t AS (SELECT series_id, frame AS fi, frame + (floor(value)::BIGINT % 40) AS li FROM s WHERE frame % 5 = 0), k AS (SELECT unnest(range(0, 60, 6)) AS a)
+WITH {SERIES}, t AS (SELECT series_id, frame AS fi, frame + (floor(value)::BIGINT % 40) AS li FROM s), k AS (SELECT unnest(range(0, 60, 6)) AS a)
 SELECT k.a::BIGINT AS a, count(*)::BIGINT AS tracks FROM t JOIN k ON fi <= a AND li >= a + 6 GROUP BY k.a""")
 def track_spans_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks that reach over a pair of keyframes, by bucket instead of by all pairs."""
-    tracks = series(spark, sf_dir).where("frame % 5 = 0").select(F.col("frame").alias("fi"), (F.col("frame") + F.floor("value") % 40).alias("li"))
+    tracks = series(spark, sf_dir).select(F.col("frame").alias("fi"), (F.col("frame") + F.floor("value") % 40).alias("li"))
     pairs = spark.range(0, 60, 6).select(F.col("id").alias("a"), (F.col("id") + 6).alias("b"))
     return joins.spanning(tracks, pairs, "fi", "li", "a", "b").groupBy("a").agg(F.count(F.lit(1)).alias("tracks"))

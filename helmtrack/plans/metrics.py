@@ -83,15 +83,15 @@ def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("horizon_score", f"""
-WITH {SERIES}, c AS (SELECT series_id, frame, pitch, roll, sqrt(pitch*pitch + roll*roll) AS t FROM s WHERE frame % 5 = 0),
+WITH {SERIES}, c AS (SELECT series_id, frame, pitch, roll, sqrt(pitch*pitch + roll*roll) AS t FROM s),
 g AS (SELECT series_id, count(*) AS n, avg(t) AS mean_tilt, sqrt(avg(t*t)) AS rms, max(t) AS peak, stddev_pop(roll) AS sway, max(roll) - min(roll) AS swing, max(abs(pitch)) AS mp, max(abs(roll)) AS mr, max(frame) / 30e0 AS span FROM c GROUP BY series_id),
 f AS (SELECT *, (55 + 28 * (1 - exp(-rms / 3.5::DOUBLE))) * least(1, 0.8::DOUBLE + 0.05::DOUBLE * log2(greatest(1, n) + 1)) * CASE WHEN n > 1 THEN least(1, greatest(0.5::DOUBLE, span / 3)) * least(1, greatest(0.85::DOUBLE, 1 - greatest(0, 3e0 / greatest(1, n) - 10) / 100)) ELSE 0.95::DOUBLE END AS raw FROM g)
 SELECT series_id, {r6_sql('mean_tilt', 'mean_tilt')}, {r6_sql('rms', 'rms_tilt')}, {r6_sql('peak', 'max_tilt')}, {r6_sql('peak * 12', 'max_slant_px')}, {r6_sql('sway', 'roll_std')}, {r6_sql('swing', 'roll_swing')},
  {r6_sql('CASE WHEN mp < 0.015::DOUBLE AND mr < 0.015::DOUBLE THEN 100 ELSE greatest(45, least(85, raw)) END', 'score')},
  CASE WHEN mp < 0.015::DOUBLE AND mr < 0.015::DOUBLE THEN 'ALREADY LEVEL' WHEN rms > 5 OR peak > 10 THEN 'EXCELLENT' WHEN rms > 2 OR peak > 4 THEN 'GOOD' WHEN peak > 0.5::DOUBLE THEN 'EFFECTIVE' ELSE 'MODERATE' END AS grade FROM f""")
 def horizon_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tilt of every fifth frame as a checkpoint, over clips of 3 seconds."""
-    out = me.horizon(series(spark, sf_dir).where("frame % 5 = 0"), fps=30.0, duration=3.0)
+    """Tilt of every frame as a checkpoint, over clips of 3 seconds."""
+    out = me.horizon(series(spark, sf_dir), fps=30.0, duration=3.0)
     return out.select("series_id", *[r6(F.col(c), c) for c in ("mean_tilt", "rms_tilt", "max_tilt", "max_slant_px", "roll_std", "roll_swing", "score")], "grade")
 
 

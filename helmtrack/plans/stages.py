@@ -15,16 +15,16 @@ AXES = ("yaw", "pitch", "roll")
 
 
 def synthetic(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Three stages of every series: all frames, every third frame, and one that stands still."""
+    """Three stages of every series: at 30 Hz, at 10 Hz, and one that stands still."""
     s = series(spark, sf_dir)
     t = (F.col("frame") / 30.0).alias("t")
     scaled = lambda by: [(F.col(a) * by).alias(a) for a in AXES]
-    return [s.select("series_id", t, *scaled(0.2)), s.where("frame % 3 = 1").select("series_id", t, *scaled(0.1)), s.select("series_id", t, *scaled(1e-5))]
+    return [s.select("series_id", t, *scaled(0.2)), s.select("series_id", (F.col("frame") / 10.0).alias("t"), *scaled(0.1)), s.select("series_id", t, *scaled(1e-5))]
 
 
 _INTERP = ", ".join(f"CASE WHEN t0 IS NULL THEN {a}1 WHEN t1 IS NULL THEN {a}0 ELSE {a}0 + q * ({a}1 - {a}0) END AS {a}b" for a in AXES)
 _COMPOSE = f"""g AS (SELECT series_id, frame / 30e0 AS t, frame, yaw * 0.2::DOUBLE AS yaw, pitch * 0.2::DOUBLE AS pitch, roll * 0.2::DOUBLE AS roll FROM s),
-k AS (SELECT series_id, frame / 30e0 AS t, yaw * 0.1::DOUBLE AS yaw, pitch * 0.1::DOUBLE AS pitch, roll * 0.1::DOUBLE AS roll FROM s WHERE frame % 3 = 1),
+k AS (SELECT series_id, frame / 10e0 AS t, yaw * 0.1::DOUBLE AS yaw, pitch * 0.1::DOUBLE AS pitch, roll * 0.1::DOUBLE AS roll FROM s),
 b AS (SELECT g.*, k.t AS t0, k.yaw AS yaw0, k.pitch AS pitch0, k.roll AS roll0 FROM g ASOF LEFT JOIN k ON g.series_id = k.series_id AND g.t >= k.t),
 f AS (SELECT b.*, k.t AS t1, k.yaw AS yaw1, k.pitch AS pitch1, k.roll AS roll1 FROM b ASOF LEFT JOIN k ON b.series_id = k.series_id AND b.t <= k.t),
 h AS (SELECT *, CASE WHEN t1 - t0 > 1e-9 THEN (t - t0) / (t1 - t0) ELSE 0 END AS q FROM f),
