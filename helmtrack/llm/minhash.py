@@ -223,9 +223,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
         full = left.join(sets.select(F.col("doc_id").alias("centre"), F.col("set").alias("set_a")), "centre")
         size_ok = F.least(F.length("set_a"), F.length("set_b")) * 100 >= F.greatest(F.length("set_a"), F.length("set_b")) * percent
         tested = scratch.keep(full.where(size_ok).select("centre", "doc", "set_a", "set_b").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links")
-        more = _unlinked_against_families(stars, tested, sets, percent, kind)
+        more = scratch.keep(_unlinked_against_families(stars, tested, sets, percent, kind), "more")
+        scratch.release()
         labels = scratch.keep(components(scratch, tested.union(more)), "labels")
-        scratch.drop(tested)
+        scratch.drop(tested, more)
     scratch.drop(sets, stars, members)
 
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, keys, "left")
