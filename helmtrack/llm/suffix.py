@@ -364,19 +364,25 @@ def drop_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     rows = source.mapInArrow(_keys(length, gram), "doc_id bigint, key bigint")
     marks = scratch.keep(with_repeated(rows, "key").groupBy("doc_id").agg(F.collect_list("key").alias("marks")), "marks")
     scratch.release()
-    base = packed_documents(source).join(marks, "doc_id", "left")
+    base = scratch.keep(packed_documents(source).join(marks, "doc_id", "left"), "base")
+    scratch.release()
+    scratch.drop(marks)
     found = base.mapInArrow(_segment_rows(length, gram), "doc_id bigint, key bigint, segment bigint")
     classes = scratch.keep(found.groupBy("key", "segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "classes")
     scratch.release()
     names = {k: F.bitwise_not(F.col(k)).alias(f"not_{k}") for k in ("key", "segment")}
     earlier = classes.where("least < most").select("least", *names.values())
     whole = found.select("doc_id", "segment", *names.values()).join(earlier, ["not_key", "not_segment"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("segment").alias("whole"))
+    whole = scratch.keep(whole, "whole")
+    scratch.release()
 
     contested = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.bitwise_not("key").alias("not_key"))
     asked = classes.select("segment", "least", names["key"]).join(contested, "not_key", "left_semi").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list("segment").alias("asked"))
     texts = base.join(asked, "doc_id", "left").mapInArrow(_contested_rows(length, gram), "doc_id bigint, key bigint, segment bigint, bytes binary")
     part = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_rows(length), "doc_id bigint, segment bigint, lo bigint, hi bigint")
-    ranges = part.groupBy("doc_id").agg(F.collect_list(F.struct("segment", "lo", "hi")).alias("ranges"))
+    ranges = scratch.keep(part.groupBy("doc_id").agg(F.collect_list(F.struct("segment", "lo", "hi")).alias("ranges")), "ranges")
+    scratch.release()
+    scratch.drop(classes)
     full = base.join(whole, "doc_id", "left").join(ranges, "doc_id", "left").select("doc_id", "packed", "first", "copies", "marks", "whole", "ranges")
     return full.mapInArrow(_result(length, gram), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
 
