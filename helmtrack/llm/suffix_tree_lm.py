@@ -2,19 +2,24 @@
 
 A text is its words, ASCII lower-cased, joined by one space, and an end mark.
 The tree's contexts are the up to ``depth`` bytes before a symbol.  A context
-is retained when it has at least the share ``p_min`` of all training symbols
-and when its next-symbol distribution diverges from that of its longest
-shorter suffix: the log-likelihood ratio must exceed ``gain`` nats.  A retained
+is retained when training has it ``least`` times and when its next-symbol
+distribution diverges from that of its longest shorter suffix: the
+log-likelihood ratio must exceed ``gain`` nats, so the tree grows with the corpus.  A retained
 context's distribution is smoothed with its parent's (Witten-Bell weights), the
 root's with a uniform one, so every text has a positive probability.
 
 Counts are those of all training documents: each task counts its grams of
 ``depth`` + 1 bytes, Spark sums them, and shorter grams are sums of longer
-ones.  ``p_min`` bounds the tree whatever the corpus: at most 1 / p_min
-contexts a depth.  Only the retained contexts reach the driver.  Scoring runs
-an automaton whose state is the longest suffix in the tree, over many pieces of
-the texts at once; a state depends on the last ``depth`` bytes only, so pieces
-with that much overlap give the same sums as one run.
+ones.  Scores do not depend on ``p_min``; it only says where a context is kept.
+Those of at least this share of all training symbols are at most 1 / p_min a
+depth; the retained ones of them are an automaton that every worker holds.
+Scoring runs it over many pieces of the texts at once; its state is the longest
+suffix in it, and depends on the last ``depth`` bytes only, so pieces with that
+much overlap give the same sums as one run.  The retained contexts of smaller
+shares, without bound, stay a written table and never reach the driver: it is
+joined to the distinct grams, which gives each gram's difference to the
+automaton's score, and these to the documents.  Positions whose whole context is
+frequent have no rarer one and take no part in the joins.
 
 The unigram base score needs every word's training count.  Words of at least
 the share ``frequent`` of all tokens are at most 1 / frequent and are looked up
@@ -32,6 +37,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +47,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .shared import Scratch
 
-DEPTH, P_MIN, GAIN, FREQUENT = 6, 2e-6, 12.0, 1e-6
+DEPTH, LEAST, P_MIN, GAIN, FREQUENT = 6, 5, 2e-6, 12.0, 1e-6
 END, SPACE = 0x0A, 0x20
 PIECE = 256
 FOLDS, HELD = 7, 2
@@ -127,21 +133,23 @@ def _counting(of):
     return run
 
 
+def _positions(w: tx.Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gram of every symbol of the texts, and its row."""
+    data, off = normalised(w, depth)
+    n = len(data) - depth
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    gram = np.zeros(n, np.uint64)
+    for k in range(depth + 1):
+        gram = (gram << np.uint64(8)) | data[k : k + n]
+    target = np.ones(len(data), bool)
+    for k in range(depth):
+        target[off[:-1] + k] = False
+    return gram[target[depth:]], np.repeat(np.arange(len(off) - 1), np.diff(off) - depth)
+
+
 def _grams(depth: int):
-    def of(w: tx.Words) -> np.ndarray:
-        data, off = normalised(w, depth)
-        n = len(data) - depth
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        gram = np.zeros(n, np.uint64)
-        for k in range(depth + 1):
-            gram = (gram << np.uint64(8)) | data[k : k + n]
-        target = np.ones(len(data), bool)
-        for k in range(depth):
-            target[off[:-1] + k] = False
-        return gram[target[depth:]]
-
-    return of
+    return lambda w: _positions(w, depth)[0]
 
 
 @dataclass
@@ -241,6 +249,14 @@ class Automaton:
             state = flat_next[state * width + c]
         return out.T.ravel()[:n]
 
+    def grams(self, gram: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of every gram after the others."""
+        byte = lambda k: self.code[(gram >> np.uint64(8 * k) & np.uint64(255)).astype(np.int64)]
+        state = np.zeros(len(gram), np.int32)
+        for k in range(self.depth, 0, -1):
+            state = self.next[state, byte(k)]
+        return self.logp[self.row[state], byte(0)]
+
     def texts(self, w: tx.Words) -> np.ndarray:
         data, off = normalised(w, self.depth)
         p = self.positions(data).astype(np.float64)
@@ -250,51 +266,76 @@ class Automaton:
         return total[off[1:]] - total[off[:-1]]
 
 
-def learn(scratch: Scratch, train: DataFrame, *, depth: int = DEPTH, p_min: float = P_MIN, gain: float = GAIN) -> Tree:
+@dataclass
+class Learned:
+    """The tree of frequent contexts, all frequent contexts by depth, and tables of the rarer ones and of the training grams."""
+
+    tree: Tree
+    often: list[np.ndarray]
+    rare: DataFrame | None
+    grams: DataFrame
+
+    def automaton(self) -> Automaton:
+        return self.tree.automaton()
+
+
+def learn(scratch: Scratch, train: DataFrame, *, depth: int = DEPTH, least: int = LEAST, p_min: float = P_MIN, gain: float = GAIN) -> Learned:
     """The tree of (doc_id, text) rows."""
     rows = train.mapInArrow(_counting(_grams(depth)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     byte = F.col("key").bitwiseAND(255).cast("int")
     level = scratch.keep(rows, "grams")
     scratch.release()
     total = level.agg(F.sum("n")).first()[0] or 0
-    least = max(2, int(np.ceil(p_min * total)))
+    limit = max(least, int(np.ceil(p_min * total)))
     found: list[np.ndarray] = []
+    often: list[np.ndarray] = [np.zeros(1, np.int64)]
+    rare: list[DataFrame] = []
     tables: list[DataFrame] = [level]
     for k in range(depth, 0, -1):
         shorter = tables[-1].groupBy(F.col("key").bitwiseAND((1 << (8 * k)) - 1).alias("key")).agg(F.sum("n").alias("n"))
         tables.append(scratch.keep(shorter, f"grams{k}"))
     context = F.shiftright("key", 8).alias("context")
+    kept: list[DataFrame] = []
     for k, table in zip(range(depth, -1, -1), tables, strict=True):
         counts = table.select(context, byte.alias("symbol"), "n")
         if k:
-            often = counts.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-            mine = counts.join(often, "context").withColumn("up", F.col("context").bitwiseAND((1 << (8 * (k - 1))) - 1))
+            totals = counts.groupBy("context").agg(F.sum("n").alias("total"))
+            often.insert(1, np.sort(totals.where(F.col("total") >= limit).select("context").toArrow().column(0).to_numpy()))  # at most 1 / p_min rows
+            mine = counts.join(totals.where(F.col("total") >= least), "context").withColumn("up", F.col("context").bitwiseAND((1 << (8 * (k - 1))) - 1))
             above = tables[depth - k + 1].select(context.alias("up"), byte.alias("symbol"), F.col("n").alias("n_up"))
             sums = above.groupBy("up").agg(F.sum("n_up").alias("total_up"))
             tested = mine.join(above, ["up", "symbol"]).join(sums, "up").groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("n") * F.col("total_up") / F.col("total") / F.col("n_up"))).alias("gain"))
-            counts = mine.join(tested.where(F.col("gain") >= gain).select("context"), "context", "left_semi").select("context", "symbol", "n")
-        kept = counts.toArrow()
-        found.append(np.stack([np.full(len(kept), k), *(kept.column(c).to_numpy() for c in ("context", "symbol", "n"))]).astype(np.int64))
-    scratch.drop(*tables)
+            kept.append(scratch.keep(mine.join(tested.where(F.col("gain") >= gain).select("context"), "context", "left_semi").select("context", "symbol", "n", "total"), f"contexts{k}"))
+            counts = kept[-1].where(F.col("total") >= limit).select("context", "symbol", "n")
+            symbols = F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("symbols")
+            rare.append(kept[-1].where(F.col("total") < limit).groupBy("context").agg(F.first("total").alias("total"), symbols).withColumn("level", F.lit(k)))
+        here = counts.toArrow()
+        found.append(np.stack([np.full(len(here), k), *(here.column(c).to_numpy() for c in ("context", "symbol", "n"))]).astype(np.int64))
+    rarer = scratch.keep(reduce(DataFrame.unionByName, rare), "rare") if limit > least else None
+    scratch.release()
+    scratch.drop(*tables[1:], *kept)
     a = np.concatenate(found, axis=1)
-    return Tree(depth, a[0], a[1].astype(np.uint64), a[2], a[3])
+    return Learned(Tree(depth, a[0], a[1].astype(np.uint64), a[2], a[3]), often, rarer, level)
 
 
 #: The automaton of the last tree that this worker scored with.
 _made: dict[str, Automaton] = {}
 
 
-def _scores(tree, keys, counts):
-    name = uuid.uuid4().hex
+def _automaton(name: str, tree) -> Automaton:
+    if name not in _made:
+        _made.clear()
+        _made[name] = tree.value.automaton()
+    return _made[name]
+
 
+def _scores(name, tree, keys, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _made:
-            _made.clear()
-            _made[name] = tree.value.automaton()
+        automaton = _automaton(name, tree)
         known, logs = keys.value, np.log10(counts.value + 1.0)
         for batch in batches:
             for i, j, w in _chunks(batch):
-                score = _made[name].texts(w)
+                score = automaton.texts(w)
                 at = _find(known, tx.signed(tx.word_hashes(w)))
                 hit = at >= 0
                 base = np.bincount(w.doc[hit], logs[at[hit]], minlength=j - i).astype(np.float64)  # without words it counts in integers
@@ -311,6 +352,46 @@ def _find(known: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(known[at] == h, at, -1)
 
 
+def _far(often, depth: int):
+    """The grams at all places of each document whose whole context is not frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = often.value[depth]
+        for batch in batches:
+            for i, j, w in _chunks(batch):
+                gram, doc = _positions(w, depth)
+                far = _find(known, tx.signed(gram >> np.uint64(8))) < 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc[far])), pa.array(tx.signed(gram[far]))], names=["doc_id", "key"])
+
+    return run
+
+
+def _asked(name, tree, often, depth: int):
+    """The contexts of each gram that are not frequent, with the automaton's score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(name, tree)
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            key = key[_find(often.value[depth], key >> 8) < 0]
+            score = automaton.grams(key.astype(np.uint64)).astype(np.float64)
+            for k in range(1, depth + 1):
+                context = (key >> 8) & ((1 << (8 * k)) - 1)
+                at = _find(often.value[k], context) < 0
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.full(int(at.sum()), k, np.int32)), pa.array(context[at]), pa.array(score[at])], names=["key", "level", "context", "known"])
+
+    return run
+
+
+def _differences(asked: DataFrame, rare: DataFrame) -> DataFrame:
+    """key, more: what the rarer contexts of a gram add to its score, each smoothed with the next shorter one."""
+    n = F.coalesce(F.try_element_at("symbols", F.col("key").bitwiseAND(255).cast("int")), F.lit(0))
+    steps = asked.join(rare.hint("merge"), ["level", "context"]).select("key", "known", F.struct("level", n.alias("n"), F.size("symbols").alias("kinds"), "total").alias("step"))
+    chains = steps.groupBy("key").agg(F.first("known").alias("known"), F.sort_array(F.collect_list("step")).alias("steps"))
+    p = F.aggregate("steps", F.pow(F.lit(10.0), F.col("known")), lambda p, s: (s["n"] + s["kinds"] * p) / (s["total"] + s["kinds"]))
+    return chains.select("key", (F.log10(p) - F.col("known")).alias("more"))
+
+
 def _rare(keys):
     """Words of each document that are not in the table, with their number."""
 
@@ -330,14 +411,14 @@ def _rare(keys):
     return run
 
 
-def lm_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, p_min: float = P_MIN, gain: float = GAIN, frequent: float = FREQUENT) -> DataFrame:
+def lm_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, p_min: float = P_MIN, gain: float = GAIN, frequent: float = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     train = source.where(~held_out())
-    tree = learn(scratch, train, depth=depth, p_min=p_min, gain=gain)
+    learned = learn(scratch, train, depth=depth, least=least, p_min=p_min, gain=gain)
 
     counted = scratch.keep(train.mapInArrow(_counting(tx.word_hashes), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "words")
     scratch.release()
@@ -350,12 +431,24 @@ def lm_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", de
     order = np.argsort(key)
     share = spark.sparkContext.broadcast
     keys, counts = share(key[order]), share(n[order])
-    direct = source.mapInArrow(_scores(share(tree), keys, counts), f"doc_id {kind}, n_tokens bigint, seen bigint, base double, score double")
+    name, tree = uuid.uuid4().hex, share(learned.tree)
+    direct = source.mapInArrow(_scores(name, tree, keys, counts), f"doc_id {kind}, n_tokens bigint, seen bigint, base double, score double")
     rare = source.mapInArrow(_rare(keys), f"doc_id {kind}, key bigint, tf int").join(counted.where(F.col("n") < limit), "key")
     summed = rare.groupBy("doc_id").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more_base"))
     end_known = int(ends > 0)
     total = float(np.log10(tokens + kinds + 1))
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) + float(np.log10(ends + 1)) - F.col("n_tokens") * total
+    score = F.col("score")
+    if learned.rare is not None:
+        often = share(learned.often)
+        other = source.where(F.coalesce(held_out(), F.lit(True))).mapInArrow(_counting(_grams(depth)), "key bigint, n bigint")
+        grams = learned.grams.select("key").union(other.select("key")).distinct()
+        asked = grams.mapInArrow(_asked(name, tree, often, depth), "key bigint, level int, context bigint, known double")
+        more = scratch.keep(_differences(asked, learned.rare), "differences")
+        scratch.release()
+        far = source.mapInArrow(_far(often, depth), f"doc_id {kind}, key bigint").join(more.hint("merge"), "key")
+        direct = direct.join(far.groupBy("doc_id").agg(F.sum("more").alias("more_score")), "doc_id", "left")
+        score = score + F.coalesce("more_score", F.lit(0.0))
     return direct.join(summed, "doc_id", "left").select(
         "doc_id",
         held_out().alias("held_out"),
@@ -363,7 +456,7 @@ def lm_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", de
         (F.col("seen") + F.coalesce("more", F.lit(0)) + end_known).alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        score.alias("score"),
     )
 
 

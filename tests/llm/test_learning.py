@@ -145,6 +145,13 @@ def test_lm_on_odd_tables(docs):
     assert {r.n_known for r in suffix_tree_lm.lm_scores(only_held).collect()} == {0}
 
 
+def test_contexts_are_retained_by_count_whatever_their_share(docs):
+    """A share only says where a context is kept: in the automaton, or in the table that is joined."""
+    runs = [{r.doc_id: r.score for r in suffix_tree_lm.lm_scores(docs, p_min=p, frequent=1e-3).collect()} for p in (0.0, 1e-3, 0.05)]
+    for some in runs[1:]:
+        assert some == pytest.approx(runs[0], rel=1e-5)
+
+
 # --- toxicity ---------------------------------------------------------------
 
 
