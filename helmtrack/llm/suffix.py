@@ -16,8 +16,10 @@ it, in segments: runs of neighbouring strings with one minimizer.
    prefix by a blind trie.  Suffixes that agree to ``length`` bytes are
    neighbours; their smallest doc_id decides.
 
-Segments are sorted by tasks that hold a hash range of minimizers; a hot
-minimizer's segments are classes, which are distinct texts, not occurrences.
+Segments are sorted by tasks that hold a hash range of minimizers, in blocks of
+bounded size: a minimizer with more than ``hot`` classes is not sorted in one
+task.  Its strings are dealt by their own bytes instead, with a partial minimum
+and a join that Spark can split.
 
 Defined cases: a null or empty text has no bytes; texts shorter than
 ``length`` are kept; matches never cross documents; rows of one doc_id never
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -45,6 +47,8 @@ from .substring import first_copies, lists, with_repeated
 LENGTH, GRAM = 50, 16
 #: A run of strings with one minimizer is cut after so many, as in long runs of one character.
 MOST = 64
+#: A minimizer with more classes has its strings dealt one by one.
+HOT = 4096
 #: Words of eight bytes that are sorted on before the tries.
 SHALLOW = 6
 
@@ -319,6 +323,23 @@ def _sorted_rows(length: int, most_bytes: int = 1 << 20):
     return run
 
 
+def _string_rows(length: int):
+    """Every string of the segments, with its start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 4096):
+                part = batch.slice(i, 4096)
+                texts = part.column(3).to_pylist()
+                count = np.array([len(t) - length + 1 for t in texts], np.int64)
+                row = pa.array(np.repeat(np.arange(len(texts)), count))
+                start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                strings = pa.array([t[a : a + length] for t, n in zip(texts, count.tolist(), strict=True) for a in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(2).take(row), pa.array(start), strings], names=["doc_id", "segment", "lo", "string"])
+
+    return run
+
+
 def _result(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,7 +378,7 @@ def _result(length: int, gram: int):
     return run
 
 
-def drop_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256: one row per document."""
     scratch = Scratch(docs.sparkSession, "suffix")
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -376,13 +397,24 @@ def drop_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     whole = scratch.keep(whole, "whole")
     scratch.release()
 
-    contested = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.bitwise_not("key").alias("not_key"))
-    asked = classes.select("segment", "least", names["key"]).join(contested, "not_key", "left_semi").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list("segment").alias("asked"))
-    texts = base.join(asked, "doc_id", "left").mapInArrow(_contested_rows(length, gram), "doc_id bigint, key bigint, segment bigint, bytes binary")
+    many = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+    def contested(kept: Column, how: str) -> DataFrame:
+        keys = many.where((F.col("n") > 1) & kept).select(F.bitwise_not("key").alias("not_key"))
+        asked = classes.select("segment", "least", names["key"]).join(keys, "not_key", "left_semi").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list("segment").alias("asked"))
+        return base.join(asked, "doc_id", how).mapInArrow(_contested_rows(length, gram), "doc_id bigint, key bigint, segment bigint, bytes binary")
+
+    texts = contested(F.col("n") <= hot, "left")
     part = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_rows(length), "doc_id bigint, segment bigint, lo bigint, hi bigint")
+    strings = None
+    if not many.where(F.col("n") > hot).isEmpty():
+        strings = scratch.keep(contested(F.col("n") > hot, "inner").mapInArrow(_string_rows(length), "doc_id bigint, segment bigint, lo bigint, string binary"), "strings")
+        scratch.release()
+        least = strings.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+        part = part.union(strings.join(least, "string").where("doc_id > least").select("doc_id", "segment", "lo", (F.col("lo") + 1).alias("hi")))
     ranges = scratch.keep(part.groupBy("doc_id").agg(F.collect_list(F.struct("segment", "lo", "hi")).alias("ranges")), "ranges")
     scratch.release()
-    scratch.drop(classes)
+    scratch.drop(classes, strings)
     full = base.join(whole, "doc_id", "left").join(ranges, "doc_id", "left").select("doc_id", "packed", "first", "copies", "marks", "whole", "ranges")
     return full.mapInArrow(_result(length, gram), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
 

@@ -67,6 +67,19 @@ def test_suffix(docs, odd, length, gram):
     assert len(got) == len(odd)
 
 
+@pytest.mark.parametrize("hot", [1, 20])
+def test_suffix_deals_hot_minimizers(spark, hot):
+    """A footer in every text, with differing text around it: nearly one class a document at one minimizer."""
+    footer = "all rights reserved, see the licence for the terms of use"
+    rng = np.random.default_rng(6)
+    word = lambda: bytes(rng.integers(97, 123, 40).astype(np.uint8)).decode()
+    rows = [(i, f"{word()} {footer[i % 3 :]} {word()}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = suffix.drop_repeated_bytes(docs, hot=hot).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_suffix(rows, 50)
+    assert sum(r.n_removed > 0 for r in got) > 190
+
+
 def test_suffix_sort_groups_equal_strings():
     rng = np.random.default_rng(4)
     texts = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(30, 90, 40)]
