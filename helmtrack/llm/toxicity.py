@@ -235,7 +235,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: in
         model = fit_rows(pd.concat(tables) if tables else pd.DataFrame({"tokens": [], "lang": [], "toxic": [], "r": []}))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    return pickle.loads(rows.coalesce(1).mapInArrow(train, "model binary").first()[0])
+    # an exchange of the sample's rows, so that the documents above it are read in parallel
+    return pickle.loads(rows.repartition(1).mapInArrow(train, "model binary").first()[0])
 
 
 def fit_rows(rows: pd.DataFrame) -> Model:

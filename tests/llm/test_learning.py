@@ -193,6 +193,21 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.Model()).count() == 0
 
 
+def test_documents_of_the_sample_are_read_in_parallel(spark, tmp_path):
+    """Training is one task; reading and tokenising are as many as the documents' partitions."""
+    docs, labels = labelled(spark, 60)
+    at = str(tmp_path)
+
+    def noted(batches):
+        from pyspark import TaskContext
+
+        open(f"{at}/{TaskContext.get().taskAttemptId()}", "w").close()
+        yield from batches
+
+    toxicity.fit(spark, spark.createDataFrame(docs.rdd.repartition(7), docs.schema).mapInArrow(noted, docs.schema), labels)
+    assert len(list(tmp_path.iterdir())) > 1
+
+
 def test_features_of_windows_end_with_their_row():
     m = toxicity.Model(known=None, tables=[[np.array([[0.0], [1.0], [5.0]], np.float32), np.array([[0.0], [10.0], [100.0]], np.float32)]], bias=[np.zeros(1, np.float32)], out=np.ones(1, np.float32))
     top, _ = m.features(np.array([1, 1, 2], np.int32), np.array([0, 2, 2, 3]))
