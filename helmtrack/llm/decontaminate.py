@@ -9,7 +9,9 @@ shorter than the shortest window cannot match.  Documents are never shuffled
 with more than one block; there is no join at all.
 
 Defined cases: a null or empty text has no words and no hits; an item without
-words has no windows; items with equal texts all count; repeated rows give
+words has no windows; items with equal texts all count; items without an id hit
+like others and are one null in a document's items; items may share an id; a
+null item text is ignored; repeated rows give
 repeated results; an empty documents table gives an empty result, an empty
 benchmark gives zero hits.  Columns other than the id and the text are ignored.
 """
@@ -33,17 +35,18 @@ BLOCK_BYTES = 4 << 20
 class Automaton:
     """Generalised suffix automaton of word sequences, with the items of every window."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int):
         self.window = window
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.short: dict[int, set[str]] = {}
+        self.short: dict[int, set[str | None]] = {}
+        self.short_length: dict[int, int] = {}
         self.shortest = window
         for _, seq in items:
             last = 0
             for w in seq:
                 last = self._extend(last, w)
-        self.holds: list[set[str] | None] = [None] * len(self.next)
+        self.holds: list[set[str | None] | None] = [None] * len(self.next)
         for name, seq in items:
             if not seq:
                 continue
@@ -57,14 +60,10 @@ class Automaton:
                     self.holds[s].add(name)
             if len(seq) < window:
                 self.short.setdefault(state, set()).add(name)
+                self.short_length[state] = len(seq)  # only equal items end in one state
                 self.shortest = min(self.shortest, len(seq))
-        self.short_length = {s: self._item_length(s, items) for s in self.short}
         self.ends = self._ends()
 
-    def _item_length(self, state: int, items: list[tuple[str, list[int]]]) -> int:
-        name = next(iter(self.short[state]))
-        return next(len(seq) for n, seq in items if n == name)
-
     def _suffix(self, state: int, length: int) -> int:
         while self.length[self.link[state]] >= length:
             state = self.link[state]
@@ -106,12 +105,12 @@ class Automaton:
             out[s] = out[self.link[s]] + ((s,) if s in self.short else ())
         return out
 
-    def scan(self, seq: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, seq: list[int]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Hit ranges [from, to) of a word sequence, and the items that hit."""
         nxt, link, length = self.next, self.link, self.length
         state = have = 0
         hits: list[tuple[int, int]] = []
-        names: set[str] = set()
+        names: set[str | None] = set()
         for i, w in enumerate(seq):
             while state and w not in nxt[state]:
                 state = link[state]
@@ -135,7 +134,7 @@ class Automaton:
 class Matcher:
     """Numbers the words of a block of items and finds their passages in chunks of documents."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
         off = np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64)
         w = tx.words(data, off, tx.NOT_ALNUM, lower=True)
@@ -157,7 +156,7 @@ class Matcher:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.numbers[at], -1)
 
-    def chunk(self, w: tx.Words) -> tuple[np.ndarray, list[set[str]]]:
+    def chunk(self, w: tx.Words) -> tuple[np.ndarray, list[set[str | None]]]:
         number = self.number(w)
         hit, items = np.zeros(len(number), bool), [set() for _ in range(len(w.first) - 1)]
         known = number >= 0
@@ -178,11 +177,11 @@ class Matcher:
         return hit, items
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items in blocks of bounded size; each block is a broadcast of its own."""
     block, size = [], 0
     for name, t in benchmark.select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
-        if t is None or name is None:
+        if t is None:
             continue
         raw = t.encode()
         if block and size + len(raw) > block_bytes:
@@ -218,7 +217,7 @@ class Scanner:
             data = raw[off[i] : off[j]]
             w = tx.words(data, local, tx.NOT_ALNUM, lower=True)
             hit = np.zeros(len(w.start), bool)
-            items: list[set[str]] = [set() for _ in range(j - i)]
+            items: list[set[str | None]] = [set() for _ in range(j - i)]
             for k in range(len(self.blocks)):
                 h, names = self.matcher(k).chunk(w)
                 hit |= h
@@ -231,7 +230,7 @@ class Scanner:
                 for r in np.flatnonzero(n_hit):
                     kept[r] = _without(data[local[r] : local[r + 1]], w, int(r), hit, int(local[r]))
                 clean = pa.array(kept, clean.type)
-            yield i, j, [clean, pa.array(w.count), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            yield i, j, [clean, pa.array(w.count), pa.array(n_hit), pa.array([sorted(x, key=lambda name: (name is None, name or "")) for x in items], pa.list_(pa.string()))]
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

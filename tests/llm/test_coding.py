@@ -171,3 +171,23 @@ def test_quality_of_lines(spark):
     assert got[5].n_boilerplate_words == 7 and not got[5].kept
     assert got[31].n_boilerplate_words == 7  # ten of the other host's have it
     assert got[99].n_symbols == 4 and got[99].n_dup_lines == 1 and got[99].kept
+
+
+def test_items_without_an_id_and_items_of_one_id(spark, tmp_path):
+    """Against the SQL: null ids hit, and a short item's length is its own, not that of its id's first text."""
+    import duckdb
+
+    from helmtrack.llm.sql import CONTAMINATION
+
+    long = " ".join(f"l{i}" for i in range(14))
+    items = [(None, " ".join(f"n{i}" for i in range(12))), (None, "null short"), (1, long), (1, "few words"), (2, None), (3, "few words")]
+    texts = [items[0][1], f"x {items[0][1]} {long} y", "a null short b", "has few words here", "nothing", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(f"SELECT doc_id, n_hit, n_items, items_sha256, contaminated FROM ({CONTAMINATION})").fetchall()
+    got = decontaminate.contamination(spark, str(tmp_path)).select("doc_id", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r[0]: r[1] for r in want} == {0: 12, 1: 26, 2: 2, 3: 2, 4: 0, 5: 0}
