@@ -22,9 +22,18 @@ email  domain, punctuation              letters and digits of the local part
 A date written a/b/yyyy is read month first where that is a date, else day
 first.  Values that fail validation stay as they are.
 
-Defined cases: a null text stays null, an empty one empty; repeated rows give
-equal rows; an empty table gives an empty result; all other columns pass
-unchanged, whatever their names.
+No pattern repeats a group without bound, and none can begin within a run that
+it has tried before, so texts and values of any length take linear time and no
+stack.  What a flat pattern lets through (empty or overlong labels of a domain)
+is validated afterwards.
+
+The key is the caller's secret: ``key``, or the session's setting
+``spark.helmtrack.pii.key``.  Without either a published example key is used,
+with which anyone can invert the pseudonyms.
+
+Defined cases: a null text stays null, an empty one empty; null ids and
+repeated rows give rows like any others; an empty table gives an empty result;
+all other columns pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,9 +46,11 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 ROUNDS = 8
+#: An example; a real one is given by the caller or by the session.
 KEY = "helmtrack-pseudonyms-1"
+KEY_SETTING = "spark.helmtrack.pii.key"
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*+"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
@@ -49,6 +60,15 @@ ANY = "|".join((EMAIL, DATE, SSN, IPV4, PHONE, CARD))
 KINDS = ("card", "phone", "ipv4", "date", "ssn", "email")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often it is used.
+
+    Inside lambdas Spark shares no common expressions; a stream used for every
+    character would be hashed for every character.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _number(hex_digits: Column) -> Column:
     return F.conv(hex_digits, 16, 10).cast("bigint")
 
@@ -74,7 +94,7 @@ def permute_text(value: Column, tweak: Column, key: str) -> Column:
 
     def turn(s: Column, i: Column) -> Column:
         stream = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), F.length(value).cast("string"), s["r"]), 256)
-        return F.struct(s["r"].alias("l"), _shift(s["l"], stream).alias("r"))
+        return _let(stream, lambda x: F.struct(s["r"].alias("l"), _shift(s["l"], x).alias("r")))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
@@ -107,19 +127,19 @@ def luhn_sum(digits: Column) -> Column:
 def _refill(m: Column, digits: Column) -> Column:
     """The match with its digits replaced in order."""
 
-    def one(c: Column, i: Column) -> Column:
+    def one(new: Column, c: Column, i: Column) -> Column:
         before = F.length(_digits(F.substr(m, F.lit(1), i.cast("int"))))
-        return F.when(c.rlike("[0-9]"), F.substr(digits, before + 1, F.lit(1))).otherwise(c)
+        return F.when(c.rlike("[0-9]"), F.substr(new, before + 1, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.split(m, ""), one), "")
+    return _let(digits, lambda new: F.array_join(F.transform(F.split(m, ""), lambda c, i: one(new, c, i)), ""))
 
 
 def _card(m: Column, key: str) -> Column:
     d = _digits(m)
     head = F.substr(d, F.lit(1), F.lit(1))
     body = F.concat(head, permute_text(F.substr(d, F.lit(2), F.length(d) - 2), F.concat(F.lit("card"), head), key))
-    check = F.pmod(10 - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    return F.when(F.pmod(luhn_sum(d), F.lit(10)) == 0, _refill(m, F.concat(body, check.cast("string"))))
+    check = lambda b: F.pmod(10 - F.pmod(luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)), F.lit(10))
+    return F.when(F.pmod(luhn_sum(d), F.lit(10)) == 0, _refill(m, _let(body, lambda b: F.concat(b, check(b).cast("string")))))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -132,8 +152,8 @@ def _phone(m: Column, key: str) -> Column:
 def _ipv4(m: Column, key: str) -> Column:
     part = F.transform(F.split(m, r"\."), lambda x: x.cast("bigint"))
     value = permute_number(part[1] * 65536 + part[2] * 256 + part[3], 4096, 4096, F.concat(F.lit("ipv4"), part[0].cast("string")), key)
-    octet = lambda by: F.pmod((value / by).cast("bigint"), F.lit(256)).cast("string")
-    return F.when(F.forall(part, lambda x: x < 256), F.concat_ws(".", part[0].cast("string"), octet(65536), octet(256), octet(1)))
+    octet = lambda v, by: F.pmod((v / by).cast("bigint"), F.lit(256)).cast("string")
+    return F.when(F.forall(part, lambda x: x < 256), _let(value, lambda v: F.concat_ws(".", part[0].cast("string"), octet(v, 65536), octet(v, 256), octet(v, 1))))
 
 
 _FIRST_DAY, _DAYS_A, _DAYS_B = "1800-01-01", 189, 773  # 189 * 773 days are 400 years
@@ -141,10 +161,10 @@ _FIRST_DAY, _DAYS_A, _DAYS_B = "1800-01-01", 189, 773  # 189 * 773 days are 400
 
 def _date(m: Column, key: str) -> Column:
     def moved(form: str) -> Column:
-        day = F.try_to_timestamp(m, F.lit(form)).cast("date")
-        new = F.date_add(F.lit(_FIRST_DAY).cast("date"), permute_number(F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("bigint"), _DAYS_A, _DAYS_B, F.lit("date"), key).cast("int"))
-        year = F.regexp_extract(m, "[0-9]{4}", 0).cast("int")
-        return F.when(day.isNotNull() & year.between(1800, 2199), F.date_format(new, form))
+        first = F.lit(_FIRST_DAY).cast("date")
+        new = lambda day: F.date_add(first, permute_number(F.datediff(day, first).cast("bigint"), _DAYS_A, _DAYS_B, F.lit("date"), key).cast("int"))
+        day = F.when(F.regexp_extract(m, "[0-9]{4}", 0).cast("int").between(1800, 2199), F.try_to_timestamp(m, F.lit(form)).cast("date"))
+        return _let(day, lambda day: F.when(day.isNotNull(), F.date_format(new(day), form)))
 
     slash = F.coalesce(moved("MM/dd/yyyy"), moved("dd/MM/yyyy"))
     return F.when(m.contains("-"), moved("yyyy-MM-dd")).when(m.contains("/"), slash).otherwise(moved("dd.MM.yyyy"))
@@ -155,28 +175,34 @@ def _ssn(m: Column, key: str) -> Column:
     value = (part[1].cast("bigint") - 1) * 9999 + part[2].cast("bigint") - 1
     new = permute_number(value, 99, 9999, F.concat(F.lit("ssn"), part[0]), key)
     valid = (part[0] != "000") & (part[0] != "666") & (part[0] < "900") & (part[1] != "00") & (part[2] != "0000")
-    group, serial = ((new / 9999).cast("bigint") + 1).cast("string"), (F.pmod(new, F.lit(9999)) + 1).cast("string")
-    return F.when(valid, F.concat_ws("-", part[0], F.lpad(group, 2, "0"), F.lpad(serial, 4, "0")))
+    group, serial = lambda v: ((v / 9999).cast("bigint") + 1).cast("string"), lambda v: (F.pmod(v, F.lit(9999)) + 1).cast("string")
+    return F.when(valid, _let(new, lambda v: F.concat_ws("-", part[0], F.lpad(group(v), 2, "0"), F.lpad(serial(v), 4, "0"))))
 
 
 def _email(m: Column, key: str) -> Column:
-    local = F.substring_index(m, "@", 1)
-    return F.when(m.rlike(r"@.*\.[A-Za-z]{2,}$"), F.concat(permute_text(local, F.lit("email"), key), F.substr(m, F.length(local) + 1, F.length(m))))
+    local, rest = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    # the flat pattern may take dots and hyphens after the domain; they are kept with it
+    domain = F.rtrim(F.substring_index(rest, "..", 1), F.lit(".-"))
+    labels = F.forall(F.split(domain, r"\."), lambda x: F.length(x).between(1, 63))
+    valid = domain.contains(".") & F.substring_index(domain, ".", -1).rlike("^[A-Za-z]{2,}$") & labels
+    return F.when(valid, F.concat(permute_text(local, F.lit("email"), key), F.substr(m, F.length(local) + 1, F.length(m))))
 
 
 _MAKERS: dict[str, tuple[str, Callable[[Column, str], Column]]] = {"email": (EMAIL, _email), "date": (DATE, _date), "ssn": (SSN, _ssn), "ipv4": (IPV4, _ipv4), "phone": (PHONE, _phone), "card": (CARD, _card)}
 
 
 def _replaced(m: Column, key: str) -> Column:
-    """Kind and pseudonym of a match; null kind where it fails validation."""
-    kind, value = F.lit(None).cast("string"), m
-    for name, (pattern, make) in reversed(_MAKERS.items()):
-        whole = m.rlike(f"^(?:{pattern})$")
-        new = make(m, key)
-        hit = F.when(whole, new)
-        kind = F.when(whole & hit.isNotNull(), F.lit(name)).otherwise(kind)
-        value = F.when(whole & hit.isNotNull(), hit).otherwise(value)
-    return F.struct(kind.alias("kind"), value.alias("value"))
+    """Kind and pseudonym of a match; a null kind and the match where it fails validation.
+
+    The first kind that fits is made, and made once.
+    """
+
+    def found(name: str, pattern: str, make: Callable[[Column, str], Column]) -> Column:
+        whole = m.contains("@") if name == "email" else m.rlike(f"^(?:{pattern})$")
+        return _let(F.when(whole, make(m, key)), lambda v: F.when(v.isNotNull(), F.struct(F.lit(name).alias("kind"), v.alias("value"))))
+
+    none = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"))
+    return F.coalesce(*[found(name, *x) for name, x in _MAKERS.items()], none)
 
 
 def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = KEY) -> DataFrame:
@@ -192,13 +218,17 @@ def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = KEY) -> Data
     return found.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in columns], kinds.alias("pii"))
 
 
-def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or KEY
+
+
+def pii(spark: SparkSession, sf_dir: str, *, key: str | None = None) -> DataFrame:
     """op3: doc_id, the text with pseudonyms, and counts by kind."""
-    out = pseudonymise(tx.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymise(tx.table(spark, sf_dir, "documents").select("doc_id", "text"), key=key or session_key(spark))
     counts = [(F.size("pii") - F.size(F.array_remove("pii", name))).cast("bigint").alias(f"n_{name}") for name in KINDS]
     return out.select("doc_id", "text", F.size("pii").cast("bigint").alias("n_pii"), *counts)
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, key: str | None = None) -> DataFrame:
     """Pipeline stage: the documents with pseudonyms in their texts."""
-    return pseudonymise(docs).select(*docs.columns)
+    return pseudonymise(docs, key=key or session_key(spark)).select(*docs.columns)
