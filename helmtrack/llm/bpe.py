@@ -6,17 +6,26 @@ boundary and are not yet written.  The set of live configurations, without the
 prefix of tokens that all of them share, is a state of a deterministic
 transducer; the shared prefix is what the step emits.  States and steps are
 built when first needed and kept.  No token is longer than the longest entry
-of the ranks, so the lookahead is bounded by it.
+of the ranks, so the lookahead is bounded by it.  A pre-token that is an entry
+of the ranks is that one token, without a run of the transducer.  What a worker
+keeps (pre-tokens, pairs of tokens, states) is bounded by two generations: a
+full one becomes the old one, from which what is still used is taken over.
 
 A boundary is reached by one token sequence only, the merge result of the
 prefix before it.  A token may follow another if merging their joined bytes
 gives back exactly these two; the test runs the merges once for each pair and
-is remembered.  Decoding joins token bytes and passes them through an
-incremental UTF-8 machine that holds back an incomplete character.
+is remembered.
+
+Decoding steps a finite-state machine of UTF-8 through the ids, piece by piece.
+Its states say which bytes may come next and how many of the current character
+have come; an incomplete character is held back until its rest arrives.  The
+machine's step over a whole token is a table, so that only tokens which end
+within a character are stepped through singly.
 
 Defined cases: a null or empty text has no tokens; ids decode to the exact
-bytes of the text; repeated rows give repeated results; other columns are
-ignored.
+bytes of the text, and bytes that are no UTF-8 pass as they are; null ids and
+repeated rows give rows like any others; an empty table gives an empty result;
+other columns are ignored, and pass the pipeline's stage unchanged.
 """
 
 from __future__ import annotations
@@ -35,10 +44,12 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-#: Bounds of what a worker keeps: steps of the transducer, pre-tokens seen before, and pairs of tokens tested.
-MAX_STEPS = 200_000
-MAX_SEEN = 200_000
-MAX_PAIRS = 500_000
+#: Bounds of one generation of what a worker keeps: steps of the transducer, pre-tokens seen before, and pairs of tokens tested.
+MAX_STEPS = 120_000
+MAX_SEEN = 400_000
+MAX_PAIRS = 300_000
+#: Ids that are decoded at a time.
+STEP = 4096
 
 #: The public pattern again for texts below U+0250 without the characters that
 #: the two regex engines class differently; ``re`` is the faster of the two.
@@ -52,22 +63,42 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class Seen(dict):
-    """Packed ids of pre-tokens.  Two generations bound it: a full one becomes the old one."""
+class Generations(dict):
+    """Values made on demand.  Two generations bound it: a full one becomes the old one."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
 
-    def __init__(self, encoder: Encoder):
-        self.encoder, self.old = encoder, {}
+class States:
+    """One generation of the transducer: numbered configurations, their steps and what they write at the end."""
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = array.array("I", self.encoder.piece(piece.encode())).tobytes()
-        if len(piece) < 64:
-            if len(self) > MAX_SEEN:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+    def __init__(self):
+        self.number: dict[frozenset, int] = {}
+        self.held: list[frozenset] = []
+        self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.last: list[tuple[int, ...] | None] = []
+        self.steps = 0
+        self.intern(frozenset([(0, -1, ())]), ())
+
+    def intern(self, configurations: frozenset, last: tuple[int, ...] | None) -> int:
+        at = self.number.get(configurations)
+        if at is None:
+            at = self.number[configurations] = len(self.held)
+            self.held.append(configurations)
+            self.step.append({})
+            self.last.append(last)
+        return at
 
 
 class Encoder:
@@ -89,17 +120,9 @@ class Encoder:
                 node = to
             self.accept[node] = rank
         self.alone: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.seen = Seen(self)
-        self._reset()
-
-    def _reset(self) -> None:
-        start = frozenset([(0, -1, ())])
-        self.number = {start: 0}
-        self.states = [start]
-        self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.last: list[tuple[int, ...] | None] = [()]
-        self.steps = 0
+        self.pairs = Generations(self._joins, MAX_PAIRS)
+        self.seen = Generations(lambda piece: array.array("I", self.piece(piece.encode())).tobytes(), MAX_SEEN)
+        self.states, self.old = States(), States()
 
     def merged(self, raw: bytes) -> list[int]:
         """Merges pairs of lowest rank first; only for tokens and pairs of tokens."""
@@ -111,63 +134,67 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _joins(self, pair: tuple[int, int]) -> bool:
+        left, right = pair
+        return self.follows(-1, right) and self.merged(self.text[left] + self.text[right]) == [left, right]
+
     def follows(self, left: int, right: int) -> bool:
-        if left < 0:
-            ok = self.alone.get(right)
-            if ok is None:
-                ok = self.alone[right] = self.merged(self.text[right]) == [right]
-            return ok
-        ok = self.pairs.get((left, right))
+        if left >= 0:
+            return self.pairs[left, right]
+        ok = self.alone.get(right)
         if ok is None:
-            ok = self.follows(-1, right) and self.merged(self.text[left] + self.text[right]) == [left, right]
-            if len(self.pairs) > MAX_PAIRS:
-                self.pairs.clear()
-            self.pairs[left, right] = ok
+            ok = self.alone[right] = self.merged(self.text[right]) == [right]
         return ok
 
     def _determinise(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The step of a state on a byte, from the old generation where it has it."""
+        now, old = self.states, self.old
+        if (at := old.number.get(now.held[state])) is not None and (move := old.step[at].get(byte)):
+            rest, last, out = old.held[move[0]], old.last[move[0]], move[1]
+        else:
+            rest, last, out = self._made(now.held[state], byte)
+        move = now.step[state][byte] = (now.intern(rest, last), out)
+        now.steps += 1
+        return move
+
+    def _made(self, configurations: frozenset, byte: int) -> tuple[frozenset, tuple[int, ...] | None, tuple[int, ...]]:
+        edges, accept = self.edges, self.accept
         alive, done = [], None
-        for node, left, pending in self.states[state]:
-            to = self.edges[node].get(byte)
+        for node, left, pending in configurations:
+            to = edges[node].get(byte)
             if to is None:
                 continue
-            if self.edges[to]:
+            if edges[to]:
                 alive.append((to, left, pending))
-            if done is None and (token := self.accept[to]) >= 0 and self.follows(left, token):
+            if done is None and (token := accept[to]) >= 0 and self.follows(left, token):
                 done = (0, token, (*pending, token))
         if done:
             alive.append(done)
-        shared = min((p for _, _, p in alive), key=len)
-        n = len(shared)
+        out = alive[0][2]
         for _, _, p in alive:
-            while p[:n] != shared[:n]:
+            n = min(len(p), len(out))
+            while p[:n] != out[:n]:
                 n -= 1
-        rest = frozenset((node, left, p[n:]) for node, left, p in alive)
-        to = self.number.get(rest)
-        if to is None:
-            to = self.number[rest] = len(self.states)
-            self.states.append(rest)
-            self.step.append({})
-            self.last.append(done[2][n:] if done else None)
-        self.step[state][byte] = (to, shared[:n])
-        self.steps += 1
-        return self.step[state][byte]
+            out = out[:n]
+        n = len(out)
+        rest = frozenset((node, left, p[n:]) for node, left, p in alive) if n else frozenset(alive)
+        return rest, done[2][n:] if done else None, out
 
     def piece(self, raw: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        if self.steps > MAX_STEPS:
-            self._reset()
+        if self.states.steps > MAX_STEPS:
+            self.states, self.old = States(), self.states
         out: list[int] = []
-        state, step = 0, self.step
+        state, step = 0, self.states.step
         for b in raw:
             move = step[state].get(b) or self._determinise(state, b)
             state = move[0]
             if move[1]:
                 out.extend(move[1])
-        out.extend(self.last[state] or ())
+        out.extend(self.states.last[state] or ())
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -175,40 +202,86 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.seen.__getitem__, find(text))), np.uint32).astype("<u4", copy=False)
 
 
+#: States of the UTF-8 machine (RFC 3629): the bytes that may come next, the state after them, and how many bytes of the character are held.
+UTF8_STATES: tuple[tuple[int, int, int, int], ...] = (
+    (0x00, 0x7F, 0, 0),  # 0: between characters
+    (0x80, 0xBF, 0, 1),  # 1: after the lead of two
+    (0xA0, 0xBF, 5, 1),  # 2: after E0
+    (0x80, 0xBF, 5, 1),  # 3: after the lead of three
+    (0x80, 0x9F, 5, 1),  # 4: after ED
+    (0x80, 0xBF, 0, 2),  # 5: after two of three
+    (0x90, 0xBF, 9, 1),  # 6: after F0
+    (0x80, 0xBF, 9, 1),  # 7: after the lead of four
+    (0x80, 0x8F, 9, 1),  # 8: after F4
+    (0x80, 0xBF, 10, 2),  # 9: after two of four
+    (0x80, 0xBF, 0, 3),  # 10: after three of four
+)
+_LEADS = ((0xC2, 0xDF, 1), (0xE0, 0xE0, 2), (0xE1, 0xEF, 3), (0xED, 0xED, 4), (0xF0, 0xF0, 6), (0xF1, 0xF3, 7), (0xF4, 0xF4, 8))
+
+
+def utf8_machine() -> np.ndarray:
+    """Next state by state and byte.  A byte that may not come begins anew, as a lead or as a byte of no character."""
+    step = np.zeros((len(UTF8_STATES), 256), np.uint8)
+    for low, high, to in _LEADS:
+        step[:, low : high + 1] = to
+    for state, (low, high, to, _) in enumerate(UTF8_STATES[1:], 1):
+        step[state, low : high + 1] = to
+    return step
+
+
 class Decoder:
-    """Streaming decode: token bytes in, text of whole characters out."""
+    """Token ids to bytes of whole characters, piece by piece."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.text = np.full(max(ranks.values()) + 1, None, object)
+        size = max(ranks.values()) + 1
+        self.text = np.full(size, None, object)
         self.text[list(ranks.values())] = list(ranks)
-        self.held = b""
-
-    def bytes(self, ids: np.ndarray) -> bytes:
-        return b"".join(self.text[ids].tolist())
-
-    @staticmethod
-    def complete(raw: bytes) -> int:
-        """Length of the prefix without an incomplete last character."""
-        n = len(raw)
-        for back in range(1, min(3, n) + 1):
-            b = raw[n - back]
-            if b >= 0xC0:
-                need = 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-                return n - back if need > back else n
-            if b < 0x80:
-                break
-        return n
-
-    def feed(self, ids: np.ndarray) -> str:
-        raw = self.held + self.bytes(ids)
-        n = self.complete(raw)
-        self.held = raw[n:]
-        return raw[:n].decode("utf-8", "replace")
-
-    def finish(self) -> str:
-        rest, self.held = self.held.decode("utf-8", "replace"), b""
+        self.step, self.held_bytes = utf8_machine(), [x[3] for x in UTF8_STATES]
+        # the machine's step over each token, from each state
+        length = np.zeros(size, np.int64)
+        length[list(ranks.values())] = [len(x) for x in ranks]
+        flat = np.frombuffer(b"".join(x for x in self.text if x is not None), np.uint8)
+        start = np.cumsum(length) - length
+        self.after = np.repeat(np.arange(len(UTF8_STATES), dtype=np.uint8)[:, None], size, axis=1)
+        for k in range(int(length.max())):
+            at = np.flatnonzero(length > k)
+            self.after[:, at] = self.step[self.after[:, at], flat[start[at] + k]]
+        self.splits = self.after[0] != 0
+        self.reset()
+
+    def reset(self) -> None:
+        self.state, self.held = 0, b""
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        """The characters that are complete after these ids."""
+        state, at, after, n = self.state, 0, self.after, len(ids)
+        for i in (np.flatnonzero(self.splits[ids]).tolist() if state == 0 else range(n)):
+            if i < at:
+                continue
+            state, at = int(after[state, ids[i]]), i + 1
+            while state and at < n:
+                state, at = int(after[state, ids[at]]), at + 1
+            if not state and self.state:
+                return self._out(ids[:at], 0) + self.feed(ids[at:])
+        return self._out(ids, state)
+
+    def _out(self, ids: np.ndarray, state: int) -> bytes:
+        raw = self.held + b"".join(self.text[ids].tolist())
+        n = len(raw) - self.held_bytes[state]
+        self.state, self.held = state, raw[n:]
+        return raw[:n]
+
+    def finish(self) -> bytes:
+        """What is left of a character that never ended."""
+        rest = self.held
+        self.reset()
         return rest
 
+    def stream(self, ids: np.ndarray, step: int = STEP) -> Iterator[bytes]:
+        for i in range(0, len(ids), step):
+            yield self.feed(ids[i : i + step])
+        yield self.finish()
+
 
 _encoders: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
 
@@ -227,6 +300,20 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+_KINDS = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded": pa.string(), "decoded_sha256": pa.string()}
+
+
+def _coded(texts: pa.Array, encoder: Encoder, decoder: Decoder, ids: bool) -> list[pa.Array]:
+    out: list[list] = [[], [], [], [], []]
+    for t in texts:
+        tokens = encoder.encode(t.as_py() or "")
+        raw = b"".join(decoder.stream(tokens))
+        row = (tokens.view("<i4") if ids else None, len(tokens), hashlib.sha256(tokens.tobytes()).hexdigest(), raw.decode("utf-8", "replace") if ids else None, hashlib.sha256(raw).hexdigest())
+        for x, v in zip(out, row, strict=True):
+            x.append(v)
+    return [pa.array(x, k) for x, k in zip(out, _KINDS.values(), strict=True)]
+
+
 def encode_decode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, ids: bool = True) -> DataFrame:
     """doc_id, ids (array, unless ``ids`` is false), n_tokens, ids_sha256, decoded, decoded_sha256."""
     at, by = (path, pattern) if path and pattern else default_vocabulary()
@@ -234,35 +321,37 @@ def encode_decode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = coder(at, by)
         for batch in batches:
-            off = tx.buffers(batch.column(1))[1]
-            for i, j in tx.chunks(off):
-                out: list[list] = [[], [], [], [], []]
-                for t in batch.column(1).slice(i, j - i):
-                    tokens = encoder.encode(t.as_py() or "")
-                    raw = decoder.bytes(tokens)
-                    out[0].append(tokens.view("<i4") if ids else None)
-                    out[1].append(len(tokens))
-                    out[2].append(hashlib.sha256(tokens.tobytes()).hexdigest())
-                    out[3].append(_stream(decoder, tokens) if ids else None)
-                    out[4].append(hashlib.sha256(raw).hexdigest())
-                kinds = (pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"])
+            for i, j in tx.chunks(tx.buffers(batch.column(1))[1]):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_coded(part.column(1), encoder, decoder, ids)], names=["doc_id", *_KINDS])
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens bigint, ids_sha256 string, decoded string, decoded_sha256 string")
 
 
-def _stream(decoder: Decoder, ids: np.ndarray, step: int = 4096) -> str:
-    out = [decoder.feed(ids[i : i + step]) for i in range(0, len(ids), step)]
-    return "".join(out) + decoder.finish()
-
-
 def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10."""
     return encode_decode(tx.table(spark, sf_dir, "documents"), ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: ids of every text, and the text decoded from them."""
-    return encode_decode(docs).select("doc_id", "ids", "n_tokens", "ids_sha256", F.col("decoded").alias("text"), "decoded_sha256")
+    """Last stage: all columns, the text as decoded from its ids, then ids, n_tokens, ids_sha256 and decoded_sha256.
+
+    A new column whose name is taken gets a trailing underscore.
+    """
+    at, by = default_vocabulary()
+    schema, _ = tx.with_columns(docs, ids="array<int>", n_tokens="bigint", ids_sha256="string", decoded_sha256="string")
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = coder(at, by)
+        for batch in batches:
+            for i, j in tx.chunks(tx.buffers(batch.column(place))[1]):
+                part = batch.slice(i, j - i)
+                tokens, n, sha, decoded, decoded_sha = _coded(part.column(place), encoder, decoder, True)
+                columns = part.columns
+                columns[place] = decoded.cast(columns[place].type)
+                yield pa.RecordBatch.from_arrays([*columns, tokens, n, sha, decoded_sha], names=schema.names)
+
+    return docs.mapInArrow(run, schema)

@@ -5,19 +5,29 @@ of items, so that its size is bounded whatever the benchmark's size).  Every
 document is streamed through it; the automaton keeps the length of the longest
 item passage that ends at the current word.  A word that no item has sends the
 automaton to its root, so only runs of item words are stepped through; runs
-shorter than the shortest window cannot match.  Documents are never shuffled
-with more than one block; there is no join at all.
-
-Defined cases: a null or empty text has no words and no hits; an item without
-words has no windows; items with equal texts all count; items without an id hit
-like others and are one null in a document's items; items may share an id; a
-null item text is ignored; repeated rows give
-repeated results; an empty documents table gives an empty result, an empty
-benchmark gives zero hits.  Columns other than the id and the text are ignored.
+shorter than the shortest window cannot match.
+
+Up to ``GROUP`` blocks are broadcast at a time (a proven bound of 16 MB), and a
+worker keeps their matchers for all of its tasks.  A benchmark of one group
+takes one pass over the documents and no join.  A larger one takes a pass for
+each group, over documents that were written once; each pass writes the hits
+of the documents that it hit, and the last step gathers these by row.  The
+driver holds one group of items at a time.
+
+Defined cases: a null or empty text has no words and no hits; null ids and
+repeated rows of documents give rows like any others; an item without words has
+no windows; items with equal texts all count; items without an id hit like
+others and are one null in a document's items, counted but not joined into
+their digest; items that share an id, of whatever lengths, all hit and are one
+id; a null item text is ignored; an empty documents table gives an empty
+result, an empty benchmark gives zero hits.  Other columns pass through the
+pipeline's stage, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .shared import Scratch
 
 WINDOW = 10
-#: An automaton has at most two states for each item word; a block's items have at most this many bytes.
+#: An automaton has at most two states for each item word; a block's items have at most this many bytes, or are one item.
 BLOCK_BYTES = 4 << 20
+#: Blocks of one pass, and matchers that a worker keeps.
+GROUP = 4
 
 
 class Automaton:
@@ -177,40 +190,53 @@ class Matcher:
         return hit, items
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The items in blocks of bounded size; each block is a broadcast of its own."""
+Block = list[tuple[str | None, bytes]]
+
+
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[Block]:
+    """The items in blocks of bounded size, one after another."""
     block, size = [], 0
-    for name, t in benchmark.select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
-        if t is None:
-            continue
+    for name, t in benchmark.select(F.col(item_id).cast("string"), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator():
         raw = t.encode()
         if block and size + len(raw) > block_bytes:
             yield block
             block, size = [], 0
         block.append((name, raw))
         size += len(raw)
-    yield block
+    if block:
+        yield block
+
 
+def item_groups(blocks: Iterator[Block], most: int) -> Iterator[list[Block]]:
+    group: list[Block] = []
+    for block in blocks:
+        if len(group) == most:
+            yield group
+            group = []
+        group.append(block)
+    yield group
 
 
+#: The matchers of the last group that this worker scanned with.
+_made: dict[tuple[str, int], Matcher] = {}
+
 
 class Scanner:
-    """Applies all blocks of items to batches of texts; a worker keeps the matchers of a few blocks."""
+    """Finds the passages of one group of blocks in batches of texts."""
 
-    def __init__(self, spark: SparkSession, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
-        self.window = window
-        self.blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item_id, item_text, block_bytes)]
-        self.cache: dict[int, Matcher] = {}
+    def __init__(self, spark: SparkSession, group: list[Block], window: int):
+        self.name, self.window = uuid.uuid4().hex, window
+        self.blocks = [spark.sparkContext.broadcast(b) for b in group]
 
     def matcher(self, k: int) -> Matcher:
-        if k not in self.cache:
-            if len(self.cache) > 3:
-                self.cache.clear()
-            self.cache[k] = Matcher(self.blocks[k].value, self.window)
-        return self.cache[k]
-
-    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
-        """Row range, and clean text, n_words, n_hit and items of its rows."""
+        if (self.name, k) not in _made:
+            for key in [x for x in _made if x[0] != self.name]:
+                del _made[key]
+            _made[self.name, k] = Matcher(self.blocks[k].value, self.window)
+        return _made[self.name, k]
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, tx.Words, np.ndarray, list[list[str | None]]]]:
+        """Row range, bytes, offsets, words, hit words, and the items of each row."""
         raw, off = tx.buffers(texts)
         for i, j in tx.chunks(off):
             local = off[i : j + 1] - off[i]
@@ -223,33 +249,103 @@ class Scanner:
                 hit |= h
                 for r, found in enumerate(names):
                     items[r] |= found
-            n_hit = np.bincount(w.doc, hit, minlength=j - i).astype(np.int64)
-            clean = texts.slice(i, j - i)
-            if hit.any():
-                kept = clean.to_pylist()
-                for r in np.flatnonzero(n_hit):
-                    kept[r] = _without(data[local[r] : local[r + 1]], w, int(r), hit, int(local[r]))
-                clean = pa.array(kept, clean.type)
-            yield i, j, [clean, pa.array(w.count), pa.array(n_hit), pa.array([sorted(x, key=lambda name: (name is None, name or "")) for x in items], pa.list_(pa.string()))]
+            yield i, j, data, local, w, hit, [_in_order(x) for x in items]
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, clean_text, n_words, n_hit, items.
+def _in_order(names: set[str | None]) -> list[str | None]:
+    return sorted(names, key=lambda name: (name is None, name or ""))
 
-    ``clean_text`` is the text without its hit words (from the first byte of a
-    hit run to the last; nothing else changes).  All blocks are applied within
-    one pass over the documents.
-    """
-    scan = Scanner(spark, benchmark, item_id, item_text, window, block_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cleaned(texts: pa.Array, data: np.ndarray, off: np.ndarray, w: tx.Words, hit: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The texts without their hit words, and the numbers of these."""
+    n_hit = np.bincount(w.doc, hit, minlength=len(texts)).astype(np.int64)
+    if not hit.any():
+        return texts, n_hit
+    kept = texts.to_pylist()
+    for r in np.flatnonzero(n_hit):
+        kept[r] = _without(data[off[r] : off[r + 1]], w, int(r), hit, int(off[r]))
+    return pa.array(kept, texts.type), n_hit
+
+
+def scanned(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, group: int = GROUP) -> tuple[DataFrame, list[str]]:
+    """All rows and columns, with clean texts and more columns: numbers of words and of hit words, and items.
+
+    The names of the three are returned too, since they avoid those of ``docs``.
+    """
+    groups = item_groups(item_blocks(benchmark, item_id, item_text, block_bytes), group)
+    schema, names = tx.with_columns(docs, n_words="bigint", n_hit="bigint", items="array<string>")
+    place = docs.columns.index(text)
+    first, second = next(groups), next(groups, None)
+    if second is None:
+        scan = Scanner(spark, first, window)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, j, data, off, w, hit, items in scan(batch.column(place)):
+                    columns = batch.slice(i, j - i).columns
+                    columns[place], n_hit = _cleaned(columns[place], data, off, w, hit)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(w.count), pa.array(n_hit), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+
+        return docs.mapInArrow(run, schema), names
+    return _in_passes(spark, docs, first, second, groups, schema, names, place, window), names
+
+
+def _in_passes(spark, docs, first, second, groups, schema, names, place, window) -> DataFrame:
+    scratch = Scratch(spark, "decontaminate")
+    _, (row, places, found) = tx.with_columns(docs, row="bigint", places="array<int>", found="array<string>")
+    base = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    hits = None
+
+    def of_group(scan: Scanner):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, j, _, _, w, hit, items in scan(batch.column(1)):
+                    at = np.flatnonzero(np.bincount(w.doc, hit, minlength=j - i) > 0)
+                    lists = [np.flatnonzero(hit[w.first[r] : w.first[r + 1]]).astype(np.int32) for r in at]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(at)), pa.array(lists, pa.list_(pa.int32())), pa.array([items[r] for r in at], pa.list_(pa.string()))], names=["row", "places", "found"])
+
+        return run
+
+    for k, group in enumerate(itertools.chain([first, second], groups)):
+        found_here = _pass(scratch, spark, base.select(row, schema.names[place]), group, of_group, window, k)
+        hits = found_here if hits is None else hits.union(found_here)
+    gathered = hits.groupBy("row").agg(F.flatten(F.collect_list("places")).alias(places), F.flatten(F.collect_list("found")).alias(found)).withColumnRenamed("row", row)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, found in scan(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *found], names=["doc_id", "clean_text", "n_words", "n_hit", "items"])
+            texts = batch.column(place)
+            raw, off = tx.buffers(texts)
+            for i, j in tx.chunks(off):
+                part, local, data = batch.slice(i, j - i), off[i : j + 1] - off[i], raw[off[i] : off[j]]
+                w = tx.words(data, local, tx.NOT_ALNUM, lower=True)
+                hit = np.zeros(len(w.start), bool)
+                items = []
+                for r, (at, mine) in enumerate(zip(part.column(len(schema) - 3).to_pylist(), part.column(len(schema) - 2).to_pylist(), strict=True)):
+                    hit[w.first[r] + np.array(at or [], np.int64)] = True
+                    items.append(_in_order(set(mine or [])))
+                columns = part.columns[: len(schema) - 3]
+                columns[place], n_hit = _cleaned(columns[place], data, local, w, hit)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(w.count), pa.array(n_hit), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+
+    return base.join(gathered, row, "left").select(*docs.columns, places, found).mapInArrow(last, schema)
+
+
+def _pass(scratch: Scratch, spark: SparkSession, rows: DataFrame, group: list[Block], of_group, window: int, k: int) -> DataFrame:
+    scan = Scanner(spark, group, window)
+    hits = scratch.keep(rows.mapInArrow(of_group(scan), "row bigint, places array<int>, found array<string>"), f"hits{k}")
+    for b in scan.blocks:
+        b.unpersist()
+    return hits
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, group: int = GROUP) -> DataFrame:
+    """One row per document: doc_id, clean_text, n_words, n_hit, items.
 
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, clean_text string, n_words bigint, n_hit bigint, items array<string>")
+    ``clean_text`` is the text without its hit words (from the first byte of a
+    hit run to the last; nothing else changes).
+    """
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("clean_text"))
+    return scanned(spark, source, benchmark, text="clean_text", item_id=item_id, item_text=item_text, window=window, block_bytes=block_bytes, group=group)[0]
 
 
 def _without(raw: np.ndarray, w: tx.Words, row: int, hit: np.ndarray, base: int) -> str:
@@ -280,17 +376,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, max_hit: int = 3
     ``max_hit`` words alone never reject a document of which less than
     ``max_share`` is hit: a long document only loses its spans.
     """
-    scan = Scanner(spark, tx.table(spark, sf_dir, "benchmark"))
-    schema, (words, hits) = tx.with_columns(docs, n_words="bigint", n_hit="bigint")
-    place = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, (clean, n_words, n_hit, _) in scan(batch.column(place)):
-                columns = batch.slice(i, j - i).columns
-                columns[place] = clean
-                yield pa.RecordBatch.from_arrays([*columns, n_words, n_hit], names=schema.names)
-
+    found, (words, hits, _) = scanned(spark, docs, tx.table(spark, sf_dir, "benchmark"))
     n, all_ = F.col(hits), F.col(words)
     gone = (n >= max_hit) & (n > max_share * all_) | (n > 0) & (n == all_)
-    return docs.mapInArrow(run, schema).where(~gone).select(*docs.columns)
+    return found.where(~gone).select(*docs.columns)

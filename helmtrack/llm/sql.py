@@ -33,18 +33,18 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN j USING (doc_id)"""
 _LOWER = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUALITY = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
-l AS (SELECT doc_id, source, md5(text) AS body, unnest(string_split(text, chr(10))) AS line FROM d),
-n AS (SELECT doc_id, source, body, line, {_WORDS.replace("coalesce(text, '')", 'line')} AS w FROM l),
-o AS (SELECT doc_id, source, body, line, len(w) AS words, array_to_string({_WORDS.replace("coalesce(text, '')", f"regexp_replace({_LOWER}, '[0-9]', '0', 'g')")}, ' ') AS norm FROM n WHERE len(w) > 0),
-hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-often AS (SELECT o.source, norm FROM o JOIN hosts ON o.source IS NOT DISTINCT FROM hosts.source GROUP BY o.source, norm HAVING count(DISTINCT body) >= {quality.LEAST} AND count(DISTINCT body) > {quality.SHARE}::DOUBLE * any_value(docs)),
-gone AS (SELECT doc_id, sum(words)::BIGINT AS g FROM o JOIN often ON o.source IS NOT DISTINCT FROM often.source AND o.norm = often.norm GROUP BY doc_id),
-dup AS (SELECT doc_id, sum(c - 1)::BIGINT AS n FROM (SELECT doc_id, line, count(*) AS c FROM o GROUP BY ALL) GROUP BY doc_id),
-v AS (SELECT doc_id, k, array_to_string(w[k + 1 : k + 5], ' ') AS t FROM (SELECT doc_id, w, unnest(range(greatest(0, len(w) - 4))) AS k FROM d)),
-r AS (SELECT doc_id, count(DISTINCT x)::BIGINT AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS x FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS c FROM v) WHERE c > 1) GROUP BY doc_id),
-q AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(g, 0) AS n_boilerplate_words
-  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN gone USING (doc_id)),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, 'row ' || row_number() OVER ()) AS who, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+l AS (SELECT r, who, source, unnest(string_split(text, chr(10))) AS line FROM d),
+n AS (SELECT r, who, source, line, {_WORDS.replace("coalesce(text, '')", 'line')} AS w FROM l),
+o AS (SELECT r, who, source, line, len(w) AS words, array_to_string({_WORDS.replace("coalesce(text, '')", f"regexp_replace({_LOWER}, '[0-9]', '0', 'g')")}, ' ') AS norm FROM n WHERE len(w) > 0),
+hosts AS (SELECT source, count(DISTINCT who) AS docs FROM d GROUP BY source),
+often AS (SELECT o.source, norm FROM o JOIN hosts ON o.source IS NOT DISTINCT FROM hosts.source GROUP BY o.source, norm HAVING count(DISTINCT who) >= {quality.LEAST} AND count(DISTINCT who) > {quality.SHARE}::DOUBLE * any_value(docs)),
+gone AS (SELECT r, sum(words)::BIGINT AS g FROM o JOIN often ON o.source IS NOT DISTINCT FROM often.source AND o.norm = often.norm GROUP BY r),
+dup AS (SELECT r, sum(c - 1)::BIGINT AS n FROM (SELECT r, line, count(*) AS c FROM o GROUP BY ALL) GROUP BY r),
+v AS (SELECT r, k, array_to_string(w[k + 1 : k + 5], ' ') AS t FROM (SELECT r, w, unnest(range(greatest(0, len(w) - 4))) AS k FROM d)),
+rep AS (SELECT r, count(DISTINCT x)::BIGINT AS n FROM (SELECT r, unnest(range(k, k + 5)) AS x FROM (SELECT *, count(*) OVER (PARTITION BY r, t) AS c FROM v) WHERE c > 1) GROUP BY r),
+q AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(g, 0) AS n_boilerplate_words
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM q)
 SELECT *, NOT base_failed AND n_words - n_boilerplate_words >= {quality.KEEP}::DOUBLE * n_words AS kept FROM f"""
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import random
 import re
 import string
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,7 +96,34 @@ def test_bpe_on_odd_characters(reference_tokenizer):
     for s in samples:
         ids = encoder.encode(s)
         assert ids.tolist() == reference_tokenizer.encode_ordinary(s), s
-        assert decoder.bytes(ids) == s.encode() and bpe._stream(decoder, ids, 1) == s
+        assert b"".join(decoder.stream(ids)) == s.encode() == b"".join(decoder.stream(ids, 1))
+        for whole in decoder.stream(ids, 1):
+            whole.decode()  # every piece ends between characters
+
+
+def test_the_decoder_on_bytes_that_are_no_utf8():
+    _, decoder = bpe.coder(*bpe.default_vocabulary())
+    one = {raw: i for i, raw in enumerate(decoder.text) if raw is not None and len(raw) == 1}
+    rng = random.Random(4)
+    pool = [0x41, 0x80, 0x9F, 0xA0, 0xBF, 0xC0, 0xC2, 0xE0, 0xE1, 0xED, 0xF0, 0xF1, 0xF4, 0xF5, 0xFF]
+    for _ in range(300):
+        raw = bytes(rng.choice(pool) for _ in range(rng.randrange(12)))
+        ids = np.array([one[bytes([b])] for b in raw], np.int64)
+        assert "".join(piece.decode("utf-8", "replace") for piece in decoder.stream(ids, 1)) == raw.decode("utf-8", "replace")
+        assert b"".join(decoder.stream(ids, 5)) == raw
+
+
+def test_generations_keep_results(reference_tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_STEPS", 50)
+    at, pattern = bpe.default_vocabulary()
+    encoder = bpe.Encoder(bpe.read_ranks(at), pattern)
+    encoder.seen.most = encoder.pairs.most = 20
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeéö漢") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    for _ in range(30):
+        s = " ".join(rng.choice(words) for _ in range(40))
+        assert encoder.encode(s).tolist() == reference_tokenizer.encode_ordinary(s)
+    assert len(encoder.seen) <= 20 and encoder.states.steps < 50 + 400
 
 
 def test_bpe_of_an_empty_table(docs):
@@ -127,12 +156,12 @@ def plain_contamination(rows, items, window):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_contamination(spark, docs, odd, block):
+@pytest.mark.parametrize(("block", "group"), [(1 << 20, 4), (300, 8), (300, 2), (1, 1)])
+def test_contamination(spark, docs, odd, block, group):
     texts = dict(odd)
     items = [(1, " ".join((texts[6] or "").split()[3:18])), (2, "Two, WORDS!"), (3, None), (4, "?!"), (5, texts[8]), (10, texts[8]), (7, "漢字 x"), (8, "a " * 12), (9, " ".join((texts[9] or "").split()[:9]))]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    found = decontaminate.decontaminate(spark, docs, bench, block_bytes=block).collect()
+    found = decontaminate.decontaminate(spark, docs, bench, block_bytes=block, group=group).collect()
     want = plain_contamination(odd, items, 10)
     assert {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in found} == want
     assert any(v[1] for v in want.values())
@@ -173,6 +202,33 @@ def test_quality_of_lines(spark):
     assert got[99].n_symbols == 4 and got[99].n_dup_lines == 1 and got[99].kept
 
 
+def test_quality_of_repeated_rows_and_null_ids(spark, tmp_path):
+    """Against the SQL, which numbers the rows."""
+    import duckdb
+
+    from helmtrack.llm.sql import QUALITY
+
+    body = lambda i: " ".join(f"t{i}x{j}" for j in range(20))
+    rows = [(i, f"Shared line {i} here\n{body(i)}", "h") for i in range(12)]
+    rows += [rows[3]] * 2 + [(None, rows[3][1], "h")] * 2 + [(None, f"shared LINE 7 here\n{body('n')}", "h")]
+    rows += [(50 + k, f"copied text {body('c')}\nshared line 1 here", "copies") for k in range(30)] + [(50, "another text of this id " + body("d"), "copies"), (None, None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = quality.quality(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({QUALITY})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert {r.n_boilerplate_words for r in got.where("doc_id = 3").collect()} == {24}  # digits count alike
+
+
+def test_texts_without_boilerplate_lines(spark):
+    rows = [(i, f"\nAll  Rights {i}\nown é text {'abcdefghijkl'[i]}\n\nall rights 1") for i in range(12)] + [(20, "no line of it"), (21, None), (21, "ALL rights 5"), (None, "x\nall rights 3\ny")]
+    docs = spark.createDataFrame([(*r, "h", 1) for r in rows], "doc_id bigint, text string, source string, row int")
+    got = {(r.doc_id, r.clean_text) for r in quality.quality_rules(docs, texts=True).collect()}
+    # digits count alike, but "rights 10" and "rights 11" have two of them
+    assert got == {(i, f"\nown é text {'abcdefghijkl'[i]}\n") if i < 10 else (i, f"\nAll  Rights {i}\nown é text {'abcdefghijkl'[i]}\n") for i in range(12)} | {(20, "no line of it"), (21, None), (21, ""), (None, "x\ny")}
+
+
 def test_items_without_an_id_and_items_of_one_id(spark, tmp_path):
     """Against the SQL: null ids hit, and a short item's length is its own, not that of its id's first text."""
     import duckdb
