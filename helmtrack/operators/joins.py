@@ -1,8 +1,8 @@
 """As-of joins and interpolation onto grids.
 
 The rows of both sides are merged by key and time in one shuffle and carried
-forwards and backwards with windows: no row is compared with more than its two
-neighbours, whatever the size of the sides.
+forwards and backwards with windows whose frames only grow: no row is compared
+with more than its two neighbours, whatever the size of the sides.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ def bracketed(points: DataFrame, grid: DataFrame, key: str, time: str, columns:
     right = grid.select(F.col(key).alias("k"), F.col(time).cast("double").alias("t"), F.lit(1).alias("side"), F.lit(None).cast(left.schema["point"].dataType).alias("point"), F.struct("*").alias("row"))
     both = left.unionByName(right)
     back = Window.partitionBy("k").orderBy("t", "side", "point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    forth = Window.partitionBy("k").orderBy("t", F.desc("side"), "point").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    held = both.withColumns({"before": F.last("point", ignorenulls=True).over(back), "after": F.first("point", ignorenulls=True).over(forth)})
+    # what follows is read in reverse: a frame to the series' end would be gone through again for every row
+    forth = Window.partitionBy("k").orderBy(F.desc("t"), "side", F.desc("point")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = both.withColumns({"before": F.last("point", ignorenulls=True).over(back), "after": F.last("point", ignorenulls=True).over(forth)})
     return held.where("side = 1").select("row.*", "before", "after")
 
 

@@ -198,10 +198,10 @@ def extrema(df: DataFrame, value: str) -> DataFrame:
     marked = df.withColumns({"kind": kind, "start_value": F.first(x).over(whole()), "end_value": F.last(x).over(whole())}).where("kind is not null")
     value_of = lambda k: F.when(F.col("kind") == k, x)
     back = ordered().rowsBetween(Window.unboundedPreceding, -1)
-    forth = ordered().rowsBetween(1, Window.unboundedFollowing)
+    forth = Window.partitionBy(ID).orderBy(F.desc(FRAME)).rowsBetween(Window.unboundedPreceding, -1)
     other = lambda f, span: F.when(F.col("kind") == "crest", f(value_of("trough"), ignorenulls=True).over(span)).otherwise(f(value_of("crest"), ignorenulls=True).over(span))
     left = F.abs(x - F.coalesce(other(F.last, back), F.col("start_value")))
-    right = F.abs(x - F.coalesce(other(F.first, forth), F.col("end_value")))
+    right = F.abs(x - F.coalesce(other(F.last, forth), F.col("end_value")))
     return marked.withColumn("prominence", F.least(left, right)).drop("start_value", "end_value")
 
 

@@ -51,9 +51,9 @@ def compose(stages: Sequence[DataFrame], *, delta: bool = False) -> DataFrame:
     lone = F.when(F.size("active") == 0, F.array("grid")).otherwise(F.col("active"))
     marked = every.join(known, ID).withColumn("active", lone)
     back = Window.partitionBy(ID).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    forth = Window.partitionBy(ID).orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    forth = Window.partitionBy(ID).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     mine = lambda k: F.when(F.col("stage") == k, F.col("point"))
-    near = {f"a{k}": F.last(mine(k), ignorenulls=True).over(back) for k in range(len(stages))} | {f"b{k}": F.first(mine(k), ignorenulls=True).over(forth) for k in range(len(stages))}
+    near = {f"a{k}": F.last(mine(k), ignorenulls=True).over(back) for k in range(len(stages))} | {f"b{k}": F.last(mine(k), ignorenulls=True).over(forth) for k in range(len(stages))}
     grid = marked.withColumns(near).where("stage = grid")
     total: list[Column] = [F.lit(float(i % 4 == 0)) for i in range(9)]
     for k in range(len(stages)):

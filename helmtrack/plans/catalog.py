@@ -47,22 +47,21 @@ def first_seen_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.first_seen(table(spark, sf_dir, "part").where("p_brand is not null"), "p_brand", "p_partkey")
 
 
-@query("natural_sort", "WITH n AS (SELECT p_partkey, 'clip' || (p_partkey * 7919 % 1013)::VARCHAR || '_' || p_size::VARCHAR || '.gpx' AS name, p_partkey * 7919 % 1013 AS a, p_size AS b FROM part) SELECT name, p_partkey, row_number() OVER (ORDER BY a, b, p_partkey) AS place FROM n QUALIFY place <= 200")
+@query("natural_sort", "WITH n AS (SELECT p_partkey, 'clip' || (p_partkey * 7919 % 1013)::VARCHAR || '_' || p_size::VARCHAR || '.gpx' AS name, p_partkey * 7919 % 1013 AS a, p_size AS b FROM part) SELECT name, p_partkey, row_number() OVER (ORDER BY a, b, p_partkey) AS place FROM n")
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 files in natural order."""
+    """All files with their places in natural order."""
     name = F.concat(F.lit("clip"), (F.col("p_partkey") * 7919 % 1013).cast("string"), F.lit("_"), F.col("p_size").cast("string"), F.lit(".gpx"))
     rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
-    top = catalog.natural(rows, "name", ["p_partkey"]).orderBy("natural", "p_partkey").limit(200)
-    return top.select("name", "p_partkey", F.row_number().over(Window.orderBy("natural", "p_partkey")).cast("bigint").alias("place"))
+    return catalog.placed(catalog.natural(rows, "name", ["p_partkey"]), "natural", "p_partkey").select("name", "p_partkey", "place")
 
 
-@query("media_catalog", "SELECT path, kind, size FROM (SELECT 'v' || (o_orderkey % 5000)::VARCHAR || CASE WHEN o_orderkey % 5000 % 4 = 0 THEN '.JPG' ELSE '.mp4' END AS path, CASE WHEN o_orderkey % 5000 % 4 = 0 THEN 'image' ELSE 'video' END AS kind, round(max(o_totalprice), 2) AS size, max(o_orderdate) AS d FROM orders GROUP BY ALL) ORDER BY d DESC, path LIMIT 100")
+@query("media_catalog", "SELECT path, kind, size FROM (SELECT 'v' || (o_orderkey % 5000)::VARCHAR || CASE WHEN o_orderkey % 5000 % 4 = 0 THEN '.JPG' ELSE '.mp4' END AS path, CASE WHEN o_orderkey % 5000 % 4 = 0 THEN 'image' ELSE 'video' END AS kind, round(max(o_totalprice), 2) AS size, max(o_orderdate) AS d FROM orders GROUP BY ALL)")
 def media_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest hundred media files, each path once."""
+    """All media files, each path once, the newest first."""
     k = F.col("o_orderkey") % 5000
     path = F.concat(F.lit("v"), k.cast("string"), F.when(k % 4 == 0, ".JPG").otherwise(".mp4"))
     rows = table(spark, sf_dir, "orders").select(path.alias("path"), "o_totalprice", "o_orderdate")
-    rows = rows.groupBy("path").agg(F.round(F.max("o_totalprice"), 2).alias("size"), F.max("o_orderdate").alias("d")).orderBy(F.desc("d"), "path").limit(100)
+    rows = rows.groupBy("path").agg(F.round(F.max("o_totalprice"), 2).alias("size"), F.max("o_orderdate").alias("d")).orderBy(F.desc("d"), "path")
     return rows.select("path", F.when(F.lower("path").rlike(r"\.(jpe?g|png)$"), "image").otherwise("video").alias("kind"), "size")
 
 

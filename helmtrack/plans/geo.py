@@ -40,16 +40,19 @@ def bearing_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("track_sync_1hz", f"""
-WITH {SERIES}, win AS (SELECT series_id, floor(min(sec)) - 5 AS start FROM s GROUP BY series_id),
-g AS (SELECT series_id, start + n AS sec, n::INT AS k FROM win, (SELECT unnest(range(301)) AS n)),
-b AS (SELECT g.*, p.sec AS t0, p.lat AS lat0, p.lon AS lon0, p.ele AS ele0 FROM g ASOF LEFT JOIN s p ON g.series_id = p.series_id AND g.sec >= p.sec),
-f AS (SELECT b.*, p.sec AS t1, p.lat AS lat1, p.lon AS lon1, p.ele AS ele1 FROM b ASOF LEFT JOIN s p ON b.series_id = p.series_id AND b.sec <= p.sec),
+WITH {SERIES}, c AS (SELECT series_id, lat, lon, ele, frame * 3e0 + abs(value) % 2e0 AS sec FROM s),
+win AS (SELECT series_id, floor(min(sec)) - 5 AS start, (ceil(max(sec)) - floor(min(sec)) + 10)::INT AS length FROM c GROUP BY series_id),
+g AS (SELECT series_id, start + k AS sec, k::INT AS k FROM (SELECT series_id, start, unnest(range(length + 1)) AS k FROM win)),
+b AS (SELECT g.*, p.sec AS t0, p.lat AS lat0, p.lon AS lon0, p.ele AS ele0 FROM g ASOF LEFT JOIN c p ON g.series_id = p.series_id AND g.sec >= p.sec),
+f AS (SELECT b.*, p.sec AS t1, p.lat AS lat1, p.lon AS lon1, p.ele AS ele1 FROM b ASOF LEFT JOIN c p ON b.series_id = p.series_id AND b.sec <= p.sec),
 h AS (SELECT *, CASE WHEN t1 - t0 > 0 THEN (sec - t0) / (t1 - t0) ELSE 0 END AS q FROM f)
 SELECT series_id, k AS sec, {', '.join(f"round(CASE WHEN t0 IS NULL THEN {c}1 WHEN t1 IS NULL THEN {c}0 ELSE {c}0 + q * ({c}1 - {c}0) END, {d}) AS {c}" for c, d in (('lat', 8), ('lon', 8), ('ele', 3)))} FROM h""")
 def track_sync_1hz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks cut to a window of 300 seconds from before their first fix, at 1 Hz."""
-    fixes = series(spark, sf_dir).select("series_id", "frame", "sec", "lat", "lon", "ele")
-    windows = fixes.groupBy("series_id").agg((F.floor(F.min("sec")) - 5).cast("double").alias("start")).withColumn("length", F.lit(300))
+    """Whole tracks at 1 Hz, of a fix each three seconds and some, from 5 seconds before the first fix to 5 after the last."""
+    clock = F.col("frame") * 3.0 + F.abs("value") % 2.0
+    fixes = series(spark, sf_dir).select("series_id", "frame", clock.alias("sec"), "lat", "lon", "ele")
+    start = F.floor(F.min("sec"))
+    windows = fixes.groupBy("series_id").agg((start - 5).cast("double").alias("start"), (F.ceil(F.max("sec")) - start + 10).cast("int").alias("length"))
     return track.synchronised(fixes, windows)
 
 

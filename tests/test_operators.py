@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helmtrack.functions import rotation, text
-from helmtrack.operators import catalog, checkpoints, metrics, search, stages
+from helmtrack.operators import catalog, checkpoints, joins, metrics, search, stages
 
 
 def one(spark, column):
@@ -107,3 +107,25 @@ def test_catalog(spark):
     assert one(spark, catalog.preset_value(F.lit('{"a": "1.5"}'), "a", "double", 0.0)) == 1.5
     assert one(spark, catalog.degraded(F.lit("X : 1\nSTATUS : NO (UNSTABILIZED) -23.8%")))
     assert not one(spark, catalog.degraded(F.lit("STATUS : YES (STABILIZED) +36.0%")))
+
+
+def test_a_long_series_is_interpolated_in_linear_time(spark):
+    """200,000 points and as many grid rows of one series; frames to the series' end would take hours."""
+    import time
+
+    n = 200_000
+    points = spark.range(n).select(F.lit("a").alias("k"), (F.col("id") * 2.0).alias("t"), (F.col("id") * 4.0).alias("v"))
+    grid = spark.range(n).select(F.lit("a").alias("k"), (F.col("id") * 2.0 + 1.0).alias("t"))
+    began = time.perf_counter()
+    found = joins.interpolated(points, grid, "k", "t", ["v"])
+    wrong = found.where(F.abs(F.col("v") - F.least(F.col("t") * 2, F.lit(4.0 * (n - 1)))) > 1e-6)
+    assert (found.count(), wrong.count()) == (n, 0)
+    assert time.perf_counter() - began < 60
+
+
+def test_places_of_all_rows(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 977).alias("a"), F.col("id").alias("b"))
+    got = [(r.a, r.b, r.place) for r in catalog.placed(rows.repartition(7), "a", "b").collect()]
+    want = sorted((i * 7919 % 977, i) for i in range(5000))
+    assert sorted(got, key=lambda r: r[2]) == [(*x, k) for k, x in enumerate(want, 1)]
+    assert catalog.placed(rows.limit(0), "a", "b").count() == 0
