@@ -4,32 +4,35 @@ A text is its words, ASCII lower-cased, joined by one space, and an end mark.
 The tree's contexts are the up to ``depth`` bytes before a symbol.  A context
 is retained when training has it ``least`` times and when its next-symbol
 distribution diverges from that of its longest shorter suffix: the
-log-likelihood ratio must exceed ``gain`` nats, so the tree grows with the corpus.  A retained
-context's distribution is smoothed with its parent's (Witten-Bell weights), the
-root's with a uniform one, so every text has a positive probability.
+log-likelihood ratio must exceed ``gain`` nats.  Both are absolute, so the tree
+grows with the corpus.  A retained context's distribution is smoothed with its
+parent's (Witten-Bell weights), the root's with a uniform one, so every text
+has a positive probability.  A symbol is scored in the state of the longest
+retained suffix of what precedes it.
 
 Counts are those of all training documents: each task counts its grams of
 ``depth`` + 1 bytes, Spark sums them, and shorter grams are sums of longer
-ones.  Scores do not depend on ``p_min``; it only says where a context is kept.
-Those of at least this share of all training symbols are at most 1 / p_min a
-depth; the retained ones of them are an automaton that every worker holds.
-Scoring runs it over many pieces of the texts at once; its state is the longest
-suffix in it, and depends on the last ``depth`` bytes only, so pieces with that
-much overlap give the same sums as one run.  The retained contexts of smaller
-shares, without bound, stay a written table and never reach the driver: it is
-joined to the distinct grams, which gives each gram's difference to the
-automaton's score, and these to the documents.  Positions whose whole context is
-frequent have no rarer one and take no part in the joins.
+ones.  The retained contexts are written tables.  Of their symbols, at most
+``held`` are also held by every worker as sorted arrays: those of the contexts
+seen most, down to a count that the counts' histogram gives.  The contexts
+below that count, without bound, never reach the driver: they are joined to the
+distinct grams that end in one, which gives each such gram's difference to the
+held tree's score, and these to the rows.  Where a context is kept changes no
+score.
 
 The unigram base score needs every word's training count.  Words of at least
 the share ``frequent`` of all tokens are at most 1 / frequent and are looked up
 in a broadcast table; the others are joined, so no key of the join is hot.
 Words are compared by 64-bit hashes.
 
+Every row is scored once, into a written table that also fixes its number; sums
+of joined parts go by that number.
+
 Defined cases: a null or empty text is the end mark alone; repeated rows are
-each learned from and scored; without training documents the tree is the
-uniform root; other columns are ignored.  ``doc_id`` should be unique: rows of
-one doc_id share the sums of their rare words.
+each learned from and scored; a null doc_id counts as an empty one, so such a
+row is learned from and not held out; without training documents the tree is
+the uniform root; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,14 +51,17 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .shared import Scratch
 
-DEPTH, LEAST, P_MIN, GAIN, FREQUENT = 6, 5, 2e-6, 12.0, 1e-6
+DEPTH, LEAST, GAIN, FREQUENT = 7, 5, 12.0, 1e-6
+#: Most symbols of retained contexts, and most contexts of full depth, that the driver and every worker hold.
+HELD_SYMBOLS = 4_000_000
+#: Bytes of text whose grams are looked up at a time.
+LOOKUP = 1 << 21
 END, SPACE = 0x0A, 0x20
-PIECE = 256
 FOLDS, HELD = 7, 2
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD
 
 
 def normalised(w: tx.Words, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,197 +159,115 @@ def _grams(depth: int):
     return lambda w: _positions(w, depth)[0]
 
 
-@dataclass
+def _bytes(gram: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` bytes."""
+    return gram if n > 7 else gram & np.uint64((1 << (8 * n)) - 1)
+
+
 class Tree:
-    """Retained contexts by depth, with sparse next-symbol counts; ``automaton`` makes it dense."""
-
-    depth: int
-    level: np.ndarray
-    context: np.ndarray
-    symbol: np.ndarray
-    count: np.ndarray
-
-    def automaton(self) -> Automaton:
-        return Automaton(self)
-
-
-class Automaton:
-    """States: retained contexts and their prefixes.  Tables of next state and log10 probability."""
-
-    def __init__(self, tree: Tree):
-        d = tree.depth
-        root = tree.level == 0
-        seen = np.unique(tree.symbol[root])
-        self.code = np.full(256, len(seen), np.int64)
-        self.code[seen] = np.arange(len(seen))
-        self.symbols = len(seen) + 1
-        levels = [np.unique(tree.context[tree.level == k]) if k else np.zeros(1, np.uint64) for k in range(d + 1)]
-        kept = [x.copy() for x in levels]
-        for k in range(d, 1, -1):
-            levels[k - 1] = np.unique(np.concatenate([levels[k - 1], levels[k] >> np.uint64(8)]))
-        base = np.concatenate([[0], np.cumsum([len(x) for x in levels])])
-        total = int(base[-1])
-        fail, row = np.zeros(total, np.int64), np.zeros(total, np.int64)
-        rows = [self._root(tree, root)]
-        self.next = np.zeros((total, self.symbols), np.int32)
-        for k in range(d + 1):
-            ids = np.arange(base[k], base[k + 1])
-            if k:
-                fail[ids] = self._longest(levels, base, levels[k], k - 1)
-                row[ids] = row[fail[ids]]
-                mine = np.searchsorted(levels[k], kept[k])
-                if len(kept[k]):
-                    table = self._smoothed(tree, k, kept[k], rows, row[ids[mine]])
-                    row[ids[mine]] = sum(len(x) for x in rows) + np.arange(len(mine))
-                    rows.append(table)
-                self.next[ids] = self.next[fail[ids]]
-            if k < d and len(levels[k + 1]):
-                child = levels[k + 1]
-                parent = base[k] + np.searchsorted(levels[k], child >> np.uint64(8))
-                self.next[parent, self.code[(child & np.uint64(255)).astype(np.int64)]] = np.arange(base[k + 1], base[k + 2])
-        self.logp = np.log10(np.concatenate(rows)).astype(np.float32)
-        self.row = row.astype(np.int32)
-        self.depth = d
-
-    def _root(self, tree: Tree, at: np.ndarray) -> np.ndarray:
-        n = np.zeros(self.symbols)
-        n[self.code[tree.symbol[at]]] = tree.count[at]
-        p = (n + 0.5) / (n.sum() + 0.5 * 256)
-        p[-1] = 0.5 / (n.sum() + 0.5 * 256)  # of each byte that training never had
-        return p[None, :]
-
-    @staticmethod
-    def _longest(levels: list[np.ndarray], base: np.ndarray, value: np.ndarray, top: int) -> np.ndarray:
-        """State of the longest suffix of at most ``top`` bytes."""
-        out, open_ = np.zeros(len(value), np.int64), np.ones(len(value), bool)
-        for k in range(top, 0, -1):
-            if not len(levels[k]):
+    """Retained contexts by depth: sorted grams with smoothed probabilities, and contexts with the weight of their parent.
+
+    Made of parallel arrays of the contexts' symbols: level, gram (the context
+    and the symbol after it) and count.  Level 0 has the counts of the root.
+    """
+
+    def __init__(self, depth: int, level: np.ndarray, gram: np.ndarray, count: np.ndarray):
+        self.depth = depth
+        n = np.zeros(256)
+        n[gram[level == 0].astype(np.int64)] = count[level == 0]
+        self.root = np.log10((n + 0.5) / (n.sum() + 0.5 * 256))
+        none = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)
+        self.levels = [none] * (depth + 1)
+        for k in range(1, depth + 1):
+            order = np.argsort(gram[level == k])
+            g, n = gram[level == k][order], count[level == k][order].astype(np.float64)
+            contexts, first = np.unique(g >> np.uint64(8), return_index=True)
+            if not len(g):
                 continue
-            v = value & np.uint64((1 << (8 * k)) - 1)
-            at = np.minimum(np.searchsorted(levels[k], v), len(levels[k]) - 1)
-            hit = open_ & (levels[k][at] == v)
-            out[hit] = base[k] + at[hit]
-            open_ &= ~hit
-        return out
+            kinds = np.diff(np.append(first, len(g))).astype(np.float64)
+            total = np.add.reduceat(n, first)
+            of = np.repeat(np.arange(len(contexts)), kinds.astype(np.int64))
+            shorter = 10.0 ** self.grams(_bytes(g, k), k - 1)
+            self.levels[k] = g, np.log10((n + kinds[of] * shorter) / (total + kinds)[of]), contexts, np.log10(kinds / (total + kinds))
 
-    def _smoothed(self, tree: Tree, k: int, contexts: np.ndarray, rows: list[np.ndarray], parents: np.ndarray) -> np.ndarray:
-        at = tree.level == k
-        n = np.zeros((len(contexts), self.symbols))
-        np.add.at(n, (np.searchsorted(contexts, tree.context[at]), self.code[tree.symbol[at]]), tree.count[at])
-        kinds = (n > 0).sum(axis=1)
-        return (n + kinds[:, None] * np.concatenate(rows)[parents]) / (n.sum(axis=1) + kinds)[:, None]
-
-    def positions(self, data: np.ndarray) -> np.ndarray:
-        """log10 probability of every byte after the ones before it."""
-        n, d = len(data), self.depth
-        lanes = -(-n // PIECE)
-        codes = np.full(d + lanes * PIECE, self.code[END], np.int64)
-        codes[d : d + n] = self.code[data]
-        out = np.empty((PIECE, lanes), np.float32)
-        state = np.zeros(lanes, np.int32)
-        step = np.arange(lanes) * PIECE
-        flat_next, flat_p, width = self.next.ravel(), self.logp.ravel(), self.symbols
-        for k in range(d + PIECE):
-            c = codes[step + k]
-            if k >= d:
-                out[k - d] = flat_p[self.row[state] * width + c]
-            state = flat_next[state * width + c]
-        return out.T.ravel()[:n]
-
-    def grams(self, gram: np.ndarray) -> np.ndarray:
+    def grams(self, gram: np.ndarray, top: int | None = None) -> np.ndarray:
         """log10 probability of the last byte of every gram after the others."""
-        byte = lambda k: self.code[(gram >> np.uint64(8 * k) & np.uint64(255)).astype(np.int64)]
-        state = np.zeros(len(gram), np.int32)
-        for k in range(self.depth, 0, -1):
-            state = self.next[state, byte(k)]
-        return self.logp[self.row[state], byte(0)]
-
-    def texts(self, w: tx.Words) -> np.ndarray:
-        data, off = normalised(w, self.depth)
-        p = self.positions(data).astype(np.float64)
-        for k in range(self.depth):
-            p[off[:-1] + k] = 0
-        total = np.concatenate([[0], np.cumsum(p)])
-        return total[off[1:]] - total[off[:-1]]
+        out, open_ = np.zeros(len(gram)), np.arange(len(gram))
+        for k in range(self.depth if top is None else top, 0, -1):
+            keys, score, contexts, passed = self.levels[k]
+            if not len(keys):
+                continue
+            g = _bytes(gram[open_], k + 1)
+            at = _find(keys, g)
+            hit = at >= 0
+            out[open_[hit]] += score[at[hit]]
+            open_, g = open_[~hit], g[~hit]
+            at = _find(contexts, g >> np.uint64(8))  # a retained context that never had this symbol
+            out[open_[at >= 0]] += passed[at[at >= 0]]
+        out[open_] += self.root[(gram[open_] & np.uint64(255)).astype(np.int64)]
+        return out
 
 
 @dataclass
 class Learned:
-    """The tree of frequent contexts, all frequent contexts by depth, and tables of the rarer ones and of the training grams."""
+    """The held tree, all contexts of full depth that are seen as often, a table of the rarer contexts (None without any), and the training grams."""
 
     tree: Tree
-    often: list[np.ndarray]
+    often: np.ndarray
     rare: DataFrame | None
     grams: DataFrame
 
-    def automaton(self) -> Automaton:
-        return self.tree.automaton()
 
-
-def learn(scratch: Scratch, train: DataFrame, *, depth: int = DEPTH, least: int = LEAST, p_min: float = P_MIN, gain: float = GAIN) -> Learned:
+def learn(scratch: Scratch, train: DataFrame, *, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN, held: int = HELD_SYMBOLS) -> Learned:
     """The tree of (doc_id, text) rows."""
     rows = train.mapInArrow(_counting(_grams(depth)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     byte = F.col("key").bitwiseAND(255).cast("int")
     level = scratch.keep(rows, "grams")
     scratch.release()
-    total = level.agg(F.sum("n")).first()[0] or 0
-    limit = max(least, int(np.ceil(p_min * total)))
-    found: list[np.ndarray] = []
-    often: list[np.ndarray] = [np.zeros(1, np.int64)]
-    rare: list[DataFrame] = []
     tables: list[DataFrame] = [level]
     for k in range(depth, 0, -1):
         shorter = tables[-1].groupBy(F.col("key").bitwiseAND((1 << (8 * k)) - 1).alias("key")).agg(F.sum("n").alias("n"))
         tables.append(scratch.keep(shorter, f"grams{k}"))
-    context = F.shiftright("key", 8).alias("context")
+    context = F.shiftrightunsigned("key", 8).alias("context")
     kept: list[DataFrame] = []
-    for k, table in zip(range(depth, -1, -1), tables, strict=True):
+    whole = None
+    for k, table in zip(range(depth, 0, -1), tables, strict=False):
         counts = table.select(context, byte.alias("symbol"), "n")
-        if k:
-            totals = counts.groupBy("context").agg(F.sum("n").alias("total"))
-            often.insert(1, np.sort(totals.where(F.col("total") >= limit).select("context").toArrow().column(0).to_numpy()))  # at most 1 / p_min rows
-            mine = counts.join(totals.where(F.col("total") >= least), "context").withColumn("up", F.col("context").bitwiseAND((1 << (8 * (k - 1))) - 1))
-            above = tables[depth - k + 1].select(context.alias("up"), byte.alias("symbol"), F.col("n").alias("n_up"))
-            sums = above.groupBy("up").agg(F.sum("n_up").alias("total_up"))
-            tested = mine.join(above, ["up", "symbol"]).join(sums, "up").groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("n") * F.col("total_up") / F.col("total") / F.col("n_up"))).alias("gain"))
-            kept.append(scratch.keep(mine.join(tested.where(F.col("gain") >= gain).select("context"), "context", "left_semi").select("context", "symbol", "n", "total"), f"contexts{k}"))
-            counts = kept[-1].where(F.col("total") >= limit).select("context", "symbol", "n")
-            symbols = F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("symbols")
-            rare.append(kept[-1].where(F.col("total") < limit).groupBy("context").agg(F.first("total").alias("total"), symbols).withColumn("level", F.lit(k)))
-        here = counts.toArrow()
-        found.append(np.stack([np.full(len(here), k), *(here.column(c).to_numpy() for c in ("context", "symbol", "n"))]).astype(np.int64))
-    rarer = scratch.keep(reduce(DataFrame.unionByName, rare), "rare") if limit > least else None
+        totals = counts.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
+        if whole is None:
+            whole = totals = scratch.keep(totals, "totals")
+        mine = counts.join(totals, "context").withColumn("up", F.col("context").bitwiseAND((1 << (8 * (k - 1))) - 1))
+        above = tables[depth - k + 1].select(context.alias("up"), byte.alias("symbol"), F.col("n").alias("n_up"))
+        sums = above.groupBy("up").agg(F.sum("n_up").alias("total_up"))
+        tested = mine.join(above, ["up", "symbol"]).join(sums, "up").groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("n") * F.col("total_up") / F.col("total") / F.col("n_up"))).alias("gain"))
+        found = mine.join(tested.where(F.col("gain") >= gain).select("context"), "context", "left_semi").select("context", "symbol", "n", "total", F.lit(k).alias("level"))
+        kept.append(scratch.keep(found, f"contexts{k}"))
+    retained = reduce(DataFrame.unionByName, kept)
+    limit = max(_least_held(retained, held), _least_held(whole, held))
+    often = np.sort(whole.where(F.col("total") >= limit).select("context").toArrow().column(0).to_numpy().view(np.uint64)) if limit > least else np.zeros(0, np.uint64)
+    gram = F.shiftleft("context", 8).bitwiseOR(F.col("symbol")).alias("gram")
+    root = tables[-1].select(F.lit(0).alias("level"), F.col("key").alias("gram"), "n")
+    here = retained.where(F.col("total") >= limit).select("level", gram, "n").union(root).toArrow()
+    tree = Tree(depth, here.column("level").to_numpy(), here.column("gram").to_numpy().view(np.uint64), here.column("n").to_numpy())
+    rarer = None
+    if limit > least:
+        symbols = F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("symbols")
+        rarer = scratch.keep(retained.where(F.col("total") < limit).groupBy("level", "context").agg(F.first("total").alias("total"), symbols), "rare")
     scratch.release()
-    scratch.drop(*tables[1:], *kept)
-    a = np.concatenate(found, axis=1)
-    return Learned(Tree(depth, a[0], a[1].astype(np.uint64), a[2], a[3]), often, rarer, level)
-
+    scratch.drop(*tables[1:], *kept, whole)
+    return Learned(tree, often, rarer, level)
 
-#: The automaton of the last tree that this worker scored with.
-_made: dict[str, Automaton] = {}
 
-
-def _automaton(name: str, tree) -> Automaton:
-    if name not in _made:
-        _made.clear()
-        _made[name] = tree.value.automaton()
-    return _made[name]
-
-
-def _scores(name, tree, keys, counts):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(name, tree)
-        known, logs = keys.value, np.log10(counts.value + 1.0)
-        for batch in batches:
-            for i, j, w in _chunks(batch):
-                score = automaton.texts(w)
-                at = _find(known, tx.signed(tx.word_hashes(w)))
-                hit = at >= 0
-                base = np.bincount(w.doc[hit], logs[at[hit]], minlength=j - i).astype(np.float64)  # without words it counts in integers
-                seen = np.bincount(w.doc[hit], minlength=j - i).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(w.count + 1), pa.array(seen), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "seen", "base", "score"])
-
-    return run
+def _least_held(rows: DataFrame, most: int) -> int:
+    """The smallest power of two such that at most ``most`` rows have as large a total."""
+    sizes = rows.groupBy(F.floor(F.log2("total")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 63 rows
+    limit, sum_ = 1, 0
+    for power, n in sorted(map(tuple, sizes), reverse=True):
+        sum_ += n
+        if sum_ > most:
+            limit = 1 << (power + 1)
+            break
+    return limit
 
 
 def _find(known: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -352,33 +277,57 @@ def _find(known: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(known[at] == h, at, -1)
 
 
-def _far(often, depth: int):
-    """The grams at all places of each document whose whole context is not frequent."""
+def _scores(tree, often, keys, counts, depth: int):
+    """One row a text: its sums over what the worker holds, its other words with their numbers, and its other grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = often.value[depth]
+        known, logs = keys.value, np.log10(counts.value + 1.0)
         for batch in batches:
-            for i, j, w in _chunks(batch):
+            for i, j, w in _chunks(batch, LOOKUP):
+                n = j - i
                 gram, doc = _positions(w, depth)
-                far = _find(known, tx.signed(gram >> np.uint64(8))) < 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc[far])), pa.array(tx.signed(gram[far]))], names=["doc_id", "key"])
+                code, kinds = pd.factorize(gram)
+                score = np.bincount(doc, tree.value.grams(kinds)[code], minlength=n).astype(np.float64)
+                h = tx.signed(tx.word_hashes(w))
+                at = _find(known, h)
+                hit = at >= 0
+                base = np.bincount(w.doc[hit], logs[at[hit]], minlength=n).astype(np.float64)  # without words it counts in integers
+                seen = np.bincount(w.doc[hit], minlength=n).astype(np.int64)
+                far = (_find(often.value, kinds >> np.uint64(8)) < 0)[code] if often is not None else np.zeros(len(gram), bool)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, n), pa.array(w.count + 1), pa.array(seen), pa.array(base), pa.array(score), _rare_words(w.doc[~hit], h[~hit], n), _lists(doc[far], pa.array(tx.signed(gram[far])), n)],
+                    names=["doc_id", "n_tokens", "seen", "base", "score", "rare", "far"],
+                )
 
     return run
 
 
-def _asked(name, tree, often, depth: int):
-    """The contexts of each gram that are not frequent, with the automaton's score."""
+def _lists(doc: np.ndarray, values: pa.Array, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int32)), values)
+
+
+def _rare_words(doc: np.ndarray, h: np.ndarray, n: int) -> pa.Array:
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    head = np.ones(len(h), bool)
+    head[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(head)
+    tf = np.diff(np.append(at, len(h))).astype(np.int32)
+    return _lists(doc[at], pa.StructArray.from_arrays([pa.array(h[at]), pa.array(tf)], names=["key", "tf"]), n)
+
+
+def _asked(tree, often, depth: int):
+    """The contexts of each gram that the worker doesn't hold, with the held tree's score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(name, tree)
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            key = key[_find(often.value[depth], key >> 8) < 0]
-            score = automaton.grams(key.astype(np.uint64)).astype(np.float64)
+            gram = batch.column(0).to_numpy().view(np.uint64)
+            gram = gram[_find(often.value, gram >> np.uint64(8)) < 0]
+            score = tree.value.grams(gram)
             for k in range(1, depth + 1):
-                context = (key >> 8) & ((1 << (8 * k)) - 1)
-                at = _find(often.value[k], context) < 0
-                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.full(int(at.sum()), k, np.int32)), pa.array(context[at]), pa.array(score[at])], names=["key", "level", "context", "known"])
+                context = _bytes(gram >> np.uint64(8), k)
+                at = _find(tree.value.levels[k][2], context) < 0
+                yield pa.RecordBatch.from_arrays([pa.array(tx.signed(gram[at])), pa.array(np.full(int(at.sum()), k, np.int32)), pa.array(tx.signed(context[at])), pa.array(score[at])], names=["key", "level", "context", "known"])
 
     return run
 
@@ -387,38 +336,21 @@ def _differences(asked: DataFrame, rare: DataFrame) -> DataFrame:
     """key, more: what the rarer contexts of a gram add to its score, each smoothed with the next shorter one."""
     n = F.coalesce(F.try_element_at("symbols", F.col("key").bitwiseAND(255).cast("int")), F.lit(0))
     steps = asked.join(rare.hint("merge"), ["level", "context"]).select("key", "known", F.struct("level", n.alias("n"), F.size("symbols").alias("kinds"), "total").alias("step"))
-    chains = steps.groupBy("key").agg(F.first("known").alias("known"), F.sort_array(F.collect_list("step")).alias("steps"))
+    chains = steps.groupBy("key").agg(F.first("known").alias("known"), F.sort_array(F.collect_list("step")).alias("steps"))  # at most one row a level
     p = F.aggregate("steps", F.pow(F.lit(10.0), F.col("known")), lambda p, s: (s["n"] + s["kinds"] * p) / (s["total"] + s["kinds"]))
     return chains.select("key", (F.log10(p) - F.col("known")).alias("more"))
 
 
-def _rare(keys):
-    """Words of each document that are not in the table, with their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, w in _chunks(batch):
-                h = tx.signed(tx.word_hashes(w))
-                out = _find(keys.value, h) < 0
-                doc, h = w.doc[out], h[out]
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                head = np.ones(len(h), bool)
-                head[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                at = np.flatnonzero(head)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc[at])), pa.array(h[at]), pa.array(np.diff(np.append(at, len(h))).astype(np.int32))], names=["doc_id", "key", "tf"])
-
-    return run
-
-
-def lm_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, p_min: float = P_MIN, gain: float = GAIN, frequent: float = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
+def lm_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, gain: float = GAIN, frequent: float = FREQUENT, held: int = HELD_SYMBOLS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+    if not 1 <= depth <= 7:
+        raise ValueError("a gram of depth + 1 bytes must fit a long")
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     train = source.where(~held_out())
-    learned = learn(scratch, train, depth=depth, least=least, p_min=p_min, gain=gain)
+    learned = learn(scratch, train, depth=depth, least=least, gain=gain, held=held)
 
     counted = scratch.keep(train.mapInArrow(_counting(tx.word_hashes), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "words")
     scratch.release()
@@ -426,34 +358,34 @@ def lm_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", de
     distinct, words = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     tokens, kinds = words + ends, distinct + (ends > 0)
     limit = max(2, int(np.ceil(frequent * tokens)))
-    often = counted.where(F.col("n") >= limit).toArrow()  # at most 1 / frequent rows
-    key, n = often.column("key").to_numpy(), often.column("n").to_numpy()
+    top = counted.where(F.col("n") >= limit).toArrow()  # at most 1 / frequent rows
+    key, n = top.column("key").to_numpy(), top.column("n").to_numpy()
     order = np.argsort(key)
     share = spark.sparkContext.broadcast
-    keys, counts = share(key[order]), share(n[order])
-    name, tree = uuid.uuid4().hex, share(learned.tree)
-    direct = source.mapInArrow(_scores(name, tree, keys, counts), f"doc_id {kind}, n_tokens bigint, seen bigint, base double, score double")
-    rare = source.mapInArrow(_rare(keys), f"doc_id {kind}, key bigint, tf int").join(counted.where(F.col("n") < limit), "key")
-    summed = rare.groupBy("doc_id").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more_base"))
-    end_known = int(ends > 0)
-    total = float(np.log10(tokens + kinds + 1))
-    base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) + float(np.log10(ends + 1)) - F.col("n_tokens") * total
-    score = F.col("score")
+    keys, counts, tree = share(key[order]), share(n[order]), share(learned.tree)
+    often = None if learned.rare is None else share(learned.often)
+    fields = f"doc_id {kind}, n_tokens bigint, seen bigint, base double, score double, rare array<struct<key: bigint, tf: int>>, far array<bigint>"
+    scored = scratch.keep(source.mapInArrow(_scores(tree, often, keys, counts, depth), fields).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scratch.release()
+
+    rare = scored.select("row", F.inline("rare")).join(counted.where(F.col("n") < limit), "key")
+    more = rare.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more_base"))
+    out, score = scored.drop("rare", "far").join(more, "row", "left"), F.col("score")
     if learned.rare is not None:
-        often = share(learned.often)
-        other = source.where(F.coalesce(held_out(), F.lit(True))).mapInArrow(_counting(_grams(depth)), "key bigint, n bigint")
-        grams = learned.grams.select("key").union(other.select("key")).distinct()
-        asked = grams.mapInArrow(_asked(name, tree, often, depth), "key bigint, level int, context bigint, known double")
-        more = scratch.keep(_differences(asked, learned.rare), "differences")
+        grams = scored.select(F.explode("far").alias("key"))
+        asked = grams.distinct().mapInArrow(_asked(tree, often, depth), "key bigint, level int, context bigint, known double")
+        differences = scratch.keep(_differences(asked, learned.rare), "differences")
         scratch.release()
-        far = source.mapInArrow(_far(often, depth), f"doc_id {kind}, key bigint").join(more.hint("merge"), "key")
-        direct = direct.join(far.groupBy("doc_id").agg(F.sum("more").alias("more_score")), "doc_id", "left")
+        far = scored.select("row", F.explode("far").alias("key")).join(differences.hint("merge"), "key")
+        out = out.join(far.groupBy("row").agg(F.sum("more").alias("more_score")), "row", "left")
         score = score + F.coalesce("more_score", F.lit(0.0))
-    return direct.join(summed, "doc_id", "left").select(
+    total = float(np.log10(tokens + kinds + 1))
+    base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) + float(np.log10(ends + 1)) - F.col("n_tokens") * total
+    return out.select(
         "doc_id",
         held_out().alias("held_out"),
         "n_tokens",
-        (F.col("seen") + F.coalesce("more", F.lit(0)) + end_known).alias("n_known"),
+        (F.col("seen") + F.coalesce("more", F.lit(0)) + int(ends > 0)).alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         base.alias("base_score"),
         score.alias("score"),
