@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .shared import Scratch
 
-DEPTH, LEAST, GAIN, FREQUENT = 7, 5, 12.0, 1e-6
+DEPTH, LEAST, GAIN, FREQUENT = 6, 5, 12.0, 1e-6
 #: Most symbols of retained contexts, and most contexts of full depth, that the driver and every worker hold.
 HELD_SYMBOLS = 4_000_000
 #: Bytes of text whose grams are looked up at a time.
@@ -210,57 +210,81 @@ class Tree:
 
 @dataclass
 class Learned:
-    """The held tree, all contexts of full depth that are seen as often, a table of the rarer contexts (None without any), and the training grams."""
+    """The held tree, all contexts of full depth that are seen as often, and a table of the rarer contexts (None without any)."""
 
     tree: Tree
     often: np.ndarray
     rare: DataFrame | None
-    grams: DataFrame
+
+
+def _symbol(code: Column) -> Column:
+    return code.bitwiseAND(255)
+
+
+def _number(code: Column) -> Column:
+    return F.shiftright(code, 8)
+
+
+def _gain(symbols: Column, total: Column, symbols_up: Column, total_up: Column) -> Column:
+    """Log-likelihood ratio of a context's symbols against those of its longest shorter suffix, in nats."""
+    up = F.map_from_arrays(F.transform(symbols_up, _symbol), F.transform(symbols_up, _number))
+
+    def ratio(numbers: Column) -> Column:
+        one = lambda s, x: s + _number(x) * (F.log(_number(x).cast("double")) - F.log(F.element_at(numbers, _symbol(x)).cast("double")))
+        return F.aggregate(symbols, total * F.log(total_up / total), one)
+
+    return F.get(F.transform(F.array(up), ratio), F.lit(0))  # the map is made once
 
 
 def learn(scratch: Scratch, train: DataFrame, *, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN, held: int = HELD_SYMBOLS) -> Learned:
-    """The tree of (doc_id, text) rows."""
+    """The tree of (doc_id, text) rows.
+
+    Contexts are rows (context, total, symbols), a symbol being its number of
+    times and its byte in one long.  The suffix of a context is joined to it;
+    at most 256 contexts share one, so no key is hot.
+    """
     rows = train.mapInArrow(_counting(_grams(depth)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    byte = F.col("key").bitwiseAND(255).cast("int")
-    level = scratch.keep(rows, "grams")
+    grams = scratch.keep(rows, "grams")
     scratch.release()
-    tables: list[DataFrame] = [level]
+    tables: list[DataFrame] = [grams]
     for k in range(depth, 0, -1):
         shorter = tables[-1].groupBy(F.col("key").bitwiseAND((1 << (8 * k)) - 1).alias("key")).agg(F.sum("n").alias("n"))
         tables.append(scratch.keep(shorter, f"grams{k}"))
-    context = F.shiftrightunsigned("key", 8).alias("context")
+    code = F.shiftleft("n", 8).bitwiseOR(F.col("key").bitwiseAND(255))
     kept: list[DataFrame] = []
-    whole = None
-    for k, table in zip(range(depth, 0, -1), tables, strict=False):
-        counts = table.select(context, byte.alias("symbol"), "n")
-        totals = counts.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-        if whole is None:
-            whole = totals = scratch.keep(totals, "totals")
-        mine = counts.join(totals, "context").withColumn("up", F.col("context").bitwiseAND((1 << (8 * (k - 1))) - 1))
-        above = tables[depth - k + 1].select(context.alias("up"), byte.alias("symbol"), F.col("n").alias("n_up"))
-        sums = above.groupBy("up").agg(F.sum("n_up").alias("total_up"))
-        tested = mine.join(above, ["up", "symbol"]).join(sums, "up").groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("n") * F.col("total_up") / F.col("total") / F.col("n_up"))).alias("gain"))
-        found = mine.join(tested.where(F.col("gain") >= gain).select("context"), "context", "left_semi").select("context", "symbol", "n", "total", F.lit(k).alias("level"))
-        kept.append(scratch.keep(found, f"contexts{k}"))
+    whole = full = None
+    for k, table in zip(range(depth, -1, -1), tables, strict=True):
+        # at most 256 symbols a context
+        contexts = table.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(code).alias("symbols"))
+        up = scratch.keep(contexts.where(F.col("total") >= (least if k else 0)), f"contexts{k}")
+        scratch.release()
+        scratch.drop(table)
+        if full is not None:
+            suffixes = up.select(F.col("context").alias("up"), F.col("total").alias("total_up"), F.col("symbols").alias("symbols_up"))
+            joined = full.withColumn("up", F.col("context").bitwiseAND((1 << (8 * k)) - 1)).join(suffixes, "up")
+            diverges = _gain(F.col("symbols"), F.col("total").cast("double"), F.col("symbols_up"), F.col("total_up").cast("double")) >= gain
+            kept.append(scratch.keep(joined.where(diverges).select(F.lit(k + 1).alias("level"), "context", "total", "symbols"), f"retained{k + 1}"))
+            if full is not whole:
+                scratch.drop(full)
+        whole = up if whole is None else whole
+        full = up
     retained = reduce(DataFrame.unionByName, kept)
-    limit = max(_least_held(retained, held), _least_held(whole, held))
+    limit = max(_least_held(retained.select("total", F.size("symbols").alias("n")), held), _least_held(whole.select("total", F.lit(1).alias("n")), held))
     often = np.sort(whole.where(F.col("total") >= limit).select("context").toArrow().column(0).to_numpy().view(np.uint64)) if limit > least else np.zeros(0, np.uint64)
-    gram = F.shiftleft("context", 8).bitwiseOR(F.col("symbol")).alias("gram")
-    root = tables[-1].select(F.lit(0).alias("level"), F.col("key").alias("gram"), "n")
-    here = retained.where(F.col("total") >= limit).select("level", gram, "n").union(root).toArrow()
+    every = retained.where(F.col("total") >= limit).select("level", "context", "symbols").union(full.select(F.lit(0), "context", "symbols"))
+    here = every.select("level", "context", F.explode("symbols").alias("code")).select("level", F.shiftleft("context", 8).bitwiseOR(_symbol(F.col("code"))).alias("gram"), _number(F.col("code")).alias("n")).toArrow()
     tree = Tree(depth, here.column("level").to_numpy(), here.column("gram").to_numpy().view(np.uint64), here.column("n").to_numpy())
     rarer = None
     if limit > least:
-        symbols = F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("symbols")
-        rarer = scratch.keep(retained.where(F.col("total") < limit).groupBy("level", "context").agg(F.first("total").alias("total"), symbols), "rare")
+        rarer = scratch.keep(retained.where(F.col("total") < limit).select("level", "context", "total", F.map_from_arrays(F.transform("symbols", _symbol), F.transform("symbols", _number)).alias("symbols")), "rare")
     scratch.release()
-    scratch.drop(*tables[1:], *kept, whole)
-    return Learned(tree, often, rarer, level)
+    scratch.drop(*kept, whole, full)
+    return Learned(tree, often, rarer)
 
 
 def _least_held(rows: DataFrame, most: int) -> int:
-    """The smallest power of two such that at most ``most`` rows have as large a total."""
-    sizes = rows.groupBy(F.floor(F.log2("total")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 63 rows
+    """The smallest power of two such that rows of as large a total have at most ``most`` in ``n``."""
+    sizes = rows.groupBy(F.floor(F.log2("total")).cast("int").alias("power")).agg(F.sum("n").alias("n")).collect()  # at most 63 rows
     limit, sum_ = 1, 0
     for power, n in sorted(map(tuple, sizes), reverse=True):
         sum_ += n
@@ -334,7 +358,7 @@ def _asked(tree, often, depth: int):
 
 def _differences(asked: DataFrame, rare: DataFrame) -> DataFrame:
     """key, more: what the rarer contexts of a gram add to its score, each smoothed with the next shorter one."""
-    n = F.coalesce(F.try_element_at("symbols", F.col("key").bitwiseAND(255).cast("int")), F.lit(0))
+    n = F.coalesce(F.try_element_at("symbols", F.col("key").bitwiseAND(255)), F.lit(0))
     steps = asked.join(rare.hint("merge"), ["level", "context"]).select("key", "known", F.struct("level", n.alias("n"), F.size("symbols").alias("kinds"), "total").alias("step"))
     chains = steps.groupBy("key").agg(F.first("known").alias("known"), F.sort_array(F.collect_list("step")).alias("steps"))  # at most one row a level
     p = F.aggregate("steps", F.pow(F.lit(10.0), F.col("known")), lambda p, s: (s["n"] + s["kinds"] * p) / (s["total"] + s["kinds"]))
