@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, joined_apart
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return joined_apart(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = joined_apart(edges, least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -24,7 +24,8 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for every node that has an edge.
 
     Large-star and small-star steps alternate until the edges form stars.
-    Minima are partial sums and the joins back can split a hot node, so that no
+    Minima are partial before their shuffle, and they are joined back on another
+    expression than they were grouped by, so that Spark can split a hot node: no
     task needs all edges of one node.  Each step's edges are written, so that a
     lost executor repeats one step at most.
     """

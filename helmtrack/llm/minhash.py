@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .graph import components
-from .shared import Scratch
+from .shared import Scratch, joined_apart
 
 BANDS, ROWS = 64, 6
 #: Bytes of shingle sets in a block of queries, and in a block of the family they are compared with.
@@ -191,7 +191,7 @@ def _unlinked_against_families(stars: DataFrame, tested: DataFrame, sets: DataFr
         F.ceil(F.sum(F.when(F.col("side"), F.col("size")).otherwise(0)) / QUERY_BLOCK).cast("int").alias("queries"),
         F.ceil(F.sum("size") / FAMILY_BLOCK).cast("int").alias("others"),
     )
-    dealt = family.join(blocks.where("queries > 0"), "centre")
+    dealt = joined_apart(family, blocks.where("queries > 0"), "centre")
     spot = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = dealt.where("side").select("centre", "doc", "side", spot("queries").alias("qb"), every("others").alias("fb"))
@@ -211,12 +211,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
     classes = signed.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("doc"))
     spread = signed.where("n_shingles > 0").join(classes.select("doc", *keys), [F.col("doc_id") == F.col("doc"), *(signed[k] == classes[k] for k in keys)], "left_semi").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("bucket")
-    members = scratch.keep(spread.join(shared, "bucket", "left_semi").distinct(), "members")
+    members = scratch.keep(joined_apart(spread, shared, "bucket", "left_semi").distinct(), "members")
     wanted = members.select("doc").distinct()
     sets = scratch.keep(source.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), f"doc_id {kind}, set binary"), "sets")
 
     centres = members.groupBy("bucket").agg(F.min("doc").alias("centre"))
-    stars = scratch.keep(members.join(centres, "bucket").where("doc <> centre").select("centre", "doc").distinct(), "stars")
+    stars = scratch.keep(joined_apart(members, centres, "bucket").where("doc <> centre").select("centre", "doc").distinct(), "stars")
     labels = None
     if not stars.isEmpty():
         left = stars.join(sets.select(F.col("doc_id").alias("doc"), F.col("set").alias("set_b")), "doc")

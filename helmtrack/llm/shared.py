@@ -7,16 +7,32 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one under the warehouse where none is set, as in tests."""
+    """The session's checkpoint folder.  Where none is set, as in tests, a local master gets one beside its warehouse; a cluster must set one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
     return at.rstrip("/")
 
 
+def joined_apart(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join on a key that ``right`` has been grouped by, the rows of ``left`` kept splittable.
+
+    On the grouping's own key Spark would use the grouping's partitions, and
+    all rows of a hot key would meet in one of them.  The key wrapped in a
+    struct is another expression: both sides are exchanged for the join alone,
+    and Spark can split the partition of a hot key.
+    """
+    wrapped = f"_{key}"
+    other = right.select(F.struct(F.col(key).alias("v")).alias(wrapped), *[c for c in right.columns if c != key])
+    return left.withColumn(wrapped, F.struct(F.col(key).alias("v"))).join(other, wrapped, how).drop(wrapped)
+
+
 class Scratch:
     """Written tables of one run.  Each cuts the lineage of what follows it."""
 

@@ -267,12 +267,17 @@ def _read(payloads: bool):
     return run
 
 
-def read_records(normalised: DataFrame, *, payloads: bool = True) -> DataFrame:
-    """A row for each record: every member is inflated singly, at its place in the index.
+def read_records(normalised: DataFrame, sidecar: DataFrame | None = None, *, payloads: bool = True) -> DataFrame:
+    """A row for each record of the index: every member is inflated singly, at its place in its part.
 
-    A revisit has the size of the response that it refers to; its payload is null.
+    ``sidecar`` is the index, or the rows of it that are wanted; only the parts
+    that hold these are read.  A part has at most as many records as fit its
+    bytes.  A revisit has the size of the response that it refers to, where
+    that is read too; its payload is null.
     """
-    found = normalised.select("start", "content", "entries").mapInArrow(_read(payloads), "record_id string, record_type string, target_uri string, payload_bytes bigint, payload_digest string, refers_to string, payload binary")
+    places = (index(normalised) if sidecar is None else sidecar).groupBy("path", "part").agg(F.collect_list(F.struct("offset", "length", "record_id", "target_uri", "refers_to")).alias("entries"))
+    parts = normalised.select("path", "part", "start", "content").join(places, ["path", "part"])
+    found = parts.select("start", "content", "entries").mapInArrow(_read(payloads), "record_id string, record_type string, target_uri string, payload_bytes bigint, payload_digest string, refers_to string, payload binary")
     key = F.concat_ws(" ", "refers_to", "payload_digest").alias("yek")
     sizes = found.where("record_type = 'response'").groupBy("record_id", "payload_digest").agg(F.max("payload_bytes").alias("size"))
     sizes = sizes.select(F.concat_ws(" ", "record_id", "payload_digest").alias("yek"), "size")
@@ -291,9 +296,9 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = scratch.keep(archives(tx.table(spark, sf_dir, "pages")), "archives")
     scratch.release()
     rewritten = scratch.keep(normalise(written), "normalised")
-    scratch.keep(index(rewritten), "index")
+    sidecar = scratch.keep(index(rewritten), "index")
     scratch.drop(written)
-    out = read_records(rewritten, payloads=False)
+    out = read_records(rewritten, sidecar, payloads=False)
     return out.select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
 
 

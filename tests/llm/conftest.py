@@ -29,6 +29,16 @@ def odd_texts() -> list[str | None]:
     return out
 
 
+@pytest.fixture(scope="session", autouse=True)
+def no_waiting():
+    """Small tables leave little on disk; collecting it takes longer than the tests."""
+    from helmtrack.llm.shared import Scratch
+
+    before, Scratch.release = Scratch.release, lambda self: None
+    yield
+    Scratch.release = before
+
+
 @pytest.fixture(scope="session")
 def odd():
     return list(enumerate(odd_texts()))
