@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,18 +69,25 @@ def euler_yxz(q: Column) -> tuple[Column, Column, Column]:
 NEAR = 0.9995
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once: an expression used for several parts of a result would be repeated for each."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def slerp(a: Column, b: Column, t: Num) -> Column:
     """Spherical interpolation along the shorter arc."""
-    t, d = _c(t), dot(a, b)
-    near = F.abs(d)
-    target = scaled(b, F.when(d < 0, -1.0).otherwise(1.0))
-    chord = normalised(quaternion(*(a[n] + t * (target[n] - a[n]) for n in "wxyz")))
-    whole = F.acos(F.least(near, F.lit(1.0)))
-    part = whole * t
-    second = F.sin(part) / F.sin(whole)
-    first = F.cos(part) - near * second
-    arc = quaternion(*(first * a[n] + second * target[n] for n in "wxyz"))
-    return F.when(near > NEAR, chord).otherwise(arc)
+
+    def blended(s: Column) -> Column:
+        a, b, t, near, sign = (s[n] for n in ("a", "b", "t", "near", "sign"))
+        chord = _let(quaternion(*(a[n] + t * (b[n] * sign - a[n]) for n in "wxyz")), normalised)
+        whole = F.acos(F.least(near, F.lit(1.0)))
+        second = F.sin(whole * t) / F.sin(whole)
+        weights = F.struct((F.cos(whole * t) - near * second).alias("a"), (second * sign).alias("b"))
+        arc = _let(weights, lambda w: quaternion(*(w["a"] * a[n] + w["b"] * b[n] for n in "wxyz")))
+        return F.when(near > NEAR, chord).otherwise(arc)
+
+    d = dot(a, b)
+    return _let(F.struct(a.alias("a"), b.alias("b"), _c(t).cast("double").alias("t"), F.abs(d).alias("near"), F.when(d < 0, -1.0).otherwise(1.0).alias("sign")), blended)
 
 
 def nlerp(a: Column, b: Column, t: Num) -> Column:

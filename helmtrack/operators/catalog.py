@@ -132,3 +132,62 @@ def placed(rows: DataFrame, *order: str, place: str = "place") -> DataFrame:
     sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return numbered.withColumn("_part", part).join(before, "_part").select(*rows.columns, (F.col("_before") + within + 1).cast("bigint").alias(place))
+
+
+def fresh(changed: Column, began: Column, slack: float = 5.0) -> Column:
+    """Whether a file belongs to a job: changed no earlier than ``slack`` seconds before the job began; all do where it has no start."""
+    return began.isNull() | (changed >= began - slack)
+
+
+def sampled(rows: DataFrame, key: str, id_: str, most: int = 80, seed: int = 0) -> DataFrame:
+    """At most ``most`` rows of each key, those whose ids have the smallest digests under the seed."""
+    digest = F.md5(F.concat_ws(":", F.col(id_).cast("string"), F.lit(str(seed))))
+    ranked = rows.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(digest, id_)))
+    return ranked.where(F.col("_place") <= most).drop("_place")
+
+
+#: What a report's status says of a stage that made things worse (fixed values).
+WORSE = ("NO (", "UNSTABILIZED", "DEGRADED", "FAILED")
+
+
+def fallback(stages: DataFrame, key: str, order: str = "place") -> DataFrame:
+    """Every stage with ``status``, ``reverted`` and ``current``, the file that the next stage goes on with.
+
+    Columns: the key, the order, stage, input, output, report.  A report's
+    first line with STATUS decides.  A stage that made things worse is taken
+    back: its input, the last output that stood, goes on.
+    """
+    line = F.regexp_extract("report", r"(?m)^(.*STATUS.*)$", 1)
+    status = F.trim(F.when(line.contains(":"), F.substr(line, F.instr(line, ":") + 1, F.length(line))).otherwise(line))
+    worse = F.lit(False)
+    for word in WORSE:
+        worse = worse | F.coalesce(F.upper("status"), F.lit("")).contains(word)
+    w = Window.partitionBy(key).orderBy(order)
+    seen = stages.withColumn("status", status).withColumn("reverted", worse)
+    stood = F.last(F.when(~F.col("reverted"), F.col("output")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return seen.withColumn("current", F.coalesce(stood, F.first("input").over(w))).drop("report")
+
+
+def warmup(videos: DataFrame, telemetry: DataFrame, visual: DataFrame, key: str) -> DataFrame:
+    """key, has_warmup, start_frame, start_time, kind: where each video begins.
+
+    ``telemetry`` and ``visual`` have key, start_frame and kind of what either
+    inspection found; ``videos`` has key, fps and total_frames.  Telemetry wins
+    but against a later black or frozen start.
+    """
+    t, v = (d.select(key, F.col("start_frame").alias(f"{n}_frame"), F.col("kind").alias(f"{n}_kind")) for d, n in ((telemetry, "t"), (visual, "v")))
+    later = F.col("v_kind").isin("visual_black", "visual_frozen") & (F.col("v_frame") > F.col("t_frame"))
+    visual_wins = F.col("t_frame").isNull() | F.coalesce(later, F.lit(False))
+    both = videos.join(t, key, "left").join(v, key, "left")
+    chosen = both.withColumns({"frame": F.when(visual_wins, F.col("v_frame")).otherwise(F.col("t_frame")), "kind": F.when(visual_wins, F.col("v_kind")).otherwise(F.col("t_kind"))})
+    has = F.coalesce(F.col("frame") > 0, F.lit(False))
+    start = F.when(has, F.least(F.col("frame"), F.col("total_frames") - 1)).otherwise(0)
+    return chosen.select(key, has.alias("has_warmup"), start.cast("bigint").alias("start_frame"), F.round(start / F.col("fps"), 3).alias("start_time"), F.when(has, F.col("kind")).otherwise("none").alias("kind"))
+
+
+def preset_document(config: Column, saved_at: Column, kind: str = "pipeline_config") -> Column:
+    """A preset's JSON object with its type and time of saving, in place of any it had; null where it is no object."""
+    fields = F.map_filter(F.from_json(config, "map<string,variant>"), lambda k, v: ~k.isin("type", "saved_at"))
+    text = lambda x: F.try_parse_json(F.concat(F.lit('"'), x, F.lit('"')))
+    stamps = F.map_from_arrays(F.array(F.lit("type"), F.lit("saved_at")), F.array(text(F.lit(kind)), text(saved_at)))
+    return F.to_json(F.map_concat(fields, stamps))

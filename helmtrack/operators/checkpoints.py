@@ -28,9 +28,29 @@ def cadence(totals: DataFrame, *, fps: float, interval: float = 0.5, most: int |
     return totals.where("total > 0").select(ID, F.explode(F.concat(grid, F.array(last.cast("bigint")))).alias(FRAME))
 
 
-def from_extrema(df: DataFrame, *, fps: float, prominence: float = 0.8, most: int | None = None, damping: float = 0.7) -> DataFrame:
+def even_times(videos: DataFrame, n: int, key: str = ID) -> DataFrame:
+    """key, place, time: n times that part each video's duration evenly, its ends left out."""
+    places = F.explode(F.sequence(F.lit(1), F.lit(n))).alias("place")
+    return videos.select(key, "duration", places).select(key, "place", (F.col("place") * F.col("duration") / float(n + 1)).alias("time"))
+
+
+def preferred(first: DataFrame, second: DataFrame, key: str = ID) -> DataFrame:
+    """The first source's checkpoints of each series; those of the second where the first has none."""
+    return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"))
+
+
+def by_density(df: DataFrame, density: str, *, fps: float) -> DataFrame:
+    """series_id, frame: the rows that a polyline of the density's tolerance needs, and its cadence."""
+    epsilon, interval = DENSITY[density]
+    totals = df.groupBy(ID).agg((F.max(FRAME) + 1).alias("total"))
+    return from_polyline(df, epsilon=epsilon).select(ID, FRAME).union(cadence(totals, fps=fps, interval=interval)).distinct()
+
+
+def from_extrema(df: DataFrame, *, fps: float, prominence: float = 0.8, most: int | None = None, damping: float = 0.7, frames: tuple[int, int] | None = None) -> DataFrame:
     """Checkpoints at the crests and troughs of the smoothed pitch, and at both ends.
 
+    With ``frames`` only extrema from the first to the last of these count.
+
     Pitch and damped roll are means over 0.2 and 0.6 seconds with nothing
     beyond the ends.  End rows have unsmoothed values and win over an extremum
     of the same frame at the end.
@@ -41,6 +61,8 @@ def from_extrema(df: DataFrame, *, fps: float, prominence: float = 0.8, most: in
     ends = ends.select(ID, FRAME, "pitch", (F.col("roll") * damping).alias("roll"), F.lit("boundary").alias("kind"), F.when(F.col(FRAME) > 0, 2).otherwise(0).alias("rank"))
     smooth = boxcar(boxcar(df, ["pitch"], pitch_width, "zero"), ["roll"], roll_width, "zero").withColumn("roll", F.col("roll") * damping)
     found = extrema(smooth, "pitch").where(F.col("prominence") >= max(0.2, prominence))
+    if frames:
+        found = found.where(F.col(FRAME).between(*frames))
     if most:
         found = leading_extrema(found, max(2, most - 2))
     every = ends.union(found.select(ID, FRAME, "pitch", "roll", "kind", F.lit(1).alias("rank")))

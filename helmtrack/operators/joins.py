@@ -75,3 +75,10 @@ def spanning(tracks: DataFrame, pairs: DataFrame, first: str, last: str, a: str,
     spread = tracks.withColumn("bucket", F.explode(F.sequence((F.col(first) / bucket).cast("bigint"), (F.col(last) / bucket).cast("bigint"))))
     placed = pairs.withColumn("bucket", (F.col(a) / bucket).cast("bigint"))
     return spread.join(placed, "bucket").where((F.col(first) <= F.col(a)) & (F.col(last) >= F.col(b))).drop("bucket")
+
+
+def by_position(a: DataFrame, b: DataFrame, key: str, order: str, columns: Sequence[str], suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
+    """Rows of both sides that have the same place within their key; the longer side's rest is left out."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)).alias("place")
+    left, right = (s.select(key, place, *[F.col(c).alias(f"{c}{x}") for c in columns]) for s, x in zip((a, b), suffixes, strict=True))
+    return left.join(right, [key, "place"])

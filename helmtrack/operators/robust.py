@@ -127,6 +127,22 @@ def best_parameter(df: DataFrame, key: str, parameters: Sequence[float], cost) -
     return mean.groupBy(key).agg(F.min(F.struct("cost", "place", "p")).alias("b")).select(key, F.col("b.p").alias("parameter"), "b.cost")
 
 
+def best_pair(df: DataFrame, key: str, first: Sequence[float], second: Sequence[float], cost, penalty=None) -> DataFrame:
+    """key, first, second, cost: the pair of parameters of least mean cost, ties to the first in order of both.
+
+    As with ``best_parameter`` the grid is a literal, and rows are summed up
+    before the shuffle: what moves is one number for each key and pair.
+    ``penalty`` of the pair is added to the mean.
+    """
+    side = lambda values: F.array(*[F.struct(F.lit(i), F.lit(float(v))) for i, v in enumerate(values)])
+    spread = df.select("*", F.inline(side(first)).alias("i", "p")).select("*", F.inline(side(second)).alias("j", "q"))
+    mean = spread.groupBy(key, "i", "p", "j", "q").agg(F.avg(cost(F.col("p"), F.col("q"))).alias("cost"))
+    if penalty is not None:
+        mean = mean.withColumn("cost", F.col("cost") + penalty(F.col("p"), F.col("q")))
+    best = mean.groupBy(key).agg(F.min(F.struct("cost", "i", "j", "p", "q")).alias("b"))
+    return best.select(key, F.col("b.p").alias("first"), F.col("b.q").alias("second"), "b.cost")
+
+
 def refined(df: DataFrame, key: str, start: tuple[float, float, float], cost, rounds: int = 3) -> float:
     """Coarse-to-fine search for one parameter over all keys: (low, high, step), then around the best with a step of a fifth."""
     low, high, step = start

@@ -75,6 +75,25 @@ def compose(stages: Sequence[DataFrame], *, delta: bool = False) -> DataFrame:
     return out.select(ID, FRAME, "t", *AXES)
 
 
+def prior(stages: Sequence[DataFrame]) -> DataFrame:
+    """series_id, frame, t, yaw, pitch, roll: what all stages before have done to a series.
+
+    A lone stage that moves is passed as it is, several are composed; a series
+    whose stages all stand still has no prior and no row.
+    """
+    moving = [is_identity(s).where(~F.col("still")).select(ID, F.lit(k).alias("stage")) for k, s in enumerate(stages)]
+    every = moving[0]
+    for m in moving[1:]:
+        every = every.unionByName(m)
+    counted = every.groupBy(ID).agg(F.count(F.lit(1)).alias("n"), F.min("stage").alias("lone"))
+    order = Window.partitionBy(ID).orderBy("t")
+    out = compose([s.join(counted.where("n > 1").select(ID), ID, "left_semi") for s in stages])
+    for k, s in enumerate(stages):
+        alone = s.join(counted.where((F.col("n") == 1) & (F.col("lone") == k)).select(ID), ID, "left_semi")
+        out = out.unionByName(alone.select(ID, (F.row_number().over(order) - 1).cast("bigint").alias(FRAME), F.col("t").cast("double").alias("t"), *AXES))
+    return out
+
+
 def deltas(df: DataFrame, *, negated: bool = False, wrapped: bool = False) -> DataFrame:
     """Absolute angles as changes, the first from 0; direction stages write them wrapped and negated."""
     w = ordered()

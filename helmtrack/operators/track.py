@@ -82,3 +82,37 @@ def resampled(df: DataFrame, rate: float, columns: list[str], *, time: str = "t"
 
 
 __all__ = ["bracketed", "dead_reckoning", "resampled", "route", "seconds", "synchronised", "times_by_distance"]
+
+
+#: Exports shorter than the first are padded to the second, in seconds (fixed values).
+SHORTEST, PADDED = 120.0, 126.0
+
+
+def export_windows(videos: DataFrame, fixes: DataFrame, *, key: str = ID, time: str = "sec") -> DataFrame:
+    """key, start, length, padded: which part of its track each video gets.
+
+    ``videos`` has key, duration, start, lat, lon and shift.  Of these, lat and
+    lon, where given, choose the nearest fix as the start, the first of equally
+    near ones; a start that is not given, or lies outside the track, is the
+    track's first time.  The shift in seconds is added.  Short videos are padded.
+    """
+    near = F.min_by(time, F.struct(haversine(F.col("v_lat"), F.col("v_lon"), F.col("lat"), F.col("lon")), FRAME))
+    asked = videos.select(key, F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"))
+    spans = fixes.join(asked, key).groupBy(key).agg(F.min(time).alias("low"), F.max(time).alias("high"), near.alias("near"))
+    inside = F.col("start").between(F.col("low"), F.col("high"))
+    start = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("near")).when(inside, F.col("start")).otherwise(F.col("low"))
+    padded = F.col("duration") < SHORTEST
+    length = F.floor(F.when(padded, PADDED).otherwise(F.col("duration"))).cast("int")
+    return videos.join(spans, key).select(key, (start + F.col("shift")).alias("start"), length.alias("length"), padded.alias("padded"))
+
+
+def exported(videos: DataFrame, fixes: DataFrame, *, key: str = ID, smooth: bool = True) -> DataFrame:
+    """key, sec, lat, lon, ele: the track of each video at 1 Hz, padding included, smoothed with its ends in place."""
+    windows = export_windows(videos, fixes, key=key)
+    points = synchronised(fixes, windows.select(key, "start", "length"), key=key)
+    if not smooth:
+        return points
+    from .series import pinned_smooth
+
+    rows = pinned_smooth(points.select(F.col(key).alias(ID), F.col("sec").alias(FRAME), "lat", "lon", "ele"), {"lat": 8, "lon": 8, "ele": 3})
+    return rows.select(F.col(ID).alias(key), F.col(FRAME).alias("sec"), "lat", "lon", "ele")

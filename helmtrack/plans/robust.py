@@ -55,7 +55,13 @@ def grid_search_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust.best_parameter(directions(spark, sf_dir), "label", _GRID, cost).select("label", "parameter", r6(F.col("cost"), "cost"))
 
 
-@query("grid_refined")
+_ROUND = "{n}g AS (SELECT {b} + (i - {k}) * {step}::DOUBLE AS p, i, m FROM {source}, (SELECT unnest(range({count})) AS i)), {n} AS (SELECT arg_min(p, row(round(p * p - 2 * m * p, 9), i)) AS b, any_value(m) AS m FROM {n}g)"
+
+
+@query("grid_refined", f"""
+WITH {_VEC}, m AS (SELECT avg(x * 3) AS m FROM u),
+{_ROUND.format(n='a', b='0e0', k=5, step=1, count=11, source='m')}, {_ROUND.format(n='b', b='b', k=5, step='0.2', count=11, source='a')}, {_ROUND.format(n='c', b='b', k=5, step='0.04', count=11, source='b')}
+SELECT round(b, 6) AS parameter FROM c""")
 def grid_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rounds of a search that narrows; the loop runs on the driver over one number a round."""
     rows = directions(spark, sf_dir)

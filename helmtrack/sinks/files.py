@@ -6,6 +6,8 @@ writes them in the order of their lines, one folder a series.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,23 @@ def motion_file(df: DataFrame, columns: list[str], comment: str) -> DataFrame:
     return _headed(df.select(ID, F.col(FRAME).alias("n"), line.alias("line")), [f"# {comment}"])
 
 
+def motion_binary(df: DataFrame, *, fps: float = 30.0) -> DataFrame:
+    """series_id, content: the binary motion file of each series, little-endian.
+
+    A count in eight bytes, then a frame's start, end, yaw, pitch and roll as
+    doubles.  A file is one series, of forty bytes a frame.
+    """
+    kind = df.schema[ID].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(FRAME, kind="stable")
+        n = np.arange(len(rows))
+        body = np.column_stack([n / fps, (n + 1) / fps, rows[["yaw", "pitch", "roll"]].to_numpy(np.float64)])
+        return pd.DataFrame({ID: rows[ID].iloc[:1], "content": [np.int64(len(rows)).astype("<i8").tobytes() + body.astype("<f8").tobytes()]})
+
+    return df.select(ID, FRAME, "yaw", "pitch", "roll").groupBy(ID).applyInPandas(run, f"{ID} {kind}, content binary")
+
+
 def subtitles(df: DataFrame, text: str, time: str = "t", fps: float = 30.0) -> DataFrame:
     """Dialogue lines; each ends where the next begins, the last one a frame later."""
     end = F.coalesce(F.lead(time).over(ordered()), F.col(time) + 1.0 / fps)

@@ -116,3 +116,49 @@ def rate(df: DataFrame, time: str = "t") -> DataFrame:
     """series_id, fps: one over the median time between rows; 30 for a single row."""
     dt = F.col(time) - F.lag(time).over(Window.partitionBy(ID).orderBy(time))
     return df.select(ID, dt.alias("dt")).groupBy(ID).agg((1.0 / F.greatest(F.coalesce(F.percentile("dt", F.lit(0.5)), F.lit(1.0 / 30.0)), F.lit(1e-4))).alias("fps"))
+
+
+def trajectory(spark: SparkSession, path: str) -> DataFrame:
+    """series_id, frame, yaw, pitch, roll of transform files of either form.
+
+    A file with '[enter]' in its first thirty lines holds commands: frames count
+    its times from 1, and an axis that a time doesn't set is 0.  Other files
+    have a frame and three numbers a line, parted by blanks; comments and lines
+    that are no numbers are left out.
+    """
+    from ..functions.text import parsed_commands
+
+    rows = lines(spark, path)
+    sniffed = rows.where(F.col("n") < 30).groupBy(ID).agg(F.max(F.col("line").contains("[enter]")).alias("is_commands"))
+    told = sniffed.where("is_commands").select(ID)
+    commands_ = parsed_commands(rows.join(told, ID, "left_semi")).select(ID, (F.col(FRAME) + 1).alias(FRAME), "yaw", "pitch", "roll")
+    p = F.split(F.trim("line"), r"\s+")
+    number_ = lambda i: F.get(p, F.lit(i)).try_cast("double")
+    plain = rows.join(told, ID, "left_anti").where(~F.ltrim("line").startswith("#"))
+    plain = plain.select(ID, number_(0).cast("bigint").alias(FRAME), number_(1).alias("yaw"), number_(2).alias("pitch"), number_(3).alias("roll"))
+    return commands_.unionByName(plain.where("frame is not null and yaw is not null and pitch is not null and roll is not null"))
+
+
+#: Names that force columns go by (fixed values); a log's must be three in all.
+FORCE_NAMES = ("acc_x", "acc_y", "acc_z", "acx", "acy", "acz", "ax", "ay", "az")
+
+
+def force_log(spark: SparkSession, path: str) -> DataFrame:
+    """series_id, frame, ax, ay, az of comma-separated logs with exactly three force columns, with or without rates."""
+    rows = lines(spark, path)
+    head = rows.groupBy(ID).agg(F.min("n").alias("at"), F.min_by("line", "n").alias("header"))
+    names = F.transform(F.split(F.lower("header"), ","), lambda h: F.trim(h))
+    wanted = F.array(*[F.lit(x) for x in FORCE_NAMES])
+    places = F.transform(F.filter(wanted, lambda w: F.array_contains(F.col("h"), w)), lambda w: F.array_position(F.col("h"), w).cast("int") - 1)
+    known = head.withColumn("h", names).withColumn("places", places).where(F.size("places") == 3).select(ID, "at", "places")
+    parts = rows.join(known, ID).where("n > at").withColumn("p", F.split("line", ","))
+    out = parts.select(ID, "n", *[number(F.get("p", F.col("places")[i])).alias(a) for i, a in enumerate(("ax", "ay", "az"))])
+    return renumbered(out.where("ax is not null and ay is not null and az is not null"))
+
+
+def force_tilt(log: DataFrame, *, least: int = 10, most: float = 30.0) -> DataFrame:
+    """series_id, pitch, roll of the median force of logs of more than ``least`` rows, within ``most`` degrees."""
+    found = log.groupBy(ID).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(c, F.lit(0.5)).alias(c) for c in ("ax", "ay", "az")]).where(F.col("n") > least)
+    clip = lambda x: F.greatest(F.lit(-most), F.least(F.lit(most), F.degrees(x)))
+    x, y, z = F.col("ax"), F.col("ay"), F.col("az")
+    return found.select(ID, clip(F.atan2(-y, F.sqrt(x * x + z * z))).alias("pitch"), clip(F.atan2(x, z)).alias("roll"))

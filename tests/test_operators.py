@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helmtrack.functions import rotation, text
-from helmtrack.operators import catalog, checkpoints, joins, metrics, search, stages
+from helmtrack.operators import catalog, checkpoints, joins, metrics, search, stages, trajectory
 
 
 def one(spark, column):
@@ -129,3 +129,62 @@ def test_places_of_all_rows(spark):
     want = sorted((i * 7919 % 977, i) for i in range(5000))
     assert sorted(got, key=lambda r: r[2]) == [(*x, k) for k, x in enumerate(want, 1)]
     assert catalog.placed(rows.limit(0), "a", "b").count() == 0
+
+
+def test_quaternions_of_matrices(spark):
+    rows = [(10.0, 20.0, 30.0), (179.0, 5.0, -3.0), (0.0, 89.0, 170.0), (-120.0, -60.0, 95.0), (0.0, 0.0, 180.0), (180.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "roll double, pitch double, yaw double").withColumn("q", rotation.quaternion_zyx(F.col("roll"), F.col("pitch"), F.col("yaw")))
+    w, x, y, z = (F.col("q")[n] for n in "wxyz")
+    m = [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]
+    df = df.select("*", *[v.alias(f"m{i}") for i, v in enumerate(m)])
+    cells = [F.col(f"m{i}") for i in range(9)]
+    back = df.select(F.abs(rotation.dot(F.col("q"), trajectory.of_matrix(cells))).alias("same"), *[v.alias(n) for v, n in zip(trajectory.euler_zyx_of(cells), ("y", "p", "r"), strict=True)], "roll", "pitch", "yaw").collect()
+    assert [r.same for r in back] == pytest.approx([1.0] * len(rows), abs=1e-9)
+    assert [(r.r, r.p, r.y) for r in back[:4]] == [pytest.approx(r, abs=1e-6) for r in rows[:4]]
+
+
+def test_key_rotations_are_chained_and_taken_back(spark):
+    """A camera that turns by 2 degrees a key frame: the chain undoes it; a turn from two pairs is left out."""
+    turn = lambda deg: rotation.quaternion_zyx(0.0, 0.0, F.lit(deg))
+    rows = spark.range(6).select(F.lit("a").alias("series_id"), (F.col("id") * 10).alias("frame"), F.when(F.col("id") == 3, 2).otherwise(9).alias("matches"), turn(2.0).alias("q"))
+    turns = rows.select("series_id", "frame", "matches", *[F.col("q")[p].alias(p) for p in trajectory.PARTS])
+    keys = trajectory.chained(turns)
+    yaw = keys.select("frame", rotation.euler_zyx(rotation.quaternion(*[F.col(p) for p in trajectory.PARTS]))[2].alias("yaw")).orderBy("frame")
+    assert [r.yaw for r in yaw.collect()] == pytest.approx([0, -2, -4, -4, -6, -8], abs=1e-9)
+    frames = spark.range(51).select(F.lit("a").alias("series_id"), F.col("id").alias("frame"))
+    for options in ({}, {"deformed": True}, {"reapply": True}):
+        out = trajectory.corrections(keys, frames, smoothing=6.0, **options).orderBy("frame").collect()
+        assert len(out) == 51 and all(abs(r.yaw) <= 5 and abs(r.pitch) < 1e-6 for r in out)
+        assert abs(out[15].yaw) < (0.1 if "reapply" not in options else 1.0)  # an even turn needs no correction
+
+
+def test_rows_that_lie_apart(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(120, 3))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(int(i) % 3, int(i), *map(float, r)) for i, r in enumerate(v)], "f int, id int, x double, y double, z double")
+    got = sorted(r.id for r in trajectory.separated(df, "f", "id", ("x", "y", "z"), 25.0).collect())
+    want = []
+    for f in range(3):
+        taken = []
+        for i in range(f, 120, 3):
+            if all(math.acos(max(-1.0, min(1.0, float(v[i] @ v[j])))) >= math.radians(25.0) for j in taken):
+                taken.append(i)
+        want += taken
+    assert got == sorted(want) and len(got) < 120
+
+
+def test_presets_are_stamped(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": {"c": [1, null]}, "type": "old"}',), ("[1]",), ("{}",), (None,)], "j string")
+    got = [r.v for r in df.select(catalog.preset_document(F.col("j"), F.lit("2026-01-02T03:04:05")).alias("v")).collect()]
+    assert got == ['{"a":1,"b":{"c":[1,null]},"type":"pipeline_config","saved_at":"2026-01-02T03:04:05"}', None, '{"type":"pipeline_config","saved_at":"2026-01-02T03:04:05"}', None]
+
+
+def test_density_and_windows_of_checkpoints(spark):
+    rows = curve(spark, [5 * math.sin(2 * math.pi * i / 60) for i in range(300)])
+    n = {d: checkpoints.by_density(rows, d, fps=30.0).count() for d in ("low", "medium", "high")}
+    assert n["low"] < n["medium"] < n["high"]
+    some = [r.frame for r in checkpoints.from_extrema(rows, fps=30.0, frames=(100, 200)).collect()]
+    assert set(some) - {0, 299} and all(100 <= f <= 200 for f in some if f not in (0, 299))

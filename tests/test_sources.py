@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import struct
 
 import numpy as np
@@ -133,3 +134,39 @@ def test_missing_parameter(spark):
 
     with pytest.raises(Exception, match="missing parameter: fov"):
         spark.range(1).select(required(F.lit(" "), "fov")).collect()
+
+
+def test_transform_files_of_either_form(spark, tmp_path):
+    (tmp_path / "a.trf").write_text("# frame x y a\n1 0.5 -1 2\nbad line here x\n2 1e-1 0 0 9\n3 1 2\n")
+    (tmp_path / "b.txt").write_text("0.000000-0.033333 [enter] v360 yaw 1.5;\n0.000000-0.033333 [enter] v360 roll -2;\n0.033333-0.066667 [enter] v360 pitch 3;\n")
+    got = sorted((r.series_id.rsplit("/", 1)[-1][0], r.frame, r.yaw, r.pitch, r.roll) for r in logs.trajectory(spark, str(tmp_path)).collect())
+    assert got == [("a", 1, 0.5, -1.0, 2.0), ("a", 2, 0.1, 0.0, 0.0), ("b", 1, 1.5, 0.0, -2.0), ("b", 2, 0.0, 3.0, 0.0)]
+
+
+def test_logs_of_forces_alone(spark, tmp_path):
+    rows = [(0.1 * i % 0.3, 5.0, 8.66) for i in range(12)]
+    (tmp_path / "a.csv").write_text("time, ACC_X ,acc_y,acc_z\n" + "".join(f"{i},{x},{y},{z}\n" for i, (x, y, z) in enumerate(rows)) + "13,x,1,1\n")
+    (tmp_path / "b.csv").write_text("time,ax,ay\n1,2,3\n")
+    (tmp_path / "c.csv").write_text("ax,ay,az\n" + "0,0,1\n" * 10)
+    log = logs.force_log(spark, str(tmp_path))
+    assert log.count() == 22
+    (tilt,) = logs.force_tilt(log).collect()
+    x = sorted(r[0] for r in rows)
+    x = (x[5] + x[6]) / 2
+    assert tilt.pitch == pytest.approx(math.degrees(math.atan2(-5.0, math.hypot(x, 8.66)))) and tilt.roll == pytest.approx(math.degrees(math.atan2(x, 8.66)))
+
+
+def test_binary_motion_files(spark):
+    df = spark.createDataFrame([("a", 1, 4.0, 5.0, 6.0), ("a", 0, 1.0, 2.0, 3.0), ("b", 0, 0.5, 0.0, 0.0)], "series_id string, frame bigint, yaw double, pitch double, roll double")
+    got = {r.series_id: bytes(r.content) for r in sink.motion_binary(df, fps=10.0).collect()}
+    assert got["a"] == struct.pack("<q10d", 2, 0.0, 0.1, 1, 2, 3, 0.1, 0.2, 4, 5, 6) and len(got["b"]) == 48
+
+
+def test_exports_are_padded_and_smoothed(spark):
+    fixes = spark.createDataFrame([("a", i, 40.0 + 0.001 * (i % 2), 20.0 + 0.001 * i, 5.0, 100.0 + 10 * i) for i in range(5)], "series_id string, frame bigint, lat double, lon double, ele double, sec double")
+    videos = spark.createDataFrame([("a", 30.0, None, 40.001, 20.0011, 2.0)], "series_id string, duration double, start double, lat double, lon double, shift double")
+    (window,) = track.export_windows(videos, fixes).collect()
+    assert (window.start, window.length, window.padded) == (112.0, 126, True)
+    rough, smooth = ([(r.lat, r.lon) for r in track.exported(videos, fixes, smooth=s).orderBy("sec").collect()] for s in (False, True))
+    assert len(rough) == len(smooth) == 127 and rough[0] == smooth[0] and rough[-1] == smooth[-1] == (40.0, 20.004)
+    assert rough[7:10] != smooth[7:10]
