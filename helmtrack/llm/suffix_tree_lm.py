@@ -55,7 +55,7 @@ DEPTH, LEAST, GAIN, FREQUENT = 6, 5, 12.0, 1e-6
 #: Most symbols of retained contexts, and most contexts of full depth, that the driver and every worker hold.
 HELD_SYMBOLS = 4_000_000
 #: Bytes of text whose grams are looked up at a time.
-LOOKUP = 1 << 21
+LOOKUP = 1 << 20
 END, SPACE = 0x0A, 0x20
 FOLDS, HELD = 7, 2
 
