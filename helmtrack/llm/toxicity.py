@@ -10,8 +10,7 @@ Training takes at most ``max_docs`` labelled rows (a documented bound; the rows
 of smallest hash, half of them toxic as far as there are), one pass of Adam
 steps after another in one task's memory.  Embedding rows are words of at least
 ``min_docs`` training documents; all others share one neutral row, so a rare
-word cannot be memorised.  The first embedding dimension starts as the word's
-shrunken log-odds, the rest as small noise.  The bias is then calibrated on
+word cannot be memorised.  All weights start as noise.  The bias is then calibrated on
 held-back training rows.  For decisions, thresholds are calibrated by language
 where a language has enough held-back rows of both labels; scores never see
 the language.
@@ -19,7 +18,9 @@ the language.
 Defined cases: a null or empty text has no words and scores by the bias; rows
 without a label are scored, not learned from; labels of unknown documents and
 null labels are ignored; without labels of both kinds every score is the share
-of toxic labels (0 without labels); repeated rows give repeated results.
+of toxic labels (0 without labels); of several texts of a labelled id one is
+learned from; a null id counts as an empty one, so it is held out; repeated
+rows give repeated results; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 MAX_DOCS, BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS = 6000, 1 << 15, 8, 8, (1, 2, 3), 12
+#: Spread of the embeddings' random start, weight decay, and share of words dropped in training.
+START, DECAY, DROPPED = 0.3, 1e-3, 0.3
+#: What all clean rows together weigh against all toxic ones where a threshold is set.
+CLEAN = 4 / 3
 #: One in so many training rows is held back for calibration.
 FOLDS = 5
 
@@ -105,26 +110,20 @@ def _train(tokens: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Model
     rng = np.random.default_rng(seed)
     n, toxic = len(labels), labels.astype(np.float64)
     seen = [np.unique(t) for t in tokens]
-    docs, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for s, y in zip(seen, toxic, strict=True):
+    docs = np.zeros(BUCKETS)
+    for s in seen:
         docs[s] += 1
-        bad[s] += y
     least = 3 if n >= 200 else 2
     keep = np.flatnonzero(docs >= least)
     known = np.zeros(BUCKETS, np.int32)
     known[keep] = np.arange(1, len(keep) + 1)
     rate = toxic.mean()
-    strength = 2.0
-    odds = np.log((bad[keep] + strength * rate) / (docs[keep] - bad[keep] + strength * (1 - rate))) - np.log(rate / (1 - rate))
-    emb = rng.normal(0, 0.02, (len(keep) + 1, DIM)).astype(np.float32)
+    emb = rng.normal(0, START, (len(keep) + 1, DIM)).astype(np.float32)
     emb[0] = 0
-    emb[1:, 0] = np.clip(odds, -3, 6) / 3
-    conv = [rng.normal(0, 0.05, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    for c in conv:
-        c[:, 0, : FILTERS // 2] += 0.5
-    bias = [np.full(FILTERS, -0.3, np.float32) for _ in WIDTHS]
-    out = np.full(FILTERS * len(WIDTHS), 0.3, np.float32)
-    state = [emb, *conv, *bias, out, np.array([np.log(rate / (1 - rate)) - 1.0], np.float32)]
+    conv = [rng.normal(0, (2.0 / (w * DIM)) ** 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+    bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
+    out = rng.normal(0, (1.0 / (FILTERS * len(WIDTHS))) ** 0.5, FILTERS * len(WIDTHS)).astype(np.float32)
+    state = [emb, *conv, *bias, out, np.zeros(1, np.float32)]
     first_moment, second_moment = [np.zeros_like(p) for p in state], [np.zeros_like(p) for p in state]
     known_tokens = [known[t] for t in tokens]
     step, batch = 0, 64
@@ -136,11 +135,11 @@ def _train(tokens: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Model
             first = np.concatenate([[0], np.cumsum([len(known_tokens[r]) for r in rows])])
             t = np.concatenate([known_tokens[r] for r in rows]) if first[-1] else np.zeros(0, np.int32)
             if len(t):
-                t = np.where(rng.random(len(t)) < 0.1, 0, t)  # word dropout
+                t = np.where(rng.random(len(t)) < DROPPED, 0, t)  # word dropout
             grads = _gradients(state, t, first, toxic[rows], weight[rows])
             step += 1
             for p, g, a, b in zip(state, grads, first_moment, second_moment, strict=True):
-                g = g + 1e-4 * p
+                g = g + DECAY * p
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= 0.01 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
@@ -202,12 +201,13 @@ def _scores(model: Model, tokens: list[np.ndarray]) -> np.ndarray:
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the most right answers; the middle of the widest such gap."""
+    """The cut with the most right answers, the clean rows weighing ``CLEAN`` times the toxic ones; the middle of the widest such gap."""
     order = np.argsort(z)
     z, y = z[order], y[order]
-    right = np.concatenate([[0], np.cumsum(y == 0)]) + np.concatenate([np.cumsum((y == 1)[::-1])[::-1], [0]])
+    clean, toxic = CLEAN * (y == 0) / max(1, (y == 0).sum()), (y == 1) / max(1, (y == 1).sum())
+    right = np.concatenate([[0], np.cumsum(clean)]) + np.concatenate([np.cumsum(toxic[::-1])[::-1], [0]])
     edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-    best = np.flatnonzero(right == right.max())
+    best = np.flatnonzero(right >= right.max() - 1e-12)
     gap = edges[best + 1] - edges[best]
     at = best[gap.argmax()]
     return float((edges[at] + edges[at + 1]) / 2)
@@ -221,6 +221,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: in
     sample = F.broadcast(half.select("doc_id", "toxic", "r"))  # at most max_docs rows of three numbers
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     joined = docs.select("doc_id", "text", lang.alias("lang")).join(sample, "doc_id")
+    # one text of an id: of several, that of the smallest hash, by a partial minimum
+    joined = joined.groupBy("doc_id", "toxic", "r").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("d")).select("d.*", "toxic", "r")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,45 +263,42 @@ def _scores_of(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, pa.Arr
         yield i, j, pa.array(model.score(t, first).astype(np.float64))
 
 
-def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score of every whole text."""
+def scored(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "lang") -> tuple[DataFrame, list[str]]:
+    """All rows and columns, and three more: score, the threshold of the row's language, and whether the score reaches it.
+
+    The names of the three are returned too, since they avoid those of
+    ``docs``.  The language chooses the threshold only.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of tables of fixed size
+    schema, (name,) = tx.with_columns(docs, score="double")
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, found in _scores_of(batch.column(1), shared.value):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), found], names=["doc_id", "score"])
+            for i, j, found in _scores_of(batch.column(place), shared.value):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, found], names=schema.names)
 
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, score double")
+    out = docs.mapInArrow(run, schema)
+    levels = F.create_map(*[x for k, v in model.thresholds.items() for x in (F.lit(k), F.lit(v))]) if model.thresholds and lang in docs.columns else None
+    level = F.lit(0.5) if levels is None else F.coalesce(F.try_element_at(levels, F.coalesce(F.col(lang), F.lit(""))), F.lit(0.5))
+    _, (threshold, toxic) = tx.with_columns(out, threshold="double", toxic="boolean")
+    return out.withColumn(threshold, level).withColumn(toxic, F.col(name) >= level), [name, threshold, toxic]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8: learned from the rows that are not held out, scored for all."""
+    """op8: learned from the rows that are not held out, scored for all; ``toxic`` is the verdict by the language's threshold."""
     docs = tx.table(spark, sf_dir, "documents")
     labels = tx.table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
-    out = score(docs, fit(spark, docs, labels))
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out, _ = scored(docs.select("doc_id", "text", "lang"), fit(spark, docs, labels))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "toxic")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents over their language's threshold leave."""
+    """Pipeline stage: documents that reach their language's threshold leave."""
     labels = tx.table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
-    model = fit(spark, docs, labels)
-    shared = spark.sparkContext.broadcast(model)
-    schema, (name,) = tx.with_columns(docs, score="double")
-    place = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, found in _scores_of(batch.column(place), shared.value):
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, found], names=schema.names)
-
-    levels = F.create_map(*[x for k, v in model.thresholds.items() for x in (F.lit(k), F.lit(v))]) if model.thresholds else None
-    level = F.coalesce(F.try_element_at(levels, F.coalesce("lang", F.lit(""))), F.lit(0.5)) if levels is not None and "lang" in docs.columns else F.lit(0.5)
-    return docs.mapInArrow(run, schema).where(F.col(name) < level).select(*docs.columns)
+    out, (_, _, toxic) = scored(docs, fit(spark, docs, labels))
+    return out.where(~F.col(toxic)).select(*docs.columns)
