@@ -209,9 +209,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
 
     keys = ["n_shingles", "d1", "d2"]
     classes = signed.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("doc"))
-    spread = signed.where("n_shingles > 0").join(classes.select("doc", *keys), [F.col("doc_id") == F.col("doc"), *(signed[k] == classes[k] for k in keys)], "left_semi").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
+    chosen = joined_apart(signed.where("n_shingles > 0"), classes.withColumnRenamed("doc", "doc_id"), ["doc_id", *keys], "left_semi")
+    spread = chosen.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("bucket")
     members = scratch.keep(joined_apart(spread, shared, "bucket", "left_semi").distinct(), "members")
+    scratch.release()
     wanted = members.select("doc").distinct()
     sets = scratch.keep(source.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), f"doc_id {kind}, set binary"), "sets")
 
@@ -229,7 +231,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
         scratch.drop(tested, more)
     scratch.drop(sets, stars, members)
 
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, keys, "left")
+    out = joined_apart(signed.select("doc_id", "n_shingles", "d1", "d2"), classes, keys, "left")
     if labels is not None:
         out = out.join(labels, F.col("doc") == F.col("node"), "left").withColumn("doc", F.coalesce("root", "doc"))
     component = F.coalesce("doc", "doc_id")

@@ -6,7 +6,7 @@ import gc
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,17 +20,25 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def joined_apart(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """A join on a key that ``right`` has been grouped by, the rows of ``left`` kept splittable.
+def joined_apart(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """A join on keys that ``right`` has been grouped by, the rows of ``left`` kept splittable.
 
-    On the grouping's own key Spark would use the grouping's partitions, and
-    all rows of a hot key would meet in one of them.  The key wrapped in a
-    struct is another expression: both sides are exchanged for the join alone,
-    and Spark can split the partition of a hot key.
+    On the grouping's own keys Spark would use the grouping's partitions, and
+    all rows of a hot key would meet in one of them.  The keys wrapped in a
+    struct are another expression: both sides are exchanged for the join alone,
+    and Spark can split the partition of a hot key.  Null keys meet nothing.
     """
-    wrapped = f"_{key}"
-    other = right.select(F.struct(F.col(key).alias("v")).alias(wrapped), *[c for c in right.columns if c != key])
-    return left.withColumn(wrapped, F.struct(F.col(key).alias("v"))).join(other, wrapped, how).drop(wrapped)
+    keys = [keys] if isinstance(keys, str) else keys
+    wrapped = F.when(_all_known(keys), F.struct(*keys))
+    other = right.select(wrapped.alias("_keys"), *[c for c in right.columns if c not in keys])
+    return left.withColumn("_keys", wrapped).join(other, "_keys", how).drop("_keys")
+
+
+def _all_known(keys: list[str]) -> Column:
+    known = F.col(keys[0]).isNotNull()
+    for k in keys[1:]:
+        known = known & F.col(k).isNotNull()
+    return known
 
 
 class Scratch:

@@ -323,8 +323,8 @@ def test_toxicity_without_labels(spark):
     docs, labels = labelled(spark, 30)
     for some, want in ((labels.limit(0), 0.0), (labels.where("toxic = 1"), 1.0)):
         model = toxicity.fit(spark, docs, some)
-        assert {r.score for r in toxicity.score(docs, model).collect()} == {want}
-    assert toxicity.score(docs.limit(0), toxicity.Model()).count() == 0
+        assert {r.score for r in toxicity.scored(docs, model)[0].collect()} == {want}
+    assert toxicity.scored(docs.limit(0), toxicity.Model())[0].count() == 0
 
 
 def test_documents_of_the_sample_are_read_in_parallel(spark, tmp_path):
@@ -348,6 +348,67 @@ def test_features_of_windows_end_with_their_row():
     assert top.ravel().tolist() == [11.0, 0.0, 5.0]
 
 
+def plain_forward(state, row):
+    """Logit of one row of known tokens, window by window; what lies past the end is the neutral token."""
+    k = len(toxicity.WIDTHS)
+    emb, conv, bias, out, out_bias = state[0], state[1 : 1 + k], state[1 + k : 1 + 2 * k], state[-2], state[-1]
+    top = []
+    for width, c, b in zip(toxicity.WIDTHS, conv, bias, strict=True):
+        for f in range(toxicity.FILTERS):
+            best = b[f]
+            values = [b[f] + sum(float(emb[row[i + j] if i + j < len(row) else 0] @ c[j][:, f]) for j in range(width)) for i in range(len(row))]
+            top.append(max(0.0, *values) if values else max(0.0, best))
+    return float(np.dot(top, out) + out_bias[0])
+
+
+def small_network(seed=3):
+    rng = np.random.default_rng(seed)
+    emb = rng.normal(0, 0.5, (9, toxicity.DIM)).astype(np.float32)
+    emb[0] = 0
+    conv = [rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    bias = [rng.normal(0, 0.3, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    out = rng.normal(0, 0.5, toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32)
+    rows = [rng.integers(0, 9, n).astype(np.int32) for n in (0, 1, 2, 3, 7, 12)]
+    return [emb, *conv, *bias, out, np.array([0.2], np.float32)], rows
+
+
+def test_scores_against_a_plain_forward_pass():
+    state, rows = small_network()
+    model = toxicity._assemble(state, np.arange(9), 0.0)
+    got = model.score(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    assert got == pytest.approx([1 / (1 + math.exp(-plain_forward(state, r))) for r in rows], rel=1e-4)
+
+
+def test_gradients_against_differences():
+    state, rows = small_network()
+    state = [p.astype(np.float64) for p in state]
+    y, weight = np.array([0, 1, 1, 0, 1, 0], float), np.array([1, 2, 1, 1, 0.5, 1.0])
+
+    def loss(s):
+        z = np.array([plain_forward(s, r) for r in rows])
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() / len(y))
+
+    grads = toxicity._gradients(state, np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]), y, weight)
+    rng = np.random.default_rng(1)
+    for k, (p, g) in enumerate(zip(state, grads, strict=True)):
+        for at in [np.unravel_index(i, p.shape) for i in rng.choice(p.size, min(6, p.size), replace=False)]:
+            if k == 0 and at[0] == 0:
+                continue  # the neutral token's row is held at nothing
+            up, down = [q.copy() for q in state], [q.copy() for q in state]
+            up[k][at] += 1e-4
+            down[k][at] -= 1e-4
+            assert g[at] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=2e-3), (k, at)
+
+
+def test_toxicity_of_repeated_ids_and_clashing_columns(spark):
+    docs, labels = labelled(spark, 90)
+    more = docs.union(docs.where("doc_id < 20")).union(docs.where("doc_id < 9").withColumn("text", F.lit("other text"))).selectExpr("*", "1 as score", "'x' as toxic", "2 as threshold", "3 as r")
+    out, names = toxicity.scored(more, toxicity.fit(spark, more, labels))
+    assert names == ["score_", "threshold_", "toxic_"] and out.columns == [*more.columns, *names]
+    rows = out.collect()
+    assert len(rows) == more.count() and all(r.score == 1 and r.toxic == "x" and r.toxic_ == (r.score_ >= r.threshold_) for r in rows)
+
+
 # --- pipeline ---------------------------------------------------------------
 
 
