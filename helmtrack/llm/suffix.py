@@ -47,10 +47,10 @@ from .substring import first_copies, lists, with_repeated
 LENGTH, GRAM = 50, 16
 #: A run of strings with one minimizer is cut after so many, as in long runs of one character.
 MOST = 64
-#: A minimizer with more classes has its strings dealt one by one.
-HOT = 4096
+#: A minimizer with more classes has its strings dealt one by one, so that no task holds more of one minimizer.
+HOT = 512
 #: Words of eight bytes that are sorted on before the tries.
-SHALLOW = 6
+SHALLOW = 2
 
 
 @dataclass
