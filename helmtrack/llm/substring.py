@@ -20,8 +20,11 @@ No step emits pairs, and no step needs all rows of a key in one task.
 Defined cases: a null or empty text has no words, and keeps none; a text with
 fewer words than the window is kept whole; kept words are joined by one space.
 ``doc_id`` should be unique: exactly repeated rows count as copies of each
-other, different texts of one doc_id pool their repeated windows.  A row with
-a null doc_id is kept whole and matches nothing.  Other columns are ignored.
+other; different texts of one doc_id pool the list of their repeated windows,
+which are the same for all.  Rows with a null doc_id are documents like others:
+within the operator each such text has an id of its own, below all ids that are
+in use (integers from -2**63, or texts after a zero byte).  Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import text as tx
 from .packed import packed_documents, unpacked
@@ -189,8 +193,12 @@ def drop_repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str
         raise ValueError("cover must hold every difference modulo period, and period be at most the window")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
+    given = docs.schema[doc_id].dataType
+    number = isinstance(given, IntegralType)
+    mark = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 32))
+    stand_in = F.lit(-(1 << 63)) + mark if number else F.concat(F.lit("\0"), mark.cast("string"))
+    kind = "bigint" if number else "string"
+    source = docs.select(F.coalesce(F.col(doc_id).cast(kind), stand_in).alias("doc_id"), F.col(text).alias("text"))
     anchors = _Anchors(window, period, cover)
     rows = source.mapInArrow(_anchor_rows(anchors), f"doc_id {kind}, key bigint")
     marks = scratch.keep(with_repeated(rows, "key").groupBy("doc_id").agg(F.collect_list("key").alias("marks")), "marks")
@@ -198,7 +206,9 @@ def drop_repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     base = packed_documents(source)
     found = base.join(marks, "doc_id", "left").mapInArrow(_window_rows(anchors), f"doc_id {kind}, h1 bigint, h2 int")
     again = with_repeated(found, "h1", "h2").groupBy("doc_id").agg(F.collect_list("h1").alias("marks"))
-    return base.join(again, "doc_id", "left").mapInArrow(_kept(window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string")
+    out = base.join(again, "doc_id", "left").mapInArrow(_kept(window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string")
+    stands_in = F.col("doc_id") < F.lit(-(1 << 63) + (1 << 32)) if number else F.col("doc_id").startswith("\0")
+    return out.withColumn("doc_id", F.when(~stands_in, F.col("doc_id")).cast(given))
 
 
 def substring(spark: SparkSession, sf_dir: str) -> DataFrame:

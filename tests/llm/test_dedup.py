@@ -154,3 +154,23 @@ def test_equal_ids_count_as_copies(spark):
     same = spark.createDataFrame([(1, "z " * 40), (1, "z " * 40)], "doc_id bigint, text string")
     assert [r.n_removed for r in substring.drop_repeated_windows(same).collect()] == [40, 40]
     assert [r.n_removed for r in suffix.drop_repeated_bytes(same).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_rows_of_a_null_id_count_like_others(spark, tmp_path, kind):
+    """Against the SQL, which numbers the rows."""
+    import duckdb
+
+    from helmtrack.llm.sql import SUBSTRING
+
+    p = " ".join(f"p{i}" for i in range(40))
+    rows = [(None, f"a {p} b"), ("1", f"c {p} d"), ("2", "e " * 5), (None, "q " * 36), (None, None), (None, f"only {p[:60]}")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = substring.drop_repeated_windows(spark.read.parquet(f"{tmp_path}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got.schema["doc_id"].dataType.simpleString() == kind
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(SUBSTRING).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert sorted(r[2] for r in want) == [0, 0, 0, 36, 40, 40]
