@@ -53,49 +53,74 @@ def bounded_coordinates(x: Column) -> Column:
     return F.when(ok, F.format_string("%.6f,%.6f", lat, lon)).otherwise("")
 
 
+#: Where a map address has its pin's latitude and longitude, and its view (fixed by the addresses).
+PIN_LAT, PIN_LON, VIEW = "!3d", "!4d", "@"
+
+
+def _after(s: Column, mark: str) -> Column:
+    """What follows the first mark; null without one."""
+    return F.get(F.split(s, mark, 2), F.lit(1))
+
+
+def _decimal(s: Column) -> Column:
+    """The number with a fraction that a text begins with."""
+    sign = F.when(s.startswith("-"), -1.0).otherwise(1.0)
+    part = F.split(F.ltrim(s, F.lit("-")), r"\.")
+    fraction = F.regexp_extract(F.get(part, F.lit(1)), "^[0-9]+", 0)
+    return sign * F.when(fraction != "", F.concat_ws(".", F.get(part, F.lit(0)), fraction)).try_cast("double")
+
+
+def _address(s: Column) -> tuple[Column, Column, Column]:
+    """Latitude, longitude and height of a map address: the pin's place, else the view's; the view's height."""
+    pin = F.split(_after(s, PIN_LAT), PIN_LON)
+    view = F.split(_after(s, VIEW), ",")
+    has_pin = _decimal(F.get(pin, F.lit(0))).isNotNull() & _decimal(F.get(pin, F.lit(1))).isNotNull()
+    place = [F.when(has_pin, _decimal(F.get(pin, F.lit(i)))).otherwise(_decimal(F.get(view, F.lit(i)))) for i in (0, 1)]
+    height = F.regexp_extract(F.get(view, F.lit(2)), r"^[0-9]+(\.[0-9]+)?", 0).try_cast("double")
+    return place[0], place[1], height
+
+
 def checkpoint(line: Column) -> Column:
     """struct(lat, lon, time, ele) of a checkpoint line.
 
     A map address gives its pin before its view's centre, and the view's height
     as elevation; a time may stand beside it.  Otherwise two to four tokens
     parted by commas: the one with a colon is the time, of four plain ones the
-    first.  Comments and anything else are null.
+    first; the others are numbers in order.  Comments and anything else are
+    null.
     """
     s = F.trim(line)
-    pin = lambda i: F.regexp_extract(s, r"!3d(-?\d+\.\d+)!4d(-?\d+\.\d+)", i).try_cast("double")
-    view = lambda i: F.regexp_extract(s, r"@(-?\d+\.\d+),(-?\d+\.\d+)(?:,(\d+(?:\.\d+)?)(?:m|z)?)?", i).try_cast("double")
-    beside = F.split(F.regexp_replace(F.regexp_replace(s, r"https?://[^\s,]+", ""), ",", " "), r"\s+")
-    when = F.get(F.filter(F.transform(beside, seconds), lambda v: v.isNotNull()), F.lit(0))
-    none = F.lit(None).cast("double")
     point = lambda lat, lon, t, e: F.struct(lat.alias("lat"), lon.alias("lon"), t.alias("time"), e.alias("ele"))
-    url = point(F.coalesce(pin(1), view(1)), F.when(pin(1).isNotNull(), pin(2)).otherwise(view(2)), when, view(3))
-    part = F.filter(F.transform(F.split(s, ","), lambda p: F.trim(p)), lambda p: p != "")
-    at = lambda i: F.get(part, F.lit(i))
-    timed = F.filter(part, lambda p: p.contains(":"))
-    plain = F.filter(F.transform(part, lambda p, i: F.when((p.contains(":")) & (i == F.array_position(part, F.get(timed, F.lit(0))) - 1), F.lit(None)).otherwise(p)), lambda p: p.isNotNull())
-    rest = lambda i: clean_number(F.get(plain, F.lit(i)))
-    four = F.when(F.size(timed) > 0, point(rest(0), rest(1), seconds(F.get(timed, F.lit(0))), rest(2))).otherwise(point(clean_number(at(1)), clean_number(at(2)), seconds(at(0)), clean_number(at(3))))
-    three = (
-        F.when(at(0).contains(":"), point(clean_number(at(1)), clean_number(at(2)), seconds(at(0)), none))
-        .when(at(2).contains(":"), point(clean_number(at(0)), clean_number(at(1)), seconds(at(2)), none))
-        .otherwise(point(clean_number(at(0)), clean_number(at(1)), none, clean_number(at(2))))
-    )
-    two = point(clean_number(at(0)), clean_number(at(1)), none, none)
-    listed = F.when(F.size(part) == 4, four).when(F.size(part) == 3, three).when(F.size(part) == 2, two)
-    found = F.when(s.startswith("#") | (s == ""), F.lit(None)).when(url["lat"].isNotNull(), url).otherwise(listed)
+    lat, lon, height = _address(s)
+    beside = F.transform(F.filter(F.split(s, r"[\s,]+"), lambda p: ~p.startswith("http")), seconds)
+    address = point(lat, lon, F.get(F.filter(beside, lambda v: v.isNotNull()), F.lit(0)), height)
+
+    token = F.filter(F.transform(F.split(s, ","), lambda p: F.trim(p)), lambda p: p != "")
+    n, colon = F.size(token), F.filter(token, lambda p: p.contains(":"))
+    clock_at = F.when(F.size(colon) > 0, F.array_position(token, F.get(colon, F.lit(0)))).when(n == 4, 1).otherwise(0).cast("int")
+    numbers = F.transform(F.filter(token, lambda p, i: i + 1 != clock_at), clean_number)
+    time = F.when(clock_at > 0, seconds(F.get(token, clock_at - 1)))
+    usual = n.between(2, 4) & ~((n == 3) & F.get(token, F.lit(1)).contains(":"))  # of three tokens, the middle one is no time
+    listed_ = F.when(usual, point(*[F.get(numbers, F.lit(i)) for i in (0, 1)], time, F.get(numbers, F.lit(2))))
+    found = F.when(s.startswith("#") | (s == ""), F.lit(None)).when(lat.isNotNull() & lon.isNotNull(), address).otherwise(listed_)
     return F.when(found["lat"].isNotNull() & found["lon"].isNotNull(), found)
 
 
 def pasted_point(x: Column, elevation: float = 315.0) -> Column:
-    """struct(lat, lon, ele, time) of any pasted text: a clock time, and the first two numbers in range."""
+    """struct(lat, lon, ele, time) of any pasted text: a clock time, and the first two numbers in range.
+
+    The number after these is the elevation, if it can be one.
+    """
     s = F.trim(x)
-    stamp = F.regexp_extract(s, r"\b(\d{1,2}:\d{2}(?::\d{2})?)\b", 1)
-    rest = F.when(stamp != "", F.regexp_replace(s, F.lit(r"\b\d{1,2}:\d{2}(?::\d{2})?\b"), F.lit(""))).otherwise(s)
-    n = F.transform(F.regexp_extract_all(rest, F.lit(r"([-+]?[0-9]*\.?[0-9]+)"), F.lit(1)), lambda v: v.try_cast("double"))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(n) - 2, F.lit(0))), lambda i: F.struct(F.get(n, i).alias("lat"), F.get(n, i + 1).alias("lon"), F.get(n, i + 2).alias("next")))
-    hit = F.get(F.filter(pairs, lambda p: (F.abs(p["lat"]) <= 90) & (F.abs(p["lon"]) <= 180) & ((F.abs(p["lat"]) > 0) | (F.abs(p["lon"]) > 0))), F.lit(0))
-    ele = F.when((hit["next"] > 0) & (hit["next"] < 9000) & (hit["next"] != hit["lat"]) & (hit["next"] != hit["lon"]), hit["next"]).otherwise(elevation)
-    return F.when(~s.startswith("#") & hit.isNotNull(), F.struct(hit["lat"].alias("lat"), hit["lon"].alias("lon"), ele.alias("ele"), seconds(F.nullif(stamp, F.lit(""))).alias("time")))
+    token = F.filter(F.split(s, r"[^0-9.:+-]+"), lambda p: p != "")
+    is_clock = lambda p: (F.size(F.split(p, ":")) > 1) & (F.length(p) >= 4) & seconds(p).isNotNull()
+    time = F.get(F.transform(F.filter(token, is_clock), seconds), F.lit(0))
+    number_ = F.filter(F.transform(token, lambda p: p.try_cast("double")), lambda v: v.isNotNull())
+    place = F.transform(number_, lambda v, i: F.struct(v.alias("lat"), F.get(number_, i + 1).alias("lon"), F.get(number_, i + 2).alias("next")))
+    in_range = lambda p: (F.abs(p["lat"]) <= 90) & (F.abs(p["lon"]) <= 180) & ((p["lat"] != 0) | (p["lon"] != 0))
+    first = F.get(F.filter(place, in_range), F.lit(0))
+    ele = F.when(first["next"].between(0, 9000) & (first["next"] != 0) & (first["next"] != 9000) & ~first["next"].isin(first["lat"], first["lon"]), first["next"]).otherwise(elevation)
+    return F.when(~s.startswith("#") & first.isNotNull(), F.struct(first["lat"].alias("lat"), first["lon"].alias("lon"), ele.alias("ele"), time.alias("time")))
 
 
 def timestamp(x: Column) -> Column:

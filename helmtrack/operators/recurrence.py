@@ -8,7 +8,7 @@ Series are the unit of distribution; many of them are handled in parallel.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -81,95 +81,145 @@ def ema(x: np.ndarray, t: np.ndarray, *, alpha: float = 0.3, apart: float = 0.5)
     return out
 
 
-class Complementary:
-    """Gyro for fast and gravity for slow motion; yaw is integrated."""
+class Filter:
+    """A filter of many series at once: a row of ``state`` is one series.
+
+    ``step`` takes the rates (degrees a second) and forces of the series' next
+    samples, and gives their angles and the new state.  States are plain
+    arrays, so a series' state can be carried from one batch to the next.
+    """
 
     def __init__(self, fps: float, gain: float):
-        self.dt, self.alpha, self.state = 1.0 / max(fps, 1e-4), min(max(gain, 0.001), 0.999), (0.0, 0.0, 0.0)
+        self.dt, self.gain = 1.0 / max(fps, 1e-4), gain
+
+    def start(self, lanes: int) -> np.ndarray:
+        return np.zeros((lanes, 3))
+
+    def step(self, state: np.ndarray, rates: np.ndarray, forces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates summed up."""
+        state = state + rates * self.dt
+        return state, state
+
 
-    def update(self, g: Sequence[float], a: Sequence[float]) -> tuple[float, float, float]:
-        roll, pitch, yaw = self.state
-        tr, tp = tilt(*a)
-        keep = self.alpha
-        self.state = keep * (roll + g[0] * self.dt) + (1.0 - keep) * tr, keep * (pitch + g[1] * self.dt) + (1.0 - keep) * tp, yaw + g[2] * self.dt
-        return self.state
+def tilts(forces: np.ndarray) -> np.ndarray:
+    """Roll and pitch of forces, in degrees; a hundred-millionth keeps the quotients defined."""
+    x, y, z = forces.T
+    return np.degrees(np.stack([np.arctan2(y, z + 1e-8), np.arctan2(-x, np.hypot(y, z) + 1e-8)], axis=1))
 
 
-def tilt(ax: float, ay: float, az: float) -> tuple[float, float]:
-    return math.degrees(math.atan2(ay, az + 1e-8)), math.degrees(math.atan2(-ax, math.sqrt(ay * ay + az * az) + 1e-8))
+class GyroOnly(Filter):
+    """Rates summed up; what any unknown method name falls back to."""
+
+    def __init__(self, fps: float, gain: float = 0.0):
+        super().__init__(fps, gain)
+
 
+class Complementary(Filter):
+    """High-passed gyro and low-passed gravity; yaw is integrated."""
 
-class Kalman:
-    """Angle and gyro bias of roll and pitch, each with a covariance of two by two; yaw is integrated."""
+    def step(self, state, rates, forces):
+        share = np.array([min(max(self.gain, 0.001), 0.999)] * 2 + [1.0])
+        seen = np.pad(tilts(forces), ((0, 0), (0, 1)))
+        state = share * (state + rates * self.dt) + (1.0 - share) * seen
+        return state, state
+
+
+class Kalman(Filter):
+    """Linear Kalman filters of an angle and its gyro's bias, for roll and for pitch; yaw is integrated.
+
+    The textbook equations, on stacks of matrices: x = F x + B u and
+    P = F P F' + Q, then with H = (1 0) the gain K = P H' / (H P H' + R),
+    x = x + K (z - H x) and P = (I - K H) P.  A state holds the two filters'
+    x and P, and the yaw.
+    """
 
     def __init__(self, fps: float, gain: float, angle_noise: float = 0.001, bias_noise: float = 0.003):
-        self.dt, self.noise = 1.0 / max(fps, 1e-4), max(1e-4, gain * (0.03 / 0.51))
-        self.angle_noise, self.bias_noise = angle_noise, bias_noise
-        self.state = [(0.0, 0.0, 1.0, 0.0, 0.0, 1.0)] * 2
-        self.yaw = 0.0
-
-    def _step(self, s: tuple[float, ...], rate: float, seen: float) -> tuple[float, ...]:
-        angle, bias, p00, p01, p10, p11 = s
-        dt = self.dt
-        angle += dt * (rate - bias)
-        p00 += dt * (dt * p11 - p01 - p10 + self.angle_noise)
-        p01 -= dt * p11
-        p10 -= dt * p11
-        p11 += self.bias_noise * dt
-        k0, k1 = p00 / (p00 + self.noise), p10 / (p00 + self.noise)
-        off = seen - angle
-        return angle + k0 * off, bias + k1 * off, p00 - k0 * p00, p01 - k0 * p01, p10 - k1 * p00, p11 - k1 * p01
-
-    def update(self, g: Sequence[float], a: Sequence[float]) -> tuple[float, float, float]:
-        self.state = [self._step(s, rate, seen) for s, rate, seen in zip(self.state, g, tilt(*a), strict=False)]
-        self.yaw += g[2] * self.dt
-        return self.state[0][0], self.state[1][0], self.yaw
-
-
-class Mahony:
-    """Quaternion turned by the gyro and pulled towards gravity; rates in degrees."""
+        super().__init__(fps, gain)
+        self.move = np.array([[1.0, -self.dt], [0.0, 1.0]])
+        self.drive = np.array([self.dt, 0.0])
+        self.spread = np.diag([angle_noise, bias_noise]) * self.dt
+        self.noise = max(1e-4, gain * (0.03 / 0.51))
+
+    def start(self, lanes: int) -> np.ndarray:
+        one = np.concatenate([np.zeros(2), np.eye(2).ravel()])
+        return np.tile(np.concatenate([one, one, [0.0]]), (lanes, 1))
+
+    def step(self, state, rates, forces):
+        filters = state[:, :12].reshape(-1, 2, 6)
+        x, p = filters[..., :2], filters[..., 2:].reshape(-1, 2, 2, 2)
+        x = x @ self.move.T + rates[:, :2, None] * self.drive
+        p = self.move @ p @ self.move.T + self.spread
+        k = p[..., :, 0] / (p[..., 0, 0] + self.noise)[..., None]
+        x = x + k * (tilts(forces) - x[..., 0])[..., None]
+        p = p - k[..., :, None] * p[..., 0, None, :]
+        yaw = state[:, 12] + rates[:, 2] * self.dt
+        new = np.concatenate([np.concatenate([x, p.reshape(-1, 2, 4)], axis=2).reshape(-1, 12), yaw[:, None]], axis=1)
+        return new, np.column_stack([x[..., 0], yaw])
+
+
+class Mahony(Filter):
+    """A quaternion turned by the gyro and pulled towards gravity by the cross product of the two downs.
+
+    A state is the quaternion and the integral of the errors.
+    """
 
     def __init__(self, fps: float, gain: float, integral: float = 0.0):
-        self.dt, self.kp, self.ki = 1.0 / max(fps, 1e-4), gain, integral
-        self.q, self.sum = (1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0)
-
-    def update(self, g: Sequence[float], a: Sequence[float]) -> tuple[float, float, float]:
-        w, x, y, z = self.q
-        rate = [math.radians(v) for v in g]
-        size = math.sqrt(sum(v * v for v in a))
-        if size > 1e-4:
-            m = [v / size for v in a]
-            down = (2.0 * (x * z - w * y), 2.0 * (w * x + y * z), w * w - x * x - y * y + z * z)
-            off = (m[1] * down[2] - m[2] * down[1], m[2] * down[0] - m[0] * down[2], m[0] * down[1] - m[1] * down[0])
-            if self.ki > 0.0:
-                self.sum = tuple(s + e * self.ki * self.dt for s, e in zip(self.sum, off, strict=True))
-            rate = [r + s + self.kp * e for r, s, e in zip(rate, self.sum, off, strict=True)]
-        gx, gy, gz = rate
-        turned = (
-            w + 0.5 * (-x * gx - y * gy - z * gz) * self.dt, x + 0.5 * (w * gx + y * gz - z * gy) * self.dt,
-            y + 0.5 * (w * gy - x * gz + z * gx) * self.dt, z + 0.5 * (w * gz + x * gy - y * gx) * self.dt,
-        )
-        size = math.sqrt(sum(v * v for v in turned))
-        if size > 1e-6:
-            self.q = tuple(v / size for v in turned)
-        return self.euler()
-
-    def euler(self) -> tuple[float, float, float]:
-        w, x, y, z = self.q
+        super().__init__(fps, gain)
+        self.integral = integral
+
+    def start(self, lanes: int) -> np.ndarray:
+        return np.tile([1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], (lanes, 1))
+
+    def step(self, state, rates, forces):
+        q, total = state[:, :4], state[:, 4:]
+        size = np.linalg.norm(forces, axis=1, keepdims=True)
+        felt = size[:, 0] > 1e-4
+        down = forces / np.where(size > 1e-4, size, 1.0)
+        error = np.where(felt[:, None], np.cross(down, self._down(q)), 0.0)
+        if self.integral > 0.0:
+            total = total + error * self.integral * self.dt
+        turn = np.radians(rates) + np.where(felt[:, None], total + self.gain * error, 0.0)
+        moved = q + 0.5 * self.dt * self._times(q, turn)
+        length = np.linalg.norm(moved, axis=1, keepdims=True)
+        q = np.where(length > 1e-6, moved / np.where(length > 1e-6, length, 1.0), q)
+        return np.concatenate([q, total], axis=1), self._angles(q)
+
+    @staticmethod
+    def _down(q: np.ndarray) -> np.ndarray:
+        """The third row of the rotation matrix."""
+        w, v = q[:, :1], q[:, 1:]
+        out = 2.0 * (v * v[:, 2:] + w * np.column_stack([-v[:, 1], v[:, 0], np.zeros(len(q))]))
+        out[:, 2] += w[:, 0] ** 2 - (v**2).sum(axis=1)
+        return out
+
+    @staticmethod
+    def _times(q: np.ndarray, rate: np.ndarray) -> np.ndarray:
+        """q times a quaternion without real part."""
+        w, v = q[:, :1], q[:, 1:]
+        return np.concatenate([-(v * rate).sum(axis=1, keepdims=True), w * rate + np.cross(v, rate)], axis=1)
+
+    @staticmethod
+    def _angles(q: np.ndarray) -> np.ndarray:
+        w, x, y, z = q.T
         sine = 2.0 * (w * y - z * x)
-        pitch = math.copysign(90.0, sine) if abs(sine) >= 1.0 else math.degrees(math.asin(sine))
-        return math.degrees(math.atan2(2.0 * (w * x + y * z), 1.0 - 2.0 * (x * x + y * y))), pitch, math.degrees(math.atan2(2.0 * (w * z + x * y), 1.0 - 2.0 * (y * y + z * z)))
+        pitch = np.where(np.abs(sine) >= 1.0, np.copysign(90.0, sine), np.degrees(np.arcsin(np.clip(sine, -1.0, 1.0))))
+        roll = np.degrees(np.arctan2(2.0 * (w * x + y * z), 1.0 - 2.0 * (x * x + y * y)))
+        return np.column_stack([roll, pitch, np.degrees(np.arctan2(2.0 * (w * z + x * y), 1.0 - 2.0 * (y * y + z * z)))])
 
 
-class GyroOnly:
-    """Rates summed up; what any unknown method name falls back to."""
+def run_filter(f: Filter, state: np.ndarray, start: np.ndarray, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angles of all samples, and the states after each series' last one.
 
-    def __init__(self, fps: float, gain: float = 0.0):
-        self.dt, self.state = 1.0 / max(fps, 1e-4), (0.0, 0.0, 0.0)
-
-    def update(self, g: Sequence[float], a: Sequence[float]) -> tuple[float, float, float]:
-        self.state = tuple(s + v * self.dt for s, v in zip(self.state, g, strict=True))
-        return self.state
+    ``samples`` holds the rates and forces of one series after another, series
+    i from ``start[i]`` to ``start[i + 1]``; all series are stepped together.
+    """
+    out, size, state = np.empty((len(samples), 3)), np.diff(start), state.copy()
+    order = np.argsort(-size, kind="stable")
+    for k in range(int(size.max(initial=0))):
+        lanes = order[: np.searchsorted(-size[order], -k, side="left")]
+        at = start[lanes] + k
+        state[lanes], out[at] = f.step(state[lanes], samples[at, :3], samples[at, 3:])
+    return out, state
 
 
 FILTERS: dict[str, type] = {"ekf": Kalman, "mahony": Mahony, "complementary": Complementary}
@@ -177,15 +227,31 @@ RATES, FORCES = ("gx", "gy", "gz"), ("ax", "ay", "az")
 
 
 def fuse(df: DataFrame, *, method: str = "ekf", gain: float = 0.51, fps: float = 30.0) -> DataFrame:
-    """series_id, frame, roll, pitch, yaw from rates (degrees a second) and forces of every series."""
-    made = FILTERS.get(method.lower(), GyroOnly)
+    """series_id, frame, roll, pitch, yaw from rates (degrees a second) and forces of every series.
 
-    def kernel(*columns: np.ndarray) -> Sequence[np.ndarray]:
-        f = made(fps, gain)
-        out = np.array([f.update(row[:3], row[3:]) for row in zip(*columns, strict=True)], np.float64).reshape(-1, 3)
-        return out.T
+    Series are sorted within partitions and streamed; all series of a batch are
+    stepped together, and the state of the one that a batch ends in is carried
+    on, so that a series of any length takes a batch's memory.
+    """
+    f = FILTERS.get(method.lower(), GyroOnly)(fps, gain)
+    kind = df.schema[ID].dataType.simpleString()
 
-    return scan(df, (*RATES, *FORCES), ("roll", "pitch", "yaw"), kernel)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, None  # a series may go on in the next batch
+        for rows in batches:
+            ids = rows[ID].to_numpy()
+            new = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            start = np.concatenate([[0], new, [len(ids)]])
+            state = f.start(len(start) - 1)
+            if last is not None and len(ids) and ids[0] == last:
+                state[0] = held
+            out, state = run_filter(f, state, start, rows[[*RATES, *FORCES]].to_numpy(np.float64))
+            if len(ids):
+                last, held = ids[-1], state[-1]
+            yield pd.DataFrame({ID: ids, FRAME: rows[FRAME].to_numpy(), "roll": out[:, 0], "pitch": out[:, 1], "yaw": out[:, 2]})
+
+    rows = df.select(ID, F.col(FRAME).cast("bigint").alias(FRAME), *RATES, *FORCES).where(F.col(ID).isNotNull())
+    return rows.repartition(ID).sortWithinPartitions(ID, FRAME).mapInPandas(run, f"{ID} {kind}, {FRAME} bigint, roll double, pitch double, yaw double")
 
 
 def rdp(points: np.ndarray, epsilon: float) -> np.ndarray:

@@ -7,15 +7,15 @@ and a sample at or before the last frame is too late and is left out.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.recurrence import FILTERS, FORCES, RATES, GyroOnly
+from ..operators.recurrence import FILTERS, FORCES, RATES, GyroOnly, run_filter
 from ..operators.series import FRAME, ID
 
 _OUT = f"{ID} bigint, {FRAME} bigint, roll double, pitch double, yaw double"
@@ -26,14 +26,15 @@ def fuse_stream(samples: DataFrame, *, method: str = "ekf", gain: float = 0.51,
     made = FILTERS.get(method.lower(), GyroOnly)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        blob, last = state.get if state.exists else (pickle.dumps(made(fps, gain)), -1)
-        f = pickle.loads(blob)
+        f = made(fps, gain)
+        blob, last = state.get if state.exists else (f.start(1).tobytes(), -1)
+        at = np.frombuffer(blob).reshape(1, -1)
         rows = pd.concat(list(batches)).sort_values(FRAME, kind="stable")
         rows = rows[rows[FRAME] > last].drop_duplicates(FRAME)
-        out = [f.update(r[:3], r[3:]) for r in rows[[*RATES, *FORCES]].itertuples(index=False, name=None)]
+        out, at = run_filter(f, at, np.array([0, len(rows)]), rows[[*RATES, *FORCES]].to_numpy(np.float64))
         if len(rows):
             last = int(rows[FRAME].iloc[-1])
-        state.update((pickle.dumps(f), last))
+        state.update((at.tobytes(), last))
         done = pd.DataFrame(out, columns=["roll", "pitch", "yaw"], dtype="float64")
         yield pd.DataFrame({ID: key[0], FRAME: rows[FRAME].to_numpy("int64"), **{c: done[c].to_numpy() for c in done}})
 

@@ -75,16 +75,32 @@ def test_filters_find_a_steady_tilt(method):
     f = rec.FILTERS[method](30.0, 0.51 if method != "complementary" else 0.9)
     roll, pitch = math.radians(10.0), math.radians(5.0)
     force = (-math.sin(pitch), math.sin(roll) * math.cos(pitch), math.cos(roll) * math.cos(pitch))
-    for _ in range(3000):
-        out = f.update((0.0, 0.0, 0.0), force)
-    assert out[0] == pytest.approx(10.0, abs=0.5) and out[1] == pytest.approx(5.0, abs=0.5)
+    samples = np.tile([0.0, 0.0, 0.0, *force], (3000, 1))
+    out, _ = rec.run_filter(f, f.start(1), np.array([0, 3000]), samples)
+    assert out[-1, 0] == pytest.approx(10.0, abs=0.5) and out[-1, 1] == pytest.approx(5.0, abs=0.5)
 
 
 def test_unknown_method_only_integrates():
     f = rec.FILTERS.get("something", rec.GyroOnly)(30.0, 0.5)
-    for _ in range(30):
-        out = f.update((3.0, 0.0, -3.0), (0, 0, 1))
-    assert out == pytest.approx((3.0, 0.0, -3.0))
+    out, _ = rec.run_filter(f, f.start(1), np.array([0, 30]), np.tile([3.0, 0.0, -3.0, 0.0, 0.0, 1.0], (30, 1)))
+    assert out[-1] == pytest.approx((3.0, 0.0, -3.0))
+
+
+@pytest.mark.parametrize("method", ["ekf", "mahony", "complementary", "gyro"])
+def test_series_step_together_and_go_on(method):
+    """Many series of odd lengths at once, in one piece or cut in two with the state carried, give what each gives alone."""
+    rng = np.random.default_rng(3)
+    f = rec.FILTERS.get(method, rec.GyroOnly)(30.0, 0.5)
+    sizes = [7, 1, 30, 0, 12]
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    samples = rng.normal(size=(sum(sizes), 6)) * 20
+    samples[3, 3:] = 0.0  # no force felt
+    both, _ = rec.run_filter(f, f.start(5), start, samples)
+    for i, n in enumerate(sizes):
+        mine = samples[start[i] : start[i + 1]]
+        head, state = rec.run_filter(f, f.start(1), np.array([0, n // 2]), mine[: n // 2])
+        tail, _ = rec.run_filter(f, state, np.array([0, n - n // 2]), mine[n // 2 :])
+        assert both[start[i] : start[i + 1]] == pytest.approx(np.concatenate([head, tail]))
 
 
 def turn(rng):
