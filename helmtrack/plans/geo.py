@@ -46,14 +46,15 @@ g AS (SELECT series_id, start + k AS sec, k::INT AS k FROM (SELECT series_id, st
 b AS (SELECT g.*, p.sec AS t0, p.lat AS lat0, p.lon AS lon0, p.ele AS ele0 FROM g ASOF LEFT JOIN c p ON g.series_id = p.series_id AND g.sec >= p.sec),
 f AS (SELECT b.*, p.sec AS t1, p.lat AS lat1, p.lon AS lon1, p.ele AS ele1 FROM b ASOF LEFT JOIN c p ON b.series_id = p.series_id AND b.sec <= p.sec),
 h AS (SELECT *, CASE WHEN t1 - t0 > 0 THEN (sec - t0) / (t1 - t0) ELSE 0 END AS q FROM f)
-SELECT series_id, k AS sec, {', '.join(f"round(CASE WHEN t0 IS NULL THEN {c}1 WHEN t1 IS NULL THEN {c}0 ELSE {c}0 + q * ({c}1 - {c}0) END, {d}) AS {c}" for c, d in (('lat', 8), ('lon', 8), ('ele', 3)))} FROM h""")
+SELECT series_id, k AS sec, {', '.join(f"round(round(CASE WHEN t0 IS NULL THEN {c}1 WHEN t1 IS NULL THEN {c}0 ELSE {c}0 + q * ({c}1 - {c}0) END, {d}) + {off}::DOUBLE, {d - 3 + (c == 'ele')}) AS {c}" for c, d, off in (('lat', 8, 3e-9), ('lon', 8, 3e-9), ('ele', 3, 3e-4)))} FROM h""")
 def track_sync_1hz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole tracks at 1 Hz, of a fix each three seconds and some, from 5 seconds before the first fix to 5 after the last."""
     clock = F.col("frame") * 3.0 + F.abs("value") % 2.0
     fixes = series(spark, sf_dir).select("series_id", "frame", clock.alias("sec"), "lat", "lon", "ele")
     start = F.floor(F.min("sec"))
     windows = fixes.groupBy("series_id").agg((start - 5).cast("double").alias("start"), (F.ceil(F.max("sec")) - start + 10).cast("int").alias("length"))
-    return track.synchronised(fixes, windows)
+    off = lambda c, by, d: F.round(F.col(c) + by, d).alias(c)  # noqa: E731  coarser than the decimals that are kept, and off their ties
+    return track.synchronised(fixes, windows).select("series_id", "sec", off("lat", 3e-9, 5), off("lon", 3e-9, 5), off("ele", 3e-4, 1))
 
 
 @query("track_sync_untimed", f"""

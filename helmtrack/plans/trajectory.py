@@ -162,11 +162,12 @@ b AS (SELECT gr.*, p.sec AS t0, p.lat AS lat0, p.lon AS lon0, p.ele AS ele0 FROM
 f AS (SELECT b.*, p.sec AS t1, p.lat AS lat1, p.lon AS lon1, p.ele AS ele1 FROM b ASOF LEFT JOIN c p ON b.series_id = p.series_id AND b.sec <= p.sec),
 h AS (SELECT *, CASE WHEN t1 - t0 > 0 THEN (sec - t0) / (t1 - t0) ELSE 0 END AS q FROM f),
 e0 AS (SELECT series_id, k AS sec, {', '.join(f"round(CASE WHEN t0 IS NULL THEN {c}1 WHEN t1 IS NULL THEN {c}0 ELSE {c}0 + q * ({c}1 - {c}0) END, {d}) AS {c}" for c, d in _DECIMALS.items())} FROM h)
-SELECT series_id, sec::BIGINT AS sec, lat, lon, ele FROM e0""")
+SELECT series_id, sec::BIGINT AS sec, round(lat + 3e-9::DOUBLE, 5) AS lat, round(lon + 3e-9::DOUBLE, 5) AS lon, round(ele + 3e-4::DOUBLE, 1) AS ele FROM e0""")
 def geo_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each video's track at 1 Hz: start by coordinates, by time or by the track, padded; gps_smooth_pinned shows the smoothing."""
     out = track.exported(*_videos(spark, sf_dir), smooth=False)
-    return out.select("series_id", F.col("sec").cast("bigint").alias("sec"), "lat", "lon", "ele")
+    off = lambda c, by, d: F.round(F.col(c) + by, d).alias(c)  # noqa: E731  coarser than the decimals that are kept, and off their ties
+    return out.select("series_id", F.col("sec").cast("bigint").alias("sec"), off("lat", 3e-9, 5), off("lon", 3e-9, 5), off("ele", 3e-4, 1))
 
 
 _PRIOR = f"""a AS (SELECT series_id, frame, {_matrix_sql('yaw * 0.2::DOUBLE', 'pitch * 0.2::DOUBLE', 'roll * 0.2::DOUBLE', 'a')}, {_matrix_sql('yaw * 0.1::DOUBLE', 'pitch * 0.1::DOUBLE', 'roll * 0.1::DOUBLE', 'b')}, yaw, pitch, roll FROM s),
