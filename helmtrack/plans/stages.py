@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import checkpoints, stages
 from .carriers import SERIES, r6, r6_sql, series, table, wrap_sql
+from .motion import W, _med5
+from .recurrences import _walk
 from .registry import query
 from .rotations import _matrix_sql, _product_sql, euler_sql
 
@@ -122,13 +124,38 @@ def checkpoints_simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpoints.from_polyline(rows, epsilon=4.0)
 
 
-@query("telemetry_stage")
+def _despiked_sql(a: str) -> str:
+    return f"CASE WHEN n.next_{a} IS NOT NULL AND abs(n.{a} - p.{a}) > 2.5::DOUBLE AND abs(n.{a} - n.next_{a}) > 2.5::DOUBLE THEN (p.{a} + n.next_{a}) / 2 ELSE n.{a} END"
+
+
+def _slewed_sql(a: str) -> str:
+    return f"CASE WHEN abs(n.{a} - p.{a}) > 2.5::DOUBLE THEN p.{a} + sign(n.{a} - p.{a}) * 2.5::DOUBLE ELSE n.{a} END"
+
+
+_NEXT_ROW = "JOIN {source} n ON n.series_id = p.series_id AND n.frame = p.frame + 1"
+
+
+@query("telemetry_stage", f"""
+WITH RECURSIVE {SERIES}, med AS (SELECT series_id, frame, {_med5('roll')} AS roll, {_med5('pitch')} AS pitch FROM s {W}),
+ahead AS (SELECT *, lead(roll) OVER o AS next_roll, lead(pitch) OVER o AS next_pitch FROM med WINDOW o AS (PARTITION BY series_id ORDER BY frame)),
+clean AS (SELECT series_id, frame, roll, pitch FROM ahead WHERE frame = 0 UNION ALL SELECT n.series_id, n.frame, {_despiked_sql('roll')}, {_despiked_sql('pitch')} FROM clean p {_NEXT_ROW.format(source='ahead')}),
+aim AS (SELECT series_id, frame, roll - avg(roll) OVER (PARTITION BY series_id) AS roll, pitch - avg(pitch) OVER (PARTITION BY series_id) AS pitch FROM clean),
+slow AS (SELECT series_id, frame, roll, pitch FROM aim WHERE frame = 0 UNION ALL SELECT n.series_id, n.frame, {_slewed_sql('roll')}, {_slewed_sql('pitch')} FROM slow p {_NEXT_ROW.format(source='aim')})
+SELECT series_id, frame, {r6_sql('CASE WHEN frame = 0 THEN 0 ELSE (frame - 0.5::DOUBLE) / 30e0 END', 't_start')}, {r6_sql('(frame + 0.5::DOUBLE) / 30e0', 't_end')}, 0e0 AS yaw, {', '.join(r6_sql(f'-({a} - coalesce(lag({a}) OVER o, 0))', a) for a in ('pitch', 'roll'))} FROM slow WINDOW o AS (PARTITION BY series_id ORDER BY frame)""")
 def telemetry_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stages.telemetry(series(spark, sf_dir), mode="level")
     return out.select("series_id", "frame", *[r6(F.col(c), c) for c in ("t_start", "t_end", *AXES)])
 
 
-@query("travel_direction")
+_HEADING = f"""{SERIES}, d AS (SELECT series_id, frame, yaw, yaw - lag(yaw) OVER w AS d FROM s WINDOW w AS (PARTITION BY series_id ORDER BY frame)),
+e AS (SELECT *, CASE WHEN abs(d) < 180 THEN d WHEN {wrap_sql('d')} = -180 AND d > 0 THEN 180 ELSE {wrap_sql('d')} END AS step FROM d),
+r AS (SELECT series_id, frame, first_value(yaw) OVER w + sum(coalesce(step, 0)) OVER w AS raw FROM e WINDOW w AS (PARTITION BY series_id ORDER BY frame)),
+l AS (SELECT series_id, list(raw ORDER BY frame) AS x, count(*) AS n FROM r GROUP BY series_id), k AS (SELECT *, unnest(range(n)) AS frame FROM l),
+g AS (SELECT series_id, frame, x[frame + 1] AS raw, list_sum(list_transform(range(15), lambda j: x[greatest(0, least(n - 1, frame + j - 7)) + 1])) / 15e0 AS trend FROM k),
+h AS (SELECT *, trend - raw AS gap FROM g)"""
+
+
+@query("travel_direction", _walk("CASE WHEN abs(n.gap) > 1.5::DOUBLE THEN (1e0 - 0.9::DOUBLE) * n.gap ELSE 0e0 END AS v, n.raw AS raw, n.trend AS trend", "CASE WHEN abs(n.gap - p.v) > 1.5::DOUBLE THEN p.v + (1e0 - 0.9::DOUBLE) * (n.gap - p.v) ELSE p.v END, n.raw, n.trend", f"SELECT series_id, frame, {r6_sql('raw', 'raw_yaw')}, {r6_sql('trend', 'trend_yaw')}, {r6_sql(wrap_sql('v'), 'steer')}, {r6_sql('raw + v', 'locked_yaw')} FROM walk", "h", _HEADING))
 def travel_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stages.travel_direction(series(spark, sf_dir), width=15)
     return out.select("series_id", "frame", *[r6(F.col(c), c) for c in ("raw_yaw", "trend_yaw", "steer", "locked_yaw")])
