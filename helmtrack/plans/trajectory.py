@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import angles, text
 from ..functions import rotation as ro
 from ..operators import catalog, checkpoints, joins, robust, stages, track
 from ..operators import trajectory as tr
+from ..sources import tracks
 from .carriers import SERIES, r6, r6_sql, series, table
 from .geo import hav_sql
 from .motion import _REFLECT, _gauss
@@ -245,3 +247,32 @@ def preferred_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir)
     of = lambda rows, name: rows.select("series_id", "frame", F.lit(name).alias("source"))
     return checkpoints.preferred(of(s.where("series_id % 3 = 0 and frame % 10 = 0"), "telemetry"), of(s.where("frame % 15 = 0"), "motion"))
+
+
+@query("safe_numbers", "SELECT o_orderkey, coalesce(try_cast(CASE o_orderkey % 4 WHEN 0 THEN ' ' || (o_orderkey % 90)::VARCHAR || '.5 ' WHEN 1 THEN 'n/a' WHEN 2 THEN (o_orderkey % 7)::VARCHAR || 'e1' END AS DOUBLE), 30) AS value FROM orders")
+def safe_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings as typed, 30 where they are no numbers."""
+    k = F.col("o_orderkey")
+    typed = F.when(k % 4 == 0, F.concat(F.lit(" "), (k % 90).cast("string"), F.lit(".5 "))).when(k % 4 == 1, "n/a").when(k % 4 == 2, F.concat((k % 7).cast("string"), F.lit("e1")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.safe_number(typed, 30.0).alias("value"))
+
+
+@query("status_tail", f"WITH {SERIES} SELECT series_id, frame FROM s QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY frame DESC) <= 5")
+def status_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five lines of each log."""
+    return tracks.tail(series(spark, sf_dir).select("series_id", "frame"), "series_id", "frame", 5)
+
+
+@query("numbered_checkpoints", f"WITH {SERIES} SELECT series_id, frame // 3 AS frame, frame AS place, row_number() OVER (PARTITION BY series_id ORDER BY frame // 3, frame)::INT AS number FROM s")
+def numbered_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints by frame, those of one frame in the order they came in."""
+    rows = series(spark, sf_dir).select("series_id", F.floor(F.col("frame") / 3).alias("frame"), F.col("frame").alias("place"))
+    return checkpoints.numbered(rows).select("series_id", "frame", "place", "number")
+
+
+@query("backwards_levelling", f"WITH {SERIES} SELECT series_id, frame, {r6_sql('(roll - avg(roll) OVER (PARTITION BY series_id)) * CASE WHEN series_id % 2 = 0 THEN -1.5::DOUBLE ELSE 1.5::DOUBLE END', 'roll')} FROM s")
+def backwards_levelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levelling corrections; every other camera is mounted backwards."""
+    rows = series(spark, sf_dir).withColumn("mean", F.avg("roll").over(Window.partitionBy("series_id")))
+    turned = lambda back: angles.level_delta(F.col("roll"), F.col("mean"), 1.5, back)
+    return rows.select("series_id", "frame", r6(F.when(F.col("series_id") % 2 == 0, turned(True)).otherwise(turned(False)), "roll"))
