@@ -405,16 +405,20 @@ def drop_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
         return base.join(asked, "doc_id", how).mapInArrow(_contested_rows(length, gram), "doc_id bigint, key bigint, segment bigint, bytes binary")
 
     texts = contested(F.col("n") <= hot, "left")
-    part = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_rows(length), "doc_id bigint, segment bigint, lo bigint, hi bigint")
-    strings = None
+    # each step is written before the next one, so that one step's shuffles are on disk at a time
+    part = scratch.keep(texts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_rows(length), "doc_id bigint, segment bigint, lo bigint, hi bigint"), "sorted")
+    scratch.release()
     if not many.where(F.col("n") > hot).isEmpty():
         strings = scratch.keep(contested(F.col("n") > hot, "inner").mapInArrow(_string_rows(length), "doc_id bigint, segment bigint, lo bigint, string binary"), "strings")
         scratch.release()
         least = strings.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-        part = part.union(strings.join(least, "string").where("doc_id > least").select("doc_id", "segment", "lo", (F.col("lo") + 1).alias("hi")))
+        dealt = scratch.keep(strings.join(least, "string").where("doc_id > least").select("doc_id", "segment", "lo", (F.col("lo") + 1).alias("hi")), "dealt")
+        scratch.release()
+        scratch.drop(strings)
+        part = part.union(dealt)
     ranges = scratch.keep(part.groupBy("doc_id").agg(F.collect_list(F.struct("segment", "lo", "hi")).alias("ranges")), "ranges")
     scratch.release()
-    scratch.drop(classes, strings)
+    scratch.drop(classes)
     full = base.join(whole, "doc_id", "left").join(ranges, "doc_id", "left").select("doc_id", "packed", "first", "copies", "marks", "whole", "ranges")
     return full.mapInArrow(_result(length, gram), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
 
