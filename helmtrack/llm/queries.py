@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, curriculum, decontaminate, minhash, pii, quality, substring, suffix, suffix_tree_lm, toxicity, warc
+from . import bpe, curriculum, decontaminate, divergence, minhash, pii, quality, runs, substring, suffix, suffix_tree_lm, toxicity, warc
 from .sql import ORACLES
 
 
@@ -22,7 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.toxicity,
         "op9_decontaminate": decontaminate.contamination,
         "op10_bpe": bpe.bpe,
+        "op11_divergence": divergence.divergence,
         "op12_mix": curriculum.curriculum,
+        "op13_runs": runs.runs,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curriculum, quality, warc
+from . import curriculum, divergence, quality, runs, warc
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -60,4 +60,7 @@ c AS (SELECT doc_id AS a, doc_id AS r FROM d UNION SELECT l.b, c.r FROM c JOIN l
 m AS (SELECT a AS doc_id, min(r) AS component_id FROM c GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN z USING (doc_id)"""
 
-ORACLES = {"op1_substring": SUBSTRING, "op2_warc": warc.WARC_SQL, "op4_near_dedup": NEAR, "op7_quality": QUALITY, "op9_decontaminate": CONTAMINATION, "op12_mix": curriculum.MIX_SQL}
+ORACLES = {
+    "op1_substring": SUBSTRING, "op2_warc": warc.WARC_SQL, "op4_near_dedup": NEAR, "op7_quality": QUALITY, "op9_decontaminate": CONTAMINATION,
+    "op11_divergence": divergence.DIVERGENCE_SQL, "op12_mix": curriculum.MIX_SQL, "op13_runs": runs.RUNS_SQL,
+}
