@@ -104,7 +104,7 @@ def _kept(docs: int):
                 con.execute(f"CREATE TABLE less AS {fold}")
                 con.execute("DROP TABLE seen")
                 con.execute("ALTER TABLE less RENAME TO seen")
-                held = con.execute("SELECT count(*) FROM seen").fetchone()[0]
+                held = con.execute("SELECT count(*) FROM seen").fetchall()[0][0]
                 most = max(FOLD, 2 * held)
         whole = f"SELECT lang, term, sum(n)::BIGINT AS total, list(source) AS sources, list(n) AS counts FROM ({fold}) GROUP BY lang, term HAVING sum(docs) >= {docs}"
         yield from con.sql(whole).to_arrow_table().to_batches(4096)
