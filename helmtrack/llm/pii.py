@@ -19,13 +19,20 @@ date   notation                         the day, within 1800-01-01 .. 2199-12-31
 ssn    area, separators                 group 01-99 and serial 0001-9999
 email  domain, punctuation              letters and digits of the local part
 
+Letters beyond ASCII move among the 64 characters that differ in their last
+byte alone.  A local part of one character has one shift for a key, since it
+has no other half: such addresses hide little.
+
 A date written a/b/yyyy is read month first where that is a date, else day
 first.  Values that fail validation stay as they are.
 
+An address is only matched if its domain is one: up to eight labels of up to 63
+characters, the last of letters.  So a user name before a number, or a
+second @, hides no value of another kind and no address from the search.
+
 No pattern repeats a group without bound, and none can begin within a run that
 it has tried before, so texts and values of any length take linear time and no
-stack.  What a flat pattern lets through (empty or overlong labels of a domain)
-is validated afterwards.
+stack.
 
 The key is the caller's secret: ``key``, or the session's setting
 ``spark.helmtrack.pii.key``.  Without either a published example key is used,
@@ -50,7 +57,8 @@ ROUNDS = 8
 KEY = "helmtrack-pseudonyms-1"
 KEY_SETTING = "spark.helmtrack.pii.key"
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*+"
+_LOCAL, _LABEL = r"[\p{L}\p{M}\p{N}._%+-]", r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,61}[\p{L}\p{M}\p{N}])?"
+EMAIL = rf"(?<!{_LOCAL}){_LOCAL}++@(?:{_LABEL}\.){{1,8}}[\p{{L}}\p{{M}}]{{2,63}}"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
@@ -82,7 +90,11 @@ def _shift(half: Column, stream: Column) -> Column:
         by = _number(F.substr(stream, at, F.lit(4))) + (i / 16).cast("int") * 7
         code = F.ascii(c)
         moved = lambda base, n: F.char((F.pmod(code - base + by, F.lit(n)) + base).cast("int"))
-        return F.when(code.between(48, 57), moved(48, 10)).when(code.between(97, 122), moved(97, 26)).when(code.between(65, 90), moved(65, 26)).otherwise(c)
+        raw = F.hex(c)
+        last = F.hex((F.pmod(_number(F.right(raw, F.lit(2))) + by, F.lit(64)) + 128).cast("bigint"))  # a last byte is 80 to BF
+        beyond = F.unhex(F.concat(F.substr(raw, F.lit(1), F.length(raw) - 2), last)).cast("string")
+        within = F.when(code.between(48, 57), moved(48, 10)).when(code.between(97, 122), moved(97, 26)).when(code.between(65, 90), moved(65, 26)).otherwise(c)
+        return F.when(F.octet_length(c) > 1, beyond).otherwise(within)
 
     return F.array_join(F.transform(F.split(half, ""), one), "")
 
@@ -180,12 +192,8 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    local, rest = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    # the flat pattern may take dots and hyphens after the domain; they are kept with it
-    domain = F.rtrim(F.substring_index(rest, "..", 1), F.lit(".-"))
-    labels = F.forall(F.split(domain, r"\."), lambda x: F.length(x).between(1, 63))
-    valid = domain.contains(".") & F.substring_index(domain, ".", -1).rlike("^[A-Za-z]{2,}$") & labels
-    return F.when(valid, F.concat(permute_text(local, F.lit("email"), key), F.substr(m, F.length(local) + 1, F.length(m))))
+    local = F.substring_index(m, "@", 1)
+    return F.concat(permute_text(local, F.lit("email"), key), F.substr(m, F.length(local) + 1, F.length(m)))
 
 
 _MAKERS: dict[str, tuple[str, Callable[[Column, str], Column]]] = {"email": (EMAIL, _email), "date": (DATE, _date), "ssn": (SSN, _ssn), "ipv4": (IPV4, _ipv4), "phone": (PHONE, _phone), "card": (CARD, _card)}
