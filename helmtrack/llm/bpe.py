@@ -25,7 +25,8 @@ within a character are stepped through singly.
 Defined cases: a null or empty text has no tokens; ids decode to the exact
 bytes of the text, and bytes that are no UTF-8 pass as they are; null ids and
 repeated rows give rows like any others; an empty table gives an empty result;
-other columns are ignored, and pass the pipeline's stage unchanged.
+other columns are ignored, and pass the pipeline's stage unchanged, as a null
+text does.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,20 @@ SAME_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 _PLAIN = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+").findall
 _ODD = re.compile("[\x1c-\x1f²³¹¼½¾\u0250-\U0010ffff]").search
 
+#: Letters and numbers that Unicode has got since version 16.0, first and last of each range.  The
+#: tokenizer library splits by the tables of 16.0, the regex module by newer ones.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF4),
+    (0x16FF5, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED),
+    (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_NEWER = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
+#: What stands for one of them where a text is split: a character for private use, which is no letter in any version.
+_NO_LETTER = "\ue000"
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -105,7 +121,7 @@ class Encoder:
     """Ranks compiled into a transducer from bytes to token ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find, self.same = ranks, regex.compile(pattern).findall, pattern == SAME_PATTERN
+        self.ranks, self.pattern, self.same = ranks, regex.compile(pattern), pattern == SAME_PATTERN
         self.text = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.edges: list[dict[int, int]] = [{}]
         self.accept: list[int] = [-1]
@@ -197,9 +213,16 @@ class Encoder:
         out.extend(self.states.last[state] or ())
         return out
 
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens by the classes of Unicode 16.0."""
+        if self.same and not _ODD(text):
+            return _PLAIN(text)
+        if _NEWER.search(text):
+            return [text[m.start() : m.end()] for m in self.pattern.finditer(_NEWER.sub(_NO_LETTER, text))]
+        return self.pattern.findall(text)
+
     def encode(self, text: str) -> np.ndarray:
-        find = _PLAIN if self.same and not _ODD(text) else self.find
-        return np.frombuffer(b"".join(map(self.seen.__getitem__, find(text))), np.uint32).astype("<u4", copy=False)
+        return np.frombuffer(b"".join(map(self.seen.__getitem__, self.split(text))), np.uint32).astype("<u4", copy=False)
 
 
 #: States of the UTF-8 machine (RFC 3629): the bytes that may come next, the state after them, and how many bytes of the character are held.
@@ -351,7 +374,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 part = batch.slice(i, j - i)
                 tokens, n, sha, decoded, decoded_sha = _coded(part.column(place), encoder, decoder, True)
                 columns = part.columns
-                columns[place] = decoded.cast(columns[place].type)
+                columns[place] = pc.if_else(columns[place].is_valid(), decoded, pa.scalar(None, decoded.type)).cast(columns[place].type)
                 yield pa.RecordBatch.from_arrays([*columns, tokens, n, sha, decoded_sha], names=schema.names)
 
     return docs.mapInArrow(run, schema)
