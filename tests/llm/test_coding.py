@@ -101,6 +101,37 @@ def test_bpe_on_odd_characters(reference_tokenizer):
             whole.decode()  # every piece ends between characters
 
 
+def test_classes_of_every_character(reference_tokenizer):
+    """Pre-tokens of each character between letters, digits and signs are the library's, whatever Unicode the regex module knows."""
+    import tiktoken
+
+    encoder, _ = bpe.coder(*bpe.default_vocabulary())
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for name, probe in (("letters", r"\p{L}"), ("numbers", r"\p{N}"), ("blanks", r"\s")):
+        library = tiktoken.Encoding("probe", pat_str=probe, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        want = set(bytes(library.encode_ordinary("".join(every))).decode())
+        before = {"letters": "a", "numbers": "1", "blanks": "\n"}[name]
+        joins = {c for c in every if len(encoder.split(before + c + before)) == 1}
+        assert joins - {"'"} == want - {" "} if name == "letters" else joins - {" "} == want - {" "}, name
+
+
+def test_newer_characters(reference_tokenizer):
+    encoder, decoder = bpe.coder(*bpe.default_vocabulary())
+    newer = [chr(c) for a, b in bpe.NEWER for c in {a, b}]
+    for c in newer:
+        for s in (c, f"a{c}b", f"\ub638{c}\ub638", f"{c}\ub638", f" {c} 1{c}2", c * 3):
+            ids = encoder.encode(s)
+            assert ids.tolist() == reference_tokenizer.encode_ordinary(s), s
+            assert b"".join(decoder.stream(ids)) == s.encode()
+
+
+def test_the_stage_keeps_nulls(spark):
+    df = spark.createDataFrame([(1, None, 5), (None, "", 6), (1, "a b", 7), (1, "a b", 7)], "doc_id bigint, text string, ids int")
+    out = bpe.stage(spark, df, "").collect()
+    assert sorted((str(r.text), r.ids, r.n_tokens) for r in out) == [("", 6, 0), ("None", 5, 0), ("a b", 7, 2), ("a b", 7, 2)]
+    assert bpe.stage(spark, df.limit(0), "").count() == 0
+
+
 def test_the_decoder_on_bytes_that_are_no_utf8():
     _, decoder = bpe.coder(*bpe.default_vocabulary())
     one = {raw: i for i, raw in enumerate(decoder.text) if raw is not None and len(raw) == 1}
