@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: States of a running job, and names that mean the same end (fixed values).
 ACTIVE = ("running", "processing", "paused", "queued")
 ENDS = {"canceled": "cancelled", "cancelled": "cancelled"}
@@ -120,14 +122,11 @@ def placed(rows: DataFrame, *order: str, place: str = "place") -> DataFrame:
     """Every row with its place from 1 in a total order, without a window over all rows.
 
     Rows are sorted by ranges; a row's place is its number within its range
-    after the sizes of the ranges before.  The numbered rows are checkpointed,
-    so that sizes and rows come from one and the same sort; only the sizes, one
-    a partition, are added up in one place.
+    after the sizes of the ranges before.  The numbered rows are written, so
+    that sizes and rows come from one and the same sort; only the sizes, one a
+    partition, are added up in one place.
     """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
-    numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    numbered = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
     part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))

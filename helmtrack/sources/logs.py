@@ -1,7 +1,10 @@
 """Text logs of motion.  Each file is a series, named by its path; rows keep the file's order.
 
-Files are read whole (a log is some megabytes) and split into lines by Spark's
-own functions.  Lines that don't parse are skipped, as in the devices' tools.
+Files are read by splits, so that a long log is the work of many tasks.  A
+line's number is its place within its split after the lines of the splits
+before, which are counted and added up by file.  Frames are numbered in the
+same way, by spans of lines.  Lines that don't parse are skipped, as in the
+devices' tools.
 """
 
 from __future__ import annotations
@@ -13,16 +16,41 @@ from ..functions.text import number
 from ..operators.series import FRAME, ID
 
 
+#: Lines that are numbered together.
+SPAN = 1 << 16
+
+
+def in_file_order(read: DataFrame, **columns: Column) -> DataFrame:
+    """series_id (the file's path), n (place in the file from 0) and the columns, for rows as a file reader gives them.
+
+    A split's rows come one after another in one task, so that the running
+    number of a row, less that of its split's first row, is its place in it.
+    """
+    raw = read.select(F.col("_metadata.file_path").alias(ID), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), *[c.alias(name) for name, c in columns.items()])
+    splits = raw.groupBy(ID, "_split").agg(F.count(F.lit(1)).alias("size"), F.min("_at").alias("first"))
+    before = F.sum("size").over(Window.partitionBy(ID).orderBy("_split")) - F.col("size")
+    places = splits.select(ID, "_split", (before - F.col("first")).alias("_shift"))
+    return raw.join(places, [ID, "_split"]).select(ID, (F.col("_at") + F.col("_shift")).cast("bigint").alias("n"), *columns)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """series_id (the file's path), n (line from 0), line."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias(ID), F.split("value", r"\r?\n").alias("all"))
-    return files.select(ID, F.posexplode("all").alias("n", "line")).where(F.trim("line") != "")
+    """series_id, n (line from 0), line; blank lines count, but are left out."""
+    read = spark.read.option("lineSep", "\n").text(path)
+    return in_file_order(read, line=F.regexp_replace("value", r"\r$", "")).where(F.trim("line") != "")
 
 
 def renumbered(df: DataFrame, order: str = "n") -> DataFrame:
-    """Frames from 0 by the order column, which goes."""
-    w = Window.partitionBy(ID).orderBy(order)
-    return df.withColumn(FRAME, (F.row_number().over(w) - 1).cast("bigint")).drop(order)
+    """Frames from 0 by the order column, which goes and counts a file's lines or points.
+
+    Rows are numbered within spans of it, after the rows of the spans before,
+    so that no task needs all rows of a file.
+    """
+    spans = df.withColumn("_span", F.floor(F.col(order) / SPAN))
+    sizes = spans.groupBy(ID, "_span").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select(ID, "_span", (F.sum("_size").over(Window.partitionBy(ID).orderBy("_span")) - F.col("_size")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(ID, "_span").orderBy(order)) - 1
+    rows = spans.withColumn("_within", within).join(before, [ID, "_span"])
+    return rows.withColumn(FRAME, (F.col("_before") + F.col("_within")).cast("bigint")).drop(order, "_span", "_within", "_before")
 
 
 def _header(rows: DataFrame, is_header: Column) -> DataFrame:

@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import checkpoint, timestamp
 from ..operators.series import FRAME, ID
-from .logs import lines, renumbered
+from .logs import in_file_order, lines, renumbered
 
 
 def gpx(spark: SparkSession, path: str) -> DataFrame:
-    """series_id, frame, lat, lon, ele, time of track points; a missing elevation is 0, a missing time null.
-
-    Points are in the order of the file; the reader keeps a file's rows in order within a task.
-    """
+    """series_id, frame, lat, lon, ele, time of track points in the order of the file; a missing elevation is 0, a missing time null."""
     schema = "_lat double, _lon double, ele double, time string"
     rows = spark.read.format("xml").option("rowTag", "trkpt").schema(schema).load(path)
-    rows = rows.select(F.input_file_name().alias(ID), F.monotonically_increasing_id().alias("n"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), F.coalesce("ele", F.lit(0.0)).alias("ele"), timestamp(F.col("time")).alias("time"))
+    rows = in_file_order(rows, lat=F.col("_lat"), lon=F.col("_lon"), ele=F.coalesce("ele", F.lit(0.0)), time=timestamp(F.col("time")))
     return renumbered(rows.where("lat is not null and lon is not null"))
 
 

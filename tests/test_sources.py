@@ -64,8 +64,72 @@ def test_streams(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(klv)
     assert rows(binary.stream_orientation(binary.files(spark, str(tmp_path)), "klv"), "roll", "pitch", "yaw") == [(0.0, 0.0, 0.0)]
     packets = struct.pack("<HH3f", 0, 0, 1, 2, 3) + struct.pack("<HH4f", 0, 4, 0.0, 0.0, np.sin(np.pi / 4), np.cos(np.pi / 4)) + b"\0" * 8
-    assert binary.packet_quaternions(packets)[:, [0, 3]].round(6).tolist() == [[0.707107, 0.707107]]
-    assert binary.packet_quaternions(b"").shape == (0, 4)
+    assert [q[:, [0, 3]].round(6).tolist() for q in binary.packet_quaternions(binary.Held(packets))] == [[[0.707107, 0.707107]]]
+    assert list(binary.packet_quaternions(binary.Held(b""))) == []
+
+
+def test_a_recording_of_many_gigabytes(spark, tmp_path):
+    """Heads and the payload are read, the pictures between them are not; the payload is dealt out in ranges."""
+    n = 50000
+    angles = np.arange(n) % 359
+    records = np.zeros((n, 6), ">i4")
+    records[:, 0::2], records[:, 5] = 100, angles * 100
+    tail = box(b"moov", box(b"trak", b"") + box(b"udta", box(b"vrot", b"\0\0\0\0" + records.tobytes())))
+    at = tmp_path / "long recording.mp4"
+    with open(at, "wb") as f:
+        f.write(box(b"ftyp", b"isom") + struct.pack(">I4sQ", 1, b"mdat", 16 + 5 * 10**9))
+        f.seek(5 * 10**9, 1)
+        f.write(tail)
+    found = binary.files(spark, str(tmp_path))
+    assert found.columns == ["series_id", "length"]
+    assert [(r.box, r.size) for r in binary.boxes(found).orderBy("offset").collect()][1:3] == [("mdat", 16 + 5 * 10**9), ("moov", len(tail))]
+    assert binary.ranges(found, lambda d: tuple(x + y for x, y in zip(binary.find(d, "moov/udta/vrot"), (4, 0), strict=True)), 24, size=1 << 18).count() == 5
+    got = binary.box_orientation(found, size=1 << 18).orderBy("frame").select("frame", "roll").toPandas()
+    assert got.frame.tolist() == list(range(n)) and got.roll.tolist() == np.where(angles > 180, angles - 360, angles).tolist()
+    with binary.Stored(str(at)) as data:
+        start, end = binary.find(data, "moov/udta/vrot")
+        assert end - start == 4 + n * 24 and data.fetched < 20000
+
+
+def test_contents_give_what_files_give(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(struct.pack("<q", 700) + np.arange(3500.0).tobytes())
+    (tmp_path / "b.bin").write_bytes(b"")
+    stored = binary.files(spark, str(tmp_path))
+    held = spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("path as series_id", "content")
+    assert rows(binary.binary_motion(stored, size=4000), "series_id", "frame", "yaw") == rows(binary.binary_motion(held), "series_id", "frame", "yaw")
+    assert binary.binary_motion(stored).count() == 700
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Numbers of lines and frames don't depend on where a file is cut; many tasks read it."""
+    for name, n in (("a.gcsv", 30000), ("b.gcsv", 3), ("c.gcsv", 9000)):
+        body = [f"{i / 100},{i % 7},2,3,0,0,1\r" if i % 13 else "" if i % 2 else "no,number" for i in range(n)]
+        (tmp_path / name).write_bytes("\n".join(["LOG", "x", "t,gx,gy,gz,ax,ay,az", *body, ""]).encode())
+    whole = sorted(map(tuple, logs.lines(spark, str(tmp_path)).collect()))
+    log = rows(logs.imu_log(spark, str(tmp_path)), "series_id", "frame", "t", "gx")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        cut = logs.lines(spark, str(tmp_path))
+        assert cut.rdd.getNumPartitions() > 10
+        assert sorted(map(tuple, cut.collect())) == whole
+        assert rows(logs.imu_log(spark, str(tmp_path)), "series_id", "frame", "t", "gx") == log
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    a = [x for x in whole if x[0].endswith("a.gcsv")]
+    assert [n for _, n, _ in a] == [i for i in range(30003) if i < 3 or (i - 3) % 13 or not (i - 3) % 2]
+    assert [f for s, f, *_ in log if s.endswith("a.gcsv")] == list(range(sum(1 for i in range(30000) if i % 13)))
+
+
+def test_frames_over_many_spans(spark, monkeypatch):
+    monkeypatch.setattr(logs, "SPAN", 10)
+    df = spark.range(1000).selectExpr("cast(id % 3 as string) as series_id", "id * 7 as n", "id as x").where("x % 5 <> 1")
+    got = logs.renumbered(df).collect()
+    want = {}
+    for r in sorted(got, key=lambda r: r.x):
+        assert r.frame == want.get(r.series_id, 0)
+        want[r.series_id] = r.frame + 1
+    assert len(got) == 800
 
 
 def test_binary_motion(spark, tmp_path):
