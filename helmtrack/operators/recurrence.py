@@ -1,8 +1,15 @@
 """Recurrences: each row needs the row before it as already changed.
 
-No window expresses these, so a series is handed to one numpy kernel.  A kernel
-gets the series' arrays in frame order and gives arrays of the same length.
-Series are the unit of distribution; many of them are handled in parallel.
+No window expresses these.  Rows are dealt by series and sorted by frame first,
+so that a task walks all its series side by side: the rows of a frame are one
+step, on arrays with a lane for each series, and a table carries the states of
+the series from batch to batch.  Where a batch has few series, a step is done on
+plain numbers instead, series by series, since arrays of a few lanes cost more
+than they save.  Steps are written once, for either.  A task holds a batch and
+a state for each of its series, whatever their lengths.
+
+Simplified polylines and trends need a whole series; ``by_series`` hands it to
+one kernel.
 """
 
 from __future__ import annotations
@@ -12,16 +19,124 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import FRAME, ID
+from .series import FRAME, ID, ordered
 
 Kernel = Callable[..., Sequence[np.ndarray]]
+#: Below so many rows a frame a batch is done on plain numbers.
+FEW = 12
 
 
-def scan(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], kernel: Kernel) -> DataFrame:
-    """series_id, frame and the kernel's outputs."""
+class Numbers:
+    """What steps use of numpy, for plain numbers."""
+
+    sqrt, hypot, arctan2, arcsin, copysign, degrees, radians = math.sqrt, math.hypot, math.atan2, math.asin, math.copysign, math.degrees, math.radians
+
+    @staticmethod
+    def where(test: bool, yes: float, no: float) -> float:
+        return yes if test else no
+
+
+class Step:
+    """A recurrence: the state of a series at its start, and what a row makes of the state before it.
+
+    ``step`` gets ``m`` (numpy, or Numbers), the state's parts and the row's
+    inputs, each an array or a number, and gives the row's outputs and the new
+    parts.
+    """
+
+    parts: tuple[float, ...] = ()
+
+    def start(self, lanes: int) -> np.ndarray:
+        return np.tile(np.array(self.parts, np.float64), (lanes, 1))
+
+    def step(self, m, state: tuple, inputs: tuple) -> tuple[tuple, tuple]:
+        raise NotImplementedError
+
+
+def _many(f: Step, state: np.ndarray, lane: np.ndarray, begin: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
+    """Steps over arrays; step k has the rows from ``begin[k]`` on, each of another lane.  Changes state and out."""
+    with np.errstate(all="ignore"):  # both ways of a choice are worked out
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            at = lane[a:b]
+            found, new = f.step(np, tuple(state[at].T), tuple(values[a:b].T))
+            for k, v in enumerate(found):
+                out[a:b, k] = v
+            state[at] = np.stack(np.broadcast_arrays(*new), axis=1)
+
+
+def _one(f: Step, state: tuple[float, ...], values: np.ndarray, out: np.ndarray) -> tuple[float, ...]:
+    """Steps of one series over plain numbers."""
+    step, rows = f.step, []
+    for inputs in values.tolist():
+        found, state = step(Numbers, state, inputs)
+        rows.append(found)
+    out[:] = np.array(rows, np.float64).reshape(out.shape)
+    return state
+
+
+def walked(f: Step, state: np.ndarray, lane: np.ndarray, values: np.ndarray, outputs: int) -> np.ndarray:
+    """Outputs of rows in the order of their frames; ``state`` has a row a lane and is changed."""
+    out = np.empty((len(lane), outputs))
+    if not len(lane):
+        return out
+    order = np.argsort(lane, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], lane[order][1:] != lane[order][:-1], [True]]))
+    if len(lane) < FEW * np.diff(edges).max():  # few lanes for the steps of the longest
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            mine, part = order[a:b], np.empty((b - a, outputs))
+            state[lane[mine[0]]] = _one(f, tuple(state[lane[mine[0]]].tolist()), values[mine], part)
+            out[mine] = part
+        return out
+    # the k-th row of every lane is step k
+    k = np.empty(len(lane), np.int64)
+    k[order] = np.arange(len(lane)) - np.repeat(edges[:-1], np.diff(edges))
+    by = np.argsort(k, kind="stable")
+    begin = np.concatenate([[0], np.cumsum(np.bincount(k))])
+    stepped = np.empty_like(out)
+    _many(f, state, lane[by], begin, values[by], stepped)
+    out[by] = stepped
+    return out
+
+
+class Lanes:
+    """The states of a task's series, which batches look up by id."""
+
+    def __init__(self, f: Step):
+        self.f, self.number, self.state = f, {}, f.start(64)
+
+    def of(self, ids: pa.Array) -> np.ndarray:
+        """Lanes of a batch's ids; new ones get the start's state."""
+        coded = ids.dictionary_encode()
+        lanes = np.array([self.number.setdefault(x, len(self.number)) for x in coded.dictionary.to_pylist()], np.int64)
+        while len(self.number) > len(self.state):
+            self.state = np.concatenate([self.state, self.f.start(len(self.state))])
+        return lanes[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def scan(df: DataFrame, inputs: Sequence[str | Column], outputs: Sequence[str], f: Step) -> DataFrame:
+    """series_id, frame and the step's outputs for every row; rows without a series are left out."""
+    kind = df.schema[ID].dataType.simpleString()
+    names = [f"_x{i}" for i in range(len(inputs))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lanes = Lanes(f)
+        for batch in batches:
+            values = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[2:]], axis=1)
+            at = lanes.of(batch.column(0))
+            found = walked(f, lanes.state, at, values, len(outputs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(outputs))]], names=[ID, FRAME, *outputs])
+
+    taken = [(x if isinstance(x, Column) else F.col(x)).cast("double").alias(n) for x, n in zip(inputs, names, strict=True)]
+    rows = df.select(ID, F.col(FRAME).cast("bigint").alias(FRAME), *taken).where(F.col(ID).isNotNull())
+    return rows.repartition(ID).sortWithinPartitions(FRAME, ID).mapInArrow(run, f"{ID} {kind}, {FRAME} bigint, " + ", ".join(f"{c} double" for c in outputs))
+
+
+def by_series(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], kernel: Kernel) -> DataFrame:
+    """series_id, frame and the outputs of a kernel that gets a series' arrays in frame order."""
     kind = df.schema[ID].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -33,78 +148,139 @@ def scan(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], kernel: K
     return df.select(ID, F.col(FRAME).cast("bigint").alias(FRAME), *inputs).groupBy(ID).applyInPandas(run, f"{ID} {kind}, {FRAME} bigint, {fields}")
 
 
+def _alone(f: Step, *columns: np.ndarray) -> np.ndarray:
+    """One series' first output."""
+    out = np.empty((len(columns[0]), 1))
+    _one(f, f.parts, np.stack(columns, axis=1), out)
+    return out[:, 0]
+
+
+class Despike(Step):
+    """A row that differs from both neighbours by more than the limit becomes their mean; the row before counts as cleaned.
+
+    Inputs are pairs of a row's value and the next row's, which is missing (NaN) at the end.
+    """
+
+    def __init__(self, axes: int = 1, limit: float = 2.5):
+        self.parts, self.limit = (math.nan,) * axes, limit
+
+    def step(self, m, state, inputs):
+        # no comparison with a missing neighbour holds
+        new = tuple(m.where((abs(x - a) > self.limit) & (abs(x - b) > self.limit), (a + b) / 2.0, x) for a, x, b in zip(state, inputs[::2], inputs[1::2], strict=True))
+        return new, new
+
+
+def with_next(axes: Sequence[str]) -> list[Column]:
+    """The inputs of Despike: each axis, and its value in the next row."""
+    return [c for a in axes for c in (F.col(a), F.coalesce(F.lead(a).over(ordered()), F.lit(math.nan)))]
+
+
 def despiked(x: np.ndarray, limit: float = 2.5) -> np.ndarray:
-    """A row that differs from both neighbours by more than the limit becomes their mean; the row before counts as cleaned."""
-    out = x.copy()
-    for i in range(1, len(out) - 1):
-        a, b, c = out[i - 1], out[i], out[i + 1]
-        if abs(b - a) > limit and abs(b - c) > limit:
-            out[i] = (a + c) / 2.0
-    return out
+    return _alone(Despike(1, limit), x, np.append(x[1:], math.nan)) if len(x) else x.copy()
 
 
-def slew_limited(x: np.ndarray, most: float | np.ndarray) -> np.ndarray:
+class Slew(Step):
     """Changes of at most ``most`` against the limited row before."""
-    out = x.copy()
-    most = np.broadcast_to(most, len(x))
-    for i in range(1, len(out)):
-        d = out[i] - out[i - 1]
-        if abs(d) > most[i]:
-            out[i] = out[i - 1] + math.copysign(most[i], d)
-    return out
+
+    def __init__(self, axes: int, most: float):
+        self.parts, self.most = (math.nan,) * axes, most
+
+    def step(self, m, state, inputs):
+        new = tuple(m.where(abs(x - a) > self.most, a + m.copysign(self.most, x - a), x) for a, x in zip(state, inputs, strict=True))
+        return new, new
+
+
+def slew_limited(x: np.ndarray, most: float) -> np.ndarray:
+    return _alone(Slew(1, most), x)
+
+
+class RateLimit(Step):
+    """As Slew, the limit growing with the time between samples; inputs are a value and its time."""
+
+    parts = (math.nan, math.nan)
+
+    def __init__(self, per_second: float = 4.0):
+        self.per_second = per_second
+
+    def step(self, m, state, inputs):
+        (a, before), (x, t) = state, inputs
+        most = self.per_second * (t - before)
+        v = m.where(abs(x - a) > most, a + m.copysign(most, x - a), x)
+        return (v,), (v, t)
 
 
 def rate_limited(x: np.ndarray, t: np.ndarray, per_second: float = 4.0) -> np.ndarray:
-    """As slew_limited, the limit growing with the time between samples."""
-    return slew_limited(x, np.concatenate([[0.0], per_second * np.diff(t)]) if len(t) else 0.0)
+    return _alone(RateLimit(per_second), x, t)
 
 
-def deadband_follow(target: np.ndarray, *, damping: float = 0.9, deadband: float = 1.5, start: float = 0.0) -> np.ndarray:
+class Deadband(Step):
     """Follows the target by a share of the gap, and rests while the gap is within the deadband."""
-    out, at = np.empty(len(target)), start
-    for i, v in enumerate(target):
-        gap = v - at
-        if abs(gap) > deadband:
-            at += (1.0 - damping) * gap
-        out[i] = at
-    return out
 
+    def __init__(self, *, damping: float = 0.9, deadband: float = 1.5, start: float = 0.0):
+        self.parts, self.share, self.deadband = (start,), 1.0 - damping, deadband
 
-def ema(x: np.ndarray, t: np.ndarray, *, alpha: float = 0.3, apart: float = 0.5) -> np.ndarray:
+    def step(self, m, state, inputs):
+        gap = inputs[0] - state[0]
+        at = m.where(abs(gap) > self.deadband, state[0] + self.share * gap, state[0])
+        return (at,), (at,)
+
+
+def deadband_follow(target: np.ndarray, *, damping: float = 0.9, deadband: float = 1.5, start: float = 0.0) -> np.ndarray:
+    return _alone(Deadband(damping=damping, deadband=deadband, start=start), target)
+
+
+class Ema(Step):
     """Moving average of samples at least ``apart`` seconds after the last one taken; others repeat it."""
-    out, value, last = np.empty(len(x)), None, -math.inf
-    for i, (v, s) in enumerate(zip(x, t, strict=True)):
-        if s - last >= apart:
-            value = v if value is None else alpha * v + (1.0 - alpha) * value
-            last = s
-        out[i] = value
-    return out
 
+    parts = (math.nan, -math.inf)
 
-class Filter:
-    """A filter of many series at once: a row of ``state`` is one series.
+    def __init__(self, *, alpha: float = 0.3, apart: float = 0.5):
+        self.alpha, self.apart = alpha, apart
 
-    ``step`` takes the rates (degrees a second) and forces of the series' next
-    samples, and gives their angles and the new state.  States are plain
-    arrays, so a series' state can be carried from one batch to the next.
-    """
+    def step(self, m, state, inputs):
+        (value, last), (x, t) = state, inputs
+        taken = t - last >= self.apart
+        v = m.where(taken, m.where(value == value, self.alpha * x + (1.0 - self.alpha) * value, x), value)
+        return (v,), (v, m.where(taken, t, last))
 
-    def __init__(self, fps: float, gain: float):
-        self.dt, self.gain = 1.0 / max(fps, 1e-4), gain
 
-    def start(self, lanes: int) -> np.ndarray:
-        return np.zeros((lanes, 3))
+def ema(x: np.ndarray, t: np.ndarray, *, alpha: float = 0.3, apart: float = 0.5) -> np.ndarray:
+    return _alone(Ema(alpha=alpha, apart=apart), x, t)
+
+
+def product2(a: tuple, b: tuple) -> tuple:
+    """Product of 2 x 2 matrices, rows one after another."""
+    return a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3]
+
 
-    def step(self, state: np.ndarray, rates: np.ndarray, forces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rates summed up."""
-        state = state + rates * self.dt
-        return state, state
+def hamilton(p: tuple, q: tuple) -> tuple:
+    """Product of quaternions: real parts, and vectors scaled and crossed."""
+    (a, *u), (b, *v) = p, q
+    across = cross(u, v)
+    return (a * b - dot(u, v), *[a * v[i] + b * u[i] + across[i] for i in range(3)])
 
 
-def tilts(forces: np.ndarray) -> np.ndarray:
+def cross(u: Sequence, v: Sequence) -> tuple:
+    return u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]
+
+
+def dot(u: Sequence, v: Sequence):
+    return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+
+
+class Filter(Step):
+    """A filter of rates (degrees a second) and forces, which gives roll, pitch and yaw."""
+
+    parts = (0.0, 0.0, 0.0)
+
+    def __init__(self, fps: float, gain: float):
+        self.dt, self.gain = 1.0 / max(fps, 1e-4), gain
+
+
+def tilts(m, forces: tuple) -> tuple:
     """Roll and pitch of forces, in degrees; a hundred-millionth keeps the quotients defined."""
-    x, y, z = forces.T
-    return np.degrees(np.stack([np.arctan2(y, z + 1e-8), np.arctan2(-x, np.hypot(y, z) + 1e-8)], axis=1))
+    x, y, z = forces
+    return m.degrees(m.arctan2(y, z + 1e-8)), m.degrees(m.arctan2(-x, m.hypot(y, z) + 1e-8))
 
 
 class GyroOnly(Filter):
@@ -113,48 +289,50 @@ class GyroOnly(Filter):
     def __init__(self, fps: float, gain: float = 0.0):
         super().__init__(fps, gain)
 
+    def step(self, m, state, inputs):
+        new = tuple(a + g * self.dt for a, g in zip(state, inputs[:3], strict=True))
+        return new, new
+
 
 class Complementary(Filter):
     """High-passed gyro and low-passed gravity; yaw is integrated."""
 
-    def step(self, state, rates, forces):
-        share = np.array([min(max(self.gain, 0.001), 0.999)] * 2 + [1.0])
-        seen = np.pad(tilts(forces), ((0, 0), (0, 1)))
-        state = share * (state + rates * self.dt) + (1.0 - share) * seen
-        return state, state
+    def step(self, m, state, inputs):
+        share = min(max(self.gain, 0.001), 0.999)
+        turned = [a + g * self.dt for a, g in zip(state, inputs[:3], strict=True)]
+        new = (*[share * a + (1.0 - share) * b for a, b in zip(turned[:2], tilts(m, inputs[3:]), strict=True)], turned[2])
+        return new, new
 
 
 class Kalman(Filter):
     """Linear Kalman filters of an angle and its gyro's bias, for roll and for pitch; yaw is integrated.
 
-    The textbook equations, on stacks of matrices: x = F x + B u and
-    P = F P F' + Q, then with H = (1 0) the gain K = P H' / (H P H' + R),
-    x = x + K (z - H x) and P = (I - K H) P.  A state holds the two filters'
-    x and P, and the yaw.
+    The textbook equations on 2 x 2 matrices: x = F x + B u and P = F P F' + Q,
+    then with H = (1 0) the gain K = P H' / (H P H' + R), x = x + K (z - H x)
+    and P = P - K H P.  A state holds x and P of both filters, and the yaw.
     """
 
+    parts = (0.0, 0.0, 1.0, 0.0, 0.0, 1.0) * 2 + (0.0,)
+
     def __init__(self, fps: float, gain: float, angle_noise: float = 0.001, bias_noise: float = 0.003):
         super().__init__(fps, gain)
-        self.move = np.array([[1.0, -self.dt], [0.0, 1.0]])
-        self.drive = np.array([self.dt, 0.0])
-        self.spread = np.diag([angle_noise, bias_noise]) * self.dt
+        self.move, self.turned = (1.0, -self.dt, 0.0, 1.0), (1.0, 0.0, -self.dt, 1.0)
+        self.spread = (angle_noise * self.dt, 0.0, 0.0, bias_noise * self.dt)
         self.noise = max(1e-4, gain * (0.03 / 0.51))
 
-    def start(self, lanes: int) -> np.ndarray:
-        one = np.concatenate([np.zeros(2), np.eye(2).ravel()])
-        return np.tile(np.concatenate([one, one, [0.0]]), (lanes, 1))
-
-    def step(self, state, rates, forces):
-        filters = state[:, :12].reshape(-1, 2, 6)
-        x, p = filters[..., :2], filters[..., 2:].reshape(-1, 2, 2, 2)
-        x = x @ self.move.T + rates[:, :2, None] * self.drive
-        p = self.move @ p @ self.move.T + self.spread
-        k = p[..., :, 0] / (p[..., 0, 0] + self.noise)[..., None]
-        x = x + k * (tilts(forces) - x[..., 0])[..., None]
-        p = p - k[..., :, None] * p[..., 0, None, :]
-        yaw = state[:, 12] + rates[:, 2] * self.dt
-        new = np.concatenate([np.concatenate([x, p.reshape(-1, 2, 4)], axis=2).reshape(-1, 12), yaw[:, None]], axis=1)
-        return new, np.column_stack([x[..., 0], yaw])
+    def step(self, m, state, inputs):
+        new: list = []
+        seen = tilts(m, inputs[3:])
+        for axis in (0, 1):
+            x, p = state[6 * axis : 6 * axis + 2], state[6 * axis + 2 : 6 * axis + 6]
+            angle, bias = x[0] + self.move[1] * x[1] + self.dt * inputs[axis], x[1]
+            p = tuple(a + q for a, q in zip(product2(product2(self.move, p), self.turned), self.spread, strict=True))
+            gain = [p[i] / (p[0] + self.noise) for i in (0, 2)]
+            off = seen[axis] - angle
+            p = tuple(p[i] - gain[i // 2] * p[i % 2] for i in range(4))
+            new += [angle + gain[0] * off, bias + gain[1] * off, *p]
+        yaw = state[12] + inputs[2] * self.dt
+        return (new[0], new[6], yaw), (*new, yaw)
 
 
 class Mahony(Filter):
@@ -163,63 +341,50 @@ class Mahony(Filter):
     A state is the quaternion and the integral of the errors.
     """
 
+    parts = (1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+
     def __init__(self, fps: float, gain: float, integral: float = 0.0):
         super().__init__(fps, gain)
         self.integral = integral
 
-    def start(self, lanes: int) -> np.ndarray:
-        return np.tile([1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], (lanes, 1))
-
-    def step(self, state, rates, forces):
-        q, total = state[:, :4], state[:, 4:]
-        size = np.linalg.norm(forces, axis=1, keepdims=True)
-        felt = size[:, 0] > 1e-4
-        down = forces / np.where(size > 1e-4, size, 1.0)
-        error = np.where(felt[:, None], np.cross(down, self._down(q)), 0.0)
+    def step(self, m, state, inputs):
+        q, total = state[:4], state[4:]
+        force = inputs[3:]
+        size = m.sqrt(dot(force, force))
+        felt = size > 1e-4
+        w, *v = q
+        # the third row of the rotation matrix
+        down = (2.0 * (v[0] * v[2] - w * v[1]), 2.0 * (v[1] * v[2] + w * v[0]), w * w + v[2] * v[2] - v[0] * v[0] - v[1] * v[1])
+        pull = cross(force, down)
+        error = [m.where(felt, e / m.where(felt, size, 1.0), 0.0) for e in pull]
         if self.integral > 0.0:
-            total = total + error * self.integral * self.dt
-        turn = np.radians(rates) + np.where(felt[:, None], total + self.gain * error, 0.0)
-        moved = q + 0.5 * self.dt * self._times(q, turn)
-        length = np.linalg.norm(moved, axis=1, keepdims=True)
-        q = np.where(length > 1e-6, moved / np.where(length > 1e-6, length, 1.0), q)
-        return np.concatenate([q, total], axis=1), self._angles(q)
-
-    @staticmethod
-    def _down(q: np.ndarray) -> np.ndarray:
-        """The third row of the rotation matrix."""
-        w, v = q[:, :1], q[:, 1:]
-        out = 2.0 * (v * v[:, 2:] + w * np.column_stack([-v[:, 1], v[:, 0], np.zeros(len(q))]))
-        out[:, 2] += w[:, 0] ** 2 - (v**2).sum(axis=1)
-        return out
+            total = tuple(t + e * self.integral * self.dt for t, e in zip(total, error, strict=True))
+        rate = [m.radians(g) + m.where(felt, t + self.gain * e, 0.0) for g, t, e in zip(inputs[:3], total, error, strict=True)]
+        moved = [a + 0.5 * self.dt * b for a, b in zip(q, hamilton(q, (0.0, *rate)), strict=True)]
+        length = m.sqrt(moved[0] * moved[0] + dot(moved[1:], moved[1:]))
+        known = length > 1e-6
+        q = tuple(m.where(known, a / m.where(known, length, 1.0), b) for a, b in zip(moved, q, strict=True))
+        return self._angles(m, q), (*q, *total)
 
     @staticmethod
-    def _times(q: np.ndarray, rate: np.ndarray) -> np.ndarray:
-        """q times a quaternion without real part."""
-        w, v = q[:, :1], q[:, 1:]
-        return np.concatenate([-(v * rate).sum(axis=1, keepdims=True), w * rate + np.cross(v, rate)], axis=1)
-
-    @staticmethod
-    def _angles(q: np.ndarray) -> np.ndarray:
-        w, x, y, z = q.T
+    def _angles(m, q: tuple) -> tuple:
+        w, x, y, z = q
         sine = 2.0 * (w * y - z * x)
-        pitch = np.where(np.abs(sine) >= 1.0, np.copysign(90.0, sine), np.degrees(np.arcsin(np.clip(sine, -1.0, 1.0))))
-        roll = np.degrees(np.arctan2(2.0 * (w * x + y * z), 1.0 - 2.0 * (x * x + y * y)))
-        return np.column_stack([roll, pitch, np.degrees(np.arctan2(2.0 * (w * z + x * y), 1.0 - 2.0 * (y * y + z * z)))])
+        steep = abs(sine) >= 1.0
+        pitch = m.where(steep, m.copysign(90.0, sine), m.degrees(m.arcsin(m.where(steep, 0.0, sine))))
+        roll = m.degrees(m.arctan2(2.0 * (w * x + y * z), 1.0 - 2.0 * (x * x + y * y)))
+        return roll, pitch, m.degrees(m.arctan2(2.0 * (w * z + x * y), 1.0 - 2.0 * (y * y + z * z)))
 
 
 def run_filter(f: Filter, state: np.ndarray, start: np.ndarray, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Angles of all samples, and the states after each series' last one.
 
     ``samples`` holds the rates and forces of one series after another, series
-    i from ``start[i]`` to ``start[i + 1]``; all series are stepped together.
+    i from ``start[i]`` to ``start[i + 1]``.
     """
-    out, size, state = np.empty((len(samples), 3)), np.diff(start), state.copy()
-    order = np.argsort(-size, kind="stable")
-    for k in range(int(size.max(initial=0))):
-        lanes = order[: np.searchsorted(-size[order], -k, side="left")]
-        at = start[lanes] + k
-        state[lanes], out[at] = f.step(state[lanes], samples[at, :3], samples[at, 3:])
-    return out, state
+    state, size = state.copy(), np.diff(start)
+    lane = np.repeat(np.arange(len(size)), size)
+    return walked(f, state, lane, samples, 3), state
 
 
 FILTERS: dict[str, type] = {"ekf": Kalman, "mahony": Mahony, "complementary": Complementary}
@@ -227,31 +392,24 @@ RATES, FORCES = ("gx", "gy", "gz"), ("ax", "ay", "az")
 
 
 def fuse(df: DataFrame, *, method: str = "ekf", gain: float = 0.51, fps: float = 30.0) -> DataFrame:
-    """series_id, frame, roll, pitch, yaw from rates (degrees a second) and forces of every series.
+    """series_id, frame, roll, pitch, yaw from rates (degrees a second) and forces of every series; unknown methods sum up the rates, in SQL."""
+    if method.lower() not in FILTERS:
+        dt = 1.0 / max(fps, 1e-4)
+        return df.where(F.col(ID).isNotNull()).select(ID, F.col(FRAME).cast("bigint").alias(FRAME), *[F.sum(F.col(g) * dt).over(ordered()).alias(a) for g, a in zip(RATES, ("roll", "pitch", "yaw"), strict=True)])
+    return scan(df, (*RATES, *FORCES), ("roll", "pitch", "yaw"), FILTERS[method.lower()](fps, gain))
 
-    Series are sorted within partitions and streamed; all series of a batch are
-    stepped together, and the state of the one that a batch ends in is carried
-    on, so that a series of any length takes a batch's memory.
-    """
-    f = FILTERS.get(method.lower(), GyroOnly)(fps, gain)
-    kind = df.schema[ID].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, None  # a series may go on in the next batch
-        for rows in batches:
-            ids = rows[ID].to_numpy()
-            new = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-            start = np.concatenate([[0], new, [len(ids)]])
-            state = f.start(len(start) - 1)
-            if last is not None and len(ids) and ids[0] == last:
-                state[0] = held
-            out, state = run_filter(f, state, start, rows[[*RATES, *FORCES]].to_numpy(np.float64))
-            if len(ids):
-                last, held = ids[-1], state[-1]
-            yield pd.DataFrame({ID: ids, FRAME: rows[FRAME].to_numpy(), "roll": out[:, 0], "pitch": out[:, 1], "yaw": out[:, 2]})
+class Chain(Step):
+    """Rotations after one another: each row's quaternion turns the one before; the first row is the reference."""
+
+    parts = (1.0, 0.0, 0.0, 0.0, 0.0)
 
-    rows = df.select(ID, F.col(FRAME).cast("bigint").alias(FRAME), *RATES, *FORCES).where(F.col(ID).isNotNull())
-    return rows.repartition(ID).sortWithinPartitions(ID, FRAME).mapInPandas(run, f"{ID} {kind}, {FRAME} bigint, roll double, pitch double, yaw double")
+    def step(self, m, state, inputs):
+        *at, begun = state
+        turned = hamilton(inputs, at)
+        length = m.sqrt(turned[0] * turned[0] + dot(turned[1:], turned[1:]))
+        new = tuple(m.where(begun > 0.0, a / m.where(length > 0.0, length, 1.0), b) for a, b in zip(turned, at, strict=True))
+        return new, (*new, 1.0)
 
 
 def rdp(points: np.ndarray, epsilon: float) -> np.ndarray:
@@ -281,7 +439,7 @@ def simplified(df: DataFrame, epsilon: float) -> DataFrame:
         return pitch, roll, rdp(np.stack([frame, pitch, roll], axis=1), epsilon).astype(np.float64)
 
     rows = df.select(ID, FRAME, F.col(FRAME).cast("double").alias("f"), "pitch", "roll")
-    return scan(rows, ("f", "pitch", "roll"), ("pitch", "roll", "stays"), kernel).where("stays = 1").drop("stays")
+    return by_series(rows, ("f", "pitch", "roll"), ("pitch", "roll", "stays"), kernel).where("stays = 1").drop("stays")
 
 
 def trend_filter(x: np.ndarray, strength: float, rounds: int = 5, scale: float = 10.0) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rotation as ro
 from ..functions.angles import wrap180, wrap180_closed
-from .recurrence import deadband_follow, fuse, scan, slew_limited
+from .recurrence import Deadband, Despike, Slew, fuse, scan, with_next
 from .series import FRAME, ID, bilateral_circular, boxcar, median5, ordered, plain_rate, unwrapped
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -123,10 +123,8 @@ def telemetry(df: DataFrame, *, mode: str = "level", fps: float = 30.0, smoothin
     reference frame's orientation (lock); the correction changes by at most
     ``slew`` a frame.
     """
-    from .recurrence import despiked
-
     clean = df.select(ID, FRAME, *[median5(F.col(a)).alias(a) for a in ("roll", "pitch", "yaw")])
-    clean = scan(clean, ("roll", "pitch", "yaw"), ("roll", "pitch", "yaw"), lambda *x: [despiked(v) for v in x])
+    clean = scan(clean, with_next(("roll", "pitch", "yaw")), ("roll", "pitch", "yaw"), Despike(3))
     if fusion:
         from ..functions.angles import gravity_camera
 
@@ -143,7 +141,7 @@ def telemetry(df: DataFrame, *, mode: str = "level", fps: float = 30.0, smoothin
         target = {"level": lambda a: F.avg(a).over(every), "zero": lambda a: F.lit(0.0), "lock": lambda a: F.max(F.when(F.col(FRAME) == F.col("at"), F.col(a))).over(every)}[mode]
         aimed = clean.withColumn("at", at).withColumns({f"to_{a}": target(a) for a in ("roll", "pitch")})
     raw = aimed.select(ID, FRAME, *[((F.col(a) - F.col(f"to_{a}")) * m).alias(a) for a, m in zip(("roll", "pitch"), multiplier, strict=True)])
-    limited = scan(raw, ("roll", "pitch"), ("roll", "pitch"), lambda *x: [slew_limited(v, slew) for v in x])
+    limited = scan(raw, ("roll", "pitch"), ("roll", "pitch"), Slew(2, slew))
     half = 1.0 / fps
     start = F.when(F.col(FRAME) == 0, 0.0).otherwise((F.col(FRAME) - 0.5) * half)
     out = deltas(limited.withColumn("yaw", F.lit(0.0)), negated=True)
@@ -161,14 +159,14 @@ def travel_direction(df: DataFrame, *, mode: str = "travel_direction", target: f
     elif mode == "damped_follow":
         first = F.first("raw_yaw").over(ordered())
         aimed = raw.withColumn("gap", F.col("raw_yaw") - first)
-        follow = scan(aimed, ("gap",), ("trend",), lambda g: (deadband_follow(g, damping=damping, deadband=deadband),))
+        follow = scan(aimed, ("gap",), ("trend",), Deadband(damping=damping, deadband=deadband))
         out = aimed.withColumn("base", first).join(follow, [ID, FRAME])
         out = out.withColumn("trend_yaw", F.col("base") + F.col("trend")).withColumn("steer", F.col("trend_yaw") - F.col("raw_yaw"))
         return out.select(ID, FRAME, "raw_yaw", "trend_yaw", wrap180(F.col("steer")).alias("steer"), (F.col("raw_yaw") + F.col("steer")).alias("locked_yaw"))
     else:
         aimed = boxcar(raw.withColumn("trend_yaw", F.col("raw_yaw")), ["trend_yaw"], width, "edge")
     wanted = aimed.withColumn("wanted", F.col("trend_yaw") - F.col("raw_yaw"))
-    steer = scan(wanted, ("wanted",), ("steer",), lambda g: (deadband_follow(g, damping=damping, deadband=deadband),))
+    steer = scan(wanted, ("wanted",), ("steer",), Deadband(damping=damping, deadband=deadband))
     return wanted.join(steer, [ID, FRAME]).select(ID, FRAME, "raw_yaw", "trend_yaw", wrap180(F.col("steer")).alias("steer"), (F.col("raw_yaw") + F.col("steer")).alias("locked_yaw"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rotation as ro
 from .joins import bracketed
-from .recurrence import scan
+from .recurrence import Chain, scan
 from .series import FRAME, ID, gaussian_smooth, hemisphere_sign, ordered, so_far
 
 PARTS = ("w", "x", "y", "z")
@@ -89,18 +89,7 @@ def chained(turns: DataFrame) -> DataFrame:
     unit = {"w": 1.0, "x": 0.0, "y": 0.0, "z": 0.0}
     back = turns.select(ID, FRAME, *[F.when(enough, F.col(p) if p == "w" else -F.col(p)).otherwise(unit[p]).alias(p) for p in PARTS])
 
-    def kernel(*parts: np.ndarray) -> list[np.ndarray]:
-        turn = np.stack(parts, axis=1)
-        out = np.zeros_like(turn)
-        at = np.array([1.0, 0.0, 0.0, 0.0])
-        for i, (w, x, y, z) in enumerate(turn):
-            if i:
-                at = np.array([[w, -x, -y, -z], [x, w, -z, y], [y, z, w, -x], [z, -y, x, w]]) @ at
-                at /= np.linalg.norm(at)
-            out[i] = at
-        return list(out.T)
-
-    return scan(back, PARTS, PARTS, kernel)
+    return scan(back, PARTS, PARTS, Chain())
 
 
 def _quaternion(prefix: str = "") -> Column:

@@ -32,31 +32,31 @@ def imu(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("despike_sandwich", _walk("n.roll AS v", "CASE WHEN n.nx IS NOT NULL AND abs(n.roll - p.v) > 2.5::DOUBLE AND abs(n.roll - n.nx) > 2.5::DOUBLE THEN (p.v + n.nx) / 2 ELSE n.roll END", f"SELECT series_id, frame, {r6_sql('v', 'roll')} FROM walk", "d", f"{SERIES}, d0 AS (SELECT series_id, frame, roll + sin(value) AS roll FROM s), d AS (SELECT series_id, frame, roll, lead(roll) OVER (PARTITION BY series_id ORDER BY frame) AS nx FROM d0)"))
 def despike_sandwich(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = series(spark, sf_dir).withColumn("roll", F.col("roll") + F.sin("value"))
-    out = rec.scan(rows, ("roll",), ("roll",), lambda x: (rec.despiked(x),))
+    out = rec.scan(rows, rec.with_next(["roll"]), ("roll",), rec.Despike())
     return out.select("series_id", "frame", r6(F.col("roll"), "roll"))
 
 
 @query("slew_limit", _walk("n.roll AS v", "CASE WHEN abs(n.roll - p.v) > 2.5::DOUBLE THEN p.v + sign(n.roll - p.v) * 2.5::DOUBLE ELSE n.roll END", f"SELECT series_id, frame, {r6_sql('v', 'roll')} FROM walk"))
 def slew_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rec.scan(series(spark, sf_dir), ("roll",), ("roll",), lambda x: (rec.slew_limited(x, 2.5),))
+    out = rec.scan(series(spark, sf_dir), ("roll",), ("roll",), rec.Slew(1, 2.5))
     return out.select("series_id", "frame", r6(F.col("roll"), "roll"))
 
 
 @query("rate_limit", _walk("n.roll AS v, n.t AS t", "CASE WHEN abs(n.roll - p.v) > 4e0 * (n.t - p.t) THEN p.v + sign(n.roll - p.v) * (4e0 * (n.t - p.t)) ELSE n.roll END, n.t", f"SELECT series_id, frame, {r6_sql('v', 'roll')} FROM walk", "d", f"{SERIES}, d AS (SELECT series_id, frame, roll, frame * 0.5e0 AS t FROM s)"))
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = series(spark, sf_dir).withColumn("t", F.col("frame") * 0.5)
-    return rec.scan(rows, ("roll", "t"), ("roll",), lambda x, t: (rec.rate_limited(x, t),)).select("series_id", "frame", r6(F.col("roll"), "roll"))
+    return rec.scan(rows, ("roll", "t"), ("roll",), rec.RateLimit()).select("series_id", "frame", r6(F.col("roll"), "roll"))
 
 
 @query("deadband_follow", _walk("CASE WHEN abs(n.roll) > 1.5::DOUBLE THEN (1e0 - 0.9::DOUBLE) * n.roll ELSE 0e0 END AS v", "CASE WHEN abs(n.roll - p.v) > 1.5::DOUBLE THEN p.v + (1e0 - 0.9::DOUBLE) * (n.roll - p.v) ELSE p.v END", f"SELECT series_id, frame, {r6_sql('v', 'steer')} FROM walk"))
 def deadband_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec.scan(series(spark, sf_dir), ("roll",), ("steer",), lambda x: (rec.deadband_follow(x),)).select("series_id", "frame", r6(F.col("steer"), "steer"))
+    return rec.scan(series(spark, sf_dir), ("roll",), ("steer",), rec.Deadband()).select("series_id", "frame", r6(F.col("steer"), "steer"))
 
 
 @query("ema_speed", _walk("n.value AS v, n.t AS last", "CASE WHEN n.t - p.last >= 0.5e0 THEN 0.3::DOUBLE * n.value + (1e0 - 0.3::DOUBLE) * p.v ELSE p.v END, CASE WHEN n.t - p.last >= 0.5e0 THEN n.t ELSE p.last END", f"SELECT series_id, frame, {r6_sql('v', 'speed')} FROM walk", "d", f"{SERIES}, d AS (SELECT series_id, frame, value, frame * 0.2::DOUBLE AS t FROM s)"))
 def ema_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = series(spark, sf_dir).withColumn("t", F.col("frame") * 0.2)
-    return rec.scan(rows, ("value", "t"), ("speed",), lambda x, t: (rec.ema(x, t),)).select("series_id", "frame", r6(F.col("speed"), "speed"))
+    return rec.scan(rows, ("value", "t"), ("speed",), rec.Ema()).select("series_id", "frame", r6(F.col("speed"), "speed"))
 
 
 def _fused(spark: SparkSession, sf_dir: str, method: str, gain: float) -> DataFrame:
@@ -124,7 +124,7 @@ def rdp_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l1l2_trend")
 def l1l2_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rec.scan(series(spark, sf_dir), ("roll",), ("roll",), lambda x: (rec.trend_filter(x, 6.0),))
+    out = rec.by_series(series(spark, sf_dir), ("roll",), ("roll",), lambda x: (rec.trend_filter(x, 6.0),))
     return out.select("series_id", "frame", r6(F.col("roll"), "roll"))
 
 
@@ -136,7 +136,7 @@ def cinematic_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(*axes: np.ndarray):
         return [rec.cinematic(a) for a in axes]
 
-    out = rec.scan(rows, ("roll", "pitch", "yaw"), ("roll", "pitch", "yaw"), kernel)
+    out = rec.by_series(rows, ("roll", "pitch", "yaw"), ("roll", "pitch", "yaw"), kernel)
     from ..functions.angles import wrap180
 
     return out.select("series_id", "frame", r6(F.col("roll"), "roll"), r6(F.col("pitch"), "pitch"), r6(wrap180(F.col("yaw")), "yaw"))

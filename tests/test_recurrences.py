@@ -103,6 +103,46 @@ def test_series_step_together_and_go_on(method):
         assert both[start[i] : start[i + 1]] == pytest.approx(np.concatenate([head, tail]))
 
 
+STEPS = {"despike": (rec.Despike(2, 0.8), 4), "slew": (rec.Slew(2, 0.7), 2), "rate": (rec.RateLimit(2.0), 2), "deadband": (rec.Deadband(deadband=0.5), 1), "ema": (rec.Ema(), 2), "chain": (rec.Chain(), 4), **{k: (f(30.0, 0.5), 6) for k, f in rec.FILTERS.items()}, "gyro": (rec.GyroOnly(30.0), 6)}
+
+
+@pytest.mark.parametrize("name", sorted(STEPS))
+def test_numbers_and_arrays_agree(name, monkeypatch):
+    """A batch of lanes of odd lengths in frame order, cut anywhere, on arrays or on numbers."""
+    f, width = STEPS[name]
+    rng = np.random.default_rng(5)
+    rows = sorted((frame, lane) for lane, n in enumerate([40, 1, 17, 33, 40, 2]) for frame in range(n))
+    lane = np.array([x for _, x in rows])
+    values = rng.normal(size=(len(rows), width)) * 3
+    if name in ("rate", "ema"):
+        values[:, 1] = [0.3 * frame for frame, _ in rows]
+    outputs = len(f.step(rec.Numbers, f.parts, values[0].tolist())[0])
+    found = {}
+    for few in (0, 10**9):
+        monkeypatch.setattr(rec, "FEW", few)
+        for cut in (len(rows), 50, 7):
+            state = f.start(6)
+            found[few, cut] = np.concatenate([rec.walked(f, state, lane[i : i + cut], values[i : i + cut], outputs) for i in range(0, len(rows), cut)])
+    for other in found.values():
+        assert other == pytest.approx(found[0, len(rows)], rel=1e-9, abs=1e-9)
+
+
+def test_a_task_walks_all_its_series(spark):
+    """Long and short series in one table, ids that are texts, a null id, one row."""
+    from pyspark.sql import functions as F
+
+    lengths = {"long": 30000, "one": 1, **{f"s{i}": 50 + i for i in range(40)}}
+    df = spark.createDataFrame([(k, n) for k, n in lengths.items()], "series_id string, n int").select("series_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("frame"))
+    df = df.withColumn("x", F.sin(F.col("frame") * 7.0 + F.length("series_id")) * 10).unionByName(df.limit(1).select(F.lit(None).cast("string").alias("series_id"), "frame", F.lit(1.0).alias("x")))
+    got = rec.scan(df.repartition(6), ["x"], ["x"], rec.Slew(1, 2.5)).toPandas()
+    want = df.where("series_id is not null").toPandas()
+    assert len(got) == sum(lengths.values())
+    for k in ("long", "one", "s7", "s39"):
+        mine, plain = got[got.series_id == k].sort_values("frame").x.to_numpy(), want[want.series_id == k].sort_values("frame").x.to_numpy()
+        assert mine == pytest.approx(rec.slew_limited(plain, 2.5))
+        assert np.abs(np.diff(mine)).max(initial=0.0) <= 2.5 + 1e-12
+
+
 def turn(rng):
     q = rng.normal(size=4)
     w, x, y, z = q / np.linalg.norm(q)
