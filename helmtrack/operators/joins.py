@@ -7,12 +7,14 @@ with more than its two neighbours, whatever the size of the sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import cosine_ease
+from ..storage import written
 
 
 def bracketed(points: DataFrame, grid: DataFrame, key: str, time: str, columns: Sequence[str]) -> DataFrame:
@@ -50,20 +52,54 @@ def eased(points: DataFrame, grid: DataFrame, key: str, time: str, columns: Sequ
     return interpolated(points, grid, key, time, columns, ease=cosine_ease)
 
 
-def nearest(points: DataFrame, targets: DataFrame, distance: Callable[[str, str], Column], *, order: str, most: int = 10_000) -> DataFrame:
-    """The point of least distance for every target, ties to the smallest ``order``.
+#: Side of the finest cells of ``nearest``: 180 degrees halved so often.
+FINEST = 24
 
-    ``distance`` gets the names of the point's and the target's struct.  The
-    targets are a stated query set; a set of at most ``most`` rows is carried
-    to the points, each of which is read once, and minima are partial before the
-    shuffle.  A larger set should be cut into blocks.
+
+def nearest(points: DataFrame, targets: DataFrame, *, order: str, point: tuple[str, str] = ("lat", "lon"), target: tuple[str, str] = ("lat", "lon")) -> DataFrame:
+    """The point of least great-circle distance for every target: its columns, ``distance`` in metres and ``point``; ties to the smallest ``order``.
+
+    Points and targets meet in cells of a grid, a target in its own cell and
+    the eight around it, by an equality join.  A find nearer than all that lies
+    beyond these cells is proven; targets without one are asked again on a grid
+    four times as wide.  The first grid has about a point a cell, the last one
+    is a single cell in height.  Equal targets are asked once; places that are
+    null meet nothing; without points there are no rows.
     """
-    if targets.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} targets; ask in blocks")
-    asked = targets.select(F.struct("*").alias("target"))
-    pairs = points.select(F.struct("*").alias("point")).join(F.broadcast(asked))
-    near = pairs.groupBy("target").agg(F.min(F.struct(distance("point", "target").alias("distance"), F.col(f"point.{order}").alias("o"), F.col("point").alias("point"))).alias("best"))
-    return near.select("target.*", "best.distance", "best.point")
+    from ..functions.geo import EARTH, haversine
+
+    at = lambda names: [F.col(c).cast("double").alias(n) for c, n in zip(names, ("y", "x"), strict=True)]
+    known = F.col("y").isNotNull() & F.col("x").isNotNull()
+    held = points.select(*at(point), F.struct(F.col(order).alias("o"), F.struct("*").alias("point")).alias("p")).where(known)
+    # of points at one place the first counts
+    held = written(held.groupBy("y", "x").agg(F.min("p").alias("p")), "points")
+    asked = written(targets.select(*at(target), F.struct("*").alias("target")).where(known).distinct(), "targets")
+    n, low, high, west, east = held.agg(F.count(F.lit(1)), F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    if not n:
+        return held.join(asked.limit(0).select("target"), F.lit(False)).select("target.*", F.lit(0.0).alias("distance"), "p.point")
+    apart = math.sqrt(max((high - low) * (east - west), 1e-9) / n)
+    level = max(0, min(FINEST, round(math.log2(180.0 / apart))))
+    found = None
+    while True:
+        side, columns = 180.0 / (1 << level), 1 << (level + 1)
+        row, column = F.floor((F.col("y") + 90.0) / side), F.pmod(F.floor((F.col("x") + 180.0) / side), F.lit(columns))
+        around = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((row + i).alias("r"), F.pmod(column + j, F.lit(columns)).alias("c"))))))
+        cells = held.select(F.struct(row.alias("r"), column.alias("c")).alias("cell"), F.col("y").alias("py"), F.col("x").alias("px"), "p")
+        met = asked.select("target", "y", "x", F.explode(around).alias("cell")).join(cells, "cell")
+        distance = haversine(F.col("y"), F.col("x"), F.col("py"), F.col("px"))
+        best = met.groupBy("target", "y", "x").agg(F.min(F.struct(distance.alias("distance"), F.col("p.o").alias("o"), F.col("p.point").alias("point"))).alias("best"))
+        # beyond the cells lie places a side off in latitude, and those over the meridian a side off
+        turn = math.radians(min(side, 90.0))
+        beyond = EARTH * F.least(F.lit(math.radians(side)), F.asin(F.sin(F.lit(turn)) * F.cos(F.radians("y")))) * (1.0 - 1e-9)
+        best = written(best.withColumn("proven", F.lit(level == 0) | (F.col("best.distance") < beyond)), "nearest")
+        sure = best.where("proven").select("target.*", "best.distance", "best.point")
+        found = sure if found is None else found.unionByName(sure)
+        if level == 0:
+            return found
+        asked = written(asked.join(best.where("proven").select("target"), "target", "left_anti"), "targets")
+        if asked.isEmpty():
+            return found
+        level = max(0, level - 2)
 
 
 def spanning(tracks: DataFrame, pairs: DataFrame, first: str, last: str, a: str, b: str, *, bucket: int = 64) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def ridge2(df: DataFrame, key: str, a1: Column, a2: Column, b: Column, weight: Column, *, prior: float = 25.0, within: float = 2.0) -> DataFrame:
     """key, x1, x2: weighted ridge solution of a1 x1 + a2 x2 = b, refitted once on rows within ``within``.
@@ -154,16 +156,57 @@ def refined(df: DataFrame, key: str, start: tuple[float, float, float], cost, ro
     return best
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, key: str, bits: str, id_: str) -> DataFrame:
+#: Bits of a part of a descriptor, and how many of them may differ in the last round that looks parts up.
+PART, FLIPS = 8, 3
+
+
+def _flipped(flips: int) -> list[int]:
+    """Masks that change at most so many bits of a part."""
+    return [m for m in range(1 << PART) if m.bit_count() <= flips]
+
+
+def nearest_bits(left: DataFrame, right: DataFrame, key: str, width: int) -> DataFrame:
+    """key, l, r, distance: for every l the r of fewest differing bits within its key, ties to the smaller r.
+
+    ``left`` has key, l and x, ``right`` key, r and y; x and y are ``width``
+    bits.  Bits are cut into parts of eight.  Two descriptors that differ in
+    fewer than (f + 1) * parts bits have a part that differs in f bits at most,
+    so that they meet where x is looked up by its parts with up to f bits
+    changed.  A find below that number is proven; what is left is asked with
+    more bits changed, and at last against its whole key.
+    """
+    parts = -(-width // PART)
+    cut = lambda v: [F.shiftrightunsigned(v, PART * i).bitwiseAND((1 << PART) - 1).cast("int") for i in range(parts)]
+    listed = right.select(key, "r", "y", F.posexplode(F.array(*cut(F.col("y")))).alias("part", "value"))
+    asked, found = left, None
+    distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
+    for flips in range(FLIPS + 2):
+        if flips <= FLIPS:
+            masks = F.array(*map(F.lit, _flipped(flips)))
+            own = asked.select(key, "l", "x", F.posexplode(F.array(*cut(F.col("x")))).alias("part", "own"))
+            looked = own.select(key, "l", "x", "part", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
+            met = looked.join(listed, [key, "part", "value"])
+        else:
+            met = asked.join(right, key)
+        best = met.groupBy(key, "l").agg(F.min(F.struct(distance.alias("distance"), "r")).alias("best"))
+        sure = F.lit(True) if flips > FLIPS else F.col("best.distance") < (flips + 1) * parts
+        best = written(best.where(sure).select(key, "l", "best.r", "best.distance"), "bits")
+        found = best if found is None else found.unionByName(best)
+        asked = written(asked.join(best.select(key, "l"), [key, "l"], "left_anti"), "asked")
+        if asked.isEmpty():
+            break
+    return found
+
+
+def mutual_nearest(left: DataFrame, right: DataFrame, key: str, bits: str, id_: str, width: int = 64) -> DataFrame:
     """key, l, r, distance: pairs of which each is the other's nearest by differing bits, ties to the smaller id.
 
-    Descriptors meet only within a key, the features of one frame.
+    Descriptors meet only within a key, the features of one frame; ids are unique within it.
     """
-    a = left.select(key, F.col(id_).alias("l"), F.col(bits).alias("x"))
-    b = right.select(key, F.col(id_).alias("r"), F.col(bits).alias("y"))
-    pairs = a.join(b, key).select(key, "l", "r", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("distance"))
-    by = lambda me, you: F.row_number().over(Window.partitionBy(key, me).orderBy("distance", you))
-    return pairs.withColumns({"p": by("l", "r"), "q": by("r", "l")}).where("p = 1 and q = 1").drop("p", "q")
+    x = lambda df, n, v: df.select(key, F.col(id_).alias(n), F.col(bits).cast("bigint").alias(v))
+    there = nearest_bits(x(left, "l", "x"), x(right, "r", "y"), key, width)
+    back = nearest_bits(x(right, "l", "x"), x(left, "r", "y"), key, width).select(key, F.col("l").alias("r"), F.col("r").alias("l"))
+    return there.join(back, [key, "l", "r"]).select(key, "l", "r", "distance")
 
 
 def best_median(matches: DataFrame, key: str, value: str, distance: str, order: str, most: int = 60) -> DataFrame:

@@ -111,8 +111,7 @@ def nearest_fix_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixes = series(spark, sf_dir).select(F.struct("series_id", "frame").alias("at"), "lat", "lon")
     key = F.col("n_nationkey")
     targets = table(spark, sf_dir, "nation").select("n_nationkey", (40.0 + key * 0.02).alias("tlat"), (20.0 + key * 0.015).alias("tlon"))
-    dist = lambda p, t: geo.haversine(F.col(f"{t}.tlat"), F.col(f"{t}.tlon"), F.col(f"{p}.lat"), F.col(f"{p}.lon"))
-    found = joins.nearest(fixes, targets, dist, order="at")
+    found = joins.nearest(fixes, targets, order="at", target=("tlat", "tlon"))
     return found.select("n_nationkey", "point.at.series_id", "point.at.frame", r6(F.col("distance"), "metres"))
 
 

@@ -81,7 +81,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     for b in bit[1:]:
         total = total + b
     d = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 40).alias("f"), total.alias("bits"))
-    return robust.mutual_nearest(d.where("vec_id % 2 = 0"), d.where("vec_id % 2 = 1"), "f", "bits", "vec_id")
+    return robust.mutual_nearest(d.where("vec_id % 2 = 0"), d.where("vec_id % 2 = 1"), "f", "bits", "vec_id", width=32)
 
 
 @query("mutual_nearest", f"WITH {_MATCHES} SELECT f, l, r, distance FROM m")

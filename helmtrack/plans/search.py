@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import index, search
+from ..storage import new_path
 from .carriers import table
 from .registry import query
 
@@ -29,6 +30,17 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), TEXT, id_="doc_id", text="text", limit=20)
 
 
+@query("bm25_index", _bm25_sql())
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index: old texts come first, a later batch replaces them, and one adds the rest."""
+    docs = table(spark, sf_dir, "documents")
+    found = index.Index(spark, new_path(spark, "index"))
+    found.upsert(docs.where("doc_id % 2 = 0").withColumn("text", F.concat(F.lit("onen thing "), F.reverse("text"))), "old", id_="doc_id", text="text")
+    found.upsert(docs.where("doc_id % 3 <> 0"), "new", id_="doc_id", text="text")
+    found.upsert(docs.where("doc_id % 3 = 0"), "rest", id_="doc_id", text="text")
+    return found.bm25(TEXT, limit=20).withColumnRenamed("id", "doc_id")
+
+
 @query("like_fallback", r"""SELECT doc_id, 1e0 AS score FROM documents WHERE lower(text) LIKE '%of the\_%' ESCAPE '\' OR lower(source) LIKE '%of the\_%' ESCAPE '\' OR lower(text) LIKE '%er. t%' ORDER BY doc_id LIMIT 30""")
 def like_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By substring; wildcards in the query stand for themselves."""

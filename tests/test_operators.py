@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from helmtrack.functions import rotation, text
-from helmtrack.operators import catalog, checkpoints, joins, metrics, search, stages, trajectory
+from helmtrack.operators import catalog, checkpoints, index, joins, metrics, robust, search, stages, trajectory
 
 
 def one(spark, column):
@@ -188,3 +189,88 @@ def test_density_and_windows_of_checkpoints(spark):
     assert n["low"] < n["medium"] < n["high"]
     some = [r.frame for r in checkpoints.from_extrema(rows, fps=30.0, frames=(100, 200)).collect()]
     assert set(some) - {0, 299} and all(100 <= f <= 200 for f in some if f not in (0, 299))
+
+
+def plain_nearest(points, targets):
+    def metres(a, b):
+        la, lo, lb, ob = map(math.radians, (*a, *b))
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((ob - lo) / 2) ** 2
+        return 6371000.0 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    return {t: min((metres(t, p), i) for i, p in enumerate(points)) for t in targets}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nearest_by_cells(spark, seed):
+    """Clusters, poles, both sides of the date line, equal places; every find is the least of all."""
+    rng = random.Random(seed)
+    points = [(40 + rng.random() * 0.01, 20 + rng.random() * 0.01) for _ in range(300)] + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(40)]
+    points += [(89.9, 10.0), (-89.95, 0.0), (5.0, 179.99), (5.0, 179.99), (0.0, 180.0)]
+    targets = [(40.005, 20.005), (39.0, 19.0), (89.9, -170.0), (-90.0, 55.0), (5.0, -179.99), (0.0, -180.0), (-40.0, 150.0)] + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(30)]
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate(points)] + [(9999, None, 1.0)], "i int, lat double, lon double").repartition(4)
+    t = spark.createDataFrame([(*x, "extra") for x in targets] + [(None, 2.0, "x")], "tlat double, tlon double, note string")
+    got = {(r.tlat, r.tlon): r for r in joins.nearest(p, t, order="i", target=("tlat", "tlon")).collect()}
+    want = plain_nearest(points, targets)
+    assert set(got) == set(want)
+    for k, (metres, _) in want.items():
+        assert got[k].distance == pytest.approx(metres, rel=1e-6, abs=1e-3), k
+        at = (got[k].point.lat, got[k].point.lon)
+        assert got[k].note == "extra" and points.index(at) == got[k].point.i
+    assert joins.nearest(p.limit(0), t, order="i", target=("tlat", "tlon")).count() == 0
+
+
+def test_nearest_makes_no_pairs_of_all(spark):
+    """Hundreds of thousands of targets and points in one go; the finest cells hold about a point."""
+    grid = lambda n, a, b: spark.range(n).select(F.col("id").alias("i"), (F.col("id") * a % 100003 / 1000.0 - 50).alias("lat"), (F.col("id") * b % 200003 / 1000.0 - 100).alias("lon"))
+    found = joins.nearest(grid(100000, 7919, 104729), grid(100000, 3571, 50021).withColumnRenamed("i", "j"), order="i")
+    r = found.agg(F.count("*").alias("n"), F.max("distance").alias("far")).first()
+    assert r.n == 100000 and r.far < 500_000
+    sample = found.where("j % 20000 = 7").collect()
+    every = [(x.lat, x.lon) for x in grid(100000, 7919, 104729).collect()]
+    want = plain_nearest(every, [(x.lat, x.lon) for x in sample])
+    assert all(x.distance == pytest.approx(want[x.lat, x.lon][0], rel=1e-6) for x in sample)
+
+
+@pytest.mark.parametrize("width", [16, 32, 64])
+def test_mutual_nearest_by_parts(spark, width):
+    rng = random.Random(width)
+    base = [rng.getrandbits(width) for _ in range(60)]
+    rows = []
+    for i in range(240):
+        bits = rng.choice(base)
+        for _ in range(rng.choice([0, 0, 1, 3, 9, 30])):
+            bits ^= 1 << rng.randrange(width)
+        rows.append((i % 2, i // 80, i // 2, bits))
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    df = spark.createDataFrame([(s, f, i, signed(b)) for s, f, i, b in rows], "side int, f int, id int, bits bigint")
+    got = {tuple(r) for r in robust.mutual_nearest(df.where("side = 0"), df.where("side = 1"), "f", "bits", "id", width=width).collect()}
+    want = set()
+    for f in range(3):
+        a, b = ([(i, x) for s, g, i, x in rows if s == side and g == f] for side in (0, 1))
+        to = lambda v, others: min(((v ^ y).bit_count(), j) for j, y in others)
+        want |= {(f, i, to(x, b)[1], to(x, b)[0]) for i, x in a if to(dict(b)[to(x, b)[1]], a)[1] == i}
+    assert got == want
+
+
+def test_index(spark, tmp_path):
+    """Upserts append; what they replace and what is removed is found no more; a batch is taken once, a failed one again."""
+    docs = [(i, None if i == 3 else f"alpha beta{i % 4} gamma-delta " + "word " * (i % 5) + ("alphabet" if i % 3 == 0 else "")) for i in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "id bigint, content string")
+    found = index.Index(spark, str(tmp_path / "idx"))
+    assert found.bm25("alpha").count() == 0 and found.upsert(frame(docs[:40]), "one")
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "idx").rglob("*.parquet")}
+    newer = [(i, f"gamma {t}") for i, t in docs[30:60]]
+    (tmp_path / "idx/postings/batch=two/lead=al").mkdir(parents=True)
+    frame([(99, "x")]).write.parquet(str(tmp_path / "idx/documents/batch=two"))  # a run that failed before its end
+    same = lambda now: all([tuple(r) for r in found.bm25(q, limit=9).collect()] == [tuple(r) for r in search.bm25(frame(now), q, limit=9).collect()] for q in ("alpha", "gamma delta", "beta2 word", "al", "zeta", "b-e"))
+    assert same(docs[:40])
+    assert found.upsert(frame(newer), "two") and same(docs[:30] + newer)
+    assert not found.upsert(frame(docs), "two") and same(docs[:30] + newer)
+    assert found.remove(frame([(5, None), (45, None), (777, None)]), "three")
+    assert same([x for x in docs[:30] + newer if x[0] not in (5, 45)])
+    assert {p: p.stat().st_mtime_ns for p in files} == files
+    assert [r.docs for r in found.history().orderBy("place").collect()] == [40, 60, 58]
+    plan = found.bm25("gamma")._jdf.queryExecution().toString()
+    assert "lead" in plan.split("PartitionFilters")[1][:200]
+    with pytest.raises(ValueError):
+        found.upsert(frame(docs), "a/b")
