@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .shared import joined_apart
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +44,7 @@ def packed_documents(source: DataFrame) -> DataFrame:
     digest = F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("digest")
     rows = source.select("doc_id", digest)
     groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    known = rows.distinct().join(groups, "digest")
+    known = joined_apart(rows.distinct(), groups, "digest")  # a digest may be a third of all rows
     return packed.join(known, ["doc_id", "digest"], "left").select("doc_id", "packed", "first", "copies")
 
 
