@@ -18,8 +18,8 @@ it, in segments: runs of neighbouring strings with one minimizer.
 
 Segments are sorted by tasks that hold a hash range of minimizers, in blocks of
 bounded size: a minimizer with more than ``hot`` classes is not sorted in one
-task.  Its strings are dealt by their own bytes instead, with a partial minimum
-and a join that Spark can split.
+task.  Its strings are dealt by their own 128-bit hashes instead, with a
+partial minimum and a join that Spark can split.
 
 Defined cases: a null or empty text has no bytes; texts shorter than
 ``length`` are kept; matches never cross documents; rows of one doc_id never
@@ -41,16 +41,16 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .packed import packed_documents, unpacked
-from .shared import Scratch
+from .shared import Scratch, joined_apart
 from .substring import first_copies, lists, with_repeated
 
 LENGTH, GRAM = 50, 16
 #: A run of strings with one minimizer is cut after so many, as in long runs of one character.
 MOST = 64
-#: A minimizer with more classes has its strings dealt one by one, so that no task holds more of one minimizer.
-HOT = 512
+#: A minimizer with more classes has its strings dealt one by one: some megabytes of segments are the most that a task sorts at once.
+HOT = 1 << 15
 #: Words of eight bytes that are sorted on before the tries.
-SHALLOW = 2
+SHALLOW = 4
 
 
 @dataclass
@@ -324,18 +324,20 @@ def _sorted_rows(length: int, most_bytes: int = 1 << 20):
 
 
 def _string_rows(length: int):
-    """Every string of the segments, with its start."""
+    """Every string of the segments by its hashes, with its start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 4096):
-                part = batch.slice(i, 4096)
-                texts = part.column(3).to_pylist()
-                count = np.array([len(t) - length + 1 for t in texts], np.int64)
-                row = pa.array(np.repeat(np.arange(len(texts)), count))
-                start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                strings = pa.array([t[a : a + length] for t, n in zip(texts, count.tolist(), strict=True) for a in range(n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(2).take(row), pa.array(start), strings], names=["doc_id", "segment", "lo", "string"])
+            raw, off = tx.buffers(batch.column(3))
+            for i, j in tx.chunks(off):
+                data, size = raw[off[i] : off[j]], np.diff(off[i : j + 1])
+                count = size - length + 1
+                row = np.repeat(np.arange(j - i), count)
+                lo = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = (off[i:j] - off[i])[row] + lo
+                hashes = [pa.array(tx.signed(tx.ranges(tx.byte_values(data, lane), at, at + length, lane))) for lane in (0, 1)]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array(lo), *hashes], names=["doc_id", "segment", "lo", "h0", "h1"])
 
     return run
 
@@ -409,10 +411,10 @@ def drop_repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     part = scratch.keep(texts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_rows(length), "doc_id bigint, segment bigint, lo bigint, hi bigint"), "sorted")
     scratch.release()
     if not many.where(F.col("n") > hot).isEmpty():
-        strings = scratch.keep(contested(F.col("n") > hot, "inner").mapInArrow(_string_rows(length), "doc_id bigint, segment bigint, lo bigint, string binary"), "strings")
+        strings = scratch.keep(contested(F.col("n") > hot, "inner").mapInArrow(_string_rows(length), "doc_id bigint, segment bigint, lo bigint, h0 bigint, h1 bigint"), "strings")
         scratch.release()
-        least = strings.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-        dealt = scratch.keep(strings.join(least, "string").where("doc_id > least").select("doc_id", "segment", "lo", (F.col("lo") + 1).alias("hi")), "dealt")
+        least = strings.groupBy("h0", "h1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+        dealt = scratch.keep(joined_apart(strings, least, ["h0", "h1"]).where("doc_id > least").select("doc_id", "segment", "lo", (F.col("lo") + 1).alias("hi")), "dealt")
         scratch.release()
         scratch.drop(strings)
         part = part.union(dealt)
