@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import Scratch
+from .shared import Scratch, joined_apart
 
 SHARE, LEAST, KEEP = 0.02, 10, 0.3
 REPEAT_WINDOW = 5
@@ -165,7 +165,7 @@ def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     hosts = known.select("host", *who).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     lines = known.select("row", "host", *who, F.inline("lines"))
     counted = lines.select("host", "line", *who).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    often = counted.join(hosts, "host").where(F.col("n") > share * F.col("docs")).select("host", F.bitwise_not("line").alias("enil"))
+    often = joined_apart(counted, hosts, "host").where(F.col("n") > share * F.col("docs")).select("host", F.bitwise_not("line").alias("enil"))
     found = lines.select("row", "host", "line", "words", F.bitwise_not("line").alias("enil")).join(often, ["host", "enil"], "left_semi")
     gathered = [F.collect_set("line").alias("gone_lines")] if texts else []
     removed = found.groupBy("row").agg(F.sum("words").alias("gone"), *gathered)
