@@ -53,31 +53,17 @@ def bounded_coordinates(x: Column) -> Column:
     return F.when(ok, F.format_string("%.6f,%.6f", lat, lon)).otherwise("")
 
 
-#: Where a map address has its pin's latitude and longitude, and its view (fixed by the addresses).
-PIN_LAT, PIN_LON, VIEW = "!3d", "!4d", "@"
-
-
-def _after(s: Column, mark: str) -> Column:
-    """What follows the first mark; null without one."""
-    return F.get(F.split(s, mark, 2), F.lit(1))
-
-
-def _decimal(s: Column) -> Column:
-    """The number with a fraction that a text begins with."""
-    sign = F.when(s.startswith("-"), -1.0).otherwise(1.0)
-    part = F.split(F.ltrim(s, F.lit("-")), r"\.")
-    fraction = F.regexp_extract(F.get(part, F.lit(1)), "^[0-9]+", 0)
-    return sign * F.when(fraction != "", F.concat_ws(".", F.get(part, F.lit(0)), fraction)).try_cast("double")
+#: Marks of a map address (fixed values): the pin's latitude and longitude, the view's centre.
+PIN_MARK, LON_MARK, VIEW_MARK = "!3d", "!4d", "@"
+#: A number with a fraction, and a height that may be one.
+FRACTION, HEIGHT = r"(-?\d+\.\d+)", r"(\d+(?:\.\d+)?)"
 
 
 def _address(s: Column) -> tuple[Column, Column, Column]:
     """Latitude, longitude and height of a map address: the pin's place, else the view's; the view's height."""
-    pin = F.split(_after(s, PIN_LAT), PIN_LON)
-    view = F.split(_after(s, VIEW), ",")
-    has_pin = _decimal(F.get(pin, F.lit(0))).isNotNull() & _decimal(F.get(pin, F.lit(1))).isNotNull()
-    place = [F.when(has_pin, _decimal(F.get(pin, F.lit(i)))).otherwise(_decimal(F.get(view, F.lit(i)))) for i in (0, 1)]
-    height = F.regexp_extract(F.get(view, F.lit(2)), r"^[0-9]+(\.[0-9]+)?", 0).try_cast("double")
-    return place[0], place[1], height
+    pin, view = f"{PIN_MARK}{FRACTION}{LON_MARK}{FRACTION}", f"{VIEW_MARK}{FRACTION},{FRACTION}"
+    place = [F.coalesce(*[number(F.regexp_extract(s, mark, i)) for mark in (pin, view)]) for i in (1, 2)]
+    return place[0], place[1], number(F.regexp_extract(s, f"{view},{HEIGHT}", 3))
 
 
 def checkpoint(line: Column) -> Column:
@@ -106,6 +92,27 @@ def checkpoint(line: Column) -> Column:
     return F.when(found["lat"].isNotNull() & found["lon"].isNotNull(), found)
 
 
+#: Elevations in metres lie between these, both left out (fixed values).
+LOWEST, HIGHEST = 0, 9000
+
+
+def checkpoint_list(x: Column) -> Column:
+    """Checkpoints of a text: a JSON list of objects (lat, lon, time, ele) or of lines, or lines; an array of what ``checkpoint`` gives.
+
+    Entries that are no checkpoint are left out; a null text has none.
+    """
+    items = F.when(F.ltrim(x).startswith("["), F.from_json(x, "array<string>"))  # objects stay as their text
+    entry = lambda i: F.when(F.ltrim(i).startswith("{"), _object(i)).otherwise(checkpoint(i))
+    found = F.transform(F.coalesce(items, F.split(x, r"\r?\n")), entry)
+    return F.coalesce(F.filter(found, lambda p: p.isNotNull()), F.array().cast("array<struct<lat:double,lon:double,time:double,ele:double>>"))
+
+
+def _object(x: Column) -> Column:
+    field = lambda c: F.get_json_object(x, f"$.{c}")
+    lat, lon = number(field("lat")), number(field("lon"))
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"), seconds(field("time")).alias("time"), clean_number(field("ele")).alias("ele")))
+
+
 def pasted_point(x: Column, elevation: float = 315.0) -> Column:
     """struct(lat, lon, ele, time) of any pasted text: a clock time, and the first two numbers in range.
 
@@ -119,7 +126,8 @@ def pasted_point(x: Column, elevation: float = 315.0) -> Column:
     place = F.transform(number_, lambda v, i: F.struct(v.alias("lat"), F.get(number_, i + 1).alias("lon"), F.get(number_, i + 2).alias("next")))
     in_range = lambda p: (F.abs(p["lat"]) <= 90) & (F.abs(p["lon"]) <= 180) & ((p["lat"] != 0) | (p["lon"] != 0))
     first = F.get(F.filter(place, in_range), F.lit(0))
-    ele = F.when(first["next"].between(0, 9000) & (first["next"] != 0) & (first["next"] != 9000) & ~first["next"].isin(first["lat"], first["lon"]), first["next"]).otherwise(elevation)
+    high = (first["next"] > LOWEST) & (first["next"] < HIGHEST) & ~first["next"].isin(first["lat"], first["lon"])
+    ele = F.when(high, first["next"]).otherwise(elevation)
     return F.when(~s.startswith("#") & first.isNotNull(), F.struct(first["lat"].alias("lat"), first["lon"].alias("lon"), ele.alias("ele"), time.alias("time")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +52,49 @@ def first_present(candidates: DataFrame, key: str, place: str, size: str) -> Dat
     return candidates.where(F.col(size) > 0).groupBy(key).agg(F.min_by(F.struct(*others), place).alias("r")).select(key, *[F.col("r")[c].alias(c) for c in others])
 
 
+#: Endings of companion files after a video's name, in the order they are looked for (fixed values); {name} is the video's file, {stem} the same without its ending.
+RATE_LOGS = ("{stem}.gcsv", "{name}.gcsv", "{stem}_telemetry.gcsv")
+ANGLE_LOGS = ("{stem}_telemetry.txt", "{stem}.telemetry.txt", "{stem}.csv", "{stem}_telemetry.csv", "{stem}.txt")
+#: What a hint asks for.
+HINTS = {"gyroflow": RATE_LOGS, "witmotion": ANGLE_LOGS, "custom_csv": ANGLE_LOGS}
+
+
+def companions(videos: DataFrame, files: DataFrame, *, folders: Sequence[str] = ()) -> DataFrame:
+    """video, place, path: the companion logs of each video that exist and aren't empty, in the order in which they are looked for.
+
+    ``videos`` has path and hint, ``files`` path and size.  Names are looked for
+    beside the video first and then in the standard folders; rate logs in all
+    folders come before angle logs.  Without a known hint both kinds count, and
+    of a path that is named twice the first.
+    """
+    folder, name = F.regexp_extract("path", "^(.*?)/?[^/]*$", 1), F.regexp_extract("path", "([^/]*)$", 1)
+    rows = videos.select(F.col("path").alias("video"), F.col("hint"), folder.alias("folder"), name.alias("name"), F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("stem"))
+    join = lambda at, ending: F.concat(F.when(at != "", F.concat(at, F.lit("/"))).otherwise(""), *[F.col(p[1:-1]) if p.startswith("{") else F.lit(p) for p in re.findall(r"\{\w+\}|[^{]+", ending)])
+    wanted = []
+    for kind, endings in (("rates", RATE_LOGS), ("angles", ANGLE_LOGS)):
+        hinted = [h for h, e in HINTS.items() if e == endings]
+        allowed = F.coalesce(F.col("hint").isin(hinted) | ~F.col("hint").isin(list(HINTS)), F.lit(True))
+        for at in (F.col("folder"), *map(F.lit, folders)):
+            wanted += [F.when(allowed, F.struct(F.lit(len(wanted) + i).alias("place"), join(at, e).alias("path"))) for i, e in enumerate(endings)]
+    named = rows.select("video", F.inline(F.filter(F.array(*wanted), lambda x: x.isNotNull())))
+    first = named.groupBy("video", "path").agg(F.min("place").alias("place"))
+    found = first.join(files.where(F.col("size") > 0).select("path").distinct(), "path", "left_semi")
+    return found.select("video", (F.row_number().over(Window.partitionBy("video").orderBy("place"))).alias("place"), "path")
+
+
+#: Endings of pictures and of videos (fixed values).
+PICTURES, VIDEOS = ("jpg", "jpeg", "png", "webp"), ("mp4", "insv", "mov", "mkv")
+
+
+def media(files: DataFrame) -> DataFrame:
+    """path, kind, changed of the pictures and videos among files (path, changed), each path once, the newest first."""
+    path = F.regexp_replace("path", r"\\", "/")
+    ending = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    kind = F.when(ending.isin(*PICTURES), "image").when(ending.isin(*VIDEOS), "video")
+    rows = files.select(path.alias("path"), kind.alias("kind"), "changed").where("kind is not null")
+    return rows.groupBy("path", "kind").agg(F.max("changed").alias("changed")).orderBy(F.desc("changed"), "path")
+
+
 def next_prefix(last: Column) -> Column:
     """Run prefixes go 1001 .. 9999 and begin again."""
     return F.when(last.between(1001, 9998), last + 1).otherwise(1001)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -65,6 +66,11 @@ def _det(m: list[list[Column]]) -> Column:
 CELLS = tuple(f"h{i}{j}" for i in range(3) for j in range(3))
 
 
+def cross_covariance(df: DataFrame, key: str, a: Sequence[Column], b: Sequence[Column]) -> DataFrame:
+    """key, h00..h22: sums of the products of the b vectors' parts with the a vectors'."""
+    return df.groupBy(key).agg(*[F.sum(b[i] * a[j]).alias(f"h{i}{j}") for i in range(3) for j in range(3)])
+
+
 def kabsch(df: DataFrame, key: str, a: Sequence[Column], b: Sequence[Column]) -> DataFrame:
     """key, r00..r22: the rotation that turns the b vectors onto the a vectors best.
 
@@ -72,7 +78,7 @@ def kabsch(df: DataFrame, key: str, a: Sequence[Column], b: Sequence[Column]) ->
     have any number of rows; only its 3 x 3 matrix meets the SVD.
     """
     kind = df.schema[key].dataType.simpleString()
-    sums = df.groupBy(key).agg(*[F.sum(b[i] * a[j]).alias(f"h{i}{j}") for i in range(3) for j in range(3)])
+    sums = cross_covariance(df, key, a, b)
     names = [c.replace("h", "r") for c in CELLS]
 
     def solve(batches):
@@ -91,12 +97,16 @@ def rotations(h: np.ndarray) -> np.ndarray:
     return v @ ut
 
 
-def kabsch_consensus(a: np.ndarray, b: np.ndarray, *, rounds: int = 100, points: int = 4, degrees: float = 1.5, least: int = 8, seed: int = 42) -> np.ndarray:
+#: Settings of the consensus for features of key frames: three points, 0.035 rad, numpy's newer generator (fixed values).
+KEY_FRAMES = {"points": 3, "degrees": math.degrees(0.035), "least": 3, "generator": np.random.default_rng}
+
+
+def kabsch_consensus(a: np.ndarray, b: np.ndarray, *, rounds: int = 100, points: int = 4, degrees: float = 1.5, least: int = 8, seed: int = 42, generator=np.random.RandomState) -> np.ndarray:
     """Rotation of the largest set of vector pairs that agree on one; all pairs where there are few."""
     fit = lambda x, y: rotations((y.T @ x)[None])[0]
     if len(a) < least:
         return fit(a, b)
-    rng = np.random.RandomState(seed)
+    rng = generator(seed)
     picks = [rng.choice(len(a), size=points, replace=False) for _ in range(rounds)]
     tried = rotations(np.stack([b[i].T @ a[i] for i in picks]))
     agree = np.einsum("ni,rij,nj->rn", a, tried, b) >= np.cos(np.radians(degrees))
@@ -129,20 +139,20 @@ def best_parameter(df: DataFrame, key: str, parameters: Sequence[float], cost) -
     return mean.groupBy(key).agg(F.min(F.struct("cost", "place", "p")).alias("b")).select(key, F.col("b.p").alias("parameter"), "b.cost")
 
 
-def best_pair(df: DataFrame, key: str, first: Sequence[float], second: Sequence[float], cost, penalty=None) -> DataFrame:
-    """key, first, second, cost: the pair of parameters of least mean cost, ties to the first in order of both.
+def best_pair(df: DataFrame, key: str, first: Sequence[float], second: Sequence[float], a: Column, b: Column, penalty=None) -> DataFrame:
+    """key, first, second, cost: the pair (p, q) of least mean of (a - p)^2 + (b - q)^2, ties to the first in order of both.
 
-    As with ``best_parameter`` the grid is a literal, and rows are summed up
-    before the shuffle: what moves is one number for each key and pair.
-    ``penalty`` of the pair is added to the mean.
+    The mean is a variance and a squared distance for each of the two, so that
+    a key's rows are summed up once, and the grid is gone through for a key, not
+    for a row.  ``penalty`` of the pair is added to the mean.
     """
-    side = lambda values: F.array(*[F.struct(F.lit(i), F.lit(float(v))) for i, v in enumerate(values)])
-    spread = df.select("*", F.inline(side(first)).alias("i", "p")).select("*", F.inline(side(second)).alias("j", "q"))
-    mean = spread.groupBy(key, "i", "p", "j", "q").agg(F.avg(cost(F.col("p"), F.col("q"))).alias("cost"))
-    if penalty is not None:
-        mean = mean.withColumn("cost", F.col("cost") + penalty(F.col("p"), F.col("q")))
-    best = mean.groupBy(key).agg(F.min(F.struct("cost", "i", "j", "p", "q")).alias("b"))
-    return best.select(key, F.col("b.p").alias("first"), F.col("b.q").alias("second"), "b.cost")
+    side = lambda values: F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(v)).alias("v")) for i, v in enumerate(values)])
+    sums = df.select(key, a.alias("a"), b.alias("b")).groupBy(key).agg(*[f(c).alias(f"{n}_{c}") for c in ("a", "b") for n, f in (("mean", F.avg), ("var", F.var_pop))])
+    off = lambda c, v: F.col(f"var_{c}") + (F.col(f"mean_{c}") - v) * (F.col(f"mean_{c}") - v)
+    extra = penalty if penalty is not None else lambda p, q: F.lit(0.0)
+    pair = lambda p, q: F.struct((off("a", p["v"]) + off("b", q["v"]) + extra(p["v"], q["v"])).alias("cost"), p["i"].alias("i"), q["i"].alias("j"), p["v"].alias("p"), q["v"].alias("q"))
+    best = F.array_min(F.transform(side(first), lambda p: F.array_min(F.transform(side(second), lambda q: pair(p, q)))))
+    return sums.withColumn("b", best).select(key, F.col("b.p").alias("first"), F.col("b.q").alias("second"), "b.cost")
 
 
 def refined(df: DataFrame, key: str, start: tuple[float, float, float], cost, rounds: int = 3) -> float:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -82,6 +82,44 @@ def sections(docs: DataFrame, *, id_: str = "id", text: str = "content") -> Data
     return rows.withColumn("title", title).select(id_, F.col("section").cast("bigint").alias("section"), "title", F.nullif(F.regexp_extract("title", r"\[(\d{4}-\d{2}-\d{2})\]", 1), F.lit("")).alias("dated"), "body")
 
 
+def records(lines: DataFrame, key: str, order: str, marker: Column) -> DataFrame:
+    """key, record, at, lines: what follows each marker line up to the next one; lines before the first are left out.
+
+    The record of a line is the running count of markers in its key.
+    """
+    count = F.count_if(marker).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = lines.select(key, F.col(order).alias("at"), "line", count.alias("record")).where("record > 0")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
+    return rows.groupBy(key, "record").agg(F.min("at").alias("at"), listed.alias("lines"))
+
+
+def commit_documents(lines: DataFrame, *, key: str = "series_id", order: str = "n") -> DataFrame:
+    """Documents of an exported log: a line of hash, author, date and subject parted by bars begins a commit, indented lines after it are its summary, those after 'Notes:' its note.
+
+    The subject may hold bars itself.
+    """
+    head = r"^([0-9a-f]{7,40})\|([^|]*)\|(\d{4}-\d{2}-\d{2})\|(.*)$"
+    found = records(lines, key, order, F.col("line").rlike(head))
+    part = F.split(F.get("lines", F.lit(0)), r"\|", 4)
+    rest = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
+    mark = F.coalesce(F.array_position(rest, "Notes:"), F.lit(0)).cast("int")
+    before = F.when(mark > 0, F.slice(rest, 1, F.greatest(mark - 1, F.lit(0)))).otherwise(rest)
+    after = F.when(mark > 0, F.slice(rest, mark + 1, F.greatest(F.size(rest) - mark, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    text = lambda x: F.trim(F.array_join(F.transform(x, lambda v: F.trim(v)), "\n"))
+    rows = found.select(*[F.get(part, F.lit(i)).alias(c) for i, c in enumerate(("hash", "author", "dated", "subject"))], text(before).alias("summary"), text(after).alias("note"))
+    named = lambda label, c: F.concat(F.lit(f"{label}: "), F.col(c))
+    blocks = F.array(named("Commit", "hash"), named("Author", "author"), named("Date", "dated"), named("Message", "subject"), F.concat(F.lit("Summary:\n"), "summary"), F.when(F.col("note") != "", F.concat(F.lit("Note:\n"), "note")))
+    title = F.concat(F.lit("["), "dated", F.lit("] Commit: "), "subject")
+    return rows.select(F.concat(F.lit("commit:"), "hash").alias("id"), F.lit("commit").alias("kind"), F.col("hash").alias("ref"), title.alias("title"), F.array_join(blocks, "\n\n").alias("content"), "dated")
+
+
+def section_documents(docs: DataFrame, *, id_: str = "id", text: str = "content") -> DataFrame:
+    """Documents of the sections of texts."""
+    name = F.col(id_).cast("string")
+    rows = sections(docs, id_=id_, text=text)
+    return rows.select(F.concat(F.lit("doc:"), name, F.lit(":"), F.col("section").cast("string")).alias("id"), F.lit("section").alias("kind"), name.alias("ref"), F.concat(F.lit("["), name, F.lit("] "), "title").alias("title"), F.col("body").alias("content"), "dated")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """All new rows, and the old ones whose key they lack."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

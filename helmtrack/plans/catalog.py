@@ -121,9 +121,9 @@ def runtime_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(catalog.estimate(d, stages), 4).alias("seconds"), F.round(catalog.disk_needed(d, F.lit(4)), 4).alias("disk_mb"))
 
 
-@query("next_prefix", "SELECT l::BIGINT AS last, (CASE WHEN l BETWEEN 1001 AND 9998 THEN l + 1 ELSE 1001 END)::BIGINT AS next FROM (SELECT unnest(range(995, 10005)) AS l)")
+@query("next_prefix", "SELECT o_orderkey, (CASE WHEN o_orderkey % 10005 BETWEEN 1001 AND 9998 THEN o_orderkey % 10005 + 1 ELSE 1001 END)::BIGINT AS next FROM orders")
 def next_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(995, 10005).select(F.col("id").alias("last"), catalog.next_prefix(F.col("id")).cast("bigint").alias("next"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", catalog.next_prefix(F.col("o_orderkey") % 10005).cast("bigint").alias("next"))
 
 
 @query("preset_values", "SELECT event_id, coalesce(try_cast(json_extract_string(p, '$.fov') AS DOUBLE), 90e0) AS fov, coalesce(try_cast(json_extract_string(p, '$.n') AS INT), 3) AS n FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{\"fov\": \"' || (event_id % 360)::VARCHAR || '.5\", \"n\": ' || (event_id % 9)::VARCHAR || '}' WHEN 1 THEN '{\"fov\": \"wide\"}' ELSE '{}' END AS p FROM events)")
@@ -159,23 +159,29 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names})"
 
 
-def _inline(spark: SparkSession, values: list[str]) -> DataFrame:
-    return spark.range(1).select(F.posexplode(F.array(*[F.lit(v) for v in values])).alias("place", "line"))
+def _each(spark: SparkSession, sf_dir: str, values: list[str]) -> DataFrame:
+    """o_orderkey, line: a text for every order, by its key."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", _choice(values, F.col("o_orderkey") % len(values)).alias("line"))
 
 
-@query("checkpoint_parse", f"SELECT line, lat, lon, time, ele FROM {_values(LINES, 'line, lat, lon, time, ele')}")
+def _each_sql(rows: list[tuple], names: str) -> str:
+    """The orders with what the text of each holds."""
+    return f"(SELECT o_orderkey, v.* FROM orders JOIN {_values([(i, *r) for i, r in enumerate(rows)], 'slot, ' + names)} ON o_orderkey % {len(rows)} = v.slot) t"
+
+
+@query("checkpoint_parse", f"SELECT o_orderkey, lat, lon, time, ele FROM {_each_sql(LINES, 'line, lat, lon, time, ele')}")
 def checkpoint_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _inline(spark, [x[0] for x in LINES]).select("line", text.checkpoint(F.col("line")).alias("p"))
-    return rows.select("line", *[F.col("p")[c].alias(c) for c in ("lat", "lon", "time", "ele")])
+    rows = _each(spark, sf_dir, [x[0] for x in LINES]).select("o_orderkey", text.checkpoint(F.col("line")).alias("p"))
+    return rows.select("o_orderkey", *[F.col("p")[c].alias(c) for c in ("lat", "lon", "time", "ele")])
 
 
 PASTED = [("12:30 46.5, 11.3 500", 46.5, 11.3, 500.0, 750.0), ("46.5 11.3", 46.5, 11.3, 315.0, None), ("lat=-12.25 lon=130.5 ele=9500", -12.25, 130.5, 315.0, None), ("95 46.5 11.3", 46.5, 11.3, 315.0, None), ("#46.5 11.3", None, None, None, None), ("nothing", None, None, None, None)]
 
 
-@query("pasted_points", f"SELECT line, lat, lon, ele, time FROM {_values(PASTED, 'line, lat, lon, ele, time')}")
+@query("pasted_points", f"SELECT o_orderkey, lat, lon, ele, time FROM {_each_sql(PASTED, 'line, lat, lon, ele, time')}")
 def pasted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _inline(spark, [x[0] for x in PASTED]).select("line", text.pasted_point(F.col("line")).alias("p"))
-    return rows.select("line", *[F.col("p")[c].alias(c) for c in ("lat", "lon", "ele", "time")])
+    rows = _each(spark, sf_dir, [x[0] for x in PASTED]).select("o_orderkey", text.pasted_point(F.col("line")).alias("p"))
+    return rows.select("o_orderkey", *[F.col("p")[c].alias(c) for c in ("lat", "lon", "ele", "time")])
 
 
 @query("coord_parse", """
@@ -191,18 +197,18 @@ def coord_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = [("/a/out_3381_final.mp4", "3381", "_a_out_3381_final.mp4"), ("clip-1234-x.mp4", "1234", ""), ("run_987.mp4", "987", ""), ("abc4567def.mp4", "4567", ""), ("no.mp4", None, ""), ("TEST-12.json", "12", "")]
 
 
-@query("file_names", f"SELECT name, number, split_part(name, '/', -1) || CASE WHEN lower(name) LIKE '%.json' THEN '' ELSE '.json' END AS preset, regexp_replace(name, '[^0-9A-Za-z_-]', '', 'g') AS job FROM {_values([x[:2] for x in NAMES], 'name, number')}")
+@query("file_names", f"SELECT o_orderkey, name, number, split_part(name, '/', -1) || CASE WHEN lower(name) LIKE '%.json' THEN '' ELSE '.json' END AS preset, regexp_replace(name, '[^0-9A-Za-z_-]', '', 'g') AS job FROM {_each_sql([x[:2] for x in NAMES], 'name, number')}")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("line")
-    return _inline(spark, [x[0] for x in NAMES]).select(n.alias("name"), text.test_number(n).alias("number"), text.preset_file(n).alias("preset"), text.job_id(n).alias("job"))
+    return _each(spark, sf_dir, [x[0] for x in NAMES]).select("o_orderkey", n.alias("name"), text.test_number(n).alias("number"), text.preset_file(n).alias("preset"), text.job_id(n).alias("job"))
 
 
 RATES = [("15M", "15M"), ("50000k", "50000K"), ("8 mbit", "8"), ("0012G", "12G"), ("fast", ""), ("", "")]
 
 
-@query("bitrates", f"SELECT line, rate FROM {_values(RATES, 'line, rate')}")
+@query("bitrates", f"SELECT o_orderkey, rate FROM {_each_sql(RATES, 'line, rate')}")
 def bitrates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inline(spark, [x[0] for x in RATES]).select("line", text.bitrate(F.col("line")).alias("rate"))
+    return _each(spark, sf_dir, [x[0] for x in RATES]).select("o_orderkey", text.bitrate(F.col("line")).alias("rate"))
 
 
 @query("timestamps", "SELECT o_orderkey, epoch_us(o_orderdate + to_seconds(o_orderkey % 86400))::BIGINT AS us FROM orders")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lens
-from .carriers import SERIES, r6, r6_sql, series
+from .carriers import SERIES, r6, r6_sql, series, table
 from .registry import query
 
 
@@ -25,10 +25,11 @@ def cube_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("seam_mask", """
-SELECT x::BIGINT AS x, (CASE WHEN x BETWEEN 1020 AND 2820 THEN 0 WHEN x >= 900 AND x < 1020 THEN 255 - floor(255 * (0.5e0 - 0.5e0 * cos(pi() * ((x - 900) / 120e0)))) WHEN x > 2820 AND x <= 2940 THEN 255 - floor(255 * (0.5e0 - 0.5e0 * cos(pi() * ((2940 - x) / 120e0)))) ELSE 255 END)::INT AS alpha FROM (SELECT unnest(range(3840)) AS x)""")
+SELECT o_orderkey, x::BIGINT AS x, (CASE WHEN x BETWEEN 1020 AND 2820 THEN 0 WHEN x >= 900 AND x < 1020 THEN 255 - floor(255 * (0.5e0 - 0.5e0 * cos(pi() * ((x - 900) / 120e0)))) WHEN x > 2820 AND x <= 2940 THEN 255 - floor(255 * (0.5e0 - 0.5e0 * cos(pi() * ((2940 - x) / 120e0)))) ELSE 255 END)::INT AS alpha FROM (SELECT o_orderkey, o_orderkey * 7 % 3840 AS x FROM orders)""")
 def seam_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mask row of 3840 columns."""
-    return spark.range(3840).select(F.col("id").alias("x"), lens.seam_alpha(F.col("id").cast("double")).alias("alpha"))
+    """The mask at one of its 3840 columns for every order."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7 % 3840).alias("x"))
+    return rows.select("o_orderkey", "x", lens.seam_alpha(F.col("x").cast("double")).alias("alpha"))
 
 
 @query("fisheye_places", f"""

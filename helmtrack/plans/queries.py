@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, geo, lenses, metrics, motion, recurrences, robust, rotations, search, stages, trajectory  # noqa: F401  each registers its queries
+from . import catalog, geo, lenses, metrics, motion, recurrences, robust, rotations, search, sources, stages, trajectory  # noqa: F401  each registers its queries
 from .registry import QUERIES, SQL, Query
 
 

@@ -120,6 +120,9 @@ def _turned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({"ax": F.when(wrong, F.col("y")).otherwise(c * F.col("x") - s * F.col("y")), "ay": F.when(wrong, F.col("z")).otherwise(s * F.col("x") + c * F.col("y")), "az": F.when(wrong, F.col("x")).otherwise(F.col("z"))})
 
 
+_TURNED = f"""{_VEC}, t AS (SELECT vec_id // 40 AS f, x, y, z, CASE WHEN vec_id % 9 = 0 THEN y ELSE {_TURN[0]:.17g}::DOUBLE * x - {_TURN[1]:.17g}::DOUBLE * y END AS ax, CASE WHEN vec_id % 9 = 0 THEN z ELSE {_TURN[1]:.17g}::DOUBLE * x + {_TURN[0]:.17g}::DOUBLE * y END AS ay, CASE WHEN vec_id % 9 = 0 THEN x ELSE z END AS az FROM u)"""
+
+
 @query("kabsch_rotation")
 def kabsch_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rotation of every frame from nine sums; tests/ checks that a planted one comes back."""
@@ -137,6 +140,15 @@ def kabsch_ransac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("f", F.round("r00", 6).alias("c"), F.round("r10", 6).alias("s"))
 
 
+@query("kabsch_ransac_three", f"SELECT vec_id // 40 AS f, round({_TURN[0]:.17g}::DOUBLE, 6) AS c, round({_TURN[1]:.17g}::DOUBLE, 6) AS s FROM embeddings GROUP BY 1 HAVING count(*) >= 20")
+def kabsch_ransac_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As kabsch_ransac, with the settings for key frames' features; wrong pairs are further off than their tolerance."""
+    rows = _turned(spark, sf_dir).withColumns({"ax": F.when(F.col("vec_id") % 9 == 0, -F.col("x")).otherwise(F.col("ax")), "ay": F.when(F.col("vec_id") % 9 == 0, -F.col("y")).otherwise(F.col("ay")), "az": F.when(F.col("vec_id") % 9 == 0, -F.col("z")).otherwise(F.col("az"))})
+    enough = rows.groupBy("f").count().where("count >= 20").select("f")
+    out = robust.frame_rotations(rows.join(enough, "f", "left_semi"), "f", ("ax", "ay", "az"), ("x", "y", "z"), "vec_id", **robust.KEY_FRAMES)
+    return out.select("f", F.round("r00", 6).alias("c"), F.round("r10", 6).alias("s"))
+
+
 @query("gravity_median", f"WITH {SERIES} SELECT series_id, {r6_sql('greatest(-30, least(30, degrees(atan2(median(ay), median(az)))))', 'roll')}, {r6_sql('greatest(-30, least(30, degrees(atan2(-median(ax), sqrt(pow(median(ay), 2) + pow(median(az), 2))))))', 'pitch')} FROM (SELECT series_id, -sin(radians(pitch)) AS ax, sin(radians(roll)) * cos(radians(pitch)) AS ay, cos(radians(roll)) * cos(radians(pitch)) AS az FROM s) GROUP BY series_id HAVING count(*) > 10")
 def gravity_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tilt of the median force of a log of more than ten rows, within 30 degrees."""

@@ -129,7 +129,7 @@ def grid_search_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two parameters on a grid of 61 x 31 for every label."""
     first, second = [-6.0 + i * 0.2 for i in range(61)], [-15.0 + j * 1.0 for j in range(31)]
     rows = directions(spark, sf_dir).select("label", "x", "y")
-    out = robust.best_pair(rows, "label", first, second, lambda p, q: F.pow(F.col("x") * 5 - p, F.lit(2.0)) + F.pow(F.col("y") * 12 - q, F.lit(2.0)), lambda p, q: q * q * 0.003)
+    out = robust.best_pair(rows, "label", first, second, F.col("x") * 5, F.col("y") * 12, lambda p, q: q * q * 0.003)
     return out.select("label", r6(F.col("first"), "first"), r6(F.col("second"), "second"), r6(F.col("cost"), "cost"))
 
 

@@ -6,9 +6,11 @@ writes them in the order of their lines, one folder a series.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rotation import quaternion_zyx
@@ -107,6 +109,74 @@ def report(metrics: DataFrame, columns: list[str]) -> DataFrame:
     return metrics.select(ID, F.inline(pairs))
 
 
+def sectioned_report(metrics: DataFrame, title: str, sections: Sequence[tuple[str, Sequence[tuple[str, str, str]]]]) -> DataFrame:
+    """series_id, n, line: a title, and sections of labelled values.
+
+    A section is its heading and (label, column, format) of its values, such as
+    '%.3f deg'.  A value that is null takes its line with it, and a section
+    without values its heading.
+    """
+    filled = [(head, [(label, F.format_string(form, column), F.col(column).isNotNull()) for label, column, form in values]) for head, values in sections]
+    parts = [F.lit(f"=== {title.upper()} ===")]
+    for head, values in filled:
+        some = F.lit(False)
+        for _, _, known in values:
+            some = some | known
+        parts += [F.when(some, F.lit("")), F.when(some, F.lit(f"--- {head.upper()} ---"))]
+        parts += [F.when(known, F.concat(F.lit(f"{label:<20}: "), text)) for label, text, known in values]
+    lines = F.filter(F.array(*parts), lambda x: x.isNotNull())
+    return metrics.select(ID, F.posexplode(lines).alias("n", "line")).select(ID, F.col("n").cast("bigint").alias("n"), "line")
+
+
+def checkpoint_log(points: DataFrame, settings: DataFrame, *, fps: float = 29.97) -> DataFrame:
+    """series_id, n, line: an audit log of each series' levelling checkpoints (series_id, frame, pitch, roll, yaw, kind).
+
+    ``settings`` has a row a series: video, total, strategy, source, density,
+    prominence, damping, base_pitch, base_roll, still; null settings read N/A.
+    Series without checkpoints say so.
+    """
+    named = lambda c, form="%s": F.coalesce(F.format_string(form, c), F.lit("N/A"))
+    known = lambda c, form: F.when(F.col(c).isNotNull(), F.format_string(form, c)).otherwise("N/A")
+    rule = F.lit("-" * 80)
+    listed = points.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct(FRAME, "pitch", "roll", "yaw", "kind"))).alias("points"))
+    row = lambda p, i: F.concat(
+        F.format_string("  [#%02d] Frame %6d (%6.2fs) | Pitch: %+6.2f | Roll: %+6.2f | Yaw: %+6.2f", i + 1, p[FRAME], p[FRAME] / F.lit(fps), p["pitch"], p["roll"], p["yaw"]),
+        F.when(F.coalesce(p["kind"], F.lit("")) != "", F.concat(F.lit(" ["), p["kind"], F.lit("]"))).otherwise(""),
+    )
+    size = F.coalesce(F.size("points"), F.lit(0))
+    head = [
+        F.lit("LEVELLING PARAMETERS"), rule, F.concat(F.lit("Video     : "), known("video", "%s")), F.concat(F.lit(f"Frames    : {fps} fps, "), named("total", "%d")),
+        F.concat(F.lit("Strategy  : "), known("strategy", "%s")), F.concat(F.lit("Source    : "), known("source", "%s")), F.concat(F.lit("Density   : "), known("density", "%s")),
+        F.concat(F.lit("Prominence: "), F.when(F.col("source") == "vision", "N/A").otherwise(known("prominence", "%.2f"))), F.concat(F.lit("Damping   : "), F.when(F.col("source") == "vision", "N/A").otherwise(known("damping", "%.2fx"))),
+        F.concat(F.lit("Baseline  : "), F.format_string("%.2f, %.2f", F.coalesce("base_pitch", F.lit(0.0)), F.coalesce("base_roll", F.lit(0.0)))), F.concat(F.lit("Yaw       : "), F.when(F.coalesce("still", F.lit(True)), "ignored").otherwise("kept")),
+        F.format_string("CHECKPOINTS (%d)", size), rule,
+    ]
+    body = F.when(size > 0, F.transform("points", row)).otherwise(F.array(F.lit("  (none)")))
+    return settings.join(listed, ID, "left").select(ID, F.posexplode(F.concat(F.array(*head), body)).alias("n", "line")).select(ID, F.col("n").cast("bigint").alias("n"), "line")
+
+
+def append(rows: DataFrame, path: str, batch: str, *, key: str = ID) -> bool:
+    """Appends a batch of rows to a log, once: a batch that is in already is left alone, and what a failed try left is written over.
+
+    A log is a folder of batches; readers take those that ended (``_SUCCESS``).
+    """
+    spark = rows.sparkSession
+    at = f"{path.rstrip('/')}/batch={batch}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return False
+    rows.write.mode("overwrite").parquet(at)
+    return True
+
+
+def dated_notes(notes: DataFrame) -> DataFrame:
+    """series_id, n, line of notes (series_id, dated, title, content): sections headed by date and title, in the order of date and title."""
+    w = Window.partitionBy(ID).orderBy("dated", "title", "content")
+    text = F.concat(F.lit("## ["), F.col("dated").cast("string"), F.lit("] "), "title", F.lit("\n"), F.trim("content"), F.lit("\n"))
+    rows = notes.select(ID, F.row_number().over(w).alias("k"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    return _headed(rows.select(ID, (F.col("k").cast("bigint") * 1_000_000 + F.col("i")).alias("n"), "line"), ["# Notes", ""])
+
+
 def save(lines: DataFrame, path: str) -> None:
     """A folder for each series, its lines in order."""
     lines.repartition(ID).sortWithinPartitions(ID, "n").select(ID, "line").write.partitionBy(ID).text(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import checkpoint, timestamp
+from ..functions.text import checkpoint, checkpoint_list, timestamp
 from ..operators.series import FRAME, ID
 from .logs import in_file_order, lines, renumbered
 
@@ -24,6 +24,12 @@ def checkpoints(spark: SparkSession, path: str) -> DataFrame:
     return renumbered(rows.select(ID, "n", "p.lat", "p.lon", "p.time", "p.ele"))
 
 
+def checkpoint_documents(spark: SparkSession, path: str) -> DataFrame:
+    """series_id, frame, lat, lon, time, ele of documents that are JSON lists of objects or of lines, or lines; a document is one value."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias(ID), F.posexplode(checkpoint_list(F.col("value"))).alias(FRAME, "p"))
+    return text.select(ID, F.col(FRAME).cast("bigint").alias(FRAME), "p.lat", "p.lon", "p.time", "p.ele")
+
+
 def levelling(spark: SparkSession, path: str, fps: float = 29.97) -> DataFrame:
     """series_id, frame, pitch, roll, yaw of checkpoint documents: an object with ``checkpoints``, or a bare list.
 
@@ -59,4 +65,4 @@ def tail(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
-__all__ = ["checkpoints", "gpx", "levelling", "presets", "status_log", "tail"]
+__all__ = ["checkpoint_documents", "checkpoints", "gpx", "levelling", "presets", "status_log", "tail"]

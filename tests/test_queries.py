@@ -40,6 +40,6 @@ def test_queries_on_empty_tables(spark, tmp_path):
     """No query may need rows to be planned."""
     for name in ("events", "embeddings", "orders", "lineitem", "part", "nation", "documents", "benchmark", "conversations"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
-    fixed = {"octant_histogram": 8, "next_prefix": None, "checkpoint_parse": None, "pasted_points": None, "file_names": None, "bitrates": None, "net_stage_score": 1, "track_spans_keyframes": 0}
-    for name in ("level_correction_rms", "gauss_reflect", "extrema_prominence", "track_sync_1hz", "stage_compose_prune", "ekf", "kabsch_rotation", "bm25_topk", "octant_histogram", "telemetry_stage", "checkpoints_extrema"):
+    fixed = {"octant_histogram": 8, "net_stage_score": 1, "track_spans_keyframes": 0}
+    for name in ("level_correction_rms", "gauss_reflect", "extrema_prominence", "track_sync_1hz", "stage_compose_prune", "ekf", "kabsch_rotation", "bm25_topk", "octant_histogram", "telemetry_stage", "checkpoints_extrema", "imu_log_roundtrip", "box_orientation", "klv_orientation", "checkpoint_logs", "commit_and_section_documents", "appended_notes", "companion_logs", "bm25_index", "nearest_fix_haversine", "mutual_nearest", "grid_search_pair"):
         assert queries()[name](spark, str(tmp_path)).count() == (fixed.get(name) or 0), name
