@@ -40,8 +40,12 @@ from . import text as tx
 MAX_DOCS, BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS = 6000, 1 << 15, 8, 8, (1, 2, 3), 12
 #: Spread of the embeddings' random start, weight decay, and share of words dropped in training.
 START, DECAY, DROPPED = 0.3, 1e-3, 0.3
-#: What all clean rows together weigh against all toxic ones where a threshold is set.
+#: A word counts if so many training rows have it; others share one vector.
+MIN_DOCS = 3
+#: What all clean rows together weigh against all toxic ones where a threshold is set: losing a clean document costs a third more than keeping a toxic one.
 CLEAN = 4 / 3
+#: A language's threshold stays within this of 0.5, since it is set on few rows.
+SPREAD = 0.15
 #: One in so many training rows is held back for calibration.
 FOLDS = 5
 
@@ -105,7 +109,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
-def _train(tokens: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Model:
+def _train(tokens: list[np.ndarray], labels: np.ndarray, seed: int = 5, min_docs: int = MIN_DOCS) -> Model:
     """Adam on the logistic loss; maxima pass their gradient to one window each."""
     rng = np.random.default_rng(seed)
     n, toxic = len(labels), labels.astype(np.float64)
@@ -113,8 +117,7 @@ def _train(tokens: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Model
     docs = np.zeros(BUCKETS)
     for s in seen:
         docs[s] += 1
-    least = 3 if n >= 200 else 2
-    keep = np.flatnonzero(docs >= least)
+    keep = np.flatnonzero(docs >= min_docs)
     known = np.zeros(BUCKETS, np.int32)
     known[keep] = np.arange(1, len(keep) + 1)
     rate = toxic.mean()
@@ -181,17 +184,18 @@ def _gradients(state: list[np.ndarray], t: np.ndarray, first: np.ndarray, y: np.
     return grads
 
 
-def _calibrate(model: Model, tokens: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -> Model:
+def _calibrate(model: Model, tokens: list[np.ndarray], labels: np.ndarray, langs: list[str | None], clean: float = CLEAN, spread: float = SPREAD) -> Model:
     """Moves the bias so that 0.5 splits held-back rows best, then sets thresholds by language."""
     score = _scores(model, tokens)
     z = np.log(score / (1 - score))
-    cut = _best_cut(z, labels)
+    cut = _best_cut(z, labels, clean)
     model.out_bias -= cut
     lang = np.array([x or "" for x in langs])
     for x in np.unique(lang):
         mine = lang == x
         if 10 <= labels[mine].sum() <= mine.sum() - 10:
-            model.thresholds[str(x)] = float(np.clip(1 / (1 + np.exp(-_best_cut((z - cut)[mine], labels[mine]))), 0.35, 0.65))
+            best = 1 / (1 + np.exp(-_best_cut((z - cut)[mine], labels[mine], clean)))
+            model.thresholds[str(x)] = float(np.clip(best, 0.5 - spread, 0.5 + spread))
     return model
 
 
@@ -200,11 +204,11 @@ def _scores(model: Model, tokens: list[np.ndarray]) -> np.ndarray:
     return np.clip(model.score(np.concatenate([np.zeros(0, np.int32), *tokens]), first), 1e-9, 1 - 1e-9)
 
 
-def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the most right answers, the clean rows weighing ``CLEAN`` times the toxic ones; the middle of the widest such gap."""
+def _best_cut(z: np.ndarray, y: np.ndarray, weight: float = CLEAN) -> float:
+    """The cut with the most right answers, the clean rows weighing ``weight`` times the toxic ones; the middle of the widest such gap."""
     order = np.argsort(z)
     z, y = z[order], y[order]
-    clean, toxic = CLEAN * (y == 0) / max(1, (y == 0).sum()), (y == 1) / max(1, (y == 1).sum())
+    clean, toxic = weight * (y == 0) / max(1, (y == 0).sum()), (y == 1) / max(1, (y == 1).sum())
     right = np.concatenate([[0], np.cumsum(clean)]) + np.concatenate([np.cumsum(toxic[::-1])[::-1], [0]])
     edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
     best = np.flatnonzero(right >= right.max() - 1e-12)
@@ -213,8 +217,13 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((edges[at] + edges[at + 1]) / 2)
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS) -> Model:
-    """Trains on a bounded sample of labelled rows, drawn by hash, half of them toxic as far as there are."""
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, min_docs: int = MIN_DOCS, clean: float = CLEAN, spread: float = SPREAD) -> Model:
+    """Trains on a bounded sample of labelled rows, drawn by hash, half of them toxic as far as there are.
+
+    ``min_docs`` rows must have a word for it to count; ``clean`` weighs clean
+    rows against toxic ones where thresholds are set, which stay within
+    ``spread`` of 0.5.
+    """
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ranked = known.withColumn("r", F.xxhash64("doc_id"))
     half = ranked.where("toxic = 1").orderBy("r").limit(max_docs // 2).union(ranked.where("toxic = 0").orderBy("r").limit(max_docs // 2))
@@ -234,14 +243,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_docs: in
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b.to_pandas() for b in batches]
-        model = fit_rows(pd.concat(tables) if tables else pd.DataFrame({"tokens": [], "lang": [], "toxic": [], "r": []}))
+        model = fit_rows(pd.concat(tables) if tables else pd.DataFrame({"tokens": [], "lang": [], "toxic": [], "r": []}), min_docs=min_docs, clean=clean, spread=spread)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # an exchange of the sample's rows, so that the documents above it are read in parallel
     return pickle.loads(rows.repartition(1).mapInArrow(train, "model binary").first()[0])
 
 
-def fit_rows(rows: pd.DataFrame) -> Model:
+def fit_rows(rows: pd.DataFrame, *, min_docs: int = MIN_DOCS, clean: float = CLEAN, spread: float = SPREAD) -> Model:
     rows = rows.sort_values(["r", "toxic"])
     y = rows["toxic"].to_numpy(np.int64)
     tokens = [np.frombuffer(t, np.int32) for t in rows["tokens"]]
@@ -252,8 +261,8 @@ def fit_rows(rows: pd.DataFrame) -> Model:
         back[np.flatnonzero(y == label)[::FOLDS]] = True
     if y[~back].min() == y[~back].max():
         return Model(float(y.mean()))
-    model = _train([t for t, b in zip(tokens, back, strict=True) if not b], y[~back])
-    return _calibrate(model, [t for t, b in zip(tokens, back, strict=True) if b], y[back], [x for x, b in zip(rows["lang"], back, strict=True) if b])
+    model = _train([t for t, b in zip(tokens, back, strict=True) if not b], y[~back], min_docs=min_docs)
+    return _calibrate(model, [t for t, b in zip(tokens, back, strict=True) if b], y[back], [x for x, b in zip(rows["lang"], back, strict=True) if b], clean, spread)
 
 
 def _scores_of(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, pa.Array]]:
