@@ -170,8 +170,11 @@ def _contested_rows(length: int, gram: int):
                 at = among(s.text, s.doc, wanted, woff, i, j)
                 pair = np.unique(np.stack([s.doc[at], s.text[at]]), axis=1, return_index=True)[1] if len(at) else at
                 at = at[pair]
-                texts = [data[a : a + n + length - 1].tobytes() for a, n in zip(s.start[at].tolist(), s.count[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(s.doc[at])), pa.array(s.key[at]), pa.array(s.text[at]), pa.array(texts, pa.binary())], names=["doc_id", "key", "segment", "bytes"])
+                size = s.count[at] + length - 1
+                ends = np.concatenate([[0], np.cumsum(size)])
+                raw = data[np.arange(ends[-1]) + np.repeat(s.start[at] - ends[:-1], size)]
+                texts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(s.doc[at])), pa.array(s.key[at]), pa.array(s.text[at]), texts], names=["doc_id", "key", "segment", "bytes"])
 
     return run
 
@@ -249,7 +252,12 @@ def multikey(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def equal_strings(texts: list[bytes], length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix-sorts the strings of ``length`` bytes at all starts of the texts.
+    """Suffix-sorts the strings of ``length`` bytes at all starts of the texts; see ``equal_suffixes``."""
+    return equal_suffixes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), length, shallow)
+
+
+def equal_suffixes(data: np.ndarray, off: np.ndarray, length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix-sorts the strings of ``length`` bytes at all starts of the texts that lie one after another in ``data``.
 
     Returns the text and the start of each suffix, the suffixes that agree to
     ``length`` bytes group after group, and where each group begins.  A group
@@ -257,44 +265,84 @@ def equal_strings(texts: list[bytes], length: int, shallow: int = SHALLOW) -> tu
     built.
     """
     shallow = min(shallow, length // 8)
-    count = np.array([len(t) - length + 1 for t in texts])
-    of = np.repeat(np.arange(len(texts)), count)
+    count = np.diff(off) - length + 1
+    of = np.repeat(np.arange(len(count)), count)
     inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    base = np.cumsum([0, *map(len, texts)])[:-1]
-    raw = b"".join(texts)
-    data = np.frombuffer(raw + b"\0" * 8, np.uint8)
-    place = base[of] + inside
-    eights = np.lib.stride_tricks.sliding_window_view(data, 8)
-    word = lambda at: np.ascontiguousarray(eights[at]).view(">u8").ravel().astype(np.uint64)
-    words = np.stack([word(place + 8 * k) for k in range(shallow)], axis=1) if shallow else np.empty((len(place), 0), np.uint64)
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    place = off[:-1][of] + inside
+    every = np.empty(len(data) - 7, np.uint64)  # the word at each place, bytes in order of significance
+    for k in range(min(8, len(every))):
+        every[k::8] = np.frombuffer(data, ">u8", (len(every) - k + 7) // 8, k)
+    words = np.stack([every[place + 8 * k] for k in range(shallow)], axis=1) if shallow else np.empty((len(place), 0), np.uint64)
     order, cuts = multikey(words, shallow)
     size = np.diff(cuts)
     order, size = order[np.repeat(size > 1, size)], size[size > 1]
     begin = np.cumsum(size) - size
     same = np.ones(len(order), bool)
     for k in (*range(8 * shallow, length - 7, 8), *([length - 8] if length >= 8 else range(length))):
-        deep = word(place[order] + k) if length >= 8 else data[place[order] + k]
+        deep = every[place[order] + k] if length >= 8 else data[place[order] + k]
         same[1:] &= deep[1:] == deep[:-1]
     same[begin] = True
     whole = np.logical_and.reduceat(same, begin) if len(begin) else np.zeros(0, bool)
-    members, sizes = [order[np.repeat(whole, size)]], [size[whole]]
-    for i, n in zip(begin[~whole].tolist(), size[~whole].tolist(), strict=True):
+    flat: list[int] = []
+    sizes: list[int] = []
+    raw = data.tobytes() if not whole.all() else b""
+    deep_groups = np.flatnonzero(~whole & (size > 2))  # two strings that differ have nothing equal
+    for i, n in zip(begin[deep_groups].tolist(), size[deep_groups].tolist(), strict=True):
         trie = BlindTrie(8 * shallow)
-        for s in order[i : i + n].tolist():
-            trie.insert(raw[place[s] : place[s] + length], s)
-        found = [leaf for leaf in trie.leaves() if len(leaf) > 1]
-        members.extend(np.array(leaf) for leaf in found)
-        sizes.append(np.array(list(map(len, found)), np.int64))
-    every = np.concatenate(sizes)
-    return of, inside, np.concatenate(members), np.cumsum(every) - every
+        group = order[i : i + n]
+        for s, at in zip(group.tolist(), place[group].tolist(), strict=True):
+            trie.insert(raw[at : at + length], s)
+        for leaf in trie.leaves():
+            if len(leaf) > 1:
+                flat.extend(leaf)
+                sizes.append(len(leaf))
+    members = np.concatenate([order[np.repeat(whole, size)], np.array(flat, np.int64)])
+    each = np.concatenate([size[whole], np.array(sizes, np.int64)])
+    return of, inside, members, np.cumsum(each) - each
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by minimizer in blocks of about ``most_bytes`` of text; a block ends where the minimizer changes."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+
+    def block() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch.column(1).to_numpy()
+        if size > most_bytes and key[0] != last:
+            yield block()
+            held, size = [], 0
+        total = np.cumsum(np.diff(tx.buffers(batch.column(3))[1]))
+        change = np.flatnonzero(key[1:] != key[:-1]) + 1
+        i = 0
+        while True:
+            before = int(total[i - 1]) if i else 0
+            full = int(np.searchsorted(total, before + most_bytes - size, side="right"))
+            k = int(np.searchsorted(change, full, side="right"))
+            if full >= len(batch) or k == len(change):
+                break
+            j = int(change[k])
+            held.append(batch.slice(i, j - i))
+            yield block()
+            held, size, i = [], 0, j
+        held.append(batch.slice(i))
+        size += int(total[-1]) - (int(total[i - 1]) if i else 0)
+        last = key[-1]
+    if held:
+        yield block()
 
 
 def _sorted_rows(length: int, most_bytes: int = 1 << 20):
     """Strings of a segment's document that also start in a smaller document, as ranges of starts."""
 
-    def settle(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        of, inside, members, heads = equal_strings([r[3] for r in rows], length)
-        doc, segment = (np.array([r[i] for r in rows], np.int64) for i in (0, 2))
+    def settle(block: pa.RecordBatch) -> pa.RecordBatch:
+        doc, segment = (block.column(i).to_numpy() for i in (0, 2))
+        of, inside, members, heads = equal_suffixes(*tx.buffers(block.column(3)), length)
         docs = doc[of[members]]
         least = np.repeat(np.minimum.reduceat(docs, heads), np.diff(np.append(heads, len(docs)))) if len(heads) else docs
         hit = np.unique(members[docs > least])  # suffixes are numbered by text and start
@@ -307,18 +355,7 @@ def _sorted_rows(length: int, most_bytes: int = 1 << 20):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "segment", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
-        size, last = 0, None
-        for batch in batches:  # sorted by minimizer: a block ends where the minimizer changes
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > most_bytes and row[1] != last:
-                    yield settle(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-                last = row[1]
-        if held:
-            yield settle(held)
+        return map(settle, _blocks(batches, most_bytes))
 
     return run
 
