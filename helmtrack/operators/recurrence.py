@@ -412,23 +412,93 @@ class Chain(Step):
         return new, (*new, 1.0)
 
 
+#: Children of a node of the tree over a polyline, and rows that are looked at without it.
+FAN, DIRECT = 16, 4096
+
+
+class Boxes:
+    """Extents of the rows of a polyline (frame, and values) by runs of FAN, of FAN * FAN rows and so on."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = points
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        low = high = points[:, 1:]
+        while len(low) > FAN:
+            heads = np.arange(0, len(low), FAN)
+            low, high = np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads)
+            self.levels.append((low, high))
+
+    def gaps(self, at: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Distances of rows to the line from row a to row b at their frames."""
+        p = self.points
+        f = (p[at, 0] - p[a, 0]) / (p[b, 0] - p[a, 0])
+        return np.sqrt(((p[at, 1:] - (p[a, 1:] + f[:, None] * (p[b, 1:] - p[a, 1:]))) ** 2).sum(axis=1))
+
+    def bounds(self, level: int, at: np.ndarray, a: int, b: int) -> np.ndarray:
+        """At least the distances of all rows of the nodes: extents against the line's ends over them."""
+        p, (low, high), width = self.points, self.levels[level], FAN ** (level + 1)
+        ends = np.stack([np.clip(at * width, a, b), np.clip(at * width + width - 1, a, b)])
+        f = (p[ends, 0] - p[a, 0]) / (p[b, 0] - p[a, 0])
+        line = p[a, 1:] + f[..., None] * (p[b, 1:] - p[a, 1:])
+        most = np.maximum(high[at] - line.min(axis=0), line.max(axis=0) - low[at])
+        return np.sqrt((np.maximum(most, 0.0) ** 2).sum(axis=1)) * (1.0 + 1e-9)
+
+    def farthest(self, a: int, b: int) -> tuple[int, float]:
+        """The first row of the greatest distance strictly between two rows, and the distance."""
+        best, row = -1.0, a + 1
+        level = len(self.levels) - 1
+        while level >= 0 and FAN ** (level + 1) * 2 > b - a:
+            level -= 1
+        if level < 0 or b - a <= DIRECT:
+            gap = self.gaps(np.arange(a + 1, b), a, b)
+            i = int(gap.argmax())
+            return a + 1 + i, float(gap[i])
+        width = FAN ** (level + 1)
+        at = np.arange((a + 1) // width, (b - 1) // width + 1)
+        stack = [(level, at, self.bounds(level, at, a, b))]
+        while stack:
+            level, at, bound = stack.pop()
+            keep = bound >= best
+            at, bound = at[keep], bound[keep]
+            if not len(at):
+                continue
+            if len(at) > 1:  # the most promising node first, the others after it
+                i = int(bound.argmax())
+                stack.append((level, np.delete(at, i), np.delete(bound, i)))
+                at = at[i : i + 1]
+            inner = np.arange(at[0] * FAN, at[0] * FAN + FAN)
+            if level:
+                inner = inner[inner < len(self.levels[level - 1][0])]
+                stack.append((level - 1, inner, self.bounds(level - 1, inner, a, b)))
+                continue
+            inner = inner[(inner > a) & (inner < b)]
+            if len(inner):
+                gap = self.gaps(inner, a, b)
+                i = int(gap.argmax())
+                if gap[i] > best or gap[i] == best and inner[i] < row:
+                    best, row = float(gap[i]), int(inner[i])
+        return row, best
+
+
 def rdp(points: np.ndarray, epsilon: float) -> np.ndarray:
-    """Rows of (frame, pitch, roll) that stay when straight stretches are dropped; the first of equal distances splits."""
+    """Rows of (frame, pitch, roll) that stay when straight stretches are dropped; the first of equal distances splits.
+
+    The farthest row is sought in a tree of extents, so that a split looks at
+    the nodes that can hold it, not at all rows.
+    """
     keep = np.zeros(len(points), bool)
     if len(points):
         keep[[0, -1]] = True
+    boxes = Boxes(points)
     stack = [(0, len(points) - 1)]
     while stack:
         a, b = stack.pop()
         if b - a < 2:
             continue
-        f = (points[a + 1 : b, 0] - points[a, 0]) / (points[b, 0] - points[a, 0])
-        line = points[a, 1:] + f[:, None] * (points[b, 1:] - points[a, 1:])
-        gap = np.sqrt(((points[a + 1 : b, 1:] - line) ** 2).sum(axis=1))
-        i = int(gap.argmax())
-        if gap[i] > epsilon:
-            keep[a + 1 + i] = True
-            stack += [(a, a + 1 + i), (a + 1 + i, b)]
+        i, gap = boxes.farthest(a, b)
+        if gap > epsilon:
+            keep[i] = True
+            stack += [(a, i), (i, b)]
     return keep
 
 
@@ -493,17 +563,71 @@ def _penalised(x: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarr
     return _solve(d0, d1, d2, x)
 
 
+#: Rows between two pairs of separators in a solve, at least.
+BLOCK = 64
+
+
 def _solve(d0: np.ndarray, d1: np.ndarray, d2: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Symmetric system with bands d0, d1, d2."""
+    """Symmetric positive system with bands d0, d1, d2.
+
+    Rows are cut into equal blocks by pairs of separators, since the bands reach
+    two rows far.  All blocks are factored and solved side by side, for x and
+    for what ties them to the separators before and after; the separators
+    form a small system of 2 x 2 matrices, a step a block.  Steps are as many as
+    a block has rows and as there are blocks, not as there are rows in all.
+    """
     n = len(x)
-    l1, l2, d, z = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    for i in range(n):
-        a2 = d2[i - 2] / d[i - 2] if i > 1 else 0.0
-        a1 = (d1[i - 1] - (a2 * d[i - 2] * l1[i - 1] if i > 1 else 0.0)) / d[i - 1] if i else 0.0
-        l1[i], l2[i] = a1, a2
-        d[i] = d0[i] - (a1 * a1 * d[i - 1] if i else 0.0) - (a2 * a2 * d[i - 2] if i > 1 else 0.0)
-        z[i] = x[i] - (a1 * z[i - 1] if i else 0.0) - (a2 * z[i - 2] if i > 1 else 0.0)
-    y = z / d
-    for i in range(n - 2, -1, -1):
-        y[i] -= l1[i + 1] * y[i + 1] + (l2[i + 2] * y[i + 2] if i + 2 < n else 0.0)
-    return y
+    m = max(BLOCK, math.isqrt(n))
+    blocks = -(-(n + 2) // (m + 2))
+    total = blocks * (m + 2)
+    pad = lambda v, fill: np.concatenate([v, np.full(total - len(v), fill)]).reshape(blocks, m + 2)
+    c0, c1, c2, r = pad(d0, 1.0), pad(d1, 0.0), pad(d2, 0.0), pad(x, 0.0)
+    ties = np.zeros((m, 5, blocks))  # what is solved for: x, and the columns of the separators before and after
+    ties[:, 0] = r[:, :m].T
+    ties[0, 1, 1:], ties[0, 2, 1:], ties[1, 2, 1:] = c2[:-1, m], c1[:-1, m + 1], c2[:-1, m + 1]
+    ties[m - 1, 3], ties[m - 1, 4], ties[m - 2, 3] = c1[:, m - 1], c2[:, m - 1], c2[:, m - 2]
+    before, after = ties[:2, 1:3].copy(), ties[m - 2 :, 3:5].copy()  # rows that are tied, separators
+    a0, a1, a2 = (np.ascontiguousarray(c[:, :m].T) for c in (c0, c1, c2))
+    low1, low2 = np.zeros_like(a0), np.zeros_like(a0)
+    for i in range(m):
+        if i > 1:
+            low2[i] = a2[i - 2] / a0[i - 2]
+            a0[i] -= low2[i] * a2[i - 2]
+            ties[i] -= low2[i] * ties[i - 2]
+        if i:
+            under = a1[i - 1] - (low1[i - 1] * a2[i - 2] if i > 1 else 0.0)
+            low1[i] = under / a0[i - 1]
+            a0[i] -= low1[i] * under
+            ties[i] -= low1[i] * ties[i - 1]
+    ties /= a0[:, None]
+    for i in range(m - 2, -1, -1):
+        ties[i] -= low1[i + 1] * ties[i + 1]
+        if i + 2 < m:
+            ties[i] -= low2[i + 2] * ties[i + 2]
+    y, left, right = ties[:, 0], ties[:, 1:3], ties[:, 3:5]
+    # separators k lie between the blocks k and k + 1; each takes what its neighbours' blocks give
+    own = np.zeros((blocks, 2, 2))
+    own[:, 0, 0], own[:, 1, 1], own[:, 0, 1], own[:, 1, 0] = c0[:, m], c0[:, m + 1], c1[:, m], c1[:, m]
+    product = lambda tied, rows: np.einsum("isb,i...b->bs...", tied, rows)
+    own -= product(after, right[m - 2 :])
+    back = -product(after, left[m - 2 :])
+    want = r[:, m:] - product(after, y[m - 2 :])
+    own[:-1] -= product(before, left[:2])[1:]
+    forth = -product(before, right[:2])[1:]
+    want[:-1] -= product(before, y[:2])[1:]
+    found = np.zeros((blocks + 1, 2))  # of the separators before each block; none are before the first and after the last
+    turned, sought = np.zeros((blocks, 2, 2)), np.zeros((blocks, 2))
+    for k in range(blocks - 1):
+        matrix, vector = own[k], want[k]
+        if k:
+            matrix, vector = matrix - back[k] @ turned[k - 1], vector - back[k] @ sought[k - 1]
+        inverse = np.array([[matrix[1, 1], -matrix[0, 1]], [-matrix[1, 0], matrix[0, 0]]]) / (matrix[0, 0] * matrix[1, 1] - matrix[0, 1] * matrix[1, 0])
+        sought[k] = inverse @ vector
+        if k < blocks - 2:
+            turned[k] = inverse @ forth[k]
+    for k in range(blocks - 2, -1, -1):
+        found[k + 1] = sought[k] - turned[k] @ found[k + 2]
+    out = np.empty((blocks, m + 2))
+    out[:, :m] = (y - left[:, 0] * found[:-1, 0] - left[:, 1] * found[:-1, 1] - right[:, 0] * found[1:, 0] - right[:, 1] * found[1:, 1]).T
+    out[:, m:] = found[1:]
+    return out.ravel()[:n]

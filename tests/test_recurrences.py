@@ -33,6 +33,50 @@ def test_rdp(seed):
     assert np.flatnonzero(rec.rdp(p, 1.5)).tolist() == plain_rdp(p, 1.5)
 
 
+@pytest.mark.parametrize("kind", ["walk", "spiral", "steps", "ties"])
+def test_rdp_of_long_lines(kind, monkeypatch):
+    """The tree finds the rows that a look at all rows finds, the first of equal ones too."""
+    monkeypatch.setattr(rec, "DIRECT", 40)
+    n = 3000
+    rng, t = np.random.default_rng(9), np.arange(float(n))
+    xy = {"walk": np.cumsum(rng.normal(size=(n, 2)), axis=0), "spiral": np.stack([t * np.cos(t / 40), t * np.sin(t / 40)], axis=1), "steps": np.round(rng.normal(size=(n, 2)) * 2), "ties": np.stack([t % 7, t % 5], axis=1)}[kind]
+    points = np.column_stack([t, xy])
+    for epsilon in (0.5, 3.0, 20.0):
+        keep = np.zeros(n, bool)
+        keep[[0, -1]] = True
+        stack = [(0, n - 1)]
+        while stack:
+            a, b = stack.pop()
+            if b - a >= 2:
+                f = (t[a + 1 : b] - t[a]) / (t[b] - t[a])
+                gap = np.sqrt(((xy[a + 1 : b] - (xy[a] + f[:, None] * (xy[b] - xy[a]))) ** 2).sum(axis=1))
+                i = a + 1 + int(gap.argmax())
+                if gap.max() > epsilon:
+                    keep[i] = True
+                    stack += [(a, i), (i, b)]
+        assert rec.rdp(points, epsilon).tolist() == keep.tolist()
+
+
+@pytest.mark.parametrize("n", [4, 5, 63, 64, 65, 66, 67, 130, 131, 132, 133, 1000, 5000])
+def test_solve_equals_a_dense_one(n):
+    rng = np.random.default_rng(n)
+    first, second, x = rng.random(n - 1) * 50, rng.random(n - 2) * 500, rng.normal(size=n)
+    got = rec._penalised(x, first, second)
+    if n <= 1000:
+        d1, d2 = np.diff(np.eye(n), axis=0), np.diff(np.eye(n), 2, axis=0)
+        want = np.linalg.solve(np.eye(n) + d1.T @ np.diag(first) @ d1 + d2.T @ np.diag(second) @ d2, x)
+        assert got == pytest.approx(want, rel=1e-8, abs=1e-10)
+    back = got.copy()
+    v = first * np.diff(got)
+    back[:-1] -= v
+    back[1:] += v
+    w = second * np.diff(got, 2)
+    back[:-2] += w
+    back[1:-1] -= 2 * w
+    back[2:] += w
+    assert back == pytest.approx(x, abs=1e-8)
+
+
 def test_rdp_of_few_rows():
     assert rec.rdp(np.zeros((0, 3)), 1.0).tolist() == []
     assert rec.rdp(np.zeros((1, 3)), 1.0).tolist() == [True]
