@@ -76,6 +76,12 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias(ID), "length")
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, changed of all files below a folder, for ``catalog.media`` and ``catalog.companions``; nothing of a file is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("changed"))
+
+
 def walk(data: Held | Stored, start: int = 0, end: int | None = None, parent: str = "") -> Iterator[tuple[str, int, int, int]]:
     """path, offset, size and head length of every box; a box that ends beyond its parent ends with it."""
     at, end = start, data.size if end is None else end
@@ -269,4 +275,4 @@ def boxes(found: DataFrame) -> DataFrame:
     return _each(found, make, f"{ID} {name_kind}, box string, offset bigint, size bigint")
 
 
-__all__ = ["binary_motion", "box_orientation", "boxes", "files", "ranges", "stream_orientation"]
+__all__ = ["binary_motion", "box_orientation", "boxes", "files", "listing", "ranges", "stream_orientation"]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helmtrack.operators import track
+from helmtrack.operators import catalog, track
 from helmtrack.sinks import files as sink
 from helmtrack.sources import binary, logs, tracks
 
@@ -234,3 +234,39 @@ def test_exports_are_padded_and_smoothed(spark):
     rough, smooth = ([(r.lat, r.lon) for r in track.exported(videos, fixes, smooth=s).orderBy("sec").collect()] for s in (False, True))
     assert len(rough) == len(smooth) == 127 and rough[0] == smooth[0] and rough[-1] == smooth[-1] == (40.0, 20.004)
     assert rough[7:10] != smooth[7:10]
+
+
+def test_listing_of_media_and_companions(spark, tmp_path):
+    import os
+
+    for name, size in (("in/a.MP4", 3), ("in/b.jpg", 1), ("in/notes.txt", 2), ("in/a.gcsv", 5), ("in/a_telemetry.txt", 4), ("work/a.gcsv", 6), ("work/a.txt", 0)):
+        at = tmp_path / name
+        at.parent.mkdir(exist_ok=True)
+        at.write_bytes(b"x" * size)
+        os.utime(at, (1_000_000 + size, 1_000_000 + size))
+    files = binary.listing(spark, str(tmp_path))
+    media = catalog.media(files.unionByName(files)).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.kind) for r in media] == [("a.MP4", "video"), ("b.jpg", "image")]
+    video = files.where(F.col("path").endswith(".MP4"))
+    work = media[0].path.rsplit("/in/", 1)[0] + "/work"
+    tell = lambda hint: [r.path.rsplit("/", 2)[1:] for r in catalog.companions(video.select("path", F.lit(hint).alias("hint")), files, folders=[work]).orderBy("place").collect()]
+    assert tell("auto") == [["in", "a.gcsv"], ["work", "a.gcsv"], ["in", "a_telemetry.txt"]] == tell(None)
+    assert tell("gyroflow") == [["in", "a.gcsv"], ["work", "a.gcsv"]] and tell("custom_csv") == [["in", "a_telemetry.txt"]]
+
+
+def test_appends_happen_once(spark, tmp_path):
+    at = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "series_id string, x int")
+    (tmp_path / "log/batch=two").mkdir(parents=True)
+    (tmp_path / "log/batch=two/part-0.parquet").write_bytes(b"left by a run that failed")
+    assert sink.append(rows, at, "one") and sink.append(rows, at, "two")
+    assert not sink.append(rows, at, "one") and not sink.append(rows.limit(1), at, "two")
+    assert sorted((r.series_id, r.x, r.batch) for r in spark.read.parquet(at).collect()) == [("a", 1, "one"), ("a", 1, "two"), ("b", 2, "one"), ("b", 2, "two")]
+
+
+def test_checkpoint_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"lat": 46.5, "lon": "11.25", "time": "1:30", "ele": "208m"}, {"lon": 3}, "44.5, 26.25, 12", "# no", 5]')
+    (tmp_path / "b.txt").write_text("# route\n44.5, 26.25\n\nhttps://maps.example/@46.5,11.25,40m/data=!3d46.625!4d-11.375\n")
+    (tmp_path / "c.txt").write_text("")
+    out = tracks.checkpoint_documents(spark, str(tmp_path)).orderBy("series_id", "frame").collect()
+    assert [tuple(r)[1:] for r in out] == [(0, 46.5, 11.25, 90.0, 208.0), (1, 44.5, 26.25, None, 12.0), (0, 44.5, 26.25, None, None), (1, 46.625, -11.375, 11.25, 40.0)]  # what an address has after its first comma can be a time
