@@ -46,10 +46,10 @@ def compose(stages: Sequence[DataFrame], *, delta: bool = False) -> DataFrame:
     every = rows[0]
     for r in rows[1:]:
         every = every.unionByName(r)
-    size = every.groupBy(ID, "stage").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(*[F.abs(a) for a in AXES])).alias("most"))
-    known = size.groupBy(ID).agg(F.max_by("stage", F.struct("n", -F.col("stage"))).alias("grid"), F.collect_list(F.when(F.col("most") >= STILL, F.col("stage"))).alias("active"))
-    lone = F.when(F.size("active") == 0, F.array("grid")).otherwise(F.col("active"))
-    marked = every.join(known, ID).withColumn("active", lone)
+    stage, series = Window.partitionBy(ID, "stage"), Window.partitionBy(ID)  # the exchange by series serves both
+    sized = every.repartition(ID).withColumns({"n": F.count(F.lit(1)).over(stage), "most": F.max(F.greatest(*[F.abs(a) for a in AXES])).over(stage)})
+    known = sized.withColumns({"grid": F.max_by("stage", F.struct("n", -F.col("stage"))).over(series), "active": F.collect_set(F.when(F.col("most") >= STILL, F.col("stage"))).over(series)})
+    marked = known.withColumn("active", F.when(F.size("active") == 0, F.array("grid")).otherwise(F.col("active"))).drop("n", "most")
     back = Window.partitionBy(ID).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     forth = Window.partitionBy(ID).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     mine = lambda k: F.when(F.col("stage") == k, F.col("point"))
