@@ -107,7 +107,7 @@ class Index:
         counts = [F.sum(F.when(F.col("term").startswith(w), F.col("n")).otherwise(0)).alias(f"n{i}") for i, w in enumerate(parts)]
         docs = found.groupBy("id", "length").agg(*counts)
         whole = docs.agg(*[F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in range(len(parts))])
-        sums = self.table("batches").agg(F.sum("docs").alias("docs"), (F.sum("words") / F.sum("docs")).alias("mean"))
+        sums = self.table("batches").agg(F.sum("docs").alias("docs"), F.try_divide(F.sum("words"), F.sum("docs")).alias("mean"))
         rows = docs.join(F.broadcast(whole)).join(F.broadcast(sums))  # a row each
         score = F.lit(0.0)
         for i in range(len(parts)):
