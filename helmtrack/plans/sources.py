@@ -8,14 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, robust, search, series as op
 from ..functions import text
+from ..operators import catalog, robust, search
 from ..sinks import files as sink
 from ..sources import binary, logs, tracks
 from ..storage import new_path
 from .carriers import SERIES, r6, r6_sql, series, table
 from .registry import query
-from .robust import _turned, _TURNED
+from .robust import _TURNED, _turned
 
 _CUT = {"roll": 100, "pitch": 100, "yaw": 100, "lat": 1000000, "lon": 1000000, "ele": 10}
 EXACT = f"{SERIES}, x AS (SELECT series_id, frame, {', '.join(f'floor({c} * {k}) / {k}e0 AS {c}' for c, k in _CUT.items())} FROM s)"
@@ -167,9 +167,6 @@ def box_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.boxes(_recordings(spark, sf_dir))
 
 
-_Q = "1 - 2 * ({a} * {a} + {b} * {b})"
-
-
 def _euler_sql(w: str, x: str, y: str, z: str) -> str:
     pitch = f"CASE WHEN abs(2 * ({w} * {y} - {z} * {x})) >= 1 THEN sign({w} * {y} - {z} * {x}) * 90 ELSE degrees(asin(2 * ({w} * {y} - {z} * {x}))) END"
     return f"{r6_sql(f'degrees(atan2(2 * ({w} * {x} + {y} * {z}), 1 - 2 * ({x} * {x} + {y} * {y})))', 'roll')}, {r6_sql(pitch, 'pitch')}, {r6_sql(f'degrees(atan2(2 * ({w} * {z} + {x} * {y}), 1 - 2 * ({y} * {y} + {z} * {z})))', 'yaw')}"
