@@ -125,6 +125,23 @@ def product(a: Sequence[Column], b: Sequence[Column]) -> Matrix:
     return tuple(a[3 * i] * b[j] + a[3 * i + 1] * b[3 + j] + a[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3))
 
 
+def about(axis: str, angle: Num) -> Matrix:
+    """The matrix of a turn about one axis."""
+    c, s = F.cos(F.radians(_c(angle))), F.sin(F.radians(_c(angle)))
+    k = "xyz".index(axis)
+    u, v = (k + 1) % 3, (k + 2) % 3  # the plane that turns
+    cells = {(k, k): F.lit(1.0), (u, u): c, (v, v): c, (u, v): -s, (v, u): s}
+    return tuple(cells.get((i, j), F.lit(0.0)) for i in range(3) for j in range(3))
+
+
+def matrix_in_order(order: str, **angles: Num) -> Matrix:
+    """The product of turns about axes in a stated order, such as 'zyx' for aerospace and 'yxz' for a camera: x, y, z give the angles."""
+    first, *rest = (about(axis, angles[axis]) for axis in order)
+    for m in rest:
+        first = product(first, m)
+    return first
+
+
 def transposed(m: Sequence[Column]) -> Matrix:
     return tuple(m[3 * j + i] for i in range(3) for j in range(3))
 

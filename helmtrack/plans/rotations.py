@@ -98,6 +98,19 @@ def rot_matrix_compose3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("series_id", "frame", *[r6(v, n) for v, n in zip(ro.euler(m), ("yaw", "pitch", "roll"), strict=True)])
 
 
+_TRIG = ", ".join(f"{f}(radians({a})) AS {f[0]}{a[0]}" for a in ("yaw", "pitch", "roll") for f in ("cos", "sin"))
+_ZYX = ("cy*cp", "cy*sp*sr - sy*cr", "cy*sp*cr + sy*sr", "sy*cp", "sy*sp*sr + cy*cr", "sy*sp*cr - cy*sr", "-sp", "cp*sr", "cp*cr")
+_YXZ = ("cy*cr + sy*sp*sr", "sy*sp*cr - cy*sr", "sy*cp", "cp*sr", "cp*cr", "-sp", "cy*sp*sr - sy*cr", "sy*sr + cy*sp*cr", "cy*cp")
+
+
+@query("matrix_orders", f"WITH {SERIES}, t AS (SELECT series_id, frame, {_TRIG} FROM s) SELECT series_id, frame, {', '.join(r6_sql(v, f'a{i}') for i, v in enumerate(_ZYX))}, {', '.join(r6_sql(v, f'c{i}') for i, v in enumerate(_YXZ))} FROM t")
+def matrix_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices of the same angles in aerospace order and in a camera's."""
+    roll, pitch, yaw = F.col("roll"), F.col("pitch"), F.col("yaw")
+    air, camera = ro.matrix_in_order("zyx", x=roll, y=pitch, z=yaw), ro.matrix_in_order("yxz", y=yaw, x=pitch, z=roll)
+    return series(spark, sf_dir).select("series_id", "frame", *[r6(v, f"a{i}") for i, v in enumerate(air)], *[r6(v, f"c{i}") for i, v in enumerate(camera)])
+
+
 @query("rotation_difference", f"""
 WITH {SERIES}, a AS (SELECT series_id, frame, {_matrix_sql('yaw', 'pitch', 'roll', 'a')}, {_matrix_sql('yaw * 0.9::DOUBLE', 'pitch * 0.8::DOUBLE', 'roll * 0.7::DOUBLE', 'b')} FROM s),
 t AS (SELECT series_id, frame, {', '.join(f'a{3 * j + i} AS t{3 * i + j}' for i in range(3) for j in range(3))}, {', '.join(f'b{i}' for i in range(9))} FROM a),
