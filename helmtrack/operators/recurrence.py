@@ -148,6 +148,51 @@ def by_series(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], kern
     return df.select(ID, F.col(FRAME).cast("bigint").alias(FRAME), *inputs).groupBy(ID).applyInPandas(run, f"{ID} {kind}, {FRAME} bigint, {fields}")
 
 
+#: Rows of series that a kernel of ``side_by_side`` gets at a time, and the longest series that it gets with others.
+TOGETHER, SHORT = 1 << 17, 2048
+
+
+def side_by_side(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], kernel: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """series_id, frame and outputs as by ``by_series``, for a kernel that smooths each column of many series in one call.
+
+    A task reads its series one after another and hands whole ones on, as many
+    as make TOGETHER rows: it holds these, or one series if that is longer.
+    """
+    kind = df.schema[ID].dataType.simpleString()
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        ids = table.column(0).combine_chunks()
+        coded = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(coded)) + 1
+        columns = [np.split(c.to_numpy().astype(np.float64), cuts) for c in table.columns[2:]]
+        found = kernel([x for c in columns for x in c])
+        size = len(cuts) + 1
+        made = [np.concatenate(found[i * size : i * size + size]) for i in range(len(columns))]
+        return pa.RecordBatch.from_arrays([ids, table.column(1).combine_chunks(), *map(pa.array, made)], names=[ID, FRAME, *outputs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            first, last = held[0].column(0)[0], batch.column(0)[batch.num_rows - 1]
+            if rows < TOGETHER or first == last:
+                continue
+            table = pa.Table.from_batches(held)
+            at = table.column(0).combine_chunks().index(last).as_py()  # the last series may go on
+            if at:
+                yield done(table.slice(0, at))
+                held = table.slice(at).combine_chunks().to_batches()
+                rows -= at
+        if rows:
+            yield done(pa.Table.from_batches(held))
+
+    taken = df.select(ID, F.col(FRAME).cast("bigint").alias(FRAME), *[F.col(c).cast("double").alias(c) for c in inputs]).where(F.col(ID).isNotNull())
+    fields = ", ".join(f"{c} double" for c in outputs)
+    return taken.repartition(ID).sortWithinPartitions(ID, FRAME).mapInArrow(run, f"{ID} {kind}, {FRAME} bigint, {fields}")
+
+
 def _alone(f: Step, *columns: np.ndarray) -> np.ndarray:
     """One series' first output."""
     out = np.empty((len(columns[0]), 1))
@@ -547,6 +592,109 @@ def cinematic(x: np.ndarray, *, acc: float = 50.0, vel: float = 5.0, rounds: int
     return best
 
 
+def cinematic_all(series: Sequence[np.ndarray], *, acc: float = 50.0, vel: float = 5.0, rounds: int = 60, delta: float = 1e-3) -> list[np.ndarray]:
+    """``cinematic`` of many series: those of at most SHORT rows are solved side by side, a column each."""
+
+    def run(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        place = np.arange(len(x))[:, None]
+        on = [(place < size - k)[: len(x) - k] for k in range(3)]  # rows, first and second differences that a series has
+
+        def soft(v: np.ndarray, k: int) -> np.ndarray:
+            return ((np.sqrt(v * v + delta * delta) - delta) * on[k]).sum(axis=0)
+
+        def cost(y: np.ndarray) -> np.ndarray:
+            return 0.5 * (((y - x) ** 2) * on[0]).sum(axis=0) + acc * soft(np.diff(y, 2, axis=0), 2) + vel * soft(np.diff(y, axis=0), 1)
+
+        y, best = x.copy(), x.copy()
+        least = cost(best)
+        for _ in range(rounds):
+            w2 = on[2] * acc / np.sqrt(np.diff(y, 2, axis=0) ** 2 + delta * delta)
+            w1 = on[1] * vel / np.sqrt(np.diff(y, axis=0) ** 2 + delta * delta)
+            y = _penalised_all(x, w1, w2)
+            now = cost(y)
+            better = now < least
+            best[:, better], least[better] = y[:, better], now[better]
+        return best
+
+    return _in_columns(series, run, lambda x: cinematic(x, acc=acc, vel=vel, rounds=rounds, delta=delta))
+
+
+def trend_filter_all(series: Sequence[np.ndarray], strength: float, rounds: int = 5, scale: float = 10.0) -> list[np.ndarray]:
+    """``trend_filter`` of many series, those of at most SHORT rows side by side."""
+    if strength <= 0:
+        return [x.copy() for x in series]
+    first, second = strength * scale * 0.2, strength * strength * scale
+
+    def run(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        place = np.arange(len(x))[:, None]
+        on1, on2 = (place < size - 1)[:-1], (place < size - 2)[:-2]
+        w, y = on2 * 1.0, x
+        for _ in range(rounds + 1):
+            y = _penalised_all(x, on1 * first, second * w)
+            w = on2 / np.maximum(np.abs(np.diff(y, 2, axis=0)), 1e-4)
+            w /= w.sum(axis=0) / (size - 2)
+        return y
+
+    return _in_columns(series, run, lambda x: trend_filter(x, strength, rounds, scale))
+
+
+#: Numbers of a block of columns that are solved side by side, so that their arrays stay in the caches.
+BLOCK_CELLS = 1 << 15
+
+
+def _in_columns(series: Sequence[np.ndarray], run: Callable[[np.ndarray, np.ndarray], np.ndarray], alone: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """Series of about one length as columns of a matrix, padded with zeros; the longest, and those of less than four rows, alone."""
+    out: list = [None] * len(series)
+    fit = []
+    for i, x in enumerate(series):
+        if 4 <= len(x) <= SHORT:
+            fit.append(i)
+        else:
+            out[i] = alone(x)
+    fit.sort(key=lambda i: len(series[i]))
+    while fit:
+        at = fit[-max(1, BLOCK_CELLS // len(series[fit[-1]])) :]
+        del fit[-len(at) :]
+        x = np.zeros((len(series[at[-1]]), len(at)))
+        for k, i in enumerate(at):
+            x[: len(series[i]), k] = series[i]
+        y = run(x, np.array([len(series[i]) for i in at]))
+        for k, i in enumerate(at):
+            out[i] = y[: len(series[i]), k].copy()
+    return out
+
+
+def _penalised_all(x: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """``_penalised`` of every column, by a Cholesky factor without roots; rows of padding have no weights and are tied to nothing."""
+    n = len(x)
+    d0, d1, d2 = np.ones_like(x), np.zeros_like(first), second
+    d0[:-1] += first
+    d0[1:] += first
+    d1 -= first
+    d0[:-2] += second
+    d0[1:-1] += 4 * second
+    d0[2:] += second
+    d1[:-1] -= 2 * second
+    d1[1:] -= 2 * second
+    low1, low2, y = np.zeros_like(first), np.zeros_like(second), x.copy()
+    for i in range(1, n):
+        under = d1[i - 1]
+        if i > 1:
+            low2[i - 2] = d2[i - 2] / d0[i - 2]
+            d0[i] -= low2[i - 2] * d2[i - 2]
+            y[i] -= low2[i - 2] * y[i - 2]
+            under = under - low1[i - 2] * d2[i - 2]
+        low1[i - 1] = under / d0[i - 1]
+        d0[i] -= low1[i - 1] * under
+        y[i] -= low1[i - 1] * y[i - 1]
+    y /= d0
+    for i in range(n - 2, -1, -1):
+        y[i] -= low1[i] * y[i + 1]
+        if i + 2 < n:
+            y[i] -= low2[i] * y[i + 2]
+    return y
+
+
 def _penalised(x: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Least squares with weighted squares of first and second differences: a system of two side bands."""
     n = len(x)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +123,7 @@ def rdp_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l1l2_trend")
 def l1l2_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rec.by_series(series(spark, sf_dir), ("roll",), ("roll",), lambda x: (rec.trend_filter(x, 6.0),))
+    out = rec.side_by_side(series(spark, sf_dir), ("roll",), ("roll",), lambda found: rec.trend_filter_all(found, 6.0))
     return out.select("series_id", "frame", r6(F.col("roll"), "roll"))
 
 
@@ -132,11 +131,7 @@ def l1l2_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cinematic_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectories of few, straight stretches; yaw is unwrapped first and wrapped after."""
     rows = series(spark, sf_dir).select("series_id", "frame", "roll", "pitch", op.unwrapped(F.col("yaw")).alias("yaw"))
-
-    def kernel(*axes: np.ndarray):
-        return [rec.cinematic(a) for a in axes]
-
-    out = rec.by_series(rows, ("roll", "pitch", "yaw"), ("roll", "pitch", "yaw"), kernel)
+    out = rec.side_by_side(rows, ("roll", "pitch", "yaw"), ("roll", "pitch", "yaw"), rec.cinematic_all)
     from ..functions.angles import wrap180
 
     return out.select("series_id", "frame", r6(F.col("roll"), "roll"), r6(F.col("pitch"), "pitch"), r6(wrap180(F.col("yaw")), "yaw"))

@@ -204,3 +204,20 @@ def test_kabsch_recovers_a_planted_rotation(seed):
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     assert np.allclose(robust.kabsch_consensus(a, b), r, atol=1e-9)
     assert np.linalg.det(robust.rotations(rng.normal(size=(1, 3, 3)))[0]) == pytest.approx(1.0)
+
+
+def test_smoothed_side_by_side_as_alone(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    series = [rng.normal(0, 10, n).cumsum() for n in (1, 3, 4, 5, 67, 40, 99, 130)]
+    for many, alone in ((rec.cinematic_all, rec.cinematic), (lambda s: rec.trend_filter_all(s, 6.0), lambda x: rec.trend_filter(x, 6.0))):
+        calls = []
+        real = rec._penalised_all
+        monkeypatch.setattr(rec, "_penalised_all", lambda *a: calls.append(1) or real(*a))
+        for x, y in zip(series, many(series), strict=True):
+            assert np.allclose(y, alone(x), atol=1e-6)
+        assert len(calls) <= 60  # solves of all series at once
+        monkeypatch.undo()
+    rows = [(i, k, float(v)) for i, x in enumerate(series) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "series_id long, frame long, roll double")
+    got = rec.side_by_side(df, ("roll",), ("roll",), lambda found: [x[::-1].copy() for x in found]).collect()
+    assert sorted((r.series_id, r.frame, r.roll) for r in got) == sorted((i, k, float(v)) for i, x in enumerate(series) for k, v in enumerate(x[::-1]))
