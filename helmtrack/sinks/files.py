@@ -1,7 +1,8 @@
 """Text formats that other tools read.
 
 Each function gives rows (series_id, n, line) or one document a series; ``save``
-writes them in the order of their lines, one folder a series.
+writes them in the order of their lines, one folder a series, ``pack`` many
+series a file.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.rotation import quaternion_zyx
 from ..functions.text import command_lines, subtitle_clock
 from ..operators.series import FRAME, ID, ordered
+from ..storage import PACKED
 
 #: First time stamp of a log, and the heads of the formats (fixed values).
 EPOCH = "2026-07-21 00:00:00"
@@ -177,6 +179,27 @@ def dated_notes(notes: DataFrame) -> DataFrame:
     return _headed(rows.select(ID, (F.col("k").cast("bigint") * 1_000_000 + F.col("i")).alias("n"), "line"), ["# Notes", ""])
 
 
+def _dealt(lines: DataFrame) -> DataFrame:
+    """Lines with the name of their series, a series in one task.
+
+    Rows are dealt by the name, not by the id.  A union of rows that are dealt
+    by the id already needs no exchange, and its sides are then coalesced each
+    for itself, which parts a series' head from its body.
+    """
+    named = lines.withColumn("name", F.concat(F.lit(f"{ID}="), F.col(ID).cast("string"), F.lit("/")))
+    return named.repartition("name")
+
+
 def save(lines: DataFrame, path: str) -> None:
-    """A folder for each series, its lines in order."""
-    lines.repartition(ID).sortWithinPartitions(ID, "n").select(ID, "line").write.partitionBy(ID).text(path)
+    """A folder for each series, its lines in order; for many series, ``pack`` makes fewer files."""
+    _dealt(lines).sortWithinPartitions(ID, "n").select(ID, "line").write.partitionBy(ID).text(path)
+
+
+def pack(lines: DataFrame, path: str) -> str:
+    """Many series in a file: each line after its series' name (``series_id=7/``) and a tab, in order.  Gives the path that readers take.
+
+    Readers know packed files by the ending of their folder, ``PACKED``.
+    """
+    at = path + PACKED
+    _dealt(lines).sortWithinPartitions("name", "n").select(F.concat("name", F.lit("\t"), "line").alias("value")).write.text(at)
+    return at

@@ -1,5 +1,9 @@
 """Text logs of motion.  Each file is a series, named by its path; rows keep the file's order.
 
+A folder of packed files (``sinks.files.pack``) holds many series in a file,
+since a file each is slow for many short ones: a line's series is the name
+before its first tab.
+
 Files are read by splits, so that a long log is the work of many tasks.  A
 line's number is its place within its split after the lines of the splits
 before, which are counted and added up by file.  Frames are numbered in the
@@ -14,19 +18,30 @@ from pyspark.sql import functions as F
 
 from ..functions.text import number
 from ..operators.series import FRAME, ID
+from ..storage import PACKED
 
 
 #: Lines that are numbered together.
 SPAN = 1 << 16
 
 
-def in_file_order(read: DataFrame, **columns: Column) -> DataFrame:
-    """series_id (the file's path), n (place in the file from 0) and the columns, for rows as a file reader gives them.
+def packed(spark: SparkSession, path: str) -> DataFrame:
+    """The name and the line of every line of packed files."""
+    read = spark.read.option("lineSep", "\n").text(path.rstrip("/"))
+    return read.select("_metadata", F.substring_index("value", "\t", 1).alias("name"), F.expr("substring(value, instr(value, '\t') + 1)").alias("value"))
+
+
+def is_packed(path: str) -> bool:
+    return path.rstrip("/").endswith(PACKED)
+
+
+def in_file_order(read: DataFrame, name: Column | None = None, **columns: Column) -> DataFrame:
+    """series_id (the file's path, or ``name``), n (place in the file from 0) and the columns, for rows as a file reader gives them.
 
     A split's rows come one after another in one task, so that the running
     number of a row, less that of its split's first row, is its place in it.
     """
-    raw = read.select(F.col("_metadata.file_path").alias(ID), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), *[c.alias(name) for name, c in columns.items()])
+    raw = read.select((F.col("_metadata.file_path") if name is None else name).alias(ID), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), *[c.alias(name) for name, c in columns.items()])
     splits = raw.groupBy(ID, "_split").agg(F.count(F.lit(1)).alias("size"), F.min("_at").alias("first"))
     before = F.sum("size").over(Window.partitionBy(ID).orderBy("_split")) - F.col("size")
     places = splits.select(ID, "_split", (before - F.col("first")).alias("_shift"))
@@ -35,8 +50,8 @@ def in_file_order(read: DataFrame, **columns: Column) -> DataFrame:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """series_id, n (line from 0), line; blank lines count, but are left out."""
-    read = spark.read.option("lineSep", "\n").text(path)
-    return in_file_order(read, line=F.regexp_replace("value", r"\r$", "")).where(F.trim("line") != "")
+    read = packed(spark, path) if is_packed(path) else spark.read.option("lineSep", "\n").text(path)
+    return in_file_order(read, F.col("name") if is_packed(path) else None, line=F.regexp_replace("value", r"\r$", "")).where(F.trim("line") != "")
 
 
 def renumbered(df: DataFrame, order: str = "n") -> DataFrame:

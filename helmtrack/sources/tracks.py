@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import checkpoint, checkpoint_list, timestamp
 from ..operators.series import FRAME, ID
-from .logs import in_file_order, lines, renumbered
+from .logs import in_file_order, is_packed, lines, packed, renumbered
 
 
 def gpx(spark: SparkSession, path: str) -> DataFrame:
     """series_id, frame, lat, lon, ele, time of track points in the order of the file; a missing elevation is 0, a missing time null."""
     schema = "_lat double, _lon double, ele double, time string"
+    if is_packed(path):  # a document a line
+        doc = F.from_xml("value", f"trk array<struct<trkseg: array<struct<trkpt: array<struct<{schema}>>>>>>")
+        parts = lambda a, part: F.flatten(F.transform(F.filter(a, lambda x: x[part].isNotNull()), lambda x: x[part]))
+        points = packed(spark, path).select(F.col("name").alias(ID), doc.alias("d")).select(ID, F.posexplode(parts(parts(F.col("d.trk"), "trkseg"), "trkpt")).alias("n", "p"))
+        kept = points.where("p._lat is not null and p._lon is not null")
+        frame = (F.row_number().over(Window.partitionBy(ID).orderBy("n")) - 1).cast("bigint")
+        return kept.select(ID, F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), F.coalesce("p.ele", F.lit(0.0)).alias("ele"), timestamp(F.col("p.time")).alias("time"), frame.alias(FRAME))
     rows = spark.read.format("xml").option("rowTag", "trkpt").schema(schema).load(path)
     rows = in_file_order(rows, lat=F.col("_lat"), lon=F.col("_lon"), ele=F.coalesce("ele", F.lit(0.0)), time=timestamp(F.col("time")))
     return renumbered(rows.where("lat is not null and lon is not null"))
@@ -36,7 +43,10 @@ def levelling(spark: SparkSession, path: str, fps: float = 29.97) -> DataFrame:
     A checkpoint without a frame has one by its time; one with neither is skipped.
     """
     point = "array<struct<frame:double,time:double,pitch:double,roll:double,yaw:double>>"
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias(ID), "value")
+    if is_packed(path):  # a document a line
+        text = packed(spark, path).select(F.col("name").alias(ID), "value")
+    else:
+        text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias(ID), "value")
     doc = text.withColumns({"a": F.from_json("value", f"struct<fps:double,ignoreYaw:boolean,checkpoints:{point}>"), "b": F.from_json("value", point)})
     rows = doc.select(ID, F.coalesce("a.fps", F.lit(fps)).alias("fps"), F.coalesce("a.ignoreYaw", F.lit(True)).alias("still"), F.inline(F.coalesce("a.checkpoints", "b")))
     frame = F.rint(F.coalesce("frame", F.col("time") * F.col("fps"))).cast("bigint")

@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What the names of folders of packed text files end in.
+PACKED = ".packed"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder.  Where none is set, as in tests, a local master gets one beside its warehouse; a cluster must set one."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -270,3 +270,39 @@ def test_checkpoint_documents(spark, tmp_path):
     (tmp_path / "c.txt").write_text("")
     out = tracks.checkpoint_documents(spark, str(tmp_path)).orderBy("series_id", "frame").collect()
     assert [tuple(r)[1:] for r in out] == [(0, 46.5, 11.25, 90.0, 208.0), (1, 44.5, 26.25, None, 12.0), (0, 44.5, 26.25, None, None), (1, 46.625, -11.375, 11.25, 40.0)]  # what an address has after its first comma can be a time
+
+
+def _headed_twice(spark):
+    """Heads and bodies that are both dealt by series, as sinks make them, of many rows."""
+    rows = spark.range(60000).select((F.col("id") % 3000).alias("series_id"), (F.col("id") / 3000).cast("bigint").alias("frame"), *[(F.col("id") % 7).cast("double").alias(c) for c in ("roll", "pitch", "yaw")])
+    body = rows.groupBy("series_id", "frame").agg(*[F.first(c).alias(c) for c in ("roll", "pitch", "yaw")]).repartition("series_id")
+    return rows, sink.telemetry_log(body)
+
+
+def test_packed_series_stay_whole_and_few_files(spark, tmp_path):
+    import glob
+
+    rows, log = _headed_twice(spark)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:  # small partitions, as on large tables
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        at = sink.pack(log, str(tmp_path / "tele"))
+        sink.save(log.where("series_id < 60"), str(tmp_path / "few"))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(glob.glob(f"{at}/part-*")) <= 16 and len(glob.glob(f"{tmp_path}/few/*/part-*")) == 60
+    got = logs.euler_log(spark, at)
+    assert got.count() == 60000 and got.select("series_id").distinct().count() == 3000
+    want = rows.select(F.concat(F.lit("series_id="), F.col("series_id").cast("string"), F.lit("/")).alias("series_id"), "frame", "roll", "pitch", "yaw")
+    assert got.select(want.columns).exceptAll(want).isEmpty()
+
+
+def test_packed_documents(spark, tmp_path):
+    points = spark.createDataFrame([(1, 0, 1.0, 2.0, 3.0), (1, 1, 1.5, 2.5, None), (2, 0, 4.0, 5.0, 6.0)], "series_id long, sec long, lat double, lon double, ele double")
+    docs = sink.gpx(points, "2024-01-01 00:00:00").select("series_id", F.lit(0).alias("n"), F.translate("document", "\n", " ").alias("line"))
+    got = tracks.gpx(spark, sink.pack(docs, str(tmp_path / "gpx"))).select("series_id", "frame", "lat", "lon", "ele", F.unix_seconds("time").alias("s")).collect()
+    assert sorted(map(tuple, got)) == [("series_id=1/", 0, 1.0, 2.0, 3.0, 1704067200), ("series_id=1/", 1, 1.5, 2.5, 0.0, 1704067201), ("series_id=2/", 0, 4.0, 5.0, 6.0, 1704067200)]
+    doc = spark.createDataFrame([(5, 0, '{"fps": 10, "ignoreYaw": false, "checkpoints": [{"time": 2, "yaw": 7}]}')], "series_id long, n long, line string")
+    assert [tuple(r) for r in tracks.levelling(spark, sink.pack(doc, str(tmp_path / "lev"))).collect()] == [("series_id=5/", 20, 0.0, 0.0, 7.0)]
