@@ -183,7 +183,9 @@ def nearest_bits(left: DataFrame, right: DataFrame, key: str, width: int) -> Dat
     fewer than (f + 1) * parts bits have a part that differs in f bits at most,
     so that they meet where x is looked up by its parts with up to f bits
     changed.  A find below that number is proven; what is left is asked with
-    more bits changed, and at last against its whole key.
+    more bits changed, and at last against its whole key.  Joins are by sorting:
+    descriptors compress so well that a broadcast is chosen for tables of which
+    the driver would have to hold many millions of rows.
     """
     parts = -(-width // PART)
     cut = lambda v: [F.shiftrightunsigned(v, PART * i).bitwiseAND((1 << PART) - 1).cast("int") for i in range(parts)]
@@ -195,14 +197,14 @@ def nearest_bits(left: DataFrame, right: DataFrame, key: str, width: int) -> Dat
             masks = F.array(*map(F.lit, _flipped(flips)))
             own = asked.select(key, "l", "x", F.posexplode(F.array(*cut(F.col("x")))).alias("part", "own"))
             looked = own.select(key, "l", "x", "part", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
-            met = looked.join(listed, [key, "part", "value"])
+            met = looked.join(listed.hint("merge"), [key, "part", "value"])
         else:
-            met = asked.join(right, key)
+            met = asked.join(right.hint("merge"), key)
         best = met.groupBy(key, "l").agg(F.min(F.struct(distance.alias("distance"), "r")).alias("best"))
         sure = F.lit(True) if flips > FLIPS else F.col("best.distance") < (flips + 1) * parts
         best = written(best.where(sure).select(key, "l", "best.r", "best.distance"), "bits")
         found = best if found is None else found.unionByName(best)
-        asked = written(asked.join(best.select(key, "l"), [key, "l"], "left_anti"), "asked")
+        asked = written(asked.join(best.select(key, "l").hint("merge"), [key, "l"], "left_anti"), "asked")
         if asked.isEmpty():
             break
     return found
@@ -216,7 +218,7 @@ def mutual_nearest(left: DataFrame, right: DataFrame, key: str, bits: str, id_:
     x = lambda df, n, v: df.select(key, F.col(id_).alias(n), F.col(bits).cast("bigint").alias(v))
     there = nearest_bits(x(left, "l", "x"), x(right, "r", "y"), key, width)
     back = nearest_bits(x(right, "l", "x"), x(left, "r", "y"), key, width).select(key, F.col("l").alias("r"), F.col("r").alias("l"))
-    return there.join(back, [key, "l", "r"]).select(key, "l", "r", "distance")
+    return there.join(back.hint("merge"), [key, "l", "r"]).select(key, "l", "r", "distance")
 
 
 def best_median(matches: DataFrame, key: str, value: str, distance: str, order: str, most: int = 60) -> DataFrame:

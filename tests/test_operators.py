@@ -273,3 +273,20 @@ def test_index(spark, tmp_path):
     assert "lead" in plan.split("PartitionFilters")[1][:200]
     with pytest.raises(ValueError):
         found.upsert(frame(docs), "a/b")
+
+
+def test_nearest_descriptors_are_never_broadcast(spark, monkeypatch):
+    from helmtrack.operators import robust
+
+    plans, real = [], robust.written
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(robust, "written", kept)
+    df = spark.range(4000).select((F.col("id") / 40).cast("bigint").alias("f"), "id", F.col("id").bitwiseXOR(F.col("id") * 77).alias("bits"))
+    out = robust.mutual_nearest(df.where("id % 2 = 0"), df.where("id % 2 = 1"), "f", "bits", "id", width=32)
+    assert out.count() > 0
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert plans and not any("Broadcast" in p for p in plans)
