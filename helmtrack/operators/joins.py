@@ -34,12 +34,13 @@ def bracketed(points: DataFrame, grid: DataFrame, key: str, time: str, columns:
     return held.where("side = 1").select("row.*", "before", "after")
 
 
-def interpolated(points: DataFrame, grid: DataFrame, key: str, time: str, columns: Sequence[str], *, ease: Callable[[Column], Column] | None = None) -> DataFrame:
+def interpolated(points: DataFrame, grid: DataFrame, key: str, time: str, columns: Sequence[str], *, ease: Callable[[Column], Column] | None = None, order: str | None = None) -> DataFrame:
     """Values at grid times between the two neighbouring points; end values beyond them.
 
-    Grid rows of a key without points are left out.
+    Grid rows of a key without points are left out.  Points at one time follow
+    in the order of ``order``, or of the columns.
     """
-    found = bracketed(points, grid, key, time, columns)
+    found = bracketed(points, grid, key, time, [*([order] if order else []), *columns])
     a, b, t = F.col("before"), F.col("after"), F.col(time).cast("double")
     span = b[time].cast("double") - a[time].cast("double")
     part = F.when(span <= 0, 0.0).otherwise((t - a[time].cast("double")) / span)

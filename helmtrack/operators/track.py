@@ -26,7 +26,7 @@ def synchronised(fixes: DataFrame, windows: DataFrame, *, key: str = ID, time: s
     sized = fixes.groupBy(key).agg(F.count(time).alias("timed"))
     enough = sized.where("timed >= 2").select(key)
     grid = windows.join(enough, key, "left_semi").select(key, "start", F.explode(F.sequence(F.lit(0), F.col("length").cast("int"))).alias("s")).select(key, (F.col("start") + F.col("s")).alias(time), "s")
-    exact = interpolated(timed.select(key, time, "lat", "lon", "ele"), grid, key, time, ("lat", "lon", "ele"))
+    exact = interpolated(timed.select(key, time, FRAME, "lat", "lon", "ele"), grid, key, time, ("lat", "lon", "ele"), order=FRAME)
     exact = exact.select(key, F.col("s").cast("int").alias("sec"), F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.round("ele", 3).alias("ele"))
     few = fixes.join(sized.where("timed < 2").select(key), key, "left_semi")
     order = Window.partitionBy(key).orderBy(FRAME)
@@ -52,7 +52,7 @@ def route(points: DataFrame, lengths: DataFrame, *, key: str = ID) -> DataFrame:
     share = F.when(F.col("total") > 0, F.col("way") / F.col("total")).otherwise(F.col("place") / F.greatest(F.col("n") - 1, F.lit(1)))
     p = p.withColumn("t", F.when(F.col("given") == F.col("n"), F.col("time")).otherwise(share * F.col("length")))
     grid = seconds(lengths, "length", key).withColumn("t", F.col("sec").cast("double"))
-    out = interpolated(p.select(key, "t", "lat", "lon", "ele"), grid, key, "t", ("lat", "lon", "ele"))
+    out = interpolated(p.select(key, "t", FRAME, "lat", "lon", "ele"), grid, key, "t", ("lat", "lon", "ele"), order=FRAME)
     return out.select(key, "sec", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.round("ele", 3).alias("ele"))
 
 

@@ -290,3 +290,13 @@ def test_nearest_descriptors_are_never_broadcast(spark, monkeypatch):
     assert out.count() > 0
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_points_at_one_time_keep_their_order(spark):
+    from helmtrack.operators import track
+
+    # frames 1 and 2 are at one place, so at one time: what comes before blends into 9, what comes after starts from 2
+    points = [(1, 0, 0.0, 0.0, 5.0, None), (1, 1, 0.0, 2.0, 9.0, None), (1, 2, 0.0, 2.0, 2.0, None), (1, 3, 0.0, 4.0, 4.0, None)]
+    df = spark.createDataFrame(points, "series_id long, frame long, lat double, lon double, ele double, time double")
+    got = track.route(df, spark.createDataFrame([(1, 4.0)], "series_id long, length double")).orderBy("sec").collect()
+    assert [r.ele for r in got] == [5.0, 7.0, 2.0, 3.0, 4.0]
