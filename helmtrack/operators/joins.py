@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import cosine_ease
-from ..storage import written
+from ..storage import dealt, written
 
 
 def bracketed(points: DataFrame, grid: DataFrame, key: str, time: str, columns: Sequence[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def bracketed(points: DataFrame, grid: DataFrame, key: str, time: str, columns:
     point = F.struct(F.col(time).alias(time), *[F.col(c).alias(c) for c in columns])
     left = points.select(F.col(key).alias("k"), F.col(time).cast("double").alias("t"), F.lit(0).alias("side"), point.alias("point"), F.lit(None).cast(grid.select(F.struct("*")).schema[0].dataType).alias("row"))
     right = grid.select(F.col(key).alias("k"), F.col(time).cast("double").alias("t"), F.lit(1).alias("side"), F.lit(None).cast(left.schema["point"].dataType).alias("point"), F.struct("*").alias("row"))
-    both = left.unionByName(right)
+    both = dealt(left.unionByName(right), "k")
     back = Window.partitionBy("k").orderBy("t", "side", "point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # what follows is read in reverse: a frame to the series' end would be gone through again for every row
     forth = Window.partitionBy("k").orderBy(F.desc("t"), "side", F.desc("point")).rowsBetween(Window.unboundedPreceding, Window.currentRow)

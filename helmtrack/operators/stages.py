@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rotation as ro
 from ..functions.angles import wrap180, wrap180_closed
+from ..storage import dealt
 from .recurrence import Deadband, Despike, Slew, fuse, scan, with_next
 from .series import FRAME, ID, bilateral_circular, boxcar, median5, ordered, plain_rate, unwrapped
 
@@ -47,7 +48,7 @@ def compose(stages: Sequence[DataFrame], *, delta: bool = False) -> DataFrame:
     for r in rows[1:]:
         every = every.unionByName(r)
     stage, series = Window.partitionBy(ID, "stage"), Window.partitionBy(ID)  # the exchange by series serves both
-    sized = every.repartition(ID).withColumns({"n": F.count(F.lit(1)).over(stage), "most": F.max(F.greatest(*[F.abs(a) for a in AXES])).over(stage)})
+    sized = dealt(every, ID).withColumns({"n": F.count(F.lit(1)).over(stage), "most": F.max(F.greatest(*[F.abs(a) for a in AXES])).over(stage)})
     known = sized.withColumns({"grid": F.max_by("stage", F.struct("n", -F.col("stage"))).over(series), "active": F.collect_set(F.when(F.col("most") >= STILL, F.col("stage"))).over(series)})
     marked = known.withColumn("active", F.when(F.size("active") == 0, F.array("grid")).otherwise(F.col("active"))).drop("n", "most")
     back = Window.partitionBy(ID).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)

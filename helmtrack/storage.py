@@ -26,6 +26,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes, as Spark estimates them, of a task of ``dealt``; estimates of joins and of local rows beyond the limit say nothing.
+TASK_BYTES, UNKNOWN = 4 << 20, 1 << 42
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key to as many tasks as their size asks for.
+
+    Without a number, tasks are as large as the advisory size of shuffled data,
+    which is compressed, and a chain of windows sorts its rows several times in
+    one task.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(min(4096, 1 + size // TASK_BYTES), key) if size < UNKNOWN else df.repartition(key)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table, read again: what follows neither repeats nor changes what came before."""
     spark, at = df.sparkSession, new_path(df.sparkSession, name)

@@ -300,3 +300,14 @@ def test_points_at_one_time_keep_their_order(spark):
     df = spark.createDataFrame(points, "series_id long, frame long, lat double, lon double, ele double, time double")
     got = track.route(df, spark.createDataFrame([(1, 4.0)], "series_id long, length double")).orderBy("sec").collect()
     assert [r.ele for r in got] == [5.0, 7.0, 2.0, 3.0, 4.0]
+
+
+def test_tasks_follow_the_size_of_what_is_dealt(spark, tmp_path, monkeypatch):
+    from helmtrack import storage
+
+    spark.range(20000).select((F.col("id") % 300).alias("series_id"), "id").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(storage, "TASK_BYTES", 1 << 13)
+    few, many = (storage.dealt(x, "series_id").select("series_id", F.spark_partition_id().alias("p")).distinct() for x in (df.where("id < 0"), df.union(df).union(df)))
+    assert many.count() == 300 and many.select("p").distinct().count() > 8
+    assert few.count() == 0
