@@ -2,8 +2,9 @@
 
 Folders under the index's root, each a table that only grows:
 
-postings   lead, term, id, n, length, batch: a row for each term of a document,
-           in folders by the term's first two letters, sorted by term
+postings   lead, term, docs (id, n, length of each), batch: a row for each term of
+           a few megabytes of text, in folders by the term's first two letters,
+           sorted by term
 documents  id, length, batch: the documents of a batch
 dead       id, length, batch: documents of an earlier batch that a later one replaced or removed
 batches    batch, place, docs, words: the committed batches, the last thing that a batch writes
@@ -11,7 +12,8 @@ batches    batch, place, docs, words: the committed batches, the last thing that
 A search reads the folders of its words' first letters, and of these the
 stretches that its words lie in; the collection's counts are sums over
 ``batches``.  An upsert appends a batch and marks what it replaces; it rewrites
-nothing.  A batch is named by its caller: what a failed run has left of it is
+nothing.  Texts are read once: tasks count the terms of their documents, and
+only the lists that they make are shuffled.  A batch is named by its caller: what a failed run has left of it is
 never read, and written again by the next try; a batch that is committed is not
 taken twice.
 
@@ -21,18 +23,74 @@ Ids are unique within a batch and not null; a null text has no terms.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .search import B, K1, terms, tokens
+from .search import B, K1, terms
 
 _TABLES = {
-    "postings": "term string, id {id}, n int, length int, lead string, batch string",
+    "postings": "term string, docs array<struct<id: {id}, n: int, length: int>>, lead string, batch string",
     "documents": "id {id}, length int, batch string",
     "dead": "id {id}, length int, of string, batch string",
     "batches": "place bigint, docs bigint, words bigint, batch string",
 }
+#: The lead of rows that list documents instead of a term's; no term begins with it.
+LISTED = "-"
+#: Bytes of text whose terms are listed together.
+CHUNK = 8 << 20
+_IS_TERM = np.zeros(256, bool)
+_IS_TERM[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
+
+
+def _lists(ids: pa.Array, raw: np.ndarray, off: np.ndarray, tasks: int) -> pa.RecordBatch:
+    """lead, part, term, docs of documents, whose lower-case texts are ``raw`` from ``off[i]`` to ``off[i + 1]``.
+
+    The rows of a lead are dealt to as many parts as its share of all lists asks for in ``tasks``.
+    """
+    docs = len(off) - 1
+    inside, edge = _IS_TERM[raw], np.zeros(len(raw) + 1, bool)
+    edge[off] = True
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    begins = np.flatnonzero(begins)
+    letters = raw[inside]
+    to = np.append(np.cumsum(inside, dtype=np.int64)[begins] - 1, len(letters))
+    words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(to), pa.py_buffer(letters)).dictionary_encode()
+    length = np.diff(np.searchsorted(begins, off))
+    doc = np.repeat(np.arange(docs), length)
+    pairs, n = np.unique(words.indices.to_numpy().astype(np.int64) * docs + doc, return_counts=True)
+    term, of = np.divmod(pairs, max(docs, 1))
+    first = np.searchsorted(term, np.arange(len(words.dictionary) + 1))
+    # the last list is that of all documents
+    of, n, first = np.append(of, np.arange(docs)), np.append(n, np.zeros(docs, np.int64)), np.append(first, len(of) + docs)
+    listed = pa.StructArray.from_arrays([ids.take(pa.array(of)), pa.array(n.astype(np.int32)), pa.array(length[of].astype(np.int32))], names=["id", "n", "length"])
+    name = pa.concat_arrays([words.dictionary, pa.array([LISTED], pa.large_string())])
+    lead = pc.utf8_slice_codeunits(name, 0, 2)
+    at = lead.dictionary_encode().indices.to_numpy()
+    parts = np.ceil(np.bincount(at, np.diff(first)) / len(of) * tasks)
+    part = np.floor(np.random.default_rng(len(raw)).random(len(at)) * parts[at])
+    return pa.RecordBatch.from_arrays([lead.cast(pa.string()), pa.array(part.astype(np.int32)), name.cast(pa.string()), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), listed)], names=["lead", "part", "term", "docs"])
+
+
+def _listing(tasks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(1).cast(pa.large_string())
+            _, offsets, data = text.buffers()
+            off = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+            raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+            i = 0
+            while i < len(text):
+                j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1)
+                yield _lists(batch.column(0).slice(i, j - i), raw[off[i] : off[j]], off[i : j + 1] - off[i], tasks)
+                i = j
+
+    return run
 
 
 class Index:
@@ -77,11 +135,12 @@ class Index:
         place = before.agg(F.coalesce(F.max("place"), F.lit(-1))).first()[0] + 1
         dead = self.living().join(docs.select("id").distinct(), "id", "left_semi").select("id", "length", F.col("batch").alias("of"))
         self._write(dead, "dead", batch)
-        listed = docs.where(F.lit(keep)).select("id", tokens(F.col("text")).alias("t"))
-        self._write(listed.select("id", F.size("t").alias("length")), "documents", batch)
-        words = listed.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("n"))
-        rows = words.select("term", "id", "n", "length", F.substring("term", 1, 2).alias("lead"))
-        self._write(rows.repartitionByRange("lead", "term", "id").sortWithinPartitions("lead", "term"), "postings", batch, "lead")
+        lower = docs.where(F.lit(keep)).select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+        lists = lower.mapInArrow(_listing(int(self.spark.conf.get("spark.sql.shuffle.partitions"))), f"lead string, part int, term string, docs array<struct<id: {self.id_type}, n: int, length: int>>")
+        self._write(lists.repartition("lead", "part").sortWithinPartitions("lead", "term").drop("part"), "postings", batch, "lead")
+        at = f"{self.root}/postings/batch={batch}/lead={LISTED}"
+        written = self.spark.read.schema(lists.select("docs").schema).parquet(at) if self._exists(at) else lists.select("docs").limit(0)
+        self._write(written.select(F.inline("docs")).select("id", "length"), "documents", batch)
         sums = lambda name: self.spark.read.schema(_TABLES[name].format(id=self.id_type)).parquet(f"{self.root}/{name}/batch={batch}").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         (more, long), (gone, short) = sums("documents"), sums("dead")
         self._write(self.spark.range(1).select(F.lit(place).cast("bigint").alias("place"), F.lit(more - gone).cast("bigint").alias("docs"), F.lit(long - short).cast("bigint").alias("words")).coalesce(1), "batches", batch)
@@ -103,7 +162,7 @@ class Index:
         for w in parts:
             near = F.col("lead") == w[:2] if len(w) > 1 else F.col("lead").startswith(w)
             hit = hit | (near & F.col("term").startswith(w))
-        found = self.table("postings").where(hit).join(self._dead(), ["id", "batch"], "left_anti")
+        found = self.table("postings").where(hit).select("term", "batch", F.inline("docs")).join(self._dead(), ["id", "batch"], "left_anti")
         counts = [F.sum(F.when(F.col("term").startswith(w), F.col("n")).otherwise(0)).alias(f"n{i}") for i, w in enumerate(parts)]
         docs = found.groupBy("id", "length").agg(*counts)
         whole = docs.agg(*[F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in range(len(parts))])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +276,31 @@ def test_index(spark, tmp_path):
         found.upsert(frame(docs), "a/b")
 
 
+def test_index_keeps_lists_of_documents(spark, tmp_path):
+    """A term has a row a task's stretch of text, not a row a document; odd texts and ids of another kind are found as by the plain search."""
+    texts = ["Alpha \u00c4b-ALPHA\nx1 \u212aelvin", "", None, "\u00df \u0130stanbul alpha", "--", "beta\x00gamma " * 50, "\U0001f600alphabet\u00e9"]
+    docs = spark.createDataFrame([(f"d{i:04}", texts[i % 7]) for i in range(2100)], "id string, content string").repartition(3, "id")
+    found = index.Index(spark, str(tmp_path / "idx"), "string")
+    assert found.upsert(docs, "one")
+    for q in ("alpha", "kelvin b", "stanbul gamma", "x1 alp", "zeta"):
+        assert [tuple(r) for r in found.bm25(q, limit=700).collect()] == [tuple(r) for r in search.bm25(docs, q, limit=700).collect()], q
+    r = found.table("postings").where("term = 'alpha'").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("docs")).alias("docs")).first()
+    assert r.rows <= 3 and r.docs == 600
+    assert found.living().count() == 2100 and found.history().first().words == 300 * (5 + 3 + 100 + 1)
+
+
+def test_index_deals_a_frequent_lead(spark):
+    """A lead that most words have is dealt to most tasks, a rare one to one; long texts are cut between documents."""
+    text = pa.array([" ".join(["the"] * 3 + [f"th{i}x{j}" for j in range(9)] + ["zz"]) for i in range(400)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), text], names=["id", "text"])
+    (rows,) = index._listing(40)(iter([batch]))
+    parts = {}
+    for lead, part in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        parts.setdefault(lead, set()).add(part)
+    assert len(parts["th"]) > 20 and parts["zz"] <= set(range(4)) and max(parts["th"]) < 40
+    assert {len(d) for t, d in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True) if t in ("the", "zz", index.LISTED)} == {400}
+
+
 def test_nearest_descriptors_are_never_broadcast(spark, monkeypatch):
     from helmtrack.operators import robust
 
