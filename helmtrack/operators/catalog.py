@@ -68,18 +68,33 @@ def companions(videos: DataFrame, files: DataFrame, *, folders: Sequence[str] =
     of a path that is named twice the first.
     """
     folder, name = F.regexp_extract("path", "^(.*?)/?[^/]*$", 1), F.regexp_extract("path", "([^/]*)$", 1)
-    rows = videos.select(F.col("path").alias("video"), F.col("hint"), folder.alias("folder"), name.alias("name"), F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("stem"))
-    join = lambda at, ending: F.concat(F.when(at != "", F.concat(at, F.lit("/"))).otherwise(""), *[F.col(p[1:-1]) if p.startswith("{") else F.lit(p) for p in re.findall(r"\{\w+\}|[^{]+", ending)])
-    wanted = []
-    for kind, endings in (("rates", RATE_LOGS), ("angles", ANGLE_LOGS)):
+    stem = lambda n: F.regexp_replace(n, r"(?<=.)\.[^.]*$", "")
+    ending = lambda form: re.sub(r"^\{\w+\}", "", form)
+    # a video and its files share what their paths have before the video's own ending: a row a folder, not a row a name
+    rows = videos.select(F.col("path").alias("video"), "hint", name.alias("name"), stem(name).alias("stem"), F.posexplode(F.array_distinct(F.array(folder, *map(F.lit, folders)))).alias("j", "at"))
+    prefix = F.when(F.col("at") != "", F.concat("at", F.lit("/"))).otherwise("")
+    looking = rows.select("video", "hint", "j", F.concat(prefix, "stem").alias("key"), F.substr("name", F.length("stem") + 1).alias("own"))
+
+    keys = []
+    for form in (*RATE_LOGS, *ANGLE_LOGS):
+        base = F.when(F.endswith("path", F.lit(ending(form))), F.left("path", F.length("path") - len(ending(form))))
+        last = F.substring_index(base, "/", -1)
+        keys.append(base if form.startswith("{stem}") else F.concat(F.left(base, F.length(base) - F.length(last)), stem(last)))
+    listed = files.where(F.col("size") > 0).select("path", F.explode(F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))).alias("key"))
+    pairs = looking.join(listed.select("key", F.substr("path", F.length("key") + 1).alias("tail")).hint("merge"), "key")  # as many as the files: never broadcast
+
+    place, first = F.when(F.lit(False), 0), 0
+    for endings in (RATE_LOGS, ANGLE_LOGS):
         hinted = [h for h, e in HINTS.items() if e == endings]
         allowed = F.coalesce(F.col("hint").isin(hinted) | ~F.col("hint").isin(list(HINTS)), F.lit(True))
-        for at in (F.col("folder"), *map(F.lit, folders)):
-            wanted += [F.when(allowed, F.struct(F.lit(len(wanted) + i).alias("place"), join(at, e).alias("path"))) for i, e in enumerate(endings)]
-    named = rows.select("video", F.inline(F.filter(F.array(*wanted), lambda x: x.isNotNull())))
-    first = named.groupBy("video", "path").agg(F.min("place").alias("place"))
-    found = first.join(files.where(F.col("size") > 0).select("path").distinct(), "path", "left_semi")
-    return found.select("video", (F.row_number().over(Window.partitionBy("video").orderBy("place"))).alias("place"), "path")
+        for i, form in enumerate(endings):
+            own = F.lit("") if form.startswith("{stem}") else F.col("own")
+            place = place.when(allowed & (F.col("tail") == F.concat(own, F.lit(ending(form)))), first + F.col("j") * len(endings) + i)
+        first += (1 + len(folders)) * len(endings)
+    found = pairs.select("video", F.concat("key", "tail").alias("path"), place.alias("at")).where("at is not null")
+    w = Window.partitionBy("video").orderBy("at")
+    ranked = found.select("video", F.dense_rank().over(w).alias("place"), "path", F.lag("at").over(w).eqNullSafe(F.col("at")).alias("again"))
+    return ranked.where("not again").drop("again")
 
 
 #: Endings of pictures and of videos (fixed values).

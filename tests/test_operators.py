@@ -301,6 +301,36 @@ def test_index_deals_a_frequent_lead(spark):
     assert {len(d) for t, d in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True) if t in ("the", "zz", index.LISTED)} == {400}
 
 
+def test_companions_meet_in_rows_of_folders(spark):
+    """As by looking for each name; a video gives a row a folder to the join, not a row a name."""
+    rng = random.Random(3)
+    names = ["v1", "v1.mp4", "v1.mov", "v1_telemetry", ".mp4", "a.b.c", "v1.mp4.gcsv", "", "v\u00e92.MP4"]
+    videos = [(f + n, rng.choice(["auto", "gyroflow", "witmotion", "custom_csv", None])) for f in ("", "in/", "work/", "/", "in/work/") for n in names for _ in (0, 1)]
+    tails = [x.split("}")[1] for x in (*catalog.RATE_LOGS, *catalog.ANGLE_LOGS)]
+    files = [(f + n + t, rng.choice([0, 1, 5])) for f in ("", "in/", "work/", "/", "in/work/") for n in (*names, "v") for t in (*tails, ".mp4") for _ in (0, 1)] + [(None, 3), ("in/v1.gcsv", None)]
+    there = {p for p, n in files if p and n}
+    folder = lambda v: v.rpartition("/")[0]
+
+    def names_of(video, hint):
+        name = video.rpartition("/")[2]
+        stem = name[: name.rfind(".")] if name.rfind(".") > 0 else name
+        for endings in (catalog.RATE_LOGS, catalog.ANGLE_LOGS):
+            if catalog.HINTS.get(hint, endings) == endings:
+                for at in (folder(video), "work", "in"):
+                    yield from ((at + "/" if at else "") + e.format(name=name, stem=stem) for e in endings)
+
+    want = set()
+    for v in {v for v, _ in videos}:
+        kinds = [list(names_of(v, h)) for x, h in videos if x == v]
+        every = [p for p in names_of(v, None) if any(p in k for k in kinds) and p in there]
+        want |= {(v, i + 1, p) for i, p in enumerate(dict.fromkeys(every))}
+    found = catalog.companions(spark.createDataFrame(videos, "path string, hint string"), spark.createDataFrame(files, "path string, size int"), folders=["work", "in"])
+    got = [tuple(r) for r in found.select("video", "place", "path").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(" not in plan and plan.count("Generate") == 2
+
+
 def test_nearest_descriptors_are_never_broadcast(spark, monkeypatch):
     from helmtrack.operators import robust
 
