@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` names it; within lambdas Spark shares nothing."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def number(x: Column) -> Column:
     return F.trim(x).try_cast("double")
 
@@ -17,10 +24,13 @@ def clean_number(x: Column) -> Column:
 
 def seconds(x: Column) -> Column:
     """Seconds of HH:MM:SS, MM:SS or a number; null otherwise."""
-    part = F.split(F.trim(x), ":")
-    at = lambda i: number(F.get(part, F.lit(i)))
-    n = F.size(part)
-    return F.when(n == 3, at(0) * 3600.0 + at(1) * 60.0 + at(2)).when(n == 2, at(0) * 60.0 + at(1)).when(n == 1, at(0))
+
+    def of(part: Column) -> Column:
+        at = lambda i: number(F.get(part, F.lit(i)))
+        n = F.size(part)
+        return F.when(n == 3, at(0) * 3600.0 + at(1) * 60.0 + at(2)).when(n == 2, at(0) * 60.0 + at(1)).when(n == 1, at(0))
+
+    return once(F.split(F.trim(x), ":"), of)
 
 
 def clock(sec: Column) -> Column:
@@ -75,21 +85,30 @@ def checkpoint(line: Column) -> Column:
     first; the others are numbers in order.  Comments and anything else are
     null.
     """
-    s = F.trim(line)
     point = lambda lat, lon, t, e: F.struct(lat.alias("lat"), lon.alias("lon"), t.alias("time"), e.alias("ele"))
-    lat, lon, height = _address(s)
-    beside = F.transform(F.filter(F.split(s, r"[\s,]+"), lambda p: ~p.startswith("http")), seconds)
-    address = point(lat, lon, F.get(F.filter(beside, lambda v: v.isNotNull()), F.lit(0)), height)
+    known = lambda p: F.when(p["lat"].isNotNull() & p["lon"].isNotNull(), p)
+
+    def address(s: Column) -> Column:
+        lat, lon, height = _address(s)
+        beside = F.transform(F.filter(F.split(s, r"[\s,]+"), lambda p: ~p.startswith("http")), seconds)
+        return once(point(lat, lon, F.get(F.filter(beside, lambda v: v.isNotNull()), F.lit(0)), height), known)
+
+    def numbers(token: Column, clock_at: Column) -> Column:
+        time = F.when(clock_at > 0, seconds(F.get(token, clock_at - 1)))
+        return once(F.transform(F.filter(token, lambda p, i: i + 1 != clock_at), clean_number), lambda v: point(*[F.get(v, F.lit(i)) for i in (0, 1)], time, F.get(v, F.lit(2))))
+
+    def listed_(token: Column) -> Column:
+        n, colon = F.size(token), F.filter(token, lambda p: p.contains(":"))
+        clock_at = F.coalesce(once(F.get(colon, F.lit(0)), lambda c: F.array_position(token, c)), F.when(n == 4, 1).otherwise(0)).cast("int")
+        usual = n.between(2, 4) & ~((n == 3) & F.get(token, F.lit(1)).contains(":"))  # of three tokens, the middle one is no time
+        return F.when(usual, once(once(clock_at, lambda c: numbers(token, c)), known))
+
+    def of(s: Column) -> Column:
+        token = F.filter(F.transform(F.split(s, ","), lambda p: F.trim(p)), lambda p: p != "")
+        marked = F.when(s.contains(PIN_MARK) | s.contains(VIEW_MARK), address(s))  # few lines need its searches
+        return F.when(s.startswith("#") | (s == ""), F.lit(None)).otherwise(F.coalesce(marked, once(token, listed_)))
 
-    token = F.filter(F.transform(F.split(s, ","), lambda p: F.trim(p)), lambda p: p != "")
-    n, colon = F.size(token), F.filter(token, lambda p: p.contains(":"))
-    clock_at = F.when(F.size(colon) > 0, F.array_position(token, F.get(colon, F.lit(0)))).when(n == 4, 1).otherwise(0).cast("int")
-    numbers = F.transform(F.filter(token, lambda p, i: i + 1 != clock_at), clean_number)
-    time = F.when(clock_at > 0, seconds(F.get(token, clock_at - 1)))
-    usual = n.between(2, 4) & ~((n == 3) & F.get(token, F.lit(1)).contains(":"))  # of three tokens, the middle one is no time
-    listed_ = F.when(usual, point(*[F.get(numbers, F.lit(i)) for i in (0, 1)], time, F.get(numbers, F.lit(2))))
-    found = F.when(s.startswith("#") | (s == ""), F.lit(None)).when(lat.isNotNull() & lon.isNotNull(), address).otherwise(listed_)
-    return F.when(found["lat"].isNotNull() & found["lon"].isNotNull(), found)
+    return once(F.trim(line), of)
 
 
 #: Elevations in metres lie between these, both left out (fixed values).
@@ -101,16 +120,17 @@ def checkpoint_list(x: Column) -> Column:
 
     Entries that are no checkpoint are left out; a null text has none.
     """
-    items = F.when(F.ltrim(x).startswith("["), F.from_json(x, "array<string>"))  # objects stay as their text
+    none = F.array().cast("array<struct<lat:double,lon:double,time:double,ele:double>>")
+    items = lambda v: F.when(F.ltrim(v).startswith("["), F.from_json(v, "array<string>"))  # noqa: E731  objects stay as their text
     entry = lambda i: F.when(F.ltrim(i).startswith("{"), _object(i)).otherwise(checkpoint(i))
-    found = F.transform(F.coalesce(items, F.split(x, r"\r?\n")), entry)
-    return F.coalesce(F.filter(found, lambda p: p.isNotNull()), F.array().cast("array<struct<lat:double,lon:double,time:double,ele:double>>"))
+    entries = once(x, lambda v: F.coalesce(items(v), F.split(v, r"\r?\n")))
+    return F.coalesce(F.filter(F.transform(entries, entry), lambda p: p.isNotNull()), none)
 
 
 def _object(x: Column) -> Column:
     field = lambda c: F.get_json_object(x, f"$.{c}")
-    lat, lon = number(field("lat")), number(field("lon"))
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"), seconds(field("time")).alias("time"), clean_number(field("ele")).alias("ele")))
+    whole = lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), seconds(field("time")).alias("time"), clean_number(field("ele")).alias("ele"))
+    return once(F.struct(number(field("lat")).alias("lat"), number(field("lon")).alias("lon")), lambda p: F.when(p["lat"].isNotNull() & p["lon"].isNotNull(), whole(p)))
 
 
 def pasted_point(x: Column, elevation: float = 315.0) -> Column:

@@ -331,6 +331,16 @@ def test_companions_meet_in_rows_of_folders(spark):
     assert "inline(" not in plan and plan.count("Generate") == 2
 
 
+def test_parts_of_a_checkpoint_are_found_once(spark):
+    """The work of a line doesn't grow with how often its parts are named."""
+    plan = spark.range(1).select(text.checkpoint_list(F.col("id").cast("string")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert "more fields" not in plan and 0 < plan.count("regexp_extract(") <= 10 and 0 < plan.count("get_json_object(") <= 4 and 0 < plan.count("from_json(") <= 1
+    read = lambda x: [tuple(p) for p in one(spark, text.checkpoint_list(F.lit(x).cast("string")))]
+    assert read("# a\n00:01:10, 48.5, 11.25\n\n5, 6, 7m\n1, 2:00, 3\n9, 1, 2, 3z") == [(48.5, 11.25, 70.0, None), (5.0, 6.0, None, 7.0), (1.0, 2.0, 9.0, 3.0)]
+    assert read('[{"lat": "1.5", "lon": 2, "time": "1:00", "ele": "8m"}, {"lat": 1}, "x"]') == [(1.5, 2.0, 60.0, 8.0)] and read(None) == []
+    assert read('["0:30 https://maps/@48.1,11.2,315m", "https://maps/!3d1.5!4d2.5/@3.5,4.5z", "@1, 2, 3"]') == [(48.1, 11.2, 30.0, 315.0), (1.5, 2.5, None, None)]
+
+
 def test_nearest_descriptors_are_never_broadcast(spark, monkeypatch):
     from helmtrack.operators import robust
 
