@@ -167,6 +167,10 @@ def _bytes(gram: np.ndarray, n: int) -> np.ndarray:
 class Tree:
     """Retained contexts by depth: sorted grams with smoothed probabilities, and contexts with the weight of their parent.
 
+    Both are kept with their bytes reversed: in that order all suffixes of
+    sorted grams are sorted too, so that lookups of sorted grams walk through a
+    level instead of jumping about in it.
+
     Made of parallel arrays of the contexts' symbols: level, gram (the context
     and the symbol after it) and count.  Level 0 has the counts of the root.
     """
@@ -188,21 +192,26 @@ class Tree:
             total = np.add.reduceat(n, first)
             of = np.repeat(np.arange(len(contexts)), kinds.astype(np.int64))
             shorter = 10.0 ** self.grams(_bytes(g, k), k - 1)
-            self.levels[k] = g, np.log10((n + kinds[of] * shorter) / (total + kinds)[of]), contexts, np.log10(kinds / (total + kinds))
+            by, by_context = np.argsort(g.byteswap()), np.argsort(contexts.byteswap())
+            self.levels[k] = g.byteswap()[by], np.log10((n + kinds[of] * shorter) / (total + kinds)[of])[by], contexts.byteswap()[by_context], np.log10(kinds / (total + kinds))[by_context]
+
+    def holds(self, k: int, context: np.ndarray) -> np.ndarray:
+        """Whether contexts of ``k`` bytes are held."""
+        return _find(self.levels[k][2], context.byteswap()) >= 0
 
     def grams(self, gram: np.ndarray, top: int | None = None) -> np.ndarray:
         """log10 probability of the last byte of every gram after the others."""
-        out, open_ = np.zeros(len(gram)), np.arange(len(gram))
+        out, open_ = np.zeros(len(gram)), np.argsort(gram.byteswap())
         for k in range(self.depth if top is None else top, 0, -1):
             keys, score, contexts, passed = self.levels[k]
             if not len(keys):
                 continue
             g = _bytes(gram[open_], k + 1)
-            at = _find(keys, g)
+            at = _find(keys, g.byteswap())
             hit = at >= 0
             out[open_[hit]] += score[at[hit]]
             open_, g = open_[~hit], g[~hit]
-            at = _find(contexts, g >> np.uint64(8))  # a retained context that never had this symbol
+            at = _find(contexts, (g >> np.uint64(8)).byteswap())  # a retained context that never had this symbol
             out[open_[at >= 0]] += passed[at[at >= 0]]
         out[open_] += self.root[(gram[open_] & np.uint64(255)).astype(np.int64)]
         return out
@@ -350,7 +359,7 @@ def _asked(tree, often, depth: int):
             score = tree.value.grams(gram)
             for k in range(1, depth + 1):
                 context = _bytes(gram >> np.uint64(8), k)
-                at = _find(tree.value.levels[k][2], context) < 0
+                at = ~tree.value.holds(k, context)
                 yield pa.RecordBatch.from_arrays([pa.array(tx.signed(gram[at])), pa.array(np.full(int(at.sum()), k, np.int32)), pa.array(tx.signed(context[at])), pa.array(score[at])], names=["key", "level", "context", "known"])
 
     return run

@@ -454,3 +454,22 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, before, str(tmp_path)).columns == before.columns, name
     clean = {i for i in range(600) if i % 3}
     assert len(clean & set(got)) > 0.97 * len(clean)
+
+
+def test_tree_lookups_walk_in_order():
+    """Grams are kept by their reversed bytes, in which order their suffixes are sorted too; any order of questions gives the same."""
+    import numpy as np
+
+    from helmtrack.llm.suffix_tree_lm import Tree
+
+    gram = np.array([0x61, 0x62, 0x6162, 0x6261, 0x6262, 0x616261, 0x626261], np.uint64)
+    tree = Tree(2, np.array([0, 0, 1, 1, 1, 2, 2]), gram, np.array([6, 4, 3, 2, 1, 2, 5]))
+    for k in (1, 2):
+        keys, _, contexts, _ = tree.levels[k]
+        assert np.all(keys[1:] > keys[:-1]) and np.array_equal(np.sort(keys.byteswap()), np.sort(gram[[2, 3, 4] if k == 1 else [5, 6]])) and len(contexts) == 2
+    assert tree.holds(2, np.array([0x6162, 0x6161], np.uint64)).tolist() == [True, False]
+    asked = np.array([0x616261, 0x636161, 0x626262, 0x616162, 0x636363], np.uint64)
+    assert np.array_equal(tree.grams(asked)[::-1], tree.grams(asked[::-1]))
+    root = 10.0 ** tree.root
+    a_after_b = (2 + 2 * root[0x61]) / (3 + 2)
+    assert np.isclose(10.0 ** tree.grams(asked)[0], (2 + a_after_b) / (2 + 1)) and np.isclose(10.0 ** tree.grams(asked)[2], (1 + 2 * root[0x62]) / 5 * (1 / 6))
